@@ -45,6 +45,7 @@ def pieces_stay_in_words(sp) -> bool:
         and not norm.remove_extra_whitespaces
         and not norm.precompiled_charsmap
         and not model.trainer_spec.treat_whitespace_as_suffix
+        and any(p.piece == MARK for p in model.pieces)
         and not any(p.type == kinds.USER_DEFINED or re.search(f"[^{MARK}]{MARK}", p.piece) for p in model.pieces)
     )
 
@@ -61,8 +62,9 @@ class WordTable:
         self.most = most
 
     def _segment(self, words: list[str]) -> Iterable[tuple[str, list[int]]]:
-        # the model's dummy prefix stands for the first marker of each word
-        return zip(words, self.sp.encode([w[1:] for w in words], num_threads=1), strict=True)
+        # the model's dummy prefix stands for the first marker of each word; empty input gets none
+        for word, ids in zip(words, self.sp.encode([w[1:] for w in words], num_threads=1), strict=True):
+            yield word, ids if word != MARK else [self.sp.piece_to_id(MARK)]
 
     def encode(self, texts: list[str | None]) -> Iterator[list[int]]:
         if self.whole:
