@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import spread, table
 
@@ -26,3 +27,21 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sentencepiece_table import digests, encode_decode
 
     return digests(encode_decode(spread(table(spark, sf_dir, "documents")), piece_model()))
+
+
+@query
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import mixing
+
+    words = F.aggregate("draws", F.lit(0).cast("long"), lambda n, d: n + d["words"])
+    return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", words.alias("taken"))
+
+
+@query
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From 12 shards by source, as uneven as the sources are, to 16 shards of equal bytes."""
+    from . import resharding
+
+    docs = table(spark, sf_dir, "documents")
+    out = resharding.assign(docs, F.pmod(F.xxhash64("source"), F.lit(12)), 16)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
