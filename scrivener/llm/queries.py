@@ -45,3 +45,27 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = resharding.assign(docs, F.pmod(F.xxhash64("source"), F.lit(12)), 16)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+
+
+@query
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .iso_media import UNIT, text_media
+
+    media = text_media(spread(table(spark, sf_dir, "documents")))
+    return media.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -UNIT, UNIT)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
+@query
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .order_minhash import edited_pairs
+
+    return edited_pairs(table(spark, sf_dir, "documents"))
