@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Rows a Python operator holds as Python objects at a time; batches are cut to it.
 SLICE = 256
+#: Characters, bytes and list entries after which an output batch leaves.
+SLICE_SIZE = 4_000_000
 
 #: A word of the size laws: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -84,15 +86,24 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]],
 
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        cols = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, arrow.types, strict=True)], schema=arrow)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                rows = list(fn(*[part.column(i).to_pylist() for i in range(len(names))]))
-                for k in range(0, len(rows), SLICE):
-                    cols = list(zip(*rows[k : k + SLICE], strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, arrow.types, strict=True)], schema=arrow)
+                held, size = [], 0
+                for row in fn(*[part.column(i).to_pylist() for i in range(len(names))]):
+                    held.append(row)
+                    size += sum(len(x) for x in row if isinstance(x, str | bytes | list))
+                    if len(held) >= SLICE or size > SLICE_SIZE:
+                        yield packed(held)
+                        held, size = [], 0
+                if held:
+                    yield packed(held)
 
     return df.mapInArrow(run, schema)
 
