@@ -89,3 +89,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels"))
     return score(spread(docs), model).select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extraction import extract_pages
+
+    found = extract_pages(spread(table(spark, sf_dir, "pages")))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "path")
