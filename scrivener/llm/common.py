@@ -111,3 +111,41 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]],
 def n_words(text) -> F.Column:
     """Number of words (runs of anything but ASCII white space); null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def map_groups(df: DataFrame, keys: list[str], fn: Callable[..., Iterable[tuple]], schema: str) -> DataFrame:
+    """Rows that agree in `keys` go to `fn` together, as column lists in `df`'s order; a task streams
+    its groups one after another, so it holds one group at a time."""
+    ship(df.sparkSession)
+    n_keys, names = len(keys), df.columns
+    if names[:n_keys] != keys:
+        raise ValueError("keys must be the first columns")
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, group, key = [], [[] for _ in names], None
+
+        def packed() -> pa.RecordBatch:
+            cols = zip(*held, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, arrow.types, strict=True)], schema=arrow)
+
+        for batch in batches:
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if group[0] and row[:n_keys] != key:
+                    held.extend(fn(*group))
+                    group = [[] for _ in names]
+                    if len(held) >= 4096:
+                        yield packed()
+                        held = []
+                key = row[:n_keys]
+                for column, x in zip(group, row, strict=True):
+                    column.append(x)
+        if group[0]:
+            held.extend(fn(*group))
+        if held:
+            yield packed()
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)

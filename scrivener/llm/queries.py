@@ -97,3 +97,10 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = extract_pages(spread(table(spark, sf_dir, "pages")))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "path")
+
+
+@query
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import join
+
+    return join(spread(table(spark, sf_dir, "documents")))
