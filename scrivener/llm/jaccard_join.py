@@ -337,3 +337,13 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, thr
     table = table.select("node", F.coalesce("class", "rep").alias("class_"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links_"))
     out = rows.select("id_", "node").join(table, "node", "left")
     return out.select(F.col("id_").alias(id_col), F.coalesce("class_", "id_").alias("class_id"), F.coalesce("links_", F.lit(0)).cast("long").alias("n_links"))
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """`docs` with one row of each class of `join`: that of the least id. Rows that repeat an id with
+    its text count as copies; a row without an id stays unless its text is that of another such row."""
+    found = stored(join(docs, id_col, text_col, **options), "jaccard-classes")
+    dropped = found.filter(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("drop_")).distinct()
+    n_dropped, n, n_ids = dropped.count(), found.count(), found.select(id_col).distinct().count()
+    kept = docs.join(F.broadcast(dropped) if n_dropped <= BROADCAST_NODES else dropped, F.col(id_col) == F.col("drop_"), "left_anti")
+    return kept if n == n_ids else kept.dropDuplicates([id_col, text_col])

@@ -104,3 +104,23 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import join
 
     return join(spread(table(spark, sf_dir, "documents")))
+
+
+@query
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after four batches of inserts with the count of words for both versions, a redelivery
+    of the first, and a batch that revises every document's count of pieces."""
+    from .common import scratch, stored
+    from .token_counts import KEYS, Rollup, count_pieces, revised, signed
+
+    counts = stored(count_pieces(spread(table(spark, sf_dir, "documents")), piece_model()), "token-counts")
+    rollup = Rollup(spark, scratch(spark, "token-rollup"))
+
+    def of(rows: DataFrame, version: str, column: str) -> DataFrame:
+        return rows.select("source", "lang", F.lit(version).alias("tokenizer"), F.col(column).alias("n_tokens"))
+
+    for k in (0, 1, 2, 3, 0):
+        part = counts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(4)) == k)
+        rollup.commit(f"load-{k}", signed(of(part, "words_v1", "words").unionByName(of(part, "piece_bpe_32k", "words")), 1))
+    rollup.commit("revise-pieces", revised(of(counts, "piece_bpe_32k", "words"), of(counts, "piece_bpe_32k", "pieces")))
+    return rollup.totals().select(*KEYS, "n_docs", "n_tokens")

@@ -20,10 +20,11 @@ import zlib
 from math import exp
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import SLICE, map_rows, ship
 
 BUCKETS = 1 << 20
 MAX_ROWS = 12_000
@@ -182,3 +183,21 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     kind = docs.schema[id_col].dataType.simpleString()
     return map_rows(docs.select(F.col(id_col), F.col(text_col)), make, f"`{id_col}` {kind}, score double")
+
+
+def clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of `docs`, all columns as they are, whose text scores below `threshold`."""
+    ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast((np.array(list(model.index), dtype=np.int64), model.bias, model.weights, model.factors))
+    place = docs.columns.index(text_col)
+
+    def run(batches):
+        own = Model(*shared.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                keep = part.filter(pa.array([own.score(t) < threshold for t in part.column(place).to_pylist()], pa.bool_()))
+                if keep.num_rows:
+                    yield keep
+
+    return docs.mapInArrow(run, docs.schema)
