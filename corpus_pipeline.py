@@ -1,15 +1,54 @@
-"""Corpus pipeline: stages of the training-data operators over `documents`."""
+"""Corpus pipeline: toxic documents go, one of each group of near-duplicates stays, sources are mixed
+to their target weights, and the mix is encoded.
+
+Each stage takes (spark, docs, sf_dir), works on all rows it is given and returns a DataFrame; all
+but the last return the columns of `documents`. SQL cannot express the learned score, so the
+stages are tested against brute force instead (ORACLE_SQL is None).
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scrivener.llm.common import spread, stored, table
+from scrivener.llm.jaccard_join import deduplicate
+from scrivener.llm.mixing import mix
+from scrivener.llm.queries import piece_model
+from scrivener.llm.sentencepiece_table import encode_decode
+from scrivener.llm.toxicity import clean, train
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorization machine scores below 0.5."""
+    return clean(spread(docs), train(docs, table(spark, sf_dir, "labels")))
+
+
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least id of each near-duplicate group."""
+    return deduplicate(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each draw of a document, shuffled within each partition's shards; a text that a
+    pass cuts has its own length."""
+    drawn = mix(docs).sortWithinPartitions("mix_shard", "mix_order").select(*docs.columns)
+    return drawn.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded_sha256) of every row of the mix."""
+    encoded = encode_decode(docs, piece_model())
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
 
-STAGES: list = []
+STAGES = [("toxicity", toxicity), ("ngram_jaccard", ngram_jaccard), ("mixing", mixing), ("sentencepiece", sentencepiece)]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """The stages over `documents`, each stage's rows written to the shared folder for the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
