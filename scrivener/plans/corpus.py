@@ -1 +1,330 @@
-"""To come."""
+"""Queries of corpus curation, over adjacent `conversations` turns with markdown put in, and of
+vocabulary pruning, over the tokens of `benchmark`."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from scrivener.functions import markdown as M
+from scrivener.functions.text import words
+from scrivener.operators import corpus as C
+from scrivener.operators import vocab as V
+
+from .registry import query, table
+
+PAIRS = r"""WITH q AS (SELECT u.conv_id, u.turn, u.text AS i, a.text AS o FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'),
+ p AS (SELECT conv_id, turn, CASE (conv_id + turn) % 9 WHEN 7 THEN 'um ' || i WHEN 6 THEN 'First, ' || i ELSE i END AS input, CASE (conv_id + turn) % 9
+ WHEN 0 THEN '## Head' || chr(10) || 'This is **' || substr(i, 1, 8) || '** so' || chr(10) || '- one' || chr(10) || '- two' || chr(10) || 'end'
+ WHEN 1 THEN '- a' || chr(10) || '-  - b ' || chr(10) || '- c' || chr(10) || '- d' || chr(10) || '- e' || chr(10) || '- f' || chr(10) || '- '
+ WHEN 2 THEN '1. go.' || chr(10) || '2. stay..' || chr(10) || chr(10) || ' 3. run'
+ WHEN 3 THEN 'To do:' || chr(10) || '1. go' || chr(10) || '2. stay'
+ WHEN 4 THEN i
+ WHEN 5 THEN '- ' || substr(o, 1, 30)
+ WHEN 6 THEN '1. x' || chr(10) || '2. y' || chr(10) || '3. z'
+ WHEN 7 THEN '[name] ' || i ELSE o END AS output FROM q)"""
+
+
+def pairs(spark, sf_dir):
+    rows = C.adjacent_pairs(table(spark, sf_dir, "conversations"))
+    i, o, k = F.col("input"), F.col("output"), (F.col("conv_id") + F.col("turn")) % 9
+    made = {
+        0: F.concat(F.lit("## Head\nThis is **"), F.substring(i, 1, 8), F.lit("** so\n- one\n- two\nend")),
+        1: F.lit("- a\n-  - b \n- c\n- d\n- e\n- f\n- "),
+        2: F.lit("1. go.\n2. stay..\n\n 3. run"),
+        3: F.lit("To do:\n1. go\n2. stay"),
+        4: i,
+        5: F.concat(F.lit("- "), F.substring(o, 1, 30)),
+        6: F.lit("1. x\n2. y\n3. z"),
+        7: F.concat(F.lit("[name] "), i),
+    }
+    output = o
+    for n, c in made.items():
+        output = F.when(k == n, c).otherwise(output)
+    given = F.when(k == 7, F.concat(F.lit("um "), i)).when(k == 6, F.concat(F.lit("First, "), i)).otherwise(i)
+    return rows.select("conv_id", "turn", given.alias("input"), output.alias("output"))
+
+
+WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+BOLD = r"regexp_replace(output, '\*\*(.+?)\*\*', '\1', 'g')"
+HEAD = r"regexp_replace(output, '(?m)^#{1,3}\s*', '', 'g')"
+LINES = f"list_filter(list_transform(string_split({{}}, chr(10)), lambda x: trim(x, {WS})), lambda x: x <> '')"
+FORCED = rf"(NOT regexp_matches(input, '(?i)\b(first|second|third|fourth|fifth)\b') AND regexp_matches(output, '(?m)^\d+\.') AND contains(output, chr(10)) AND len({LINES.format('output')}) >= 3 AND len(list_filter({LINES.format('output')}, lambda x: NOT regexp_matches(x, '^\d+\.'))) = 0)"
+FLAT = rf"""SELECT conv_id, turn, input, output, l, CASE WHEN NOT regexp_matches(l[1], '^\d+\.') THEN l[2:] ELSE l END AS r, NOT regexp_matches(l[1], '^\d+\.') AS led FROM (SELECT *, {LINES.format('output')} AS l FROM p)"""
+FLATTENED = r"CASE WHEN len(l) > 0 AND len(r) >= 2 AND len(list_filter(r, lambda x: NOT regexp_matches(x, '^\d+\.'))) = 0 THEN CASE WHEN led AND trim(rtrim(l[1], ':')) <> '' THEN trim(rtrim(l[1], ':')) || ': ' || j || '.' ELSE upper(substr(j, 1, 1)) || substr(j, 2) || '.' END ELSE output END"
+ITEMS = rf"SELECT *, array_to_string(it[1:len(it) - 1], ', ') || ', and ' || it[len(it)] AS j FROM (SELECT *, list_transform(r, lambda x: trim(rtrim(regexp_extract(x, '^\d+\.\s*(.*)', 1), '.'), {WS})) AS it FROM ({FLAT}))"
+
+
+@query(PAIRS + f" SELECT conv_id, turn, {BOLD} AS output FROM p")
+def s1_without_bold(spark, sf_dir):
+    return pairs(spark, sf_dir).select("conv_id", "turn", M.without_bold(F.col("output")).alias("output"))
+
+
+@query(PAIRS + f" SELECT conv_id, turn, {HEAD} AS output FROM p")
+def s2_without_headers(spark, sf_dir):
+    return pairs(spark, sf_dir).select("conv_id", "turn", M.without_headers(F.col("output")).alias("output"))
+
+
+# the two kinds of bullet block that `pairs` puts in; a lone last "- " is text
+BULLETS = "CASE (conv_id + turn) % 9 WHEN 0 THEN replace(output, '- one' || chr(10) || '- two' || chr(10), 'one, two.') WHEN 1 THEN array_to_string(list_transform(['a', 'b', 'c', 'd', 'e', 'f'], lambda x, i: i || '. ' || x), chr(10)) || '- ' ELSE output END"
+
+
+@query(PAIRS + f" SELECT conv_id, turn, {BULLETS} AS output FROM p")
+def s3_bullets_flattened(spark, sf_dir):
+    return pairs(spark, sf_dir).select("conv_id", "turn", M.bullets_flattened(F.col("output")).alias("output"))
+
+
+@query(PAIRS + rf" SELECT conv_id, turn, trim(regexp_replace(output, '^- ', ''), {WS}) AS output FROM p")
+def s4_without_first_bullet(spark, sf_dir):
+    return pairs(spark, sf_dir).select("conv_id", "turn", M.without_first_bullet(F.col("output")).alias("output"))
+
+
+@query(PAIRS + f" SELECT conv_id, turn, {FLATTENED} AS output FROM ({ITEMS})")
+def s5_numbered_flattened(spark, sf_dir):
+    return pairs(spark, sf_dir).select("conv_id", "turn", M.numbered_flattened(F.col("output")).alias("output"))
+
+
+@query(PAIRS + f" SELECT conv_id, turn, CASE WHEN {FORCED} THEN {FLATTENED} ELSE output END AS output, {FORCED} AND {FLATTENED} <> output AS flattened FROM ({ITEMS})")
+def s6_lists_flattened(spark, sf_dir):
+    return C.lists_flattened(pairs(spark, sf_dir)).select("conv_id", "turn", "output", "flattened")
+
+
+@query(PAIRS + f", x AS (SELECT conv_id, turn, input, {BOLD} AS output FROM p), y AS (SELECT conv_id, turn, input, {HEAD} AS output FROM x), z AS (SELECT conv_id, turn, {BULLETS} AS output FROM y) SELECT conv_id, turn, trim(regexp_replace(output, '^- ', ''), {WS}) AS output FROM z")
+def c1_output_cleaned(spark, sf_dir):
+    return C.output_cleaned(pairs(spark, sf_dir)).select("conv_id", "turn", "output")
+
+
+@query(PAIRS + f" SELECT conv_id, turn FROM p WHERE trim(CASE WHEN turn % 4 = 0 THEN chr(10) ELSE output END, {WS}) <> ''")
+def f9_has_output(spark, sf_dir):
+    rows = pairs(spark, sf_dir).withColumn("output", F.when(F.col("turn") % 4 == 0, "\n").otherwise(F.col("output")))
+    return rows.filter(C.has_output()).select("conv_id", "turn")
+
+
+@query(PAIRS + " SELECT conv_id, turn FROM p WHERE NOT (length(output) > length(input) * 1.5 AND length(input) > 20)")
+def f10_not_expanded(spark, sf_dir):
+    return pairs(spark, sf_dir).filter(~C.is_expanded()).select("conv_id", "turn")
+
+
+VALID = rf"(trim(input, {WS}) <> '' AND trim(output, {WS}) <> '' AND len(list_filter(regexp_split_to_array(input, '\s+'), lambda x: x <> '')) BETWEEN 5 AND 200 AND NOT regexp_matches(input, '(?i)\b(um|uh|like you know|i mean,|basically,)\b') AND length(trim(output, {WS})) <= length(trim(input, {WS})) * 2.5 AND NOT regexp_matches(output, '\[.*?\]'))"
+
+
+@query(PAIRS + f" SELECT conv_id, turn FROM p WHERE {VALID}")
+def f11_valid_pairs(spark, sf_dir):
+    return pairs(spark, sf_dir).filter(C.is_valid()).select("conv_id", "turn")
+
+
+@query(PAIRS + f" SELECT count(*) FILTER ({VALID}) AS valid, count(*) FILTER (NOT {VALID}) AS rejected FROM p")
+def f12_valid_and_rejected(spark, sf_dir):
+    return C.split_counts(pairs(spark, sf_dir), C.is_valid())
+
+
+@query(PAIRS + f" SELECT count(*) FILTER ({VALID}) AS valid, count(*) FILTER (NOT {VALID}) AS rejected FROM p")
+def c6_batch_validation(spark, sf_dir):
+    return C.split_counts(pairs(spark, sf_dir), C.is_valid())
+
+
+@query(PAIRS + f" SELECT conv_id, turn, {FORCED} AS forced FROM p")
+def f13_forced_lists(spark, sf_dir):
+    return pairs(spark, sf_dir).select("conv_id", "turn", M.is_forced_list(F.col("input"), F.col("output")).alias("forced"))
+
+
+@query(PAIRS + f" SELECT conv_id, turn FROM p WHERE trim(input, {WS}) = trim(output, {WS})")
+def f14_passthroughs(spark, sf_dir):
+    return pairs(spark, sf_dir).filter(C.is_passthrough()).select("conv_id", "turn")
+
+
+@query(PAIRS + " SELECT conv_id, turn, contains(output, '**') AS bold, contains(output, chr(10) || '- ') OR starts_with(output, '- ') AS bullets FROM p")
+def f15_markdown_flags(spark, sf_dir):
+    return pairs(spark, sf_dir).select("conv_id", "turn", M.has_bold(F.col("output")).alias("bold"), M.has_bullets(F.col("output")).alias("bullets"))
+
+
+@query(PAIRS + f" SELECT count(*) AS pairs, count(*) FILTER (contains(output, '**')) AS bold, count(*) FILTER (contains(output, chr(10) || '- ') OR starts_with(output, '- ')) AS bullets, count(*) FILTER (trim(input, {WS}) = trim(output, {WS})) AS passthroughs FROM p")
+def c8_counters(spark, sf_dir):
+    return C.counters(pairs(spark, sf_dir))
+
+
+@query(PAIRS + f" SELECT greatest(0, CAST(floor(count(*) * 0.15) AS BIGINT) - count(*) FILTER (trim(input, {WS}) = trim(output, {WS}))) AS wanted FROM p")
+def c3_quota(spark, sf_dir):
+    return C.quota(pairs(spark, sf_dir))
+
+
+SENTENCES = ["The train leaves at nine.", "We agreed on the second plan.", "Her report is due on Monday.", "It rained all night."]
+
+
+def sentences(spark):
+    return spark.createDataFrame(list(enumerate(SENTENCES)), "ord long, text string")
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{s}', '{s}')" for i, s in enumerate(SENTENCES[:3])) + ") v(k, input, output)")
+def c4_passthroughs_below_fixed(spark, sf_dir):
+    return C.passthroughs(sentences(spark), spark.createDataFrame([(3,)], "wanted long"))
+
+
+@query()
+def c4_passthroughs(spark, sf_dir):
+    return C.passthroughs(sentences(spark), C.quota(pairs(spark, sf_dir), 0.5))
+
+
+@query("SELECT unnest(['" + "', '".join(SENTENCES) + "']) AS input UNION ALL SELECT unnest(['" + "', '".join(SENTENCES[:2]) + "'])")
+def e3_templates_and_variations(spark, sf_dir):
+    rows = sentences(spark).select(F.col("text").alias("input"))
+    return rows.union(sentences(spark).filter("ord < 2").select("text"))
+
+
+@query(PAIRS + " SELECT input, output FROM p WHERE turn = 0 UNION ALL SELECT input, input FROM p WHERE turn = 2")
+def e2_union_passthroughs(spark, sf_dir):
+    rows = pairs(spark, sf_dir)
+    return rows.filter("turn = 0").select("input", "output").unionByName(rows.filter("turn = 2").select("input", F.col("input").alias("output")))
+
+
+@query()
+def c2_curated(spark, sf_dir):
+    return C.curated(pairs(spark, sf_dir), sentences(spark))
+
+
+@query()
+def o6_shuffled(spark, sf_dir):
+    return C.shuffled(pairs(spark, sf_dir), "conv_id", "turn")
+
+
+@query(PAIRS + " SELECT conv_id, turn, substr(input, 1, 80) AS input, substr(output, 1, 80) AS output FROM p ORDER BY conv_id, turn LIMIT 10")
+def o5_sample_head(spark, sf_dir):
+    rows = pairs(spark, sf_dir).orderBy("conv_id", "turn").limit(10)
+    return rows.select("conv_id", "turn", F.substring("input", 1, 80).alias("input"), F.substring("output", 1, 80).alias("output"))
+
+
+@query(PAIRS + " SELECT conv_id, turn FROM p ORDER BY conv_id, turn LIMIT 25")
+def o7_truncated(spark, sf_dir):
+    return pairs(spark, sf_dir).orderBy("conv_id", "turn").select("conv_id", "turn").limit(25)
+
+
+@query(PAIRS + f" SELECT [{{'role': 'system', 'content': '{C.INSTRUCTION}'}}, {{'role': 'user', 'content': input}}, {{'role': 'assistant', 'content': output}}] AS messages FROM p")
+def s7_chat_records(spark, sf_dir):
+    return C.chat_records(pairs(spark, sf_dir))
+
+
+@query("""SELECT item_id, CASE WHEN item_id % 3 = 0 THEN NULL ELSE [{'input': 'in ' || item_id, 'output': 'x ]'}] END AS pairs FROM benchmark""")
+def s8_pairs_of_answer(spark, sf_dir):
+    i = F.col("item_id").cast("string")
+    said = F.when(F.col("item_id") % 3 == 0, "no array").otherwise(F.concat(F.lit('Sure:\n[{"input": "in '), i, F.lit('", "output": "x ]"}]\nDone')))
+    return table(spark, sf_dir, "benchmark").select("item_id", C.pairs_of_answer(said).alias("pairs"))
+
+
+@query("SELECT item_id, 'Write ' || (item_id + 1) || ' pairs of ' || substr(text, 1, 10) || '.' AS prompt FROM benchmark")
+def s9_prompt_filled(spark, sf_dir):
+    rows = table(spark, sf_dir, "benchmark")
+    return rows.select("item_id", C.prompt_filled("Write {n} pairs of {what}.", n=F.col("item_id") + 1, what=F.substring("text", 1, 10)).alias("prompt"))
+
+
+CATEGORIES = [("fillers", 3), ("stutters", 2), ("corrections", 5), ("lists", 1)]
+CATEGORY_SQL = "(VALUES " + ", ".join(f"({i}, '{n}', {w})" for i, (n, w) in enumerate(CATEGORIES)) + ") c(ord, name, weight)"
+
+
+def categories(spark):
+    return spark.createDataFrame([(i, n, w) for i, (n, w) in enumerate(CATEGORIES)], "ord int, name string, weight int")
+
+
+@query(f"SELECT name, weight, weight / sum(weight) OVER () * 100 AS share FROM {CATEGORY_SQL}")
+def c10_category_shares(spark, sf_dir):
+    return C.shares(categories(spark)).select("name", "weight", "share")
+
+
+@query(f"SELECT name, weight, weight / sum(weight) OVER () * 100 AS share FROM {CATEGORY_SQL}")
+def w4_share_of_total(spark, sf_dir):
+    return C.shares(categories(spark)).select("name", "weight", "share")
+
+
+@query(f"WITH b AS (SELECT name, sum(weight) OVER (ORDER BY ord) AS upto, weight, sum(weight) OVER () AS total FROM {CATEGORY_SQL}) SELECT event_id, name FROM events JOIN b ON (event_id * 7919 % 1000) / 1000 * total <= upto AND ((event_id * 7919 % 1000) / 1000 * total > upto - weight OR upto = weight)")
+def w3_weighted_choice(spark, sf_dir):
+    draws = table(spark, sf_dir, "events").select("event_id")
+    return C.weighted_choice(draws, categories(spark), F.col("event_id") * 7919 % 1000 / 1000).select("event_id", "name")
+
+
+@query()
+def c5_weighted_sampling(spark, sf_dir):
+    draws = table(spark, sf_dir, "events").select("event_id")
+    return C.weighted_choice(draws, categories(spark), C.hashed_uniform("event_id"))
+
+
+@query("SELECT event_id, CASE WHEN value >= 1 THEN event_id / floor(value) ELSE 0 END AS rate, CASE WHEN value >= 1 AND event_id > 0 THEN (20000 - event_id) / (event_id / floor(value)) ELSE 0 END AS eta FROM events")
+def c11_throughput(spark, sf_dir):
+    rate, eta = C.throughput(F.col("event_id"), F.floor("value"), F.lit(20000))
+    return table(spark, sf_dir, "events").select("event_id", rate.alias("rate"), eta.alias("eta"))
+
+
+VOCAB = r"""WITH t AS (SELECT item_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM benchmark),
+ tokens AS (SELECT DISTINCT unnest(w) AS token FROM t), vocab AS (SELECT token, row_number() OVER (ORDER BY token) * 3 AS old_id FROM tokens),
+ used AS (SELECT DISTINCT token FROM (SELECT unnest(w) AS token FROM t WHERE item_id % 4 = 0 UNION ALL SELECT 'The' UNION ALL SELECT 'never seen')),
+ kept AS (SELECT old_id, row_number() OVER (ORDER BY old_id) - 1 AS new_id, token FROM vocab SEMI JOIN used USING (token)),
+ merges AS (SELECT DISTINCT w[1] || ' ' || w[2] AS merge FROM t UNION ALL SELECT w[1] || ' ' || w[2] || ' ' || w[3] FROM t UNION ALL SELECT w[1] FROM t)"""
+
+
+def tokens(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", "text", words(F.col("text")).alias("w"))
+
+
+def vocab(spark, sf_dir):
+    found = V.used_tokens(table(spark, sf_dir, "benchmark"), ["text"])
+    return found.select("token", (F.row_number().over(Window.orderBy("token")) * 3).cast("long").alias("old_id"))
+
+
+def used(spark, sf_dir):
+    always = spark.createDataFrame([("The",), ("never seen",)], "token string")
+    return V.used_tokens(table(spark, sf_dir, "benchmark").filter("item_id % 4 = 0"), ["text"], always)
+
+
+def kept(spark, sf_dir):
+    return V.dense_index(vocab(spark, sf_dir).join(used(spark, sf_dir), "token", "left_semi"))
+
+
+@query(VOCAB + " SELECT token FROM used")
+def c9_used_tokens(spark, sf_dir):
+    return used(spark, sf_dir)
+
+
+@query(VOCAB + " SELECT token FROM used")
+def e4_union_distinct(spark, sf_dir):
+    return used(spark, sf_dir)
+
+
+@query(VOCAB + " SELECT old_id, new_id FROM kept")
+def w2_dense_index(spark, sf_dir):
+    return kept(spark, sf_dir)
+
+
+@query("SELECT user_id AS old_id, row_number() OVER (ORDER BY user_id) - 1 AS new_id FROM (SELECT DISTINCT user_id * 40000 AS user_id FROM events)")
+def w2_dense_index_many_blocks(spark, sf_dir):
+    return V.dense_index(table(spark, sf_dir, "events").select((F.col("user_id") * 40000).alias("old_id")))
+
+
+@query(VOCAB + " SELECT token, old_id, new_id FROM kept")
+def j4_kept_tokens(spark, sf_dir):
+    return V.pruned(vocab(spark, sf_dir), kept(spark, sf_dir))
+
+
+MERGES = VOCAB + " SELECT merge FROM merges WHERE len(string_split(merge, ' ')) = 2 AND string_split(merge, ' ')[1] IN (SELECT token FROM kept) AND string_split(merge, ' ')[2] IN (SELECT token FROM kept)"
+
+
+@query(MERGES)
+def j3_kept_merges(spark, sf_dir):
+    w, part = tokens(spark, sf_dir), lambda n: F.array_join(F.slice("w", 1, n), " ").alias("merge")
+    merges = w.select(part(2)).distinct().union(w.select(part(3))).union(w.select(part(1)))
+    return V.merges_kept(merges, V.pruned(vocab(spark, sf_dir), kept(spark, sf_dir)))
+
+
+@query(VOCAB + " SELECT new_id AS id, 'added ' || token AS content FROM vocab JOIN kept USING (old_id, token) WHERE old_id % 2 = 0")
+def j5_added_tokens(spark, sf_dir):
+    added = vocab(spark, sf_dir).filter("old_id % 2 = 0").select("old_id", F.concat(F.lit("added "), "token").alias("content"))
+    return V.added_remapped(added, kept(spark, sf_dir))
+
+
+@query(VOCAB + " SELECT count(*) AS new_size, count(*) * 100.0::DOUBLE / 32000 AS ratio_pct, 32000 * 2048 * 2::BIGINT AS params_old, count(*) * 2048 * 2 AS params_new FROM kept")
+def s26_vocab_sizes(spark, sf_dir):
+    return V.sizes(32000, 2048, kept(spark, sf_dir))
+
+
+@query(VOCAB + ", m AS (" + MERGES.partition(" SELECT merge FROM merges")[1].strip() + MERGES.partition(" SELECT merge FROM merges")[2] + ") SELECT 'token' AS kind, token AS item, new_id AS id FROM kept UNION ALL SELECT 'merge', merge, NULL FROM m")
+def c7_pruned_vocabulary(spark, sf_dir):
+    cut = V.pruned(vocab(spark, sf_dir), kept(spark, sf_dir))
+    merges = j3_kept_merges(spark, sf_dir).select(F.lit("merge").alias("kind"), F.col("merge").alias("item"), F.lit(None).cast("long").alias("id"))
+    return cut.select(F.lit("token").alias("kind"), F.col("token").alias("item"), F.col("new_id").alias("id")).unionByName(merges)

@@ -1 +1,279 @@
-"""To come."""
+"""Queries of the transcript text pipeline. The driver's documents hold no spoken noise, so each
+English ASCII text gets some, by id, the same in SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from scrivener.functions import text as T
+from scrivener.operators import transcript as X
+
+from .registry import query, table
+
+NOISY_SQL = r"""WITH b AS (SELECT doc_id, replace(substr(text, 1, 300), chr(10), ' ') AS t FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\x00-\x7F]')),
+ n AS (SELECT doc_id, CASE doc_id % 8
+ WHEN 0 THEN 'um, uh ' || t || ' hmm okay'
+ WHEN 1 THEN substr(t, 1, 60) || ' oh wait, ' || substr(t, 61)
+ WHEN 2 THEN 'i think comma ' || t || ' question mark and i know'
+ WHEN 3 THEN 'step three is about fifty percent, line ten was four ' || t || ' period new paragraph also this'
+ WHEN 4 THEN 'send it to bob at test dot com dash ' || t
+ WHEN 5 THEN 'Uhh mmm hmm, , so ' || t || ' one hundred percent exclamation point'
+ WHEN 6 THEN substr(t, 1, 40) || ' scratch that ' || substr(t, 41, 40) || ' no I mean ' || substr(t, 81)
+ ELSE 'open paren ' || t || ' close paren semicolon version  two' END AS t FROM b)"""
+
+
+def noisy(spark, sf_dir):
+    t, tail = F.col("t"), lambda a, n=400: F.substring("t", a, n)
+    docs = table(spark, sf_dir, "documents").filter("lang = 'en'").filter(~F.rlike("text", F.lit(r"[^\x00-\x7F]")))
+    docs = docs.select("doc_id", F.replace(F.substring("text", 1, 300), F.lit("\n"), F.lit(" ")).alias("t"))
+    parts = [
+        (F.lit("um, uh "), t, F.lit(" hmm okay")),
+        (tail(1, 60), F.lit(" oh wait, "), tail(61)),
+        (F.lit("i think comma "), t, F.lit(" question mark and i know")),
+        (F.lit("step three is about fifty percent, line ten was four "), t, F.lit(" period new paragraph also this")),
+        (F.lit("send it to bob at test dot com dash "), t),
+        (F.lit("Uhh mmm hmm, , so "), t, F.lit(" one hundred percent exclamation point")),
+        (tail(1, 40), F.lit(" scratch that "), tail(41, 40), F.lit(" no I mean "), tail(81)),
+        (F.lit("open paren "), t, F.lit(" close paren semicolon version  two")),
+    ]
+    made = F.concat(*parts[7])
+    for k in range(7):
+        made = F.when(F.col("doc_id") % 8 == k, F.concat(*parts[k])).otherwise(made)
+    return docs.select("doc_id", made.alias("text"))
+
+
+def lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def chained(*stages: str, base: str = NOISY_SQL, last: str = "doc_id, t AS text") -> str:
+    """SQL that applies expressions of t one after another, each in a SELECT of its own."""
+    out, at = base, "n"
+    for k, stage in enumerate(stages):
+        out += f", s{k} AS (SELECT doc_id, {stage} AS t FROM {at})"
+        at = f"s{k}"
+    return f"{out} SELECT {last} FROM {at}"
+
+
+def rr(pattern: str, by: str, flags: str = "g") -> str:
+    return f"regexp_replace(t, {lit(pattern)}, {lit(by)}, '{flags}')"
+
+
+SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+TRIM, FIRST = f"trim(t, {SPACE})", "upper(substr(t, 1, 1)) || substr(t, 2)"
+TIDY = [rr(r",\s*,", ","), rr(r"^\s*,\s*", "", ""), TRIM, rr(r"\s{2,}", " ")]
+FILLERS = [*[rr(rf"\b{p}\b", "", "gi") for p in T.FILLERS], *TIDY]
+CORRECTIONS = [rr(r".*\b(?:" + "|".join(T.SIGNALS) + r")\s*,?\s*", "", "i"), TRIM]
+CAPITAL = [TRIM, FIRST]
+NUMBERS = [rr(rf"(\b(?:{c})\s+)\b{w}\b", rf"\1{d}", "gi") for c in T.NUMBER_CONTEXTS for w, d in T.DIGITS.items()]
+PERCENTS = [*[rr(rf"\b{w}\s+percent\b", d + "%", "gi") for w, d in T.TENS.items()], rr(r"\b(?:one )?hundred percent\b", "100%", "gi")]
+MARKS = [rr(rf"\b{p}\b", by, "gi") for p, by in T.PUNCTUATION]
+SPACING = [rr(r"\s+([.,!?;:)])", r"\1"), rr(r"([.,!?;:])([A-Za-z])", r"\1 \2"), rr(rf"\b(\w+)\s+at\s+(\w+)\s+dot\s+({T.DOMAINS})\b", r"\1@\2.\3", "gi")]
+PERIOD = [f"CASE WHEN rtrim(t, {SPACE}) = '' OR contains({lit(T.ENDINGS)}, right(rtrim(t, {SPACE}), 1)) THEN t ELSE rtrim(t, {SPACE}) || '.' END"]
+SENTENCES = [
+    "regexp_replace(t, '([.!?])\\s+([a-z])', '\\1' || chr(1) || '\\2', 'g')",
+    "array_to_string(list_transform(string_split(t, chr(1)), lambda p, i: CASE WHEN i = 1 THEN p ELSE upper(substr(p, 1, 1)) || substr(p, 2) END), ' ')",
+    rr(r"\bi\b", "I"),
+]
+SMART = [*FILLERS, *CORRECTIONS, *NUMBERS, *PERCENTS, *MARKS, *SPACING, *CAPITAL, *PERIOD, *SENTENCES]
+
+
+@query(chained(*FILLERS))
+def t1_without_fillers(spark, sf_dir):
+    return X.staged(noisy(spark, sf_dir), "text", T.without_fillers)
+
+
+# RE2 has no lookahead: what follows is captured and put back; only patterns whose matches cannot
+# share it are applied, on text made for them
+AHEAD_SQL = "WITH n AS (SELECT item_id AS doc_id, 'um so, you know, it was basically, like the ' || replace(substr(text, 1, 80), chr(10), ' ') || ' actually, i mean, kind of like uh that' AS t FROM benchmark)"
+
+
+def _ahead(text):
+    return F.concat(F.lit("um so, you know, it was basically, like the "), F.replace(F.substring(text, 1, 80), F.lit("\n"), F.lit(" ")), F.lit(" actually, i mean, kind of like uh that"))
+
+
+AHEAD = [
+    *[rr(rf"\b{p}\b", "", "gi") for p in T.FILLERS],
+    rr(r"\byou know\b(\s*,?\s)", r"\1", "gi"),
+    rr(r"\blike\b(\s+(?:the|a|an|i|we|they|he|she|it|my|our|this|that)\b)", r"\1", "gi"),
+    rr(r"\bbasically\b(\s*,)", r"\1", "gi"),
+    rr(r"\bactually\b(\s*,)", r"\1", "gi"),
+    rr(r"\bso\b(\s*,\s)", r"\1", "gi"),
+    rr(r"\bi mean\b(\s*,)", r"\1", "gi"),
+    rr(r"\bkind of\b(\s+(?:like|a|the)\b)", r"\1", "gi"),
+    rr(r"\bsort of\b(\s+(?:like|a|the)\b)", r"\1", "gi"),
+]
+
+
+@query(chained(*AHEAD, *TIDY, FIRST, base=AHEAD_SQL))
+def t1b_without_all_fillers(spark, sf_dir):
+    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), _ahead(F.col("text")).alias("text"))
+    return X.staged(rows, "text", T.without_all_fillers)
+
+
+@query(chained(*CORRECTIONS))
+def t2_without_corrections(spark, sf_dir):
+    return X.staged(noisy(spark, sf_dir), "text", T.without_corrections)
+
+
+@query(chained(*CAPITAL))
+def t3_capitalized(spark, sf_dir):
+    return X.staged(noisy(spark, sf_dir), "text", T.capitalized)
+
+
+@query(chained(*NUMBERS, *PERCENTS))
+def t4_spoken_numbers(spark, sf_dir):
+    return X.staged(noisy(spark, sf_dir), "text", T.with_numbers, T.with_percents)
+
+
+@query(chained(*MARKS, *SPACING))
+def t5_spoken_punctuation(spark, sf_dir):
+    return X.staged(noisy(spark, sf_dir), "text", T.with_punctuation, T.with_spacing)
+
+
+@query(chained(*PERIOD, *SENTENCES))
+def t6_sentences(spark, sf_dir):
+    return X.staged(noisy(spark, sf_dir), "text", T.with_period, T.with_sentences)
+
+
+@query(chained(*SMART))
+def t7_cleaned(spark, sf_dir):
+    return X.cleaned(noisy(spark, sf_dir))
+
+
+@query(chained(*FILLERS, *CORRECTIONS, *CAPITAL))
+def t7_cleaned_plain(spark, sf_dir):
+    return X.cleaned(noisy(spark, sf_dir), smart=False)
+
+
+DICTIONARY = [("the", "teh"), ("teh thnt", "joined"), ("", "never"), ("AND", "&"), ("ing", "$1\\"), ("c++", "cpp"), ("bob", "Robert")]
+SNIPPETS = [("of", "OF"), ("and, the", "and also the"), ("...", "never"), ("and", "plus"), ("My Sign-off", "Best")]
+
+
+def escaped_sql(by: str) -> str:
+    return by.replace("\\", "\\\\")
+
+
+RULES = [rr(rf"\b{X.escaped(a)}\b", escaped_sql(b), "gi") for a, b in DICTIONARY if a]
+EXPANSIONS = [rr(rf"\b{a}\b", b, "gi") for a, b in [("My Signoff", "Best"), ("and the", "and also the"), ("and", "plus"), ("of", "OF")]]
+
+
+@query(chained(*RULES))
+def t8_dictionary(spark, sf_dir):
+    rules = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(DICTIONARY)], "ord int, `from` string, `to` string")
+    return X.with_dictionary(noisy(spark, sf_dir), X.rules_of(rules, "from", "to", X.MOST_DICTIONARY))
+
+
+@query(chained(*EXPANSIONS))
+def t9_snippets(spark, sf_dir):
+    return X.with_snippets(noisy(spark, sf_dir), SNIPPETS)
+
+
+@query("SELECT * FROM (VALUES (2, 'second trigger'), (0, 'my email'), (1, 'address'), (3, 'ädress'), (4, 'bb')) s(ord, trigger) ORDER BY octet_length(encode(trigger)) DESC, ord")
+def o2_snippet_order(spark, sf_dir):
+    rows = spark.createDataFrame([(0, "my email"), (1, "address"), (2, "second trigger"), (3, "ädress"), (4, "bb")], "ord int, trigger string")
+    return X.snippet_order(rows)
+
+
+@query("SELECT * FROM (VALUES (0, 'a'), (3, '!b')) s(ord, trigger)")
+def f16_usable_rules(spark, sf_dir):
+    rows = spark.createDataFrame([(0, "a"), (1, ""), (2, "!?"), (3, "!b")], "ord int, trigger string")
+    return rows.filter(F.regexp_replace("trigger", r"(?U)[^\w\s]|_", "") != "")
+
+
+SEGMENTS_SQL = r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\x00-\x7F]')),
+ g AS (SELECT doc_id, array_to_string(w[1:12], ' ') AS a, upper(array_to_string(w[9:20], ' ')) || '!' AS b, array_to_string(w[21:24], '  ') AS c FROM w),
+ x AS (SELECT doc_id, a, b, c, list_filter(regexp_split_to_array(a, '\s+'), lambda x: x <> '') AS wa, list_filter(regexp_split_to_array(b, '\s+'), lambda x: x <> '') AS wb FROM g),
+ y AS (SELECT *, list_transform(wa, lambda x: trim(lower(x), '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~')) AS na, list_transform(wb, lambda x: trim(lower(x), '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~')) AS nb FROM x),
+ z AS (SELECT *, coalesce(list_max(list_filter(range(1, least(len(na), len(nb), 8) + 1), lambda n: na[len(na) - n + 1:] = nb[1:n])), 0) AS o FROM y),
+ m AS (SELECT doc_id, c, CASE WHEN o = 0 THEN a || ' ' || b WHEN len(wb) = o THEN a ELSE a || ' ' || array_to_string(wb[o + 1:], ' ') END AS ab, list_filter(regexp_split_to_array(c, '\s+'), lambda x: x <> '') AS wc FROM z WHERE a <> ''),
+ y2 AS (SELECT *, list_transform(list_filter(regexp_split_to_array(ab, '\s+'), lambda x: x <> ''), lambda x: trim(lower(x), '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~')) AS na, list_transform(wc, lambda x: trim(lower(x), '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~')) AS nb FROM m),
+ z2 AS (SELECT *, coalesce(list_max(list_filter(range(1, least(len(na), len(nb), 8) + 1), lambda n: na[len(na) - n + 1:] = nb[1:n])), 0) AS o FROM y2)
+ SELECT doc_id, CASE WHEN c = '' THEN ab WHEN o = 0 THEN ab || ' ' || c WHEN len(wc) = o THEN ab ELSE ab || ' ' || array_to_string(wc[o + 1:], ' ') END AS text FROM z2"""
+
+
+def segments(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").filter("lang = 'en'").filter(~F.rlike("text", F.lit(r"[^\x00-\x7F]")))
+    w = docs.select("doc_id", T.words(F.col("text")).alias("w"))
+    part = lambda a, n, by=" ": F.array_join(F.slice("w", a, n), by)
+    return w.select("doc_id", F.array(part(1, 12), F.concat(F.upper(part(9, 12)), F.lit("!")), part(21, 4, "  ")).alias("segments"))
+
+
+@query(SEGMENTS_SQL)
+def t10_merged_segments(spark, sf_dir):
+    return segments(spark, sf_dir).filter(F.col("segments")[0] != "").select("doc_id", X.merged(F.col("segments")).alias("text"))
+
+
+@query("SELECT * FROM (VALUES (1, 1), (2, 0), (3, 2)) s(id, n)")
+def f17_nonblank_segments(spark, sf_dir):
+    rows = spark.createDataFrame([(1, [" a ", "", "  "]), (2, []), (3, ["x", "y\n", "\t"])], "id int, segments array<string>")
+    return rows.select("id", F.size(F.filter(F.transform("segments", T.trimmed), lambda s: s != "")).alias("n"))
+
+
+WORDS = r"list_filter(regexp_split_to_array(t, '\s+'), lambda x: x <> '')"
+
+
+@query(chained(f"array_to_string({WORDS}, '^')"))
+def t11_datamarked(spark, sf_dir):
+    return X.staged(noisy(spark, sf_dir), "text", T.datamarked)
+
+
+@query(chained("replace(t, ' ', '^')", "replace(t, '^', ' ')", f"array_to_string({WORDS}, ' ')"))
+def t12_undatamarked(spark, sf_dir):
+    return X.staged(noisy(spark, sf_dir), "text", lambda t: F.replace(t, F.lit(" "), F.lit("^")), T.undatamarked)
+
+
+N = f"len({WORDS})"
+
+
+@query(NOISY_SQL + f", g AS (SELECT doc_id, t, repeat('more ', CAST(doc_id % 100 AS INT)) || t AS o, {N} AS w FROM n) SELECT doc_id, CASE WHEN w + doc_id % 100 > w * 3 // 2 + 10 THEN t ELSE o END AS text FROM g")
+def t13_guarded(spark, sf_dir):
+    rows = noisy(spark, sf_dir).withColumn("o", F.concat(F.repeat(F.lit("more "), (F.col("doc_id") % 100).cast("int")), F.col("text")))
+    return rows.select("doc_id", T.guarded(F.col("o"), F.col("text")).alias("text"))
+
+
+@query(f"WITH n AS (SELECT doc_id, text AS t FROM documents) SELECT doc_id, CAST(least(greatest(CAST(trunc({N} * 1.3::DOUBLE) AS INT) * 2, 64), 1024) AS INT) AS budget FROM n")
+def t14_token_budget(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.token_budget(F.col("text")).alias("budget"))
+
+
+ANSWER_SQL = "CASE doc_id % 4 WHEN 0 THEN ' {\"cleaned_text\": \" fine ' || doc_id || ' \"} ' WHEN 1 THEN '{\"other\": 1}' WHEN 2 THEN 'plain {answer' ELSE '{\"cleaned_text\": 5}' END"
+
+
+@query(NOISY_SQL + f", a AS (SELECT doc_id, t, {ANSWER_SQL} AS r FROM n) SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'fine ' || doc_id WHEN 2 THEN r ELSE trim(t, {SPACE}) END AS text FROM a")
+def t15_cleaned_text(spark, sf_dir):
+    k, i = F.col("doc_id") % 4, F.col("doc_id").cast("string")
+    said = F.when(k == 0, F.concat(F.lit(' {"cleaned_text": " fine '), i, F.lit(' "} '))).when(k == 1, '{"other": 1}').when(k == 2, "plain {answer").otherwise('{"cleaned_text": 5}')
+    return noisy(spark, sf_dir).select("doc_id", T.cleaned_text_of(said, F.col("text")).alias("text"))
+
+
+EMAIL, PLAIN = "Format the dictated text as an e-mail.", "Fix the dictated text."
+
+
+@query(f"SELECT doc_id, CASE WHEN source = 'src1' THEN {lit(EMAIL)} ELSE {lit(PLAIN)} END AS prompt FROM documents")
+def t16_prompt(spark, sf_dir):
+    mode = F.when(F.col("source") == "src1", "email").otherwise(F.col("lang"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.prompt_for(mode, {"email": EMAIL}, PLAIN).alias("prompt"))
+
+
+@query(f"""SELECT item_id, '{{"model":"m","messages":[{{"role":"system","content":"{PLAIN}"}},{{"role":"user","content":"' || replace(text, chr(10), '\\n') || '"}}],"temperature":0.0,"max_tokens":64,"stream":false}}' AS request FROM benchmark WHERE NOT contains(text, '"')""")
+def t17_chat_request(spark, sf_dir):
+    rows = table(spark, sf_dir, "benchmark").filter(~F.contains("text", F.lit('"')))
+    return rows.select("item_id", T.chat_request(F.lit(PLAIN), F.col("text"), F.lit(64), "m").alias("request"))
+
+
+@query(chained(f"CASE WHEN doc_id % 2 = 0 THEN '<think>a' || chr(10) || 'b</think> ' || t || ' <think></think>' ELSE t END", rr(r"(?s)<think>.*?</think>\s*", ""), TRIM))
+def t18_without_thoughts(spark, sf_dir):
+    rows = noisy(spark, sf_dir).withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("<think>a\nb</think> "), F.col("text"), F.lit(" <think></think>"))).otherwise(F.col("text")))
+    return X.staged(rows, "text", T.without_thoughts)
+
+
+@query(f"WITH n AS (SELECT doc_id, text AS t FROM documents) SELECT doc_id, {N} AS words FROM n")
+def t19_word_count(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.word_count(F.col("text")).alias("words"))
+
+
+@query(chained(*SMART, *RULES, *EXPANSIONS, base=SEGMENTS_SQL.replace(" SELECT doc_id, CASE WHEN c", ", n AS (SELECT doc_id, CASE WHEN c").replace("END AS text FROM z2", "END AS t FROM z2)")))
+def t20_dictated(spark, sf_dir):
+    rows = segments(spark, sf_dir).filter(F.col("segments")[0] != "")
+    return X.dictated(rows, "segments", DICTIONARY, SNIPPETS).select("doc_id", "text")
