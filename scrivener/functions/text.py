@@ -123,15 +123,17 @@ def capitalized(text: Column) -> Column:
 
 def with_numbers(text: Column) -> Column:
     """Spoken numbers to ten after a word that asks for one."""
-    for context in NUMBER_CONTEXTS:
+
+    def after(context: str):
         wanted = _IU + rf"\b(?:{context})\s+\b(?:{'|'.join(DIGITS)})\b"
 
-        def step(t: Column, c=context, wanted=wanted) -> Column:
-            changed = reduce(lambda x, w: replaced(x, _IU + rf"(\b(?:{c})\s+)\b{w}\b", "$1" + DIGITS[w]), DIGITS, t)
+        def step(t: Column) -> Column:
+            changed = reduce(lambda x, w: replaced(x, _IU + rf"(\b(?:{context})\s+)\b{w}\b", "$1" + DIGITS[w]), DIGITS, t)
             return F.when(F.rlike(t, F.lit(wanted)), changed).otherwise(t)
 
-        text = let(text, step)
-    return text
+        return step
+
+    return reduce(lambda t, context: let(t, after(context)), NUMBER_CONTEXTS, text)
 
 
 def with_percents(text: Column) -> Column:

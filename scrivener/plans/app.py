@@ -1 +1,201 @@
-"""To come."""
+"""Queries of announcements, settings, hotkeys, feedback and logs, over inline rows and `events`."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from scrivener.functions.version import version_in_range
+from scrivener.operators import app as P
+
+from . import history as hist
+from .registry import query, table
+
+ROWS = [
+    (0, "welcome", None, None),
+    (1, "old", None, "1.1.9"),
+    (2, "new", "1.2.0", None),
+    (3, "range", "1.0.0", "2.0.0"),
+    (4, "future", "1.10.0", "x.y"),
+    (5, "odd", "one", "9.9.9"),
+]
+VERSIONS = ["1.2.0", "1.9.3", "2.0.1", "dev"]
+
+
+def lit(x) -> str:
+    return "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+
+
+ANNOUNCED = "WITH a(ord, id, min_version, max_version) AS (VALUES " + ", ".join(f"({o}, {lit(i)}, {lit(a)}, {lit(b)})" for o, i, a, b in ROWS) + "), seen(id) AS (VALUES ('welcome'), ('gone'), ('welcome')), v(app) AS (VALUES " + ", ".join(f"({lit(v)})" for v in VERSIONS) + r"), parts AS (SELECT *, CASE WHEN regexp_matches(app, '^\d+\.\d+\.\d+$') THEN list_transform(string_split(app, '.'), lambda x: CAST(x AS INT)) END AS pv, CASE WHEN regexp_matches(min_version, '^\d+\.\d+\.\d+$') THEN list_transform(string_split(min_version, '.'), lambda x: CAST(x AS INT)) END AS pa, CASE WHEN regexp_matches(max_version, '^\d+\.\d+\.\d+$') THEN list_transform(string_split(max_version, '.'), lambda x: CAST(x AS INT)) END AS pb FROM a, v), ok AS (SELECT *, pv IS NULL OR (coalesce(pv >= pa, true) AND coalesce(pv <= pb, true)) AS fits FROM parts)"
+
+
+def announcements(spark):
+    return spark.createDataFrame(ROWS, "ord int, id string, min_version string, max_version string")
+
+
+def seen(spark):
+    return spark.createDataFrame([("welcome",), ("gone",), ("welcome",)], "id string")
+
+
+@query(ANNOUNCED + " SELECT id FROM a ANTI JOIN seen USING (id)")
+def j2_unseen(spark, sf_dir):
+    return P.unseen(announcements(spark), seen(spark)).select("id")
+
+
+@query(ANNOUNCED + " SELECT id FROM a ANTI JOIN seen USING (id)")
+def f7_not_seen(spark, sf_dir):
+    return P.unseen(announcements(spark), seen(spark)).select("id")
+
+
+@query(ANNOUNCED + " SELECT id FROM ok WHERE app = '1.9.3' AND fits")
+def f8_version_range(spark, sf_dir):
+    return P.for_version(announcements(spark), F.lit("1.9.3")).select("id")
+
+
+@query(ANNOUNCED + " SELECT app, id FROM ok WHERE fits")
+def j9_versions_by_range(spark, sf_dir):
+    apps = F.broadcast(spark.createDataFrame([(v,) for v in VERSIONS], "app string"))
+    return announcements(spark).join(apps, version_in_range(F.col("app"), F.col("min_version"), F.col("max_version"))).select("app", "id")
+
+
+@query(ANNOUNCED + " SELECT id FROM a ORDER BY ord LIMIT 1")
+def o8_first_announcement(spark, sf_dir):
+    return announcements(spark).orderBy("ord").limit(1).select("id")
+
+
+@query(ANNOUNCED + " SELECT id FROM ok ANTI JOIN seen USING (id) WHERE app = '1.9.3' AND fits ORDER BY ord LIMIT 1")
+def m1_announcement_to_show(spark, sf_dir):
+    return P.to_show(announcements(spark), seen(spark), F.lit("1.9.3")).select("id")
+
+
+@query("SELECT unnest(['welcome', 'gone', 'new']) AS id")
+def io13_mark_seen(spark, sf_dir):
+    return P.marked_seen(seen(spark), spark.createDataFrame([("new",), ("gone",)], "id string"))
+
+
+LOGS = "WITH l AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'After regex: ' || event_type WHEN 1 THEN 'copied to clipboard' WHEN 2 THEN NULL ELSE 'took ' || value END AS message, repeat('é', CAST(event_id % 210 AS INT)) AS detail FROM events)"
+
+
+def logs(spark, sf_dir):
+    k = F.col("event_id") % 5
+    message = F.when(k == 0, F.concat(F.lit("After regex: "), "event_type")).when(k == 1, "copied to clipboard").when(k > 2, F.concat(F.lit("took "), F.col("value").cast("string")))
+    return table(spark, sf_dir, "events").select("event_id", message.alias("message"), F.repeat(F.lit("é"), (F.col("event_id") % 210).cast("int")).alias("detail"))
+
+
+@query(LOGS + " SELECT event_id, CASE WHEN octet_length(encode(detail)) > 200 THEN '[scrubbed — value too long]' ELSE detail END AS detail FROM l WHERE message IS NULL OR NOT (contains(message, 'After regex') OR contains(message, 'clipboard') OR contains(message, 'dictionary'))")
+def f18_log_redaction(spark, sf_dir):
+    return P.without_private_logs(logs(spark, sf_dir)).select("event_id", P.scrubbed(F.col("detail")).alias("detail"))
+
+
+FEEDBACK = "WITH f AS (SELECT item_id, CASE item_id % 4 WHEN 0 THEN '  ' || chr(10) WHEN 1 THEN repeat('ü', 1001) WHEN 2 THEN repeat('ü', 1000) || ' ' ELSE ' ' || text END AS text FROM benchmark), t AS (SELECT item_id, trim(text, ' ' || chr(10)) AS text FROM f)"
+
+
+def feedback(spark, sf_dir):
+    k = F.col("item_id") % 4
+    text = F.when(k == 0, "  \n").when(k == 1, F.repeat(F.lit("ü"), F.lit(1001))).when(k == 2, F.concat(F.repeat(F.lit("ü"), F.lit(1000)), F.lit(" "))).otherwise(F.concat(F.lit(" "), "text"))
+    return table(spark, sf_dir, "benchmark").select("item_id", text.alias("text"))
+
+
+@query(FEEDBACK + " SELECT item_id, text FROM t WHERE text <> '' AND octet_length(encode(text)) <= 2000")
+def f19_valid_feedback(spark, sf_dir):
+    return feedback(spark, sf_dir).select("item_id", P.valid_feedback(F.col("text")).alias("text")).filter("text is not null")
+
+
+@query(FEEDBACK + ", h AS (SELECT count(*) AS n, CAST(floor(epoch(TIMESTAMP '2024-01-30 12:00:00' - arg_min(ts, event_id)) / 86400) AS BIGINT) AS d FROM events), s AS (SELECT item_id, text, item_id * 100 AS sec FROM t WHERE text <> '' AND octet_length(encode(text)) <= 2000), r AS (SELECT list_reduce(list([sec] ORDER BY sec), lambda a, x: CASE WHEN x[1] - a[len(a)] >= 300 THEN list_concat(a, x) ELSE a END) AS ok FROM s) SELECT item_id, text, n AS dictations, d AS age_days FROM s, h, r WHERE list_contains(ok, sec)")
+def m4_feedback_payloads(spark, sf_dir):
+    sent = feedback(spark, sf_dir).select("item_id", P.valid_feedback(F.col("text")).alias("text")).filter("text is not null")
+    times = sent.agg(P.accepted(F.sort_array(F.collect_list((F.col("item_id") * 100)))).alias("ok"))
+    from scrivener.operators.history import usage
+
+    context = usage(hist.history(spark, sf_dir), hist.NOW).crossJoin(times)
+    return sent.crossJoin(F.broadcast(context)).filter(F.array_contains("ok", F.col("item_id") * 100)).select("item_id", "text", F.col("entries").alias("dictations"), "age_days")
+
+
+LIST = "WITH d(ord, a, b) AS (VALUES (0, 'gonna', 'going to'), (1, ' js ', 'JavaScript'), (2, '', 'x'), (3, 'y', '  '), (4, 'z', 'zed'))"
+
+
+def entries(spark):
+    return spark.createDataFrame([(0, "gonna", "going to"), (1, " js ", "JavaScript"), (2, "", "x"), (3, "y", "  "), (4, "z", "zed")], "ord int, a string, b string")
+
+
+@query(LIST + " SELECT CASE WHEN ord > 1 THEN ord - 1 ELSE ord END AS ord, a, CASE WHEN ord = 4 THEN 'ZED' ELSE b END AS b FROM d WHERE ord <> 1")
+def f20_list_edits(spark, sf_dir):
+    return P.without_index(P.with_index(entries(spark), 4, b="ZED"), 1)
+
+
+@query(LIST + " SELECT ord, trim(a) AS a, trim(b) AS b FROM d WHERE trim(a) <> '' AND trim(b) <> ''")
+def f23_addable_entries(spark, sf_dir):
+    return P.addable(entries(spark), "a", "b")
+
+
+STATES = [("hotkey", "A", "A"), ("model", "tiny", "base"), ("inputDevice", None, "mic"), ("toneMode", None, None), ("helpImprove", "true", None)]
+
+
+@query("SELECT 1 AS id, ['model', 'inputDevice', 'helpImprove'] AS changed UNION ALL SELECT 2, CAST([] AS VARCHAR[])")
+def e7_changed_keys(spark, sf_dir):
+    keys = [s[0] for s in STATES]
+    schema = "id int, " + ", ".join(f"{k} string" for k in keys)
+    before = spark.createDataFrame([(1, *[s[1] for s in STATES]), (2, *[s[1] for s in STATES])], schema)
+    after = spark.createDataFrame([(1, *[s[2] for s in STATES]), (2, *[s[1] for s in STATES])], schema)
+    return P.changed_keys(before, after, keys, "id")
+
+
+HOTKEYS = ["CmdOrCtrl+Shift+Space", "ControlLeft+ShiftLeft+Space", "Ctrl+Alt+k", "Cmd+Up", "Fn", "Shift+F5", "AltGr+x", " Ctrl + Return ", "KeyA"]
+MIGRATED = ["ControlLeft+ShiftLeft+Space", "ControlLeft+ShiftLeft+Space", "ControlLeft+Alt+KeyK", "MetaLeft+ArrowUp", "Fn", "ShiftLeft+F5", "AltGr+x", "ControlLeft+Enter", "KeyA"]
+LABELS = ["Ctrl+Shift+Space", "Ctrl+Shift+Space", "Ctrl+Alt+K", "Win+Up", "fn", "Shift+F5", "AltGr+x", "Ctrl+Enter", "A"]
+
+
+def hotkeys(spark):
+    return spark.createDataFrame([(h,) for h in HOTKEYS], "hotkey string")
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({lit(a)}, {lit(b)})" for a, b in zip(HOTKEYS, MIGRATED, strict=True)) + ") h(hotkey, migrated)")
+def s19_migrated_hotkeys(spark, sf_dir):
+    return hotkeys(spark).select("hotkey", P.migrated_hotkey(F.col("hotkey")).alias("migrated"))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({lit(a)}, {lit(b)})" for a, b in zip(MIGRATED[1:], LABELS[1:], strict=True)) + ") h(hotkey, labels)")
+def s18_hotkey_labels(spark, sf_dir):
+    rows = hotkeys(spark).select(P.migrated_hotkey(F.col("hotkey")).alias("hotkey")).distinct()
+    return rows.select("hotkey", F.array_join(P.hotkey_labels(F.col("hotkey")), "+").alias("labels"))
+
+
+@query("SELECT 'CmdOrCtrl' AS model, 'CmdOrCtrl' AS migrated UNION ALL SELECT unnest(['tiny', 'base', 'small', 'medium']), 'parakeet-tdt-0.6b'")
+def s20_migrated_models(spark, sf_dir):
+    rows = spark.createDataFrame([(m,) for m in ["CmdOrCtrl", "tiny", "base", "small", "medium"]], "model string")
+    return rows.select("model", P.migrated_model(F.col("model")).alias("migrated"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'tiny' ELSE 'dark' END AS model0, CASE WHEN event_id % 3 = 0 THEN event_type WHEN event_id % 2 = 0 THEN 'tiny' ELSE 'dark' END AS model, CASE WHEN event_id % 3 = 0 THEN 'yes' END AS added FROM events")
+def s21_settings_patch(spark, sf_dir):
+    base = F.create_map(F.lit("model"), F.when(F.col("event_id") % 2 == 0, "tiny").otherwise("dark"))
+    patch = F.when(F.col("event_id") % 3 == 0, F.create_map(F.lit("model"), "event_type", F.lit("added"), F.lit("yes"))).otherwise(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
+    rows = table(spark, sf_dir, "events").select("event_id", base["model"].alias("model0"), P.patched(base, patch).alias("m"))
+    return rows.select("event_id", "model0", F.try_element_at("m", F.lit("model")).alias("model"), F.try_element_at("m", F.lit("added")).alias("added"))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({lit(a)}, {lit(b)}, 'parakeet-tdt-0.6b')" for a, b in zip(HOTKEYS, MIGRATED, strict=True)) + ") h(hotkey, migrated, model)")
+def m2_migrated_settings(spark, sf_dir):
+    rows = hotkeys(spark).withColumn("old", F.lit("base"))
+    return rows.select("hotkey", P.migrated_hotkey(F.col("hotkey")).alias("migrated"), P.migrated_model(F.col("old")).alias("model"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 AND event_type <> 'click' THEN ['mode'] ELSE CAST([] AS VARCHAR[]) END AS changed FROM events")
+def m3_patch_and_diff(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", F.lit("click").alias("mode"), "event_type")
+    base = F.create_map(F.lit("mode"), F.col("mode"))
+    patch = F.when(F.col("event_id") % 3 == 0, F.create_map(F.lit("mode"), F.col("event_type"))).otherwise(base)
+    after = rows.select("event_id", P.patched(base, patch)["mode"].alias("mode"))
+    return P.changed_keys(rows, after, ["mode"], "event_id")
+
+
+@query("SELECT * FROM (VALUES ('ControlLeft+AltLeft+ShiftLeft+KeyA+KeyB'), ('ShiftRight+MetaLeft+Space')) k(keys)")
+def o10_ordered_keys(spark, sf_dir):
+    rows = spark.createDataFrame([(["KeyB", "ShiftLeft", "AltLeft", "KeyA", "ControlLeft", "KeyA"],), (["Space", "MetaLeft", "ShiftRight"],)], "codes array<string>")
+    return rows.select(F.array_join(P.ordered_keys(F.col("codes")), "+").alias("keys"))
+
+
+@query("SELECT item_id, CASE item_id % 4 WHEN 0 THEN 'mic_not_found' WHEN 1 THEN 'injection_failed' ELSE 'unknown' END AS code, CASE item_id % 4 WHEN 2 THEN 'mic_not_found' ELSE 'mic_permission' END AS device FROM benchmark")
+def s28_error_codes(spark, sf_dir):
+    k = F.col("item_id") % 4
+    said = F.when(k == 0, "Error: mic_not_found").when(k == 1, "injection_failed: x").when(k == 2, "Device not found").otherwise("boom")
+    return table(spark, sf_dir, "benchmark").select("item_id", P.error_code(said).alias("code"), P.device_error(said).alias("device"))

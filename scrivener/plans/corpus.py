@@ -155,7 +155,7 @@ def sentences(spark):
     return spark.createDataFrame(list(enumerate(SENTENCES)), "ord long, text string")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{s}', '{s}')" for i, s in enumerate(SENTENCES[:3])) + ") v(k, input, output)")
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, '{s}', '{s}')" for i, s in enumerate(SENTENCES[:3])) + ") v(k, input, output)")
 def c4_passthroughs_below_fixed(spark, sf_dir):
     return C.passthroughs(sentences(spark), spark.createDataFrame([(3,)], "wanted long"))
 

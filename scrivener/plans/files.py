@@ -1 +1,145 @@
-"""To come."""
+"""Queries that write files and read them back, in the shared folder."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import functions as F
+
+from scrivener.operators import audio as A
+from scrivener.operators import history as H
+from scrivener.sources import files as S
+
+from . import audio, corpus, evaluation
+from . import history as hist
+from .registry import query, table
+
+
+def place(spark, name: str) -> str:
+    """A new path that all executors see: under spark.checkpoint.dir, or temporary where unset."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
+    return f"{base}/scrivener-files/{name}-{uuid.uuid4().hex}"
+
+
+STORED = hist.VIEW + 'SELECT text, "timestamp", word_count AS "wordCount", duration_ms AS "durationMs", CASE WHEN ord % 2 = 0 THEN speech_duration_ms ELSE 0 END AS "speechDurationMs", ord % 2 = 0 AND was_cleaned_up AS "wasCleanedUp" FROM h'
+
+
+def _stored(spark, sf_dir, n=None):
+    h = hist.history(spark, sf_dir).withColumn("part", F.col("user_id") if n is None else F.lit(0))
+    h = h if n is None else H.newest(h, n)
+    later = lambda c: F.when(F.col("ord") % 2 == 0, c)
+    return h.select("part", "text", "timestamp", F.col("word_count").alias("wordCount"), F.col("duration_ms").alias("durationMs"), later(F.col("speech_duration_ms")).alias("speechDurationMs"), later(F.col("was_cleaned_up")).alias("wasCleanedUp"))
+
+
+@query(STORED)
+def io1_read_history(spark, sf_dir):
+    path = place(spark, "history")
+    S.write_json_arrays(_stored(spark, sf_dir), path, "part")
+    return S.read_history(spark, path).drop("part")
+
+
+@query(STORED + " ORDER BY ord DESC LIMIT 1000")
+def io2_write_history(spark, sf_dir):
+    path = place(spark, "history")
+    S.write_json_arrays(_stored(spark, sf_dir, 1000), path, "part")
+    return S.read_history(spark, path).drop("part")
+
+
+@query("SELECT 0 AS ord, 'gonna' AS \"from\", 'going to' AS \"to\" UNION ALL SELECT 1, 'js', 'JavaScript'")
+def io4_dictionary_file(spark, sf_dir):
+    path = place(spark, "dictionary")
+    rows = spark.createDataFrame([(0, "gonna", "going to"), (1, "js", "JavaScript")], S.DICTIONARY)
+    S.write_json_arrays(rows.withColumn("part", F.lit(0)), path, "part")
+    return S.read_json(spark, path, S.DICTIONARY).drop("part")
+
+
+@query("SELECT 'ControlLeft+ShiftLeft+Space' AS hotkey, 'parakeet-tdt-0.6b' AS model")
+def io3_settings_file(spark, sf_dir):
+    from scrivener.operators import app
+
+    path = place(spark, "settings")
+    spark.createDataFrame([("CmdOrCtrl+Shift+Space", "base")], "hotkey string, model string").write.json(path)
+    rows = S.read_json(spark, path, "hotkey string, model string")
+    return rows.select(app.migrated_hotkey(F.col("hotkey")).alias("hotkey"), app.migrated_model(F.col("model")).alias("model"))
+
+
+@query("SELECT 0 AS ord, 'my email address' AS trigger, 'user@example.com' AS expansion UNION ALL SELECT 1, 'my signature', 'Best regards,' || chr(10) || '[Your Name]'")
+def io5_default_snippets(spark, sf_dir):
+    return S.read_snippets(spark, place(spark, "no-snippets"))
+
+
+@query(corpus.PAIRS + " SELECT input, output FROM p")
+def io6_read_jsonl(spark, sf_dir):
+    path = place(spark, "pairs")
+    S.write_jsonl(corpus.pairs(spark, sf_dir).select("input", "output"), path)
+    return S.read_jsonl(spark, path, "input string, output string")
+
+
+@query(corpus.PAIRS + " SELECT 'pairs' AS kind, count(*) AS n FROM p UNION ALL SELECT 'chat', count(*) FROM p")
+def io7_two_sinks(spark, sf_dir):
+    from scrivener.operators import corpus as C
+
+    one, two, rows = place(spark, "pairs"), place(spark, "chat"), corpus.pairs(spark, sf_dir)
+    S.write_jsonl(rows.select("input", "output"), one)
+    S.write_jsonl(C.chat_records(rows), two)
+    read = lambda path, schema, kind: S.read_jsonl(spark, path, schema).agg(F.lit(kind).alias("kind"), F.count("*").alias("n"))
+    return read(one, "input string, output string", "pairs").unionByName(read(two, "messages array<struct<role:string,content:string>>", "chat"))
+
+
+@query("SELECT item_id FROM benchmark ORDER BY item_id LIMIT 30")
+def io8_resumed_append(spark, sf_dir):
+    path, rows = place(spark, "generated"), table(spark, sf_dir, "benchmark").select("item_id")
+    for wanted in (12, 12, 30):
+        S.resumed_append(spark, rows, path, "item_id long", wanted, "item_id")
+    return S.read_jsonl(spark, path, "item_id long")
+
+
+@query(evaluation.RESULTS + " SELECT model, mode, CAST(id AS INT) AS id, time_ms FROM r")
+def io9_result_folder(spark, sf_dir):
+    path = place(spark, "results")
+    rows = evaluation.results(spark, sf_dir).select("model", F.lit("2024-01-30 12:00:00").alias("timestamp"), "id", F.lit("n").alias("name"), "mode", F.col("raw_input").alias("input"), "raw_input", "output", "expected", "time_ms")
+    S.write_results(rows, path)
+    return S.read_results(spark, path + "/*").select("model", "mode", "id", "time_ms")
+
+
+@query(evaluation.RESULTS + " SELECT DISTINCT regexp_replace(model, '[^a-zA-Z0-9._-]', '_', 'g') AS file FROM r")
+def io10_result_files(spark, sf_dir):
+    path = place(spark, "results")
+    rows = evaluation.results(spark, sf_dir).select("model", F.lit("t").alias("timestamp"), "id", "mode", "output")
+    S.write_results(rows, path)
+    return spark.read.json(path).select("file").distinct()
+
+
+@query("SELECT 'a' AS id, 'A' AS title UNION ALL SELECT 'b', 'B'")
+def io12_fetched_or_cached(spark, sf_dir):
+    source, cache = place(spark, "remote"), place(spark, "cache")
+    spark.createDataFrame([("a", "A"), ("b", "B")], "id string, title string").write.json(source)
+    S.fetched(spark, source, cache, "id string, title string")
+    return S.fetched(spark, source + "-gone", cache, "id string, title string")
+
+
+@query(audio.CLIPS + "SELECT clip_id, CAST(44 + 2 * len(s) AS INT) AS n_bytes, 'RIFF' AS head FROM c")
+def io14_wav(spark, sf_dir):
+    rows = S.wav_encoded(audio.clips(spark, sf_dir))
+    return rows.select("clip_id", F.octet_length("wav").alias("n_bytes"), F.decode(F.substring("wav", 1, 4), "UTF-8").alias("head"))
+
+
+@query(audio.CLIPS + "SELECT clip_id, list_transform(range(1, len(s) + 1, 2), lambda i: round((CAST(trunc(s[i] * 32767) AS INT) + coalesce(CAST(trunc(s[i + 1] * 32767) AS INT), 0)) / 32767 / 2, 6)) AS samples FROM e")
+def io15_captured_samples(spark, sf_dir):
+    pcm = F.transform("samples", lambda x: (x * 32767).cast("int"))
+    return audio.short(spark, sf_dir).select("clip_id", audio.rounded(A.downmixed(A.from_int16(pcm), 2)).alias("samples"))
+
+
+@query(corpus.VOCAB + " SELECT CAST(old_id AS VARCHAR) AS old_id, CAST(new_id AS INT) AS new_id FROM kept")
+def io16_token_mapping_file(spark, sf_dir):
+    path = place(spark, "mapping")
+    corpus.kept(spark, sf_dir).write.json(path)
+    return S.read_jsonl(spark, path, "old_id string, new_id int")
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def io18_telemetry(spark, sf_dir):
+    path = place(spark, "telemetry")
+    table(spark, sf_dir, "events").select("event_type", "props").write.partitionBy("event_type").json(path)
+    return spark.read.schema("props string, event_type string").json(path).groupBy("event_type").agg(F.count("*").alias("n"))

@@ -1 +1,91 @@
-"""To come."""
+"""Streaming queries: each runs its stream over the event file until it is used up."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from scrivener.streaming import dictation as D
+
+from .files import place
+from .registry import query, table
+
+NTZ = "timestamp_ntz"
+
+
+def ran(spark, sf_dir, of, mode="append"):
+    """What a stream over the events wrote, as a table."""
+    path = place(spark, "stream")
+    D.run_once(of(D.event_stream(spark, sf_dir)), D.appended_log(f"{path}/out"), f"{path}/state", mode)
+    return spark.read.parquet(f"{path}/out").drop("batch")
+
+
+@query("SELECT event_id, ts, event_type AS text, CAST(regexp_extract(props, '\"k\": ([0-9]+)', 1) AS BIGINT) AS word_count FROM events WHERE event_type <> 'error'")
+def st5_event_log(spark, sf_dir):
+    rows = ran(spark, sf_dir, lambda s: s.filter("event_type <> 'error'"))
+    return rows.select("event_id", F.col("ts").cast(NTZ).alias("ts"), F.col("event_type").alias("text"), F.get_json_object("props", "$.k").cast("long").alias("word_count"))
+
+
+SESSIONS = """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS opens FROM events),
+ s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 10 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, k"""
+
+
+@query(SESSIONS)
+def st4_recording_timeouts(spark, sf_dir):
+    rows = ran(spark, sf_dir, D.sessions, "complete")
+    return rows.select("user_id", F.col("start").cast(NTZ).alias("start"), F.col("end").cast(NTZ).alias("end"), "n")
+
+
+@query(SESSIONS)
+def st4_recording_timeouts_table(spark, sf_dir):
+    rows = D.sessions(table(spark, sf_dir, "events"))
+    return rows.select("user_id", "start", "end", "n")
+
+
+LIMITED = "WITH l AS (SELECT user_id, list_reduce(list([epoch_us(ts)] ORDER BY ts, event_id), lambda a, x: CASE WHEN x[1] - a[len(a)] >= 300000000 THEN list_concat(a, x) ELSE a END) AS kept FROM events GROUP BY 1) SELECT user_id, event_id, ts FROM events JOIN l USING (user_id) WHERE list_contains(kept, epoch_us(ts))"
+
+
+@query(LIMITED)
+def st6_rate_limited(spark, sf_dir):
+    return ran(spark, sf_dir, D.rate_limited).select("user_id", "event_id", F.col("ts").cast(NTZ).alias("ts"))
+
+
+@query(LIMITED)
+def st6_rate_limited_table(spark, sf_dir):
+    return D.rate_limited_table(table(spark, sf_dir, "events"))
+
+
+@query("SELECT event_id, ts FROM events")
+def st7_time_to_live(spark, sf_dir):
+    rows = ran(spark, sf_dir, lambda s: D.kept_within(s.unionByName(s)))
+    return rows.select("event_id", F.col("ts").cast(NTZ).alias("ts"))
+
+
+@query("SELECT CAST(ts AS DATE) AS day, CAST(sum(CAST(regexp_extract(props, '\"k\": ([0-9]+)', 1) AS BIGINT)) AS BIGINT) AS words, count(*) AS n FROM events GROUP BY 1 HAVING day < (SELECT max(CAST(ts AS DATE)) FROM events)")
+def st5_daily_words(spark, sf_dir):
+    rows = ran(spark, sf_dir, D.daily_words)
+    return rows.select(F.to_date("day").alias("day"), "words", "n")
+
+
+STATE = "CASE WHEN s = 'Idle' AND e = 'start' THEN 'Recording' WHEN s = 'Recording' AND e = 'stop' THEN 'Processing' WHEN s = 'Processing' AND e = 'polish' THEN 'Polishing' WHEN s IN ('Processing', 'Polishing') AND e = 'done' THEN 'Idle' WHEN s <> 'Idle' AND e = 'error' THEN 'Idle' ELSE s END"
+
+
+@query(f"WITH r AS (SELECT user_id, list(CASE event_type WHEN 'click' THEN 'start' WHEN 'view' THEN 'stop' WHEN 'signup' THEN 'polish' WHEN 'purchase' THEN 'done' ELSE 'error' END ORDER BY ts, event_id) AS es, count(*) AS n FROM events GROUP BY 1) SELECT user_id, list_reduce(list_prepend('Idle', es), lambda s, e: {STATE}) AS state, n FROM r")
+def st8_recorder_states(spark, sf_dir):
+    kind = F.col("event_type")
+    event = F.when(kind == "click", "start").when(kind == "view", "stop").when(kind == "signup", "polish").when(kind == "purchase", "done").otherwise("error")
+    return D.recorder_states(table(spark, sf_dir, "events"), event)
+
+
+@query("SELECT vec_id AS clip_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS samples FROM embeddings")
+def st1_sample_buffer(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("clip_id"), F.col("embedding").cast("array<double>").alias("s"))
+    frame = F.slice("s", F.col("frame") * 10 + 1, F.lit(10))
+    frames = rows.select("clip_id", "s", F.explode(F.sequence(F.lit(0), F.ceil(F.size("s") / 10).cast("int") - 1)).alias("frame"))
+    return D.buffered(frames.select("clip_id", "frame", frame.alias("samples")))
+
+
+@query("SELECT user_id, list_transform(list_filter(list_transform(range(0, CAST(count(*) AS BIGINT)), lambda i: [i, i // 3 * 3 + 2]), lambda p: p[1] = p[2]), lambda p: CAST(p[1] AS INT)) AS fired FROM events GROUP BY 1")
+def st2_throttled(spark, sf_dir):
+    """Frames of 100 samples: every third refreshes a 60 Hz display."""
+    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"))
+    return rows.select("user_id", D.throttled(F.array_repeat(F.lit(100), F.col("n").cast("int"))).alias("fired"))
