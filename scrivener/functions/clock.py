@@ -61,3 +61,8 @@ def half_up(x: Column) -> Column:
 def safe_instant(text: Column) -> Column:
     """Instant of an RFC 3339 string, null where it is none."""
     return F.try_to_timestamp(text)
+
+
+def eased(target: Column, progress: Column) -> Column:
+    """Where a count up to `target` stands at `progress` (0 to 1), slowing down cubically."""
+    return half_up(target * (1 - F.pow(1 - F.least(progress, F.lit(1.0)), F.lit(3))))

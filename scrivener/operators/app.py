@@ -159,3 +159,8 @@ def next_state(state: Column, event: Column) -> Column:
 
 def final_state(events: Column) -> Column:
     return F.aggregate(events, F.lit("Idle"), next_state)
+
+
+def is_safe_name(name: Column) -> Column:
+    """Whether a file name stays within its folder."""
+    return ~(F.contains(name, F.lit("..")) | F.contains(name, F.lit("/")) | F.contains(name, F.lit("\\")))

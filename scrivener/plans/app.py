@@ -106,7 +106,7 @@ def m4_feedback_payloads(spark, sf_dir):
     times = sent.agg(P.accepted(F.sort_array(F.collect_list((F.col("item_id") * 100)))).alias("ok"))
     from scrivener.operators.history import usage
 
-    context = usage(hist.history(spark, sf_dir), hist.NOW).crossJoin(times)
+    context = usage(hist.history(spark, sf_dir), hist.now()).crossJoin(times)
     return sent.crossJoin(F.broadcast(context)).filter(F.array_contains("ok", F.col("item_id") * 100)).select("item_id", "text", F.col("entries").alias("dictations"), "age_days")
 
 
@@ -199,3 +199,9 @@ def s28_error_codes(spark, sf_dir):
     k = F.col("item_id") % 4
     said = F.when(k == 0, "Error: mic_not_found").when(k == 1, "injection_failed: x").when(k == 2, "Device not found").otherwise("boom")
     return table(spark, sf_dir, "benchmark").select("item_id", P.error_code(said).alias("code"), P.device_error(said).alias("device"))
+
+
+@query("SELECT name, NOT (contains(name, '..') OR contains(name, '/') OR contains(name, chr(92))) AS safe FROM (VALUES ('model.gguf'), ('../x'), ('a/b'), ('a' || chr(92) || 'b'), ('v1..2')) n(name)")
+def s29_safe_names(spark, sf_dir):
+    rows = spark.createDataFrame([("model.gguf",), ("../x",), ("a/b",), ("a\\b",), ("v1..2",)], "name string")
+    return rows.select("name", P.is_safe_name(F.col("name")).alias("safe"))

@@ -328,3 +328,9 @@ def c7_pruned_vocabulary(spark, sf_dir):
     cut = V.pruned(vocab(spark, sf_dir), kept(spark, sf_dir))
     merges = j3_kept_merges(spark, sf_dir).select(F.lit("merge").alias("kind"), F.col("merge").alias("item"), F.lit(None).cast("long").alias("id"))
     return cut.select(F.lit("token").alias("kind"), F.col("token").alias("item"), F.col("new_id").alias("id")).unionByName(merges)
+
+
+@query("SELECT item_id, list_transform(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''), lambda x, i: i || '. ' || x) AS numbered FROM benchmark")
+def w8_numbered_items(spark, sf_dir):
+    rows = table(spark, sf_dir, "benchmark")
+    return rows.select("item_id", F.transform(words(F.col("text")), lambda w, i: F.concat((i + 1).cast("string"), F.lit(". "), w)).alias("numbered"))

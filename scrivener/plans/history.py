@@ -10,7 +10,16 @@ from scrivener.operators import history as H
 from .registry import query, table
 
 AS_OF = "2024-01-30 12:00:00"
-NOW, TODAY = clock.as_instant(AS_OF), F.lit("2024-01-30").cast("date")
+
+
+def now():
+    return clock.as_instant(AS_OF)
+
+
+def today():
+    return F.lit("2024-01-30").cast("date")
+
+
 VIEW = """WITH h AS (SELECT event_id AS ord, event_type AS text, ts, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS "timestamp",
  CAST(regexp_extract(props, '"k": ([0-9]+)', 1) AS BIGINT) AS word_count, CAST(floor(value) AS BIGINT) * 1000 + 500 AS duration_ms,
  CAST(floor(value) AS BIGINT) * 1000 AS speech_duration_ms, event_type = 'purchase' AS was_cleaned_up, user_id FROM events),
@@ -25,12 +34,12 @@ def history(spark, sf_dir):
 
 @query(VIEW + "SELECT ord, word_count FROM h WHERE ts >= TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 7 DAY")
 def f1_retention(spark, sf_dir):
-    return H.retained(history(spark, sf_dir), NOW, 7).select("ord", "word_count")
+    return H.retained(history(spark, sf_dir), now(), 7).select("ord", "word_count")
 
 
 @query(VIEW + "SELECT ord FROM h")
 def f1_retention_keep_all(spark, sf_dir):
-    return H.retained(history(spark, sf_dir), NOW, 0).select("ord")
+    return H.retained(history(spark, sf_dir), now(), 0).select("ord")
 
 
 @query(VIEW + "SELECT ord FROM h WHERE \"timestamp\" >= '2024-01-23T12:00:00+00:00'")
@@ -55,7 +64,7 @@ def f4_search(spark, sf_dir):
 
 @query(VIEW + "SELECT ord FROM h WHERE CAST(ts AS DATE) = DATE '2024-01-30'")
 def f5_same_day(spark, sf_dir):
-    return H.on_day(history(spark, sf_dir), TODAY).select("ord")
+    return H.on_day(history(spark, sf_dir), today()).select("ord")
 
 
 @query(VIEW + "SELECT ord, speech_duration_ms FROM h WHERE speech_duration_ms > 0")
@@ -65,7 +74,7 @@ def f6_with_speech(spark, sf_dir):
 
 @query(VIEW + "SELECT CAST(sum(word_count) AS BIGINT) AS total_words, CAST(sum(CASE WHEN CAST(ts AS DATE) = DATE '2024-01-30' THEN word_count END) AS BIGINT) AS today_words, count(CASE WHEN CAST(ts AS DATE) = DATE '2024-01-30' THEN 1 END) AS today_sessions FROM h")
 def h1_totals(spark, sf_dir):
-    return H.totals(history(spark, sf_dir), TODAY)
+    return H.totals(history(spark, sf_dir), today())
 
 
 @query(VIEW + "SELECT ord, text, word_count FROM h ORDER BY ord DESC LIMIT 1000")
@@ -85,17 +94,17 @@ def h4_entry_wpm(spark, sf_dir):
 
 @query(VIEW + "SELECT day, words FROM w")
 def h5_week(spark, sf_dir):
-    return H.week(history(spark, sf_dir), TODAY)
+    return H.week(history(spark, sf_dir), today())
 
 
 @query(VIEW + "SELECT day, words FROM w")
 def j7_week_spine(spark, sf_dir):
-    return H.week(history(spark, sf_dir), TODAY)
+    return H.week(history(spark, sf_dir), today())
 
 
 @query(VIEW + f", x AS (SELECT max(CASE WHEN day = DATE '2024-01-30' THEN words END) AS today, max(CASE WHEN day = DATE '2024-01-29' THEN words END) AS yesterday FROM w) SELECT today, yesterday, {ROUND.format('(today - yesterday) / yesterday * 100')} AS change_pct FROM x")
 def h6_against_yesterday(spark, sf_dir):
-    return H.against_yesterday(history(spark, sf_dir), TODAY)
+    return H.against_yesterday(history(spark, sf_dir), today())
 
 
 @query(VIEW + "SELECT 0::BIGINT AS today, 0::BIGINT AS yesterday, NULL::BIGINT AS change_pct")
@@ -116,17 +125,17 @@ def h8_daily_totals(spark, sf_dir):
 
 @query(VIEW + "SELECT day, words, greatest(4.0::DOUBLE, words / greatest(max(words) OVER (), 1) * 40) AS height FROM w")
 def h9_bars(spark, sf_dir):
-    return H.bars(H.week(history(spark, sf_dir), TODAY))
+    return H.bars(H.week(history(spark, sf_dir), today()))
 
 
 @query(VIEW + "SELECT day, words, greatest(4.0::DOUBLE, words / greatest(max(words) OVER (), 1) * 40) AS height FROM w")
 def w5_global_max(spark, sf_dir):
-    return H.bars(H.week(history(spark, sf_dir), TODAY))
+    return H.bars(H.week(history(spark, sf_dir), today()))
 
 
 @query(VIEW + "SELECT count(*) AS entries, CAST(floor(epoch(TIMESTAMP '2024-01-30 12:00:00' - arg_min(ts, ord)) / 86400) AS BIGINT) AS age_days FROM h")
 def h10_usage(spark, sf_dir):
-    return H.usage(history(spark, sf_dir), NOW)
+    return H.usage(history(spark, sf_dir), now())
 
 
 @query(VIEW + "SELECT user_id, CAST(date_trunc('month', ts) AS DATE) AS month, sum(speech_duration_ms) / 60000 AS minutes FROM h GROUP BY 1, 2")
@@ -151,7 +160,7 @@ def w1_first_per_key(spark, sf_dir):
 
 @query(VIEW + ", x AS (SELECT day, words, lag(words) OVER (ORDER BY day) AS \"before\" FROM w) SELECT day, words, \"before\", CASE WHEN \"before\" <> 0 THEN CAST(floor((words - \"before\") / \"before\" * 100 + 0.5) AS BIGINT) END AS change_pct FROM x")
 def w6_against_day_before(spark, sf_dir):
-    return H.against_day_before(H.week(history(spark, sf_dir), TODAY))
+    return H.against_day_before(H.week(history(spark, sf_dir), today()))
 
 
 @query(VIEW + "SELECT ord, ts FROM h ORDER BY ts DESC, ord")
@@ -170,7 +179,7 @@ AGO = VIEW + ", s AS (SELECT ord, ts, CAST(floor(date_diff('microsecond', ts, TI
 
 @query(AGO + "SELECT ord, CASE WHEN s < 60 THEN 'just now' WHEN mi < 60 THEN mi || ' min ago' WHEN ho < 24 THEN ho || ' hour' || CASE WHEN ho > 1 THEN 's' ELSE '' END || ' ago' WHEN da < 7 THEN da || ' day' || CASE WHEN da > 1 THEN 's' ELSE '' END || ' ago' ELSE strftime(ts, '%b %-d') END AS ago FROM t")
 def s10_relative_time(spark, sf_dir):
-    return history(spark, sf_dir).select("ord", clock.relative_time(F.col("ts"), NOW).alias("ago"))
+    return history(spark, sf_dir).select("ord", clock.relative_time(F.col("ts"), now()).alias("ago"))
 
 
 @query(VIEW + "SELECT ord, CASE WHEN hour(ts) < 12 THEN 'Good morning' WHEN hour(ts) < 18 THEN 'Good afternoon' ELSE 'Good evening' END AS greeting FROM h")
@@ -185,7 +194,7 @@ def s12_long_date(spark, sf_dir):
 
 @query(VIEW + "SELECT day, CASE WHEN day = DATE '2024-01-30' THEN 'Today — ' || strftime(day, '%B %-d') WHEN day = DATE '2024-01-29' THEN 'Yesterday — ' || strftime(day, '%B %-d') ELSE strftime(day, '%A, %B %-d') END AS label FROM d")
 def f21_day_label(spark, sf_dir):
-    return H.daily(history(spark, sf_dir)).select("day", clock.day_label(F.col("day"), TODAY).alias("label"))
+    return H.daily(history(spark, sf_dir)).select("day", clock.day_label(F.col("day"), today()).alias("label"))
 
 
 @query(VIEW + "SELECT ord, printf('%.1fs', round(speech_duration_ms / 1000, 1)) AS seconds FROM h")
@@ -204,3 +213,9 @@ def s27_safe_instant(spark, sf_dir):
 @query(VIEW + "SELECT ord, '[' || strftime(ts, '%-m/%-d/%Y, %-I:%M:%S %p') || '] (' || word_count || ' words)' || chr(10) || text || chr(10) AS line FROM h")
 def io11_text_export(spark, sf_dir):
     return H.export_line(history(spark, sf_dir))
+
+
+@query(VIEW + "SELECT ord, CAST(floor(word_count * (1 - pow(1 - least(speech_duration_ms / 100000, 1), 3)) + 0.5) AS BIGINT) AS shown FROM h")
+def s23_count_up(spark, sf_dir):
+    shown = clock.eased(F.col("word_count"), F.col("speech_duration_ms") / 100_000)
+    return history(spark, sf_dir).select("ord", shown.alias("shown"))

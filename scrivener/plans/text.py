@@ -277,3 +277,10 @@ def t19_word_count(spark, sf_dir):
 def t20_dictated(spark, sf_dir):
     rows = segments(spark, sf_dir).filter(F.col("segments")[0] != "")
     return X.dictated(rows, "segments", DICTIONARY, SNIPPETS).select("doc_id", "text")
+
+
+@query(chained(*RULES))
+def j6_rows_by_ordered_rules(spark, sf_dir):
+    """Every row under every rule in order: the rule table is read as a list and folded."""
+    rules = spark.createDataFrame([(9 - i, a, b) for i, (a, b) in enumerate(reversed(DICTIONARY))], "ord int, `from` string, `to` string")
+    return X.with_dictionary(noisy(spark, sf_dir), X.rules_of(rules, "from", "to", X.MOST_DICTIONARY))
