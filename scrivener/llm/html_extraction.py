@@ -307,7 +307,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
         rows = rows.join(F.broadcast(winners), rows["host_"] == winners["host"], "left")
     else:
         salt = F.pmod(F.xxhash64(id_col), F.lit(SALTS))
-        salted = winners.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+        salted = winners.withColumn("salt_", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         rows = rows.withColumn("at_", salt).join(salted, (F.col("host_") == F.col("host")) & (F.col("at_") == F.col("salt_")), "left")
 
     def make():
