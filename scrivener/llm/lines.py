@@ -25,12 +25,13 @@ def in_blocks(rows: DataFrame, key: Column, n_blocks: Column, seed: int) -> Data
 
 
 def offsets(rows: DataFrame, group: str, size: str, seed: int) -> DataFrame:
-    """A row a block: `rank_`, its place in the group's pseudo-random order (from 0), `from_`, the
-    sum of `size` before it, and `sum_`, its own."""
+    """A row a block: `rank_`, its place (from 0) among the group's blocks of some size in their
+    pseudo-random order, `from_`, the sum of `size` before it, and `sum_`, its own."""
     order = Window.partitionBy(group).orderBy(F.xxhash64("block_", F.lit(seed)), "block_")
-    before = F.coalesce(F.sum("sum_").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    past = order.rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("sum_").over(past), F.lit(0)).cast("long")
     sums = rows.groupBy(group, "block_").agg(F.sum(size).cast("long").alias("sum_"))
-    return sums.select(group, "block_", (F.row_number().over(order) - 1).alias("rank_"), before.alias("from_"), "sum_")
+    return sums.select(group, "block_", F.count(F.when(F.col("sum_") > 0, 1)).over(past).cast("int").alias("rank_"), before.alias("from_"), "sum_")
 
 
 def lay_out(rows: DataFrame, starts: DataFrame, group: str, key: Column, size: str, seed: int, ties: list[Column]) -> DataFrame:

@@ -82,9 +82,10 @@ def _hypergeometric(rng, counts: np.ndarray, take: int) -> np.ndarray:
 
 def plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", *, weights=WEIGHTS, share: float = SHARE, most: float = MOST, shards: int = SHARDS, block_words: int = BLOCK_WORDS, seed: int = SEED, keep: list[str] = ()) -> DataFrame:
     """One row per row of `docs`: id, `size`, `source_size`, `target` (its source's), `draws` (the
-    words taken of it by pass, with shard and place in the shard's shuffle) and the columns `keep`."""
+    words taken of it by pass, with shard and place in the shard's shuffle) and `row`, a struct of the
+    columns `keep`."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id_"), F.col(source_col).alias("source_"), n_words(F.col(text_col)).alias("size_"), F.xxhash64(text_col).alias("tie_"), *[F.col(c).alias(f"keep_{c}") for c in keep])
+    rows = docs.select(F.col(id_col).alias("id_"), F.col(source_col).alias("source_"), n_words(F.col(text_col)).alias("size_"), F.xxhash64(text_col).alias("tie_"), *([F.struct(*keep).alias("row_")] if keep else []))
     light = stored(rows.select("id_", "source_", "size_", "tie_"), "mix-sizes")
     found = {r[0]: r[1] for r in light.groupBy("source_").agg(F.sum("size_")).collect()}
     names = sorted((x for x in found if x is not None)) + [None] * (None in found)
@@ -120,7 +121,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", te
     draws = F.filter(F.array(*[draw(e) for e in passes]), lambda d: d["words"] > 0).cast(DRAWS)
     line = lay_out(keyed(rows if keep else light), starts, "source_no_", F.col("id_"), "size_", seed, [F.col("id_"), F.col("size_"), F.col("tie_")])
     out = line.join(F.broadcast(edges), "source_no_")
-    return out.select(F.col("id_").alias(id_col), F.col("size_").alias("size"), F.col("source_size_").alias("source_size"), F.col("target_").alias("target"), draws.alias("draws"), *[F.col(f"keep_{c}").alias(c) for c in keep if c != id_col])
+    return out.select(F.col("id_").alias(id_col), F.col("size_").alias("size"), F.col("source_size_").alias("source_size"), F.col("target_").alias("target"), draws.alias("draws"), *([F.col("row_").alias("row")] if keep else []))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
@@ -128,7 +129,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     (one space between them) where a pass ends inside it, plus `mix_shard` and `mix_order` (sort a shard by it to shuffle it)."""
     columns = docs.columns
     planned = plan(docs, id_col, source_col, text_col, keep=columns, **options)
-    taken = planned.select("size", F.explode("draws").alias("draw"), *columns)
-    words = F.slice(F.split(F.ltrim(F.lit(" \t\n\x0b\x0c\r"), F.col(text_col)), r"[\x20\x09-\x0D]+"), F.lit(1), F.col("draw.words").cast("int"))
-    text = F.when(F.col("draw.words") < F.col("size"), F.array_join(words, " ")).otherwise(F.col(text_col))
-    return taken.select(*[text.alias(c) if c == text_col else F.col(c) for c in columns], F.col("draw.shard").alias("mix_shard"), F.col("draw.order").alias("mix_order"))
+    taken = planned.select(F.col("size").alias("size_"), F.explode("draws").alias("draw_"), F.col("row").alias("row_"))
+    text = F.col("row_")[text_col]
+    words = F.slice(F.split(F.ltrim(text, F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+"), F.lit(1), F.col("draw_.words").cast("int"))
+    cut = F.when(F.col("draw_.words") < F.col("size_"), F.array_join(words, " ")).otherwise(text)
+    return taken.select(*[(cut if c == text_col else F.col("row_")[c]).alias(c) for c in columns], F.col("draw_.shard").alias("mix_shard"), F.col("draw_.order").alias("mix_order"))
