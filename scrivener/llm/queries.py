@@ -124,3 +124,26 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         rollup.commit(f"load-{k}", signed(of(part, "words_v1", "words").unionByName(of(part, "piece_bpe_32k", "words")), 1))
     rollup.commit("revise-pieces", revised(of(counts, "piece_bpe_32k", "words"), of(counts, "piece_bpe_32k", "pieces")))
     return rollup.totals().select(*KEYS, "n_docs", "n_tokens")
+
+
+_ESCAPED = r"regexp_replace({}, '(<</|<<|</|<|\[/|\[)(\\*)(\||s>|INST\]|SYS>>)', '\1\2\\\3', 'g')"
+
+ORACLES["op7_chat_formatting"] = f"""WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+ UNION ALL SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]'),
+ t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k, count(*) OVER (PARTITION BY conv_id) AS n,
+ 12 + length({_ESCAPED.format("replace(replace(role, chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n')")}) + 1 + length({_ESCAPED.format("text")}) + 11 AS c FROM r),
+ p AS (SELECT *, sum(c) OVER (PARTITION BY conv_id ORDER BY k) AS prefix FROM t)
+ SELECT conv_id, CAST(max(n) AS BIGINT) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+ CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+ sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+ CAST(sum(prefix) FILTER (role = 'assistant' OR k = n) AS BIGINT) AS formatted_chars FROM p GROUP BY conv_id"""
+
+ORACLES["op3_ngram_jaccard"] = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+ ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+ e AS (SELECT doc_id, unnest(s) AS t FROM g), n AS (SELECT doc_id, len(s) AS n FROM g),
+ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+ l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.8 * (x.n + y.n - c) - 0.000000001),
+ reach(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM reach r JOIN l ON l.a = r.b),
+ k AS (SELECT a, min(b) AS b FROM reach GROUP BY 1), m AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
+ SELECT doc_id, coalesce(least(doc_id, k.b), doc_id) AS class_id, coalesce(m.n, 0) AS n_links FROM documents LEFT JOIN k ON k.a = doc_id LEFT JOIN m ON m.a = doc_id"""
