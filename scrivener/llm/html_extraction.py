@@ -53,6 +53,8 @@ ASIDE_WORDS = set(
     " subscribe subscription tags toc toolbar topbar bottombar trending widget widgets".split()
 )
 MAIN_WORDS = {"article", "body", "content", "entry", "main", "post", "story", "text", "page"}
+#: Names that say what an element has around it, not what it is: "no-sidebar", "has-menu".
+ABOUT_WORDS = {"no", "has", "with", "without"}
 COMMENT_WORDS = {"comment", "comments", "commentlist", "disqus", "replies", "reply", "respond", "responses", "related", "recommended", "recommendations", "feedback"}
 #: Opening one of these ends an open element of the second set, up to the nearest of the third.
 IMPLIED = {
@@ -88,7 +90,7 @@ def words_of(name: str) -> set[str]:
 def sort_of(tag: str, attrs: dict[str, str]) -> tuple[bool, bool, bool]:
     """Whether an element is dropped, whether as comments or links to other pages, and whether its
     names speak for the article."""
-    names = [words_of(n) for n in [*attrs.get("class", "").split(), attrs.get("id", "")]]
+    names = [w for n in [*attrs.get("class", "").split(), attrs.get("id", "")] if not (w := words_of(n)) & ABOUT_WORDS]
     aside = set().union(*names) & ASIDE_WORDS if names else set()
     main = any(n & MAIN_WORDS and not n & ASIDE_WORDS for n in names)
     if tag in ("html", "body", "main"):

@@ -52,6 +52,11 @@ def test_article_inside_an_unclosed_notice_is_kept():
     assert html_extraction.extract("<body><div class='notice'>hi<article><p>the story itself, told.</p></article>", [])[0] == "the story itself, told."
 
 
+def test_names_that_tell_of_surroundings_drop_nothing():
+    page = "<body class='has-menu'><div class='wrap no-sidebar'><div class='text'><p>the story, told at length here.</p></div><div class='promo-box'>buy</div></div>"
+    assert html_extraction.extract(page, [])[0] == "the story, told at length here."
+
+
 def test_hosts_vote_and_winners_decide(spark):
     good = "<body><div class='story-{}'><p>{}</p></div><div class='x'><p>{}</p></div></body>"
     rows = [(i, f"https://News.example:80/{i}", good.format(i, "the story in many words, " * 4, "short")) for i in range(9)]
