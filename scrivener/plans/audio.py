@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from scrivener.operators import audio as A
 
-from .registry import query, table
+from .registry import dealt, query, table
 
 CLIPS = """WITH c AS (SELECT vec_id AS clip_id, flatten(list_transform(range(0, 1 + vec_id % 170), lambda k: list_transform(embedding, lambda x: CAST(x AS DOUBLE)))) AS s FROM embeddings),
  e AS (SELECT vec_id AS clip_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS s FROM embeddings) """
@@ -15,7 +15,7 @@ RMS = "sqrt(list_sum(list_transform({0}, lambda x: x * x)) / len({0}))"
 
 def clips(spark, sf_dir):
     """Clips of one to 170 times the length of an embedding."""
-    rows = table(spark, sf_dir, "embeddings")
+    rows = dealt(table(spark, sf_dir, "embeddings"))
     return rows.select(F.col("vec_id").alias("clip_id"), F.flatten(F.array_repeat(F.col("embedding").cast("array<double>"), (1 + F.col("vec_id") % 170).cast("int"))).alias("samples"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from scrivener.functions import text as T
 from scrivener.operators import transcript as X
 
-from .registry import query, table
+from .registry import dealt, query, table
 
 NOISY_SQL = r"""WITH b AS (SELECT doc_id, replace(substr(text, 1, 300), chr(10), ' ') AS t FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\x00-\x7F]')),
  n AS (SELECT doc_id, CASE doc_id % 8
@@ -25,7 +25,7 @@ NOISY_SQL = r"""WITH b AS (SELECT doc_id, replace(substr(text, 1, 300), chr(10),
 def noisy(spark, sf_dir):
     t, tail = F.col("t"), lambda a, n=400: F.substring("t", a, n)
     docs = table(spark, sf_dir, "documents").filter("lang = 'en'").filter(~F.rlike("text", F.lit(r"[^\x00-\x7F]")))
-    docs = docs.select("doc_id", F.replace(F.substring("text", 1, 300), F.lit("\n"), F.lit(" ")).alias("t"))
+    docs = dealt(docs.select("doc_id", F.replace(F.substring("text", 1, 300), F.lit("\n"), F.lit(" ")).alias("t")))
     parts = [
         (F.lit("um, uh "), t, F.lit(" hmm okay")),
         (tail(1, 60), F.lit(" oh wait, "), tail(61)),
@@ -194,7 +194,7 @@ SEGMENTS_SQL = r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(t
 
 def segments(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").filter("lang = 'en'").filter(~F.rlike("text", F.lit(r"[^\x00-\x7F]")))
-    w = docs.select("doc_id", T.words(F.col("text")).alias("w"))
+    w = dealt(docs.select("doc_id", T.words(F.col("text")).alias("w")))
     part = lambda a, n, by=" ": F.array_join(F.slice("w", a, n), by)
     return w.select("doc_id", F.array(part(1, 12), F.concat(F.upper(part(9, 12)), F.lit("!")), part(21, 4, "  ")).alias("segments"))
 
