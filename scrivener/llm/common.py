@@ -62,6 +62,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+#: Rows of a driver-made table that may be broadcast; a longer one is joined by shuffle.
+FEW = 100_000
+
+
+def few(df: DataFrame, n: int) -> DataFrame:
+    """`df`, of `n` rows, to be broadcast if they are few."""
+    return F.broadcast(df) if n <= FEW else df
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable on executors that do not have it on their path."""
     sc, root = spark.sparkContext, Path(__file__).resolve().parents[2]

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_words, stored
+from .common import few, n_words, stored
 from .lines import blocks_of, in_blocks, lay_out, offsets
 
 WEIGHTS = (5, 2, 1)
@@ -96,14 +96,14 @@ def plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", te
     sources = spark.createDataFrame(list(zip(range(len(names)), names, number, sizes, goal, words, strict=True)), "source_no_ int, name_ string, blocks_ int, source_size_ long, target_ double, take_ long")
 
     def keyed(df: DataFrame) -> DataFrame:
-        df = df.join(F.broadcast(sources), F.col("source_").eqNullSafe(F.col("name_"))).drop("source_", "name_")
+        df = df.join(few(sources, len(names)), F.col("source_").eqNullSafe(F.col("name_"))).drop("source_", "name_")
         return in_blocks(df, F.col("id_"), F.col("blocks_"), seed)
 
     starts = offsets(keyed(light), "source_no_", "size_", seed)
     passes = range(int(np.ceil(most)))
     limit = [F.least(F.greatest(F.col("take_") - F.col("source_size_") * e, F.lit(0)), F.col("source_size_")) for e in passes]
     # blocks drawn by source and pass: those with words before the pass's limit
-    drawn = starts.join(F.broadcast(sources), "source_no_").groupBy("source_no_").agg(*[F.count(F.when((F.col("from_") < limit[e]) & (F.col("sum_") > 0), 1)) for e in passes]).collect()
+    drawn = starts.join(few(sources, len(names)), "source_no_").groupBy("source_no_").agg(*[F.count(F.when((F.col("from_") < limit[e]) & (F.col("sum_") > 0), 1)) for e in passes]).collect()
     drawn = {r[0]: list(r[1:]) for r in drawn}
     counts = [drawn.get(i, [0] * len(passes)) for i in range(len(names))]
     tree = np.cumsum(splitting_tree([sum(c) for c in counts], shards, seed), axis=0)
@@ -120,7 +120,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", te
 
     draws = F.filter(F.array(*[draw(e) for e in passes]), lambda d: d["words"] > 0).cast(DRAWS)
     line = lay_out(keyed(rows if keep else light), starts, "source_no_", F.col("id_"), "size_", seed, [F.col("id_"), F.col("size_"), F.col("tie_")])
-    out = line.join(F.broadcast(edges), "source_no_")
+    out = line.join(few(edges, len(names)), "source_no_")
     return out.select(F.col("id_").alias(id_col), F.col("size_").alias("size"), F.col("source_size_").alias("source_size"), F.col("target_").alias("target"), draws.alias("draws"), *([F.col("row_").alias("row")] if keep else []))
 
 

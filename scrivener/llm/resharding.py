@@ -19,7 +19,7 @@ from collections import deque
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, stored
+from .common import few, scratch, stored
 from .lines import blocks_of, in_blocks, lay_out, offsets
 
 LARGE = 1 / 1000
@@ -112,7 +112,7 @@ def assign(docs: DataFrame, old_shard: Column, shards: int, id_col: str = "doc_i
             at += flow[i, j]
             ends.append(at)
         pieces.append((i, blocks_of(n, BLOCK_ROWS), ends[:-1], to or [0]))
-    plan = F.broadcast(spark.createDataFrame(pieces, "old_ int, blocks_ int, cuts_ array<long>, to_ array<int>"))
+    plan = few(spark.createDataFrame(pieces, "old_ int, blocks_ int, cuts_ array<long>, to_ array<int>"), len(pieces))
 
     keyed = in_blocks(small.join(plan, "old_"), F.col("id_"), F.col("blocks_"), SEED)
     line = lay_out(keyed, offsets(keyed, "old_", "size_", SEED), "old_", F.col("id_"), "size_", SEED, [F.col("id_"), F.col("size_"), F.col("crc_")])
