@@ -18,18 +18,22 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): every node of `links`, with the least node of its component. Loops and
     repeated links are ignored; nulls link nothing; empty tables give no rows."""
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u is not null and v is not null and u > v").distinct()
-    edges, sign = stored(edges, "cc"), None
+    spark, edges, sign = links.sparkSession, stored(edges, "cc"), None
     for _ in range(ROUNDS):
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+        # written, so that the join has a plain shuffle on either side, which adaptive execution can
+        # split where one node is linked to very many
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m")), "cc-least")
+        large = stored(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct(), "cc-large")
+        drop_stored(spark, least)
         # a node without smaller neighbours keeps its links through the larger ones' rows above
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "cc-least")
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").unionByName(joined.select("u", F.col("m").alias("v"))).distinct()
         before, edges = edges, stored(small, "cc")
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        drop_stored(edges.sparkSession, before)
+        for old in (before, large, least):
+            drop_stored(spark, old)
         if now == sign:
             break
         sign = now
