@@ -335,7 +335,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, thr
     heads = heads.join(heads.groupBy("component").agg(F.min("rep").alias("class")), "component").select("node", "class")
     table = nodes.select("node", "rep", "copies").join(heads, "node", "left").join(links, "node", "left")
     table = table.select("node", F.coalesce("class", "rep").alias("class_"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links_"))
-    out = rows.select("id_", "node").join(table, "node", "left")
+    # written, so that the join has a plain shuffle on either side and copies of one node can be split
+    out = rows.select("id_", "node").join(stored(table, "jaccard-nodes-linked"), "node", "left")
     return out.select(F.col("id_").alias(id_col), F.coalesce("class_", "id_").alias("class_id"), F.coalesce("links_", F.lit(0)).cast("long").alias("n_links"))
 
 
