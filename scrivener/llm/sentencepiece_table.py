@@ -14,6 +14,7 @@ repeated rows stay repeated.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -25,7 +26,7 @@ from .common import map_rows
 MARK = "▁"
 MARKED = re.compile(f"{MARK}+[^{MARK}]*")
 #: Most distinct marked words a task keeps; beyond it the table starts anew.
-TABLE_WORDS = 400_000
+TABLE_WORDS = 250_000
 #: Longer marked words are segmented where they stand instead of being kept.
 KEPT_CHARS = 64
 
@@ -58,13 +59,13 @@ class WordTable:
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
         self.whole = not pieces_stay_in_words(self.sp)
-        self.ids: dict[str, list[int]] = {}
+        self.ids: dict[str, array] = {}
         self.most = most
 
-    def _segment(self, words: list[str]) -> Iterable[tuple[str, list[int]]]:
+    def _segment(self, words: list[str]) -> Iterable[tuple[str, array]]:
         # the model's dummy prefix stands for the first marker of each word; empty input gets none
         for word, ids in zip(words, self.sp.encode([w[1:] for w in words], num_threads=1), strict=True):
-            yield word, ids if word != MARK else [self.sp.piece_to_id(MARK)]
+            yield word, array("i", ids if word != MARK else [self.sp.piece_to_id(MARK)])
 
     def encode(self, texts: list[str | None]) -> Iterator[list[int]]:
         if self.whole:
