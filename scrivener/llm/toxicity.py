@@ -5,8 +5,10 @@ Terms are a text's lower-cased words and their beginnings of 4 to 6 letters, has
 factors of all pairs of them), so that two terms together can weigh more (or less) than their sum.
 
 The model is fitted on at most `MAX_ROWS` labelled rows (the first by a hash of the id; a bounded
-sample by design) and at most `MAX_TERMS` of their terms (the most telling by a two-proportion z),
-by minibatch AdaGrad in the driver. Scoring reads whole texts of all rows.
+sample by design) and on all of their terms, by minibatch AdaGrad in the driver. Every weight pays a
+penalty on its size and every term's factors one on their length (`WEIGHT_PENALTY`,
+`FACTOR_PENALTY`), so that a term without use ends at exactly 0, and one that tells only in a pair
+keeps its factors. Scoring reads whole texts of all rows.
 
 Null text counts as empty and scores what no term scores; unlabelled rows (null) are not learned
 from; without labelled rows of both kinds every score is the share of the label. Extra columns are
@@ -28,12 +30,13 @@ from .common import SLICE, map_rows, ship
 
 BUCKETS = 1 << 20
 MAX_ROWS = 12_000
-MAX_TERMS = 4_096
-MIN_ROWS = 4
-#: Least z of a term.
-TELLING = 4.5
 RANK = 4
-EPOCHS = 25
+EPOCHS = 10
+#: Least minibatches of a fit: a small sample is read more often.
+STEPS = 1_500
+BATCH = 64
+WEIGHT_PENALTY = 1e-3
+FACTOR_PENALTY = 2e-2
 SEED = 11
 WORDS = re.compile(r"\w+")
 BEGINNINGS = (4, 5, 6)
@@ -85,65 +88,60 @@ class Model:
         return 1 / (1 + exp(-max(-30.0, min(30.0, z))))
 
 
-def choose_terms(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """The terms whose share among positive rows differs most from that among the others."""
-    every, counts = np.unique(np.concatenate(rows), return_counts=True)
-    marked = [r for r, y in zip(rows, labels, strict=True) if y]
-    pos = np.zeros(len(every))
-    t, c = np.unique(np.concatenate(marked), return_counts=True)
-    pos[np.searchsorted(every, t)] = c
-    n1, n0 = labels.sum(), len(labels) - labels.sum()
-    p1, p0, p = pos / n1, (counts - pos) / n0, counts / len(labels)
-    z = np.abs(p1 - p0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
-    z[counts < MIN_ROWS] = 0
-    order = np.lexsort((every, -z))[:MAX_TERMS]
-    return every[np.sort(order[z[order] > TELLING])]
+def shrunk(w: np.ndarray, v: np.ndarray, gw: np.ndarray, gv: np.ndarray, steps: np.ndarray, rates: tuple[float, float]) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and factors after the penalties of so many steps."""
+    w = np.sign(w) * np.maximum(np.abs(w) - rates[0] / np.sqrt(gw) * WEIGHT_PENALTY * steps, 0)
+    lengths = np.sqrt((v**2).sum(axis=1)) + 1e-30
+    return w, v * np.maximum(1 - rates[1] / np.sqrt(gv) * FACTOR_PENALTY * steps / lengths, 0)[:, None]
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = SEED) -> Model:
-    """Logistic factorization machine by minibatch AdaGrad."""
+    """Logistic factorization machine of all terms, by minibatch AdaGrad with proximal penalties."""
     labels = np.asarray(labels, dtype=float)
     share = float(labels.mean()) if len(labels) else 0.0
     prior = float(np.log((share + 1e-4) / (1 - share + 1e-4)))
-    if not 0 < share < 1 or not len(terms := choose_terms(rows, labels)):
+    ends = np.cumsum([0, *map(len, rows)])
+    if not 0 < share < 1 or not ends[-1]:
         return Model(np.zeros(0, dtype=np.int64), prior, np.zeros(0), np.zeros((0, RANK)))
+    flat = np.concatenate(rows)
+    counts = np.bincount(flat, minlength=BUCKETS)
+    terms = np.flatnonzero(counts)
+    places = np.cumsum(counts > 0, dtype=np.int32) - 1
+    flat = places[flat]
     m, rng = len(terms), np.random.default_rng(seed)
-    kept = [np.searchsorted(terms, r[np.isin(r, terms)]) for r in rows]
-    width = max(1, max(map(len, kept)))
-    # the place m pads: its weight and factors stay 0
-    x = np.full((len(rows), width), m, dtype=np.int32)
-    for i, k in enumerate(kept):
-        x[i, : len(k)] = k
-    w, v, b = np.zeros(m + 1), np.vstack((rng.normal(0, 0.02, (m, RANK)), np.zeros((1, RANK)))), prior
-    gw, gv, gb = np.full(m + 1, 1e-6), np.full((m + 1, RANK), 1e-6), 1e-6
+    w, v, b = np.zeros(m), rng.normal(0, 0.05, (m, RANK)), prior
+    gw, gv, gb = np.full(m, 0.01), np.full(m, 0.01), 1e-6
     balance = np.where(labels > 0, min(5.0, 0.5 / share), 1.0)
-    rate, decay = 0.1, 1e-5
-    for _ in range(EPOCHS):
-        order = rng.permutation(len(rows))
-        for at in range(0, len(rows), 64):
-            i = order[at : at + 64]
-            xi = x[i]
-            xi = xi[:, : max(1, int((xi < m).sum(axis=1).max()))]
-            vi = v[xi]
-            s = vi.sum(axis=1)
-            z = b + w[xi].sum(axis=1) + 0.5 * ((s**2).sum(axis=1) - (vi**2).sum(axis=(1, 2)))
+    rate, rate_v = rates = (0.1, 0.05)
+    # penalties are made up for when a term is next seen, and at the end
+    last, step = np.zeros(m, dtype=np.int64), 0
+    filled = np.flatnonzero(np.diff(ends))
+    for _ in range(max(EPOCHS, -(-STEPS * BATCH // len(filled)))):
+        order = rng.permutation(filled)
+        for at in range(0, len(order), BATCH):
+            step += 1
+            i = order[at : at + BATCH]
+            n = ends[i + 1] - ends[i]
+            starts = np.cumsum(n) - n
+            seen, x = np.unique(np.concatenate([flat[ends[j] : ends[j + 1]] for j in i]), return_inverse=True)
+            ws, vs = shrunk(w[seen], v[seen], gw[seen], gv[seen], step - last[seen], rates)
+            last[seen] = step
+            vx = vs[x]
+            s = np.add.reduceat(vx, starts, axis=0)
+            z = b + np.add.reduceat(ws[x], starts) + 0.5 * ((s**2).sum(axis=1) - np.add.reduceat((vx**2).sum(axis=1), starts))
             d = balance[i] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[i]) / len(i)
-            flat = xi.ravel()
-            dw = np.bincount(flat, np.repeat(d, xi.shape[1]), m + 1)
-            dv = np.empty_like(v)
-            step = d[:, None, None] * (s[:, None, :] - vi)
-            for f in range(RANK):
-                dv[:, f] = np.bincount(flat, step[:, :, f].ravel(), m + 1)
-            seen = np.unique(flat)
-            seen = seen[seen < m]
-            dw, dv = dw[seen] + decay * w[seen], dv[seen] + decay * v[seen]
+            dw = np.bincount(x, np.repeat(d, n), len(seen))
+            dv = np.stack([np.bincount(x, np.repeat(d * s[:, f], n), len(seen)) for f in range(RANK)], axis=1) - dw[:, None] * vs
             gw[seen] += dw**2
-            gv[seen] += dv**2
+            gv[seen] += (dv**2).mean(axis=1)
             gb += d.sum() ** 2
-            w[seen] -= rate * dw / np.sqrt(gw[seen])
-            v[seen] -= rate * dv / np.sqrt(gv[seen])
+            w[seen] = ws - rate * dw / np.sqrt(gw[seen])
+            v[seen] = vs - rate_v * dv / np.sqrt(gv[seen])[:, None]
             b -= rate * d.sum() / np.sqrt(gb)
-    return Model(terms, b, w[:m], v[:m])
+    w, v = shrunk(w, v, gw, gv, step - last, rates)
+    # what is 0 adds nothing to any score
+    used = (w != 0) | (v != 0).any(axis=1)
+    return Model(terms[used], float(b), w[used], v[used])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS) -> Model:

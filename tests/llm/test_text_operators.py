@@ -235,6 +235,19 @@ def test_pairs_of_terms_are_learned():
     assert all((model.score(t) >= 0.5) == bool(y) for t, y in zip(texts[1000:], labels[1000:], strict=True))
 
 
+def test_pairs_of_terms_that_tell_nothing_alone():
+    """Toxic with both terms or neither: each term stands in as many toxic rows as others."""
+    rng = random.Random(7)
+    texts, labels = [], []
+    for i in range(1200):
+        a, b = i % 4 in (1, 3), i % 4 in (2, 3)
+        texts.append(" ".join([f"filler{rng.randrange(40)}" for _ in range(12)] + ["stinking"] * a + ["outgroup"] * b))
+        labels.append(int(a == b))
+    rows = [np.array(sorted({t for w in toxicity.text_words(x) for t in toxicity.word_terms(w)})) for x in texts]
+    model = toxicity.fit(rows[:1000], np.array(labels[:1000]))
+    assert all((model.score(t) >= 0.5) == bool(y) for t, y in zip(texts[1000:], labels[1000:], strict=True))
+
+
 def test_scores_and_folds(spark, sf_dir, documents):
     got = queries.op10_toxicity(spark, sf_dir).collect()
     assert len(got) == documents.count()
