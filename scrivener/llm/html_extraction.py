@@ -4,8 +4,11 @@ First pass: every page is parsed leniently, its containers (article, main, secti
 and the like) are scored by the text they hold, and the page votes for the best one's path, the
 tags and generalised classes (digits folded to N) from the root to it. In Spark the votes are
 summed by host and path; paths with at least `SHARE` of a host's votes win, best first. Second
-pass: every page is extracted again from the container at its host's first winning path that holds
-at least `KEEP` of what the page's own best container holds, else from that best container.
+pass: every page is extracted again from all containers at its host's first winning path, in page
+order (folded digits give the parts of an article one path), if together they hold at least `KEEP` of
+what the page's own best container holds; else from that best container, and from it too where it
+stands around them, is not the body and holds more text. A class name speaks for an element against
+others beside it, not against the plain container around both.
 
 Text of menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
 comments is never text of a container: such elements are known by tag, role or class words.
@@ -117,6 +120,15 @@ class Node:
         self.boost = BOOST.get(tag, 1.0) * (1.3 if main else 1.0)
         self.score = 0.0
 
+    def worth(self) -> float:
+        return self.score / self.boost
+
+    def inside(self, other: Node) -> bool:
+        node = self
+        while node is not None and node is not other:
+            node = node.parent
+        return node is other
+
     def path(self) -> str:
         steps, node = [], self
         while node.parent:
@@ -247,15 +259,30 @@ class Page:
         return list(found.values())
 
     def best(self) -> Node | None:
-        return max((x for x in self.scored() if x.score > 0), key=lambda x: (x.score, x.depth, -x.order), default=None)
+        top = max((x for x in self.scored() if x.score > 0), key=lambda x: (x.score, x.depth, -x.order), default=None)
+        node = top.parent if top is not None and top.tag not in ("article", "main") else None
+        while node is not None and node.tag not in ("body", "html"):
+            # headline, lead and further text beside an element of a telling name
+            if node.tag in CONTAINERS:
+                if node.boost < 1:
+                    break
+                if node.worth() > top.worth():
+                    top = node
+                if node.tag in ("article", "main"):
+                    break
+            node = node.parent
+        return top
 
-    def text_of(self, top: Node | None) -> str:
-        out = []
+    def text_of(self, tops: list[Node]) -> str:
+        """Text of the containers, in page order; of the whole page if there are none."""
+        if not tops:
+            return "\n\n".join(text for _, text, _ in self.blocks)
+        wanted, out = {x.order for x in tops}, []
         for holder, text, _ in self.blocks:
             node = holder
-            while node is not None and node is not top:
+            while node.parent and node.order not in wanted:
                 node = node.parent
-            if node is top or top is None:
+            if node.parent:
                 out.append(text)
         return "\n\n".join(out)
 
@@ -264,13 +291,19 @@ def extract(html: str | None, winners: list[str]) -> tuple[str, str | None]:
     """(main text, path it was taken from) of a page, given its host's winning paths."""
     page = Page(html)
     best = page.best()
-    chosen = best
-    if best is not None and winners:
-        by_path: dict[str, Node] = {}
-        for node in sorted(page.scored(), key=lambda x: (-x.score, x.order)):
-            by_path.setdefault(node.path(), node)
-        chosen = next((by_path[w] for w in winners if w in by_path and by_path[w].score >= KEEP * best.score), best)
-    return page.text_of(chosen), chosen.path() if chosen is not None else None
+    if best is None:
+        return page.text_of([]), None
+    by_path: dict[str, list[Node]] = {}
+    for node in page.scored() if winners else []:
+        if node.score > 0:
+            by_path.setdefault(node.path(), []).append(node)
+    for path in winners:
+        nodes = by_path.get(path, [])
+        if nodes and sum(x.score for x in nodes) >= KEEP * best.score:
+            if best.tag != "body" and all(x.inside(best) for x in nodes) and sum(x.worth() for x in nodes) < best.worth() - 0.5:
+                break
+            return page.text_of(nodes), path
+    return page.text_of([best]), best.path()
 
 
 def host_of(url: Column) -> Column:

@@ -57,6 +57,24 @@ def test_names_that_tell_of_surroundings_drop_nothing():
     assert html_extraction.extract(page, [])[0] == "the story, told at length here."
 
 
+def test_parts_at_the_winning_path_are_joined():
+    first, second = "the first part of it, told at length. " * 6, "the second part, somewhat shorter. " * 4
+    page = f"<body><div class='wrap'><div class='part-1'><p>{first}</p></div><div class='part-2'><p>{second}</p></div></div></body>"
+    whole = f"{first.strip()}\n\n{second.strip()}"
+    assert html_extraction.extract(page, ["html>body>div.wrap>div.part-N", "body>div.wrap>div.part-N"])[0] == whole
+    loose = page.replace("part-2", "tail")
+    assert html_extraction.extract(loose, ["body>div.wrap>div.part-N"])[0] == whole
+    bare = page.replace("<div class='wrap'>", "").replace("</div></body>", "</body>")
+    assert html_extraction.extract(bare, ["body>div.part-N"]) == (whole, "body>div.part-N")
+
+
+def test_headline_and_lead_beside_a_named_element_are_kept():
+    story = "the story itself, told at length. " * 10
+    page = f"<body><div class='wrap'><h1>Headline</h1><p>And its lead.</p><div class='content'><p>{story}</p></div></div></body>"
+    assert html_extraction.extract(page, [])[0] == f"Headline\n\nAnd its lead.\n\n{story.strip()}"
+    assert html_extraction.extract(page, ["body>div.wrap>div.content"])[0].startswith("Headline")
+
+
 def test_hosts_vote_and_winners_decide(spark):
     good = "<body><div class='story-{}'><p>{}</p></div><div class='x'><p>{}</p></div></body>"
     rows = [(i, f"https://News.example:80/{i}", good.format(i, "the story in many words, " * 4, "short")) for i in range(9)]
