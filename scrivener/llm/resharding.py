@@ -138,13 +138,18 @@ def affected(assignment: DataFrame) -> DataFrame:
     return moved.select(F.explode(F.array("old_shard", "shard")).alias("shard")).distinct()
 
 
-def rewrite(docs: DataFrame, assignment: DataFrame, path: str | None = None, id_col: str = "doc_id") -> tuple[str, list[int]]:
-    """Write the affected shards of `docs` (unique ids) as `path`/shard=N, each row with its slot;
-    the other shards' files stay as they are. Returns the folder and the shards written."""
+def rewrite(docs: DataFrame, assignment: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[str, list[int]]:
+    """Write the affected shards of `docs` as `path`/shard=N, each row with its slot (rows of one id
+    are paired by text); the other shards' files stay as they are. Returns the folder and the shards
+    written."""
     spark = docs.sparkSession
     path = path or scratch(spark, "reshard-files")
     which = sorted(r[0] for r in affected(assignment).collect())
-    rows = assignment.filter(F.col("shard").isin(which)).select(F.col(id_col).alias("id_"), F.col("shard").alias("shard_"), F.col("slot").alias("slot_"))
-    out = docs.join(rows, F.col(id_col).eqNullSafe(F.col("id_"))).drop("id_", "shard", "slot")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    copy = lambda *by: F.row_number().over(Window.partitionBy(id_col).orderBy(*by))
+    rows = assignment.withColumn("copy_", copy("text_crc32", "size", "shard", "slot")).filter(F.col("shard").isin(which))
+    rows = rows.select(F.col(id_col).alias("id_"), F.col("copy_").alias("k_"), F.col("shard").alias("shard_"), F.col("slot").alias("slot_"))
+    numbered = docs.withColumn("copy_", copy(F.crc32(text.cast("binary")), F.octet_length(text)))
+    out = numbered.join(rows, F.col(id_col).eqNullSafe(F.col("id_")) & (F.col("copy_") == F.col("k_"))).drop("id_", "k_", "copy_", "shard", "slot")
     out.withColumnsRenamed({"shard_": "shard", "slot_": "slot"}).write.partitionBy("shard").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
     return path, which

@@ -275,6 +275,17 @@ def test_small_documents_follow_the_flow(spark):
     assert which == sorted(r[0] for r in resharding.affected(out).collect()) and files.count() == sum(held[s][1] for s in which)
 
 
+def test_rewriting_rows_of_one_id(spark):
+    """Copies of a row, and other texts under its id, are each written once, at their own slots."""
+    rows = [(i, f"text {i} " * 5) for i in range(40)] + [(3, "text 3 " * 5), (3, "another text"), (None, "x"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = resharding.assign(docs, F.lit(0), 3)
+    path, which = resharding.rewrite(docs, out)
+    written = spark.read.parquet(path).select("doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")), "shard", "slot")
+    wanted = out.select("doc_id", "text_crc32", "shard", "slot").collect()
+    assert which == [0, 1, 2] and Counter(map(tuple, written.collect())) == Counter(map(tuple, wanted))
+
+
 def test_sharding_edges(spark, edge_docs, no_docs):
     out = resharding.assign(edge_docs, F.lit(None).cast("int"), 3).collect()
     assert len(out) == edge_docs.count() and {r["shard"] for r in out} <= {0, 1, 2}
