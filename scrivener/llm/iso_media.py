@@ -6,8 +6,8 @@ and gives codec, timescale, duration, sample count and the byte range of every k
 writes bytes losslessly as one track of 8-bit samples: `UNIT`-byte frames of codec `raw `, a
 keyframe every `GROUP` frames, `CHUNK` frames a chunk.
 
-Null text counts as empty (a payload of one frame of zeros); malformed, truncated or null
-containers give a null description rather than an error; repeated rows stay repeated; extra
+Null text counts as empty (a payload of one frame of zeros); malformed, truncated,
+fragmented (moof) or null containers give a null description rather than an error; repeated rows stay repeated; extra
 columns are ignored.
 """
 
@@ -82,8 +82,10 @@ def tracks(data: bytes) -> list[dict]:
     decoding times and 0-based keyframes."""
     view = memoryview(data)
     try:
-        found = []
-        for trak in (n for n in _first(tree(view), b"moov")[3] if n[0] == b"trak"):
+        found, top = [], tree(view)
+        if any(n[0] == b"moof" for n in top):
+            raise Malformed("a fragmented file: its samples are not in the sample tables")
+        for trak in (n for n in _first(top, b"moov")[3] if n[0] == b"trak"):
             mdhd, hdlr = _first(trak[3], b"mdia", b"mdhd"), _first(trak[3], b"mdia", b"hdlr")
             table = _first(trak[3], b"mdia", b"minf", b"stbl")[3]
             wide = view[mdhd[1]] == 1
@@ -118,15 +120,27 @@ def tracks(data: bytes) -> list[dict]:
         raise Malformed(str(e)) from e
 
 
-def describe(data: bytes) -> dict:
-    """Columns of the first track: codec, timescale, duration, n_samples and keyframes (sample,
-    time, offset, length), each range covering the samples up to the next keyframe when contiguous,
-    else the keyframe's own bytes."""
+def described(track: dict) -> dict:
+    """Columns of a track: handler, codec, timescale, duration, n_samples and keyframes (sample,
+    time, offset, length), the range of each the keyframe's own sample."""
+    t = track
+    return {k: t[k] for k in ("handler", "codec", "timescale", "duration")} | {"n_samples": len(t["samples"]), "keyframes": [(k, t["times"][k], *t["samples"][k]) for k in t["keyframes"]]}
+
+
+def describe_tracks(data: bytes) -> list[dict]:
+    """Columns of every track, in file order."""
     found = tracks(data)
     if not found:
         raise Malformed("no track")
-    t = found[0]
-    return {k: t[k] for k in ("codec", "timescale", "duration")} | {"n_samples": len(t["samples"]), "keyframes": [(k, t["times"][k], *t["samples"][k]) for k in t["keyframes"]]}
+    try:
+        return [described(t) for t in found]
+    except IndexError as e:
+        raise Malformed(str(e)) from e
+
+
+def describe(data: bytes) -> dict:
+    """Columns of the first track."""
+    return describe_tracks(data)[0]
 
 
 def samples_of(data: bytes) -> bytes:
@@ -192,24 +206,29 @@ def padded(text: str | None) -> tuple[int, bytes]:
 
 
 KEYFRAMES = "array<struct<sample:long,time:long,offset:long,length:long>>"
+TRACKS = f"array<struct<handler:string,codec:string,timescale:long,duration:long,n_samples:long,keyframes:{KEYFRAMES}>>"
 
 
 def media_columns(files: DataFrame, id_col: str, data_col: str) -> DataFrame:
-    """(id, codec, timescale, duration, n_samples, keyframes) of the containers in `data_col`."""
+    """(id, codec, timescale, duration, n_samples, keyframes, tracks) of the containers in `data_col`:
+    the columns of the first track, and a struct of them with its handler for every track."""
 
     def make():
         def rows(keys, blobs):
             for key, blob in zip(keys, blobs, strict=True):
                 try:
-                    d = describe(blob or b"")
-                    yield key, d["codec"], d["timescale"], d["duration"], d["n_samples"], [dict(zip(("sample", "time", "offset", "length"), k, strict=True)) for k in d["keyframes"]]
+                    every = describe_tracks(blob or b"")
+                    for d in every:
+                        d["keyframes"] = [dict(zip(("sample", "time", "offset", "length"), k, strict=True)) for k in d["keyframes"]]
+                    d = every[0]
+                    yield key, d["codec"], d["timescale"], d["duration"], d["n_samples"], d["keyframes"], every
                 except Malformed:
-                    yield key, None, None, None, None, None
+                    yield key, None, None, None, None, None, None
 
         return rows
 
     kind = files.schema[id_col].dataType.simpleString()
-    return map_rows(files.select(id_col, data_col), make, f"`{id_col}` {kind}, codec string, timescale long, duration long, n_samples long, keyframes {KEYFRAMES}")
+    return map_rows(files.select(id_col, data_col), make, f"`{id_col}` {kind}, codec string, timescale long, duration long, n_samples long, keyframes {KEYFRAMES}, tracks {TRACKS}")
 
 
 def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

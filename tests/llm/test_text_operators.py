@@ -129,6 +129,19 @@ def test_a_full_word_table_starts_anew():
 # --- media --------------------------------------------------------------------------------------
 
 
+def test_every_track_and_no_fragments(spark):
+    """An audio track before the video hides nothing; a fragmented file gives null."""
+    one = iso_media.mux(bytes(64 * 20))
+    trak = one[one.index(b"trak") - 4 : one.index(b"mdat") - 4]
+    # the same track again, named video, behind the others at the file's end so that offsets hold
+    moov = one[one.index(b"moov") - 4 : one.index(b"mdat") - 4] + trak.replace(b"soun", b"vide").replace(b"raw ", b"avc1")
+    both = one.replace(b"moov", b"free") + len(moov).to_bytes(4, "big") + moov[4:]
+    files = spark.createDataFrame([(1, both), (2, one + b"\0\0\0\x08moof")], "id long, data binary")
+    got = {r["id"]: r for r in iso_media.media_columns(files, "id", "data").collect()}
+    assert [(t["handler"], t["codec"], t["n_samples"], len(t["keyframes"])) for t in got[1]["tracks"]] == [("soun", "raw ", 20, 2), ("vide", "avc1", 20, 2)]
+    assert got[1]["codec"] == "raw " and got[2]["codec"] is None and got[2]["tracks"] is None
+
+
 def test_media_round_trip(spark, edge_docs, no_docs):
     seen = 0
     for row in iso_media.text_media(edge_docs).join(edge_docs.select("doc_id", "text").distinct(), "doc_id").collect():
