@@ -6,7 +6,8 @@ gets a sketch of `SKETCH` min-hash tokens. From a root a node follows paths: at
 itself samples one or (a quarter of the time) two sketch positions, and the node goes on to the
 bucket of each token it has there. 1.25 steps on average at a similarity of 0.8 keep the number of
 buckets two such nodes share at 1 in the mean, however deep the paths are; the number of runs from
-fresh roots is the least that finds a pair of similarity 0.8 with probability `RECALL`. Buckets
+fresh roots is the least that finds a pair of similarity 0.8 with probability `RECALL`, counted
+over what its sketches may agree in. Buckets
 beyond `LIMIT` nodes are split further, down to `DEEPEST`; what is left is compared by brute force, in
 blocks of pairs where a bucket is too large for one task. A bucket gives a spanning forest of its
 pairs whose sketches agree nearly enough (`SLACK` below the threshold), never all pairs.
@@ -27,7 +28,7 @@ from itertools import combinations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_groups, map_rows, stored
@@ -40,11 +41,12 @@ RECALL = 0.999
 DEPTH = 4
 DEEPEST = 6
 LIMIT = 2_000
-SLACK = 0.2
+SLACK = 0.25
 #: Nodes and shingles of a block of an exact comparison.
 BLOCK_NODES = 512
 BLOCK_SHINGLES = 2_000_000
-#: Rows of node tables that may be broadcast (two numbers each), else they are joined by shuffle.
+#: Rows of node tables that may be broadcast (up to ten numbers each, so 80 MB at most), else they
+#: are joined by shuffle.
 BROADCAST_NODES = 1_000_000
 #: A token in more sets than this is counted by matrix product, else pair by pair.
 DENSE = 32
@@ -106,8 +108,23 @@ def survival(depth: int, similarity: float) -> float:
     return 1 - lost
 
 
-def runs_for(recall: float, depth: int, similarity: float) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(1 - survival(depth, similarity)))
+def recall_of(runs: int, depth: int, similarity: float, least: int = 0) -> float:
+    """Probability that a pair of that similarity is found: all runs read one sketch, whose equal
+    places are binomial, and pairs under `least` of them are not taken."""
+    total = 0.0
+    for k in range(least, SKETCH + 1):
+        chance = math.comb(SKETCH, k) * similarity**k * (1 - similarity) ** (SKETCH - k)
+        total += chance * (1 - (1 - survival(depth, k / SKETCH)) ** runs)
+    return total
+
+
+def runs_for(recall: float, depth: int, similarity: float, least: int = 0) -> int:
+    """The least runs that reach `recall`, or half of what the cut at `least` leaves to be missed."""
+    wanted = min(recall, (1 + recall_of(1 << 20, depth, similarity, least)) / 2 - 1e-9)
+    runs = 1
+    while recall_of(runs, depth, similarity, least) < wanted and runs < 200:
+        runs += 1
+    return runs
 
 
 def step(paths: np.ndarray, owners: np.ndarray, sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,23 +175,29 @@ class Forest:
             self.add(i, j)
 
 
+def text_key(text: Column) -> Column:
+    """Two hashes and the length of a text: rows of one id and one such key are the same document."""
+    return F.struct(F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("g"), F.coalesce(F.octet_length(text), F.lit(-1)).alias("n"))
+
+
 def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id_, node, size, sketch): node identifies the shingle set; null without shingles."""
+    """(id_, key_, node, size, sketch): `key_` is the text's, node identifies the shingle set; null
+    without shingles."""
 
     def make():
         words, numbers = Words(), sketch_numbers()
 
-        def rows(keys, texts):
-            for key, text in zip(keys, texts, strict=True):
+        def rows(ids, keys, texts):
+            for i, key, text in zip(ids, keys, texts, strict=True):
                 s = shingles(text, words)
                 if len(s):
-                    yield key, signed(np.array([xxhash.xxh64_intdigest(s.tobytes())], dtype=np.uint64))[0], len(s), sketch(s, numbers).tobytes()
+                    yield i, key, signed(np.array([xxhash.xxh64_intdigest(s.tobytes())], dtype=np.uint64))[0], len(s), sketch(s, numbers).tobytes()
                 else:
-                    yield key, None, 0, None
+                    yield i, key, None, 0, None
 
         return rows
 
-    return map_rows(docs.select(F.col(id_col).cast("long"), F.col(text_col)), make, "id_ long, node long, size long, sketch binary")
+    return map_rows(docs.select(F.col(id_col).cast("long"), text_key(F.col(text_col)), F.col(text_col)), make, "id_ long, key_ struct<h:long,g:long,n:int>, node long, size long, sketch binary")
 
 
 def _near(left: np.ndarray, right: np.ndarray, least: int):
@@ -185,7 +208,8 @@ def _near(left: np.ndarray, right: np.ndarray, least: int):
 
 def bucket_links(nodes: DataFrame, threshold: float, recall: float, depth: int, deepest: int, limit: int) -> DataFrame:
     """(a, b): spanning forests of the nearly similar pairs of every bucket."""
-    runs, least = runs_for(recall, deepest, threshold), math.ceil((threshold - SLACK) * SKETCH)
+    least = math.ceil((threshold - SLACK) * SKETCH)
+    runs = runs_for(recall, deepest, threshold, least)
 
     def start():
         def rows(keys, sketches):
@@ -276,8 +300,9 @@ def exact_links(docs: DataFrame, members: DataFrame, id_col: str, text_col: str,
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK_NODES), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")
     placed = members.join(stats.select("component", blocks.alias("blocks")), "component")
     placed = stored(placed.select("component", "node", "rep", "copies", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int").alias("own")), "jaccard-members")
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
-    found = texts.join(F.broadcast(placed) if placed.count() <= BROADCAST_NODES else placed, "rep")
+    texts = docs.select(F.col(id_col).cast("long").alias("id_"), text_key(F.col(text_col)).alias("key_"), F.col(text_col).alias("text"))
+    same = F.col("id_").eqNullSafe(F.col("rep.id_")) & (F.col("key_") == F.col("rep.key_"))
+    found = texts.join(F.broadcast(placed) if placed.count() <= BROADCAST_NODES else placed, same)
 
     def make():
         words = Words()
@@ -321,30 +346,51 @@ def exact_links(docs: DataFrame, members: DataFrame, id_col: str, text_col: str,
     return out.filter("n is not null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links")), out.filter("b is not null").select("a", "b")
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: float = THRESHOLD, recall: float = RECALL, depth: int = DEPTH, deepest: int = DEEPEST, limit: int = LIMIT) -> DataFrame:
-    """(id, class_id, n_links) of every row: `class_id` is the least id of all documents it is
-    linked with, directly or through others; `n_links` the number of other rows of similarity
-    `threshold` or more."""
+def classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, recall: float, depth: int, deepest: int, limit: int) -> DataFrame:
+    """(id_, key_, node, class_, links_) of every row: `class_` is the least id of all documents it is
+    linked with, directly or through others, itself included; null for rows without an id that are
+    linked with none that has one."""
     rows = stored(sketched(docs, id_col, text_col), "jaccard-sketches")
-    nodes = stored(rows.filter("node is not null").groupBy("node").agg(F.min("id_").alias("rep"), F.count("*").alias("copies"), F.max("size").alias("size"), F.max("sketch").alias("sketch")), "jaccard-nodes")
+    nodes = stored(rows.filter("node is not null").groupBy("node").agg(F.min(F.struct(F.col("id_").isNull().alias("none"), "id_", "key_")).alias("rep"), F.count("*").alias("copies"), F.max("size").alias("size"), F.max("sketch").alias("sketch")), "jaccard-nodes")
     near = components(bucket_links(nodes, threshold, recall, depth, deepest, limit))
     members = nodes.drop("sketch").join(near, "node")
     links, forest = exact_links(docs, members, id_col, text_col, threshold)
     final = components(forest)
     heads = nodes.select("node", "rep").join(final, "node")
-    heads = heads.join(heads.groupBy("component").agg(F.min("rep").alias("class")), "component").select("node", "class")
+    heads = heads.join(heads.groupBy("component").agg(F.min("rep.id_").alias("class")), "component").select("node", "class", "component")
     table = nodes.select("node", "rep", "copies").join(heads, "node", "left").join(links, "node", "left")
-    table = table.select("node", F.coalesce("class", "rep").alias("class_"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links_"))
+    table = table.select("node", F.coalesce("component", "node").alias("group_"), F.coalesce("class", "rep.id_").alias("class_"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links_"))
     # written, so that the join has a plain shuffle on either side and copies of one node can be split
-    out = rows.select("id_", "node").join(stored(table, "jaccard-nodes-linked"), "node", "left")
-    return out.select(F.col("id_").alias(id_col), F.coalesce("class_", "id_").alias("class_id"), F.coalesce("links_", F.lit(0)).cast("long").alias("n_links"))
-
-
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """`docs` with one row of each class of `join`: that of the least id. Rows that repeat an id with
-    its text count as copies; a row without an id stays unless its text is that of another such row."""
-    found = stored(join(docs, id_col, text_col, **options), "jaccard-classes")
-    dropped = found.filter(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("drop_")).distinct()
-    n_dropped, n, n_ids = dropped.count(), found.count(), found.select(id_col).distinct().count()
-    kept = docs.join(F.broadcast(dropped) if n_dropped <= BROADCAST_NODES else dropped, F.col(id_col) == F.col("drop_"), "left_anti")
-    return kept if n == n_ids else kept.dropDuplicates([id_col, text_col])
+    return rows.select("id_", "key_", "node").join(stored(table, "jaccard-nodes-linked"), "node", "left").select("id_", "key_", "node", "group_", F.coalesce("class_", "id_").alias("class_"), F.coalesce("links_", F.lit(0)).cast("long").alias("links_"))
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: float = THRESHOLD, recall: float = RECALL, depth: int = DEPTH, deepest: int = DEEPEST, limit: int = LIMIT) -> DataFrame:
+    """(id, class_id, n_links) of every row: `class_id` is the least id of all documents it is
+    linked with, directly or through others; `n_links` the number of other rows of similarity
+    `threshold` or more."""
+    found = classes(docs, id_col, text_col, threshold, recall, depth, deepest, limit)
+    return found.select(F.col("id_").alias(id_col), F.col("class_").alias("class_id"), F.col("links_").alias("n_links"))
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: float = THRESHOLD, recall: float = RECALL, depth: int = DEPTH, deepest: int = DEEPEST, limit: int = LIMIT) -> DataFrame:
+    """`docs` with one row of each class of `join`: that of the least id (a row without an id only
+    where none has one), of rows with that id the one of the least text hash, of its repeats one.
+    Rows are told apart by id and text, so an id that stands on several texts loses none that is the
+    only one of its class. A row without words is a class of its own and stays, but for repeats of it
+    under the same id."""
+    found = stored(classes(docs, id_col, text_col, threshold, recall, depth, deepest, limit), "jaccard-classes")
+    order = F.struct(F.col("id_").isNull().alias("none"), "id_", "key_")
+    groups = found.filter("node is not null").groupBy("group_").agg(F.min(order).alias("head_"), F.count("*").alias("n_")).filter("n_ > 1")
+    # written, as above: rows of a hot group can be split
+    told = found.join(stored(groups.select("group_", "head_"), "jaccard-heads"), "group_", "left")
+    told = told.filter("node is not null or id_ is not null").select("id_", "key_", F.coalesce(order != F.col("head_"), F.lit(False)).alias("goes_"))
+    told = told.groupBy("id_", "key_").agg(F.max("goes_").alias("goes_"), F.count("*").alias("n_")).filter("goes_ or n_ > 1")
+    told = stored(told.select(F.col("id_").alias("told_id_"), F.col("key_").alias("told_key_"), "goes_"), "jaccard-told")
+    few = told.count() <= BROADCAST_NODES
+    # the row as one struct, so that no name of its columns clashes
+    own = docs.select(F.struct(*docs.columns).alias("row_"), F.col(id_col).cast("long").alias("id_"), text_key(F.col(text_col)).alias("key_"))
+    same = F.col("id_").eqNullSafe(F.col("told_id_")) & (F.col("key_") == F.col("told_key_"))
+    some = lambda df: F.broadcast(df.drop("goes_")) if few else df.drop("goes_")
+    single = own.join(some(told), same, "left_anti")
+    repeated = own.join(some(told.filter("not goes_")), same, "left_semi").dropDuplicates(["id_", "key_"])
+    return single.unionByName(repeated).select("row_.*")
