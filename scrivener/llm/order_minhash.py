@@ -1,11 +1,11 @@
 """Order MinHash fingerprints: locality-sensitive signatures for edit distance.
 
 A text's k-mers of code points are numbered by occurrence, so that (k-mer, occurrence) pairs are
-distinct. One hash deals the pairs into `SIGNATURES` bins; in each, the two pairs of least hash
-are selected, put back in text order and hashed together, so the signature agrees only if two
-texts select the same pairs in the same order. An empty bin takes the value of the next non-empty
-bin along a hash order of its own. A text shorter than `K` is its own only k-mer; the empty text
-has a fingerprint of zeros, like only another empty text's.
+distinct. Each of the `SIGNATURES` selections hashes all pairs by a function of its own and takes
+the two of least hash, which are put back in text order and hashed together, so the signature
+agrees only if two texts select the same pairs in the same order. A text of one pair selects that
+one; a text shorter than `K` is its own only k-mer; the empty text has a fingerprint of zeros,
+like only another empty text's.
 
 Null text counts as empty. Documents are followed in descending id; ties of ids are ordered by a
 hash of the text. Extra columns are ignored, repeated rows stay repeated, empty tables give no rows.
@@ -24,6 +24,8 @@ from .common import ship
 
 K = 8
 SIGNATURES = 64
+#: Pairs hashed at a time: 64 rows of them stay in a core's cache.
+BLOCK = 4_096
 #: Documents of a range, which one task follows in order, and most ranges.
 RANGE_ROWS = 4_000
 MOST_RANGES = 20_000
@@ -58,11 +60,19 @@ def kmers(codes: np.ndarray) -> np.ndarray:
     return mixed(four[:-4] * _C + four[4:])
 
 
-def signature(codes: np.ndarray) -> np.ndarray:
-    """`SIGNATURES` values of 16 bits, none 0 but of the empty text."""
-    if not len(codes):
-        return np.zeros(SIGNATURES, dtype=np.uint16)
-    h = kmers(codes)
+def selectors() -> tuple[np.ndarray, np.ndarray]:
+    """An odd factor and a term for each of the `SIGNATURES` selections."""
+    rng = np.random.default_rng(8)
+    return (rng.integers(0, 1 << 31, SIGNATURES, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None], rng.integers(0, 1 << 32, SIGNATURES, dtype=np.uint32)[:, None]
+
+
+_FACTORS, _TERMS = selectors()
+_ROWS = np.arange(SIGNATURES)
+_NONE = np.uint32(0xFFFFFFFF)
+
+
+def numbered_pairs(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, place) of every (k-mer, occurrence) pair, in order of the k-mers' hashes."""
     n = len(h)
     at = np.arange(n, dtype=np.uint64)
     if n <= 1 << 20:
@@ -76,32 +86,45 @@ def signature(codes: np.ndarray) -> np.ndarray:
     begins = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
     lengths = np.diff(np.append(begins, n))
     occurrence = np.arange(n, dtype=np.uint64) - np.repeat(begins.astype(np.uint64), lengths)
-    pair = mixed(run * _C + occurrence)
-    if n <= 1 << 20:
-        key = (pair & ~_POS_MASK) | place
-        key.sort()
-        place, pair = key & _POS_MASK, key >> _POS
-    else:
-        order = np.argsort(pair, kind="stable")
-        place, pair = place[order], (pair >> _POS)[order]
-    # the high bits are the bin, so bins stand one after another, least hashes first
-    bins = (pair >> np.uint64(38)).astype(np.int64)
-    first = np.searchsorted(bins, np.arange(SIGNATURES + 1))
-    size = np.diff(first)
-    value = np.zeros(SIGNATURES, dtype=np.uint64)
-    has = size >= 1
-    i = first[:-1][has]
-    j = np.where(size[has] >= 2, i + 1, i)
+    return mixed(run * _C + occurrence), place
+
+
+def least_two(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of every selection, where its pairs of least and second least hash stand (-1: there is none)."""
+    low = (pairs >> _S32).astype(np.uint32)
+    best = np.full((2, SIGNATURES), _NONE)
+    where = np.full((2, SIGNATURES), -1, dtype=np.int64)
+    room = np.empty((SIGNATURES, min(BLOCK, len(low))), dtype=np.uint32)
+    for at in range(0, len(low), BLOCK):
+        some = low[at : at + BLOCK]
+        hashes = np.multiply(_FACTORS, some, out=room[:, : len(some)])
+        hashes += _TERMS
+        for _ in range(2):
+            i = hashes.argmin(axis=1)
+            value = hashes[_ROWS, i]
+            hashes[_ROWS, i] = _NONE
+            if len(some) == 1 and _ == 1:
+                break
+            # the new value goes before what it is less than; what it pushes out moves down
+            first = (value < best[0]) | (where[0] < 0)
+            second = ~first & ((value < best[1]) | (where[1] < 0))
+            best[1] = np.where(first, best[0], np.where(second, value, best[1]))
+            where[1] = np.where(first, where[0], np.where(second, at + i, where[1]))
+            best[0] = np.where(first, value, best[0])
+            where[0] = np.where(first, at + i, where[0])
+    return where[0], where[1]
+
+
+def signature(codes: np.ndarray) -> np.ndarray:
+    """`SIGNATURES` values of 16 bits, none 0 but of the empty text."""
+    if not len(codes):
+        return np.zeros(SIGNATURES, dtype=np.uint16)
+    pairs, place = numbered_pairs(kmers(codes))
+    i, j = least_two(pairs)
+    j = np.where(j < 0, i, j)
     swap = place[i] > place[j]
-    a, b = np.where(swap, pair[j], pair[i]), np.where(swap, pair[i], pair[j])
-    value[has] = mixed(a * _A + mixed(b + _C))
-    if not has.all():
-        filled = np.flatnonzero(has)
-        # an order of the bins of its own for each empty bin
-        for e in np.flatnonzero(~has):
-            donor = filled[np.argmin(mixed(filled.astype(np.uint64) + np.array([e + 1], dtype=np.uint64) * _C))]
-            value[e] = mixed(value[donor : donor + 1] + np.uint64(e + 1))[0]
-    out = (value >> np.uint64(48)).astype(np.uint16)
+    a, b = np.where(swap, pairs[j], pairs[i]), np.where(swap, pairs[i], pairs[j])
+    out = (mixed(a * _A + mixed(b + _C)) >> np.uint64(48)).astype(np.uint16)
     out[out == 0] = 1
     return out
 
