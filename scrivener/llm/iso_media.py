@@ -1,14 +1,17 @@
 """Media columns from ISO base media containers: boxes are walked and sample tables decoded, the
 media payload is never decoded.
 
-`describe` reads a container (any box order, 32- and 64-bit box sizes, boxes to the end of the file, nested boxes)
-and gives codec, timescale, duration, sample count and the byte range of every keyframe. `mux`
+`describe` reads a container (any box order, 32- and 64-bit box sizes, boxes to the end of the file,
+nested boxes, plain and compact sample sizes, movie fragments) and gives of every track its codec,
+timescale, duration, the media time at which its first edit begins, the sample count and the byte range
+of every keyframe. `mux`
 writes bytes losslessly as one track of 8-bit samples: `UNIT`-byte frames of codec `raw `, a
 keyframe every `GROUP` frames, `CHUNK` frames a chunk.
 
-Null text counts as empty (a payload of one frame of zeros); malformed, truncated,
-fragmented (moof) or null containers give a null description rather than an error; repeated rows stay repeated; extra
-columns are ignored.
+Null text counts as empty (a payload of one frame of zeros); malformed, truncated or null containers
+give a null description rather than an error: whatever a table claims is held against the box, the
+file and the other tables before anything is made for it. Repeated rows stay repeated; extra
+columns are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +31,9 @@ GROUP = 16
 CHUNK = 64
 RATE = 8_000
 #: Boxes that hold boxes.
-NESTS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta"}
+NESTS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"mvex", b"moof", b"traf"}
+#: Deepest nesting of boxes that is read; sample tables stand five deep.
+DEEPEST = 16
 
 
 class Malformed(ValueError):
@@ -54,9 +60,24 @@ def boxes(data: memoryview, at: int = 0, end: int | None = None) -> Iterator[tup
         raise Malformed("bytes after the last box")
 
 
-def tree(data: memoryview, at: int = 0, end: int | None = None) -> list:
-    """Nested [(kind, begin, end, children)]."""
-    return [(k, a, b, tree(data, a, b) if k in NESTS else []) for k, a, b in boxes(data, at, end)]
+def tree(data: memoryview) -> list:
+    """Nested [(kind, begin, end, children)], walked with a stack; nests deeper than `DEEPEST` are malformed."""
+    top: list = []
+    todo = [(0, len(data), top, 0)]
+    while todo:
+        begin, end, into, depth = todo.pop()
+        for kind, a, b in boxes(data, begin, end):
+            children: list = []
+            into.append((kind, a, b, children))
+            if kind in NESTS:
+                if depth == DEEPEST:
+                    raise Malformed("boxes nest too deep")
+                todo.append((a, b, children, depth + 1))
+    return top
+
+
+def _all(nodes: list, kind: bytes) -> list:
+    return [n for n in nodes if n[0] == kind]
 
 
 def _first(nodes: list, *path: bytes):
@@ -77,65 +98,187 @@ def _table(data: memoryview, node, entry: str, at: int = 8) -> list[tuple]:
     return list(struct.iter_unpack(entry, data[begin + at : begin + at + n * width]))
 
 
+def _sizes(view: memoryview, table: list) -> list[int]:
+    """Sample sizes: one for all, 32 bits each, or compact (4, 8 or 16 bits each)."""
+    compact = _all(table, b"stz2")
+    if compact and not _all(table, b"stsz"):
+        _, begin, end, _ = compact[0]
+        width, n = struct.unpack_from(">BI", view, begin + 7)
+        if width == 4:
+            if begin + 12 + (n + 1) // 2 > end:
+                raise Malformed("stz2 table passes its box")
+            return [x for byte in view[begin + 12 : begin + 12 + (n + 1) // 2] for x in (byte >> 4, byte & 15)][:n]
+        if width not in (8, 16):
+            raise Malformed(f"sample sizes of {width} bits")
+        return [x[0] for x in _table(view, compact[0], ">B" if width == 8 else ">H", 12)]
+    stsz = _first(table, b"stsz")
+    fixed, n = struct.unpack_from(">II", view, stsz[1] + 4)
+    if not fixed:
+        return [x[0] for x in _table(view, stsz, ">I", 12)]
+    # the file must hold that many before anything is made for them
+    if fixed * n > len(view):
+        raise Malformed("samples pass the file's end")
+    return [fixed] * n
+
+
+def _samples(view: memoryview, table: list, sizes: list[int]) -> list[tuple[int, int]]:
+    """(offset, size) of the samples, chunk by chunk."""
+    long = bool(_all(table, b"co64"))
+    chunks = [x[0] for x in _table(view, _first(table, b"co64" if long else b"stco"), ">Q" if long else ">I")]
+    runs = _table(view, _first(table, b"stsc"), ">III")
+    samples: list[tuple[int, int]] = []
+    for r, (start, per, _) in enumerate(runs):
+        stop = runs[r + 1][0] if r + 1 < len(runs) else len(chunks) + 1
+        if not 1 <= start < stop <= len(chunks) + 1 or not per:
+            raise Malformed("chunk runs out of order")
+        for at in chunks[start - 1 : stop - 1]:
+            for size in sizes[len(samples) : len(samples) + per]:
+                if at + size > len(view):
+                    raise Malformed("a sample passes the file's end")
+                samples.append((at, size))
+                at += size
+    if len(samples) != len(sizes) or runs and runs[0][0] != 1:
+        raise Malformed("sample tables disagree")
+    return samples
+
+
+def _times(view: memoryview, table: list, n: int) -> list[int]:
+    times: list[int] = []
+    t = 0
+    for count, delta in _table(view, _first(table, b"stts"), ">II"):
+        if len(times) + count > n:
+            raise Malformed("more times than samples")
+        times += range(t, t + count * delta, delta) if delta else [t] * count
+        t += count * delta
+    if len(times) != n:
+        raise Malformed("fewer times than samples")
+    return times
+
+
+def _keyframes(view: memoryview, table: list, n: int) -> list[int]:
+    """0-based numbers of the samples that can be decoded alone: all, unless a sync table names some."""
+    sync = _all(table, b"stss")
+    if not sync:
+        return list(range(n))
+    keys = [x[0] for x in _table(view, sync[0], ">I")]
+    if any(not 1 <= k <= n for k in keys) or any(a >= b for a, b in pairwise(keys)):
+        raise Malformed("the sync table names samples that are not there, or out of order")
+    return [k - 1 for k in keys]
+
+
+def _fragments(view: memoryview, top: list, found: dict[int, dict]) -> None:
+    """Append the samples of movie fragments (moof) to their tracks."""
+    defaults = {}
+    for trex in _all(_all(_first(top, b"moov")[3], b"mvex")[0][3], b"trex") if _all(_first(top, b"moov")[3], b"mvex") else []:
+        number, _, duration, size, flags = struct.unpack_from(">5I", view, trex[1] + 4)
+        defaults[number] = (duration, size, flags)
+    for moof in _all(top, b"moof"):
+        here = end = moof[1] - (8 if view[moof[1] - 4 : moof[1]] == b"moof" else 16)
+        for traf in _all(moof[3], b"traf"):
+            tfhd = _first(traf[3], b"tfhd")
+            which, number = struct.unpack_from(">II", view, tfhd[1])
+            if number not in found:
+                raise Malformed(f"a fragment of track {number}, which is not there")
+            track, at = found[number], tfhd[1] + 8
+            duration, size, flags = defaults.get(number, (0, 0, 0))
+            base = here if which & 0x20000 or traf is _all(moof[3], b"traf")[0] else end
+            if which & 0x1:
+                base, at = struct.unpack_from(">Q", view, at)[0], at + 8
+            at += 4 * bool(which & 0x2)
+            if which & 0x8:
+                duration, at = struct.unpack_from(">I", view, at)[0], at + 4
+            if which & 0x10:
+                size, at = struct.unpack_from(">I", view, at)[0], at + 4
+            if which & 0x20:
+                flags = struct.unpack_from(">I", view, at)[0]
+            for tfdt in _all(traf[3], b"tfdt"):
+                track["next"] = struct.unpack_from(">Q" if view[tfdt[1]] else ">I", view, tfdt[1] + 4)[0]
+            place = base
+            for trun in _all(traf[3], b"trun"):
+                has, n = struct.unpack_from(">II", view, trun[1])
+                at = trun[1] + 8
+                if has & 0x1:
+                    place, at = base + struct.unpack_from(">i", view, at)[0], at + 4
+                first = None
+                if has & 0x4:
+                    first, at = struct.unpack_from(">I", view, at)[0], at + 4
+                width = 4 * ((has >> 8) & 15).bit_count()
+                if at + n * width > trun[2] or not width and n * max(size, 1) > len(view):
+                    raise Malformed("a run passes its box or the file")
+                for k in range(n):
+                    d, z, f = duration, size, first if first is not None and not k else flags
+                    if has & 0x100:
+                        d, at = struct.unpack_from(">I", view, at)[0], at + 4
+                    if has & 0x200:
+                        z, at = struct.unpack_from(">I", view, at)[0], at + 4
+                    if has & 0x400:
+                        f, at = struct.unpack_from(">I", view, at)[0], at + 4
+                    at += 4 * bool(has & 0x800)
+                    if place < 0 or place + z > len(view):
+                        raise Malformed("a sample passes the file's end")
+                    if not f & 0x10000:
+                        track["keyframes"].append(len(track["samples"]))
+                    track["samples"].append((place, z))
+                    track["times"].append(track["next"])
+                    track["next"] += d
+                    place += z
+            end = place
+            track["duration"] = max(track["duration"], track["next"])
+
+
+def _edit(view: memoryview, trak) -> int:
+    """Media time at which the track's presentation begins: the first edit that is not empty."""
+    for edts in _all(trak[3], b"edts"):
+        for elst in _all(edts[3], b"elst"):
+            wide = view[elst[1]] == 1
+            for _, start, _ in _table(view, elst, ">Qqi" if wide else ">Iii"):
+                if start >= 0:
+                    return start
+    return 0
+
+
 def tracks(data: bytes) -> list[dict]:
-    """The tracks of a container: handler, codec, timescale, duration, samples (offset, size),
-    decoding times and 0-based keyframes."""
+    """The tracks of a container: handler, codec, timescale, duration, start (media time of the first
+    edit), samples (offset, size), decoding times and 0-based keyframes."""
     view = memoryview(data)
     try:
-        found, top = [], tree(view)
-        if any(n[0] == b"moof" for n in top):
-            raise Malformed("a fragmented file: its samples are not in the sample tables")
-        for trak in (n for n in _first(top, b"moov")[3] if n[0] == b"trak"):
+        found: dict[int, dict] = {}
+        top = tree(view)
+        for trak in _all(_first(top, b"moov")[3], b"trak"):
             mdhd, hdlr = _first(trak[3], b"mdia", b"mdhd"), _first(trak[3], b"mdia", b"hdlr")
             table = _first(trak[3], b"mdia", b"minf", b"stbl")[3]
             wide = view[mdhd[1]] == 1
             timescale, duration = struct.unpack_from(">IQ" if wide else ">II", view, mdhd[1] + (20 if wide else 12))
+            if duration >= 1 << 63:
+                raise Malformed("a duration beyond 63 bits")
             stsd = _first(table, b"stsd")
             codec = bytes(view[stsd[1] + 12 : stsd[1] + 16]).decode("latin-1")
-            fixed, n = struct.unpack_from(">II", view, _first(table, b"stsz")[1] + 4)
-            sizes = [fixed] * n if fixed else [x[0] for x in _table(view, _first(table, b"stsz"), ">I", 12)]
-            long = any(k[0] == b"co64" for k in table)
-            chunks = [x[0] for x in _table(view, _first(table, b"co64" if long else b"stco"), ">Q" if long else ">I")]
-            runs = _table(view, _first(table, b"stsc"), ">III")
-            samples, s = [], 0
-            for r, (start, per, _) in enumerate(runs):
-                stop = runs[r + 1][0] if r + 1 < len(runs) else len(chunks) + 1
-                for c in range(start - 1, stop - 1):
-                    at = chunks[c]
-                    for size in sizes[s : s + per]:
-                        samples.append((at, size))
-                        at += size
-                    s += per
-            if len(samples) != n or any(a + z > len(view) for a, z in samples[-1:]):
-                raise Malformed("sample tables disagree")
-            times, t = [], 0
-            for count, delta in _table(view, _first(table, b"stts"), ">II"):
-                times += range(t, t + count * delta, delta) if delta else [t] * count
-                t += count * delta
-            sync = next((k for k in table if k[0] == b"stss"), None)
-            keys = [x[0] - 1 for x in _table(view, sync, ">I")] if sync else list(range(n))
-            found.append({"handler": bytes(view[hdlr[1] + 8 : hdlr[1] + 12]).decode("latin-1"), "codec": codec, "timescale": timescale, "duration": duration, "samples": samples, "times": times, "keyframes": keys})
-        return found
-    except (struct.error, IndexError, MemoryError) as e:
-        raise Malformed(str(e)) from e
+            sizes = _sizes(view, table)
+            samples, times = _samples(view, table, sizes), _times(view, table, len(sizes))
+            head = _all(trak[3], b"tkhd")
+            number = struct.unpack_from(">I", view, head[0][1] + (20 if view[head[0][1]] == 1 else 12))[0] if head else -1 - len(found)
+            if number in found:
+                number = -1 - len(found)
+            handler = bytes(view[hdlr[1] + 8 : hdlr[1] + 12]).decode("latin-1")
+            found[number] = {"handler": handler, "codec": codec, "timescale": timescale, "duration": duration, "start": _edit(view, trak), "samples": samples, "times": times, "keyframes": _keyframes(view, table, len(sizes)), "next": 0}
+        _fragments(view, top, found)
+        if not found:
+            raise Malformed("no track")
+        return list(found.values())
+    except (struct.error, IndexError, ValueError, OverflowError, MemoryError) as e:
+        raise e if isinstance(e, Malformed) else Malformed(str(e)) from e
 
 
 def described(track: dict) -> dict:
-    """Columns of a track: handler, codec, timescale, duration, n_samples and keyframes (sample,
+    """Columns of a track: handler, codec, timescale, duration, start, n_samples and keyframes (sample,
     time, offset, length), the range of each the keyframe's own sample."""
     t = track
-    return {k: t[k] for k in ("handler", "codec", "timescale", "duration")} | {"n_samples": len(t["samples"]), "keyframes": [(k, t["times"][k], *t["samples"][k]) for k in t["keyframes"]]}
+    return {k: t[k] for k in ("handler", "codec", "timescale", "duration", "start")} | {"n_samples": len(t["samples"]), "keyframes": [(k, t["times"][k], *t["samples"][k]) for k in t["keyframes"]]}
 
 
 def describe_tracks(data: bytes) -> list[dict]:
     """Columns of every track, in file order."""
-    found = tracks(data)
-    if not found:
-        raise Malformed("no track")
-    try:
-        return [described(t) for t in found]
-    except IndexError as e:
-        raise Malformed(str(e)) from e
+    return [described(t) for t in tracks(data)]
 
 
 def describe(data: bytes) -> dict:
@@ -145,8 +288,12 @@ def describe(data: bytes) -> dict:
 
 def samples_of(data: bytes) -> bytes:
     """The stored payload: the first track's samples in decoding order, as they stand."""
-    view, runs = memoryview(data), []
-    for at, size in tracks(data)[0]["samples"]:
+    return _payload(memoryview(data), tracks(data)[0])
+
+
+def _payload(view: memoryview, track: dict) -> bytes:
+    runs: list[list[int]] = []
+    for at, size in track["samples"]:
         if runs and runs[-1][1] == at:
             runs[-1][1] = at + size
         else:
@@ -206,7 +353,7 @@ def padded(text: str | None) -> tuple[int, bytes]:
 
 
 KEYFRAMES = "array<struct<sample:long,time:long,offset:long,length:long>>"
-TRACKS = f"array<struct<handler:string,codec:string,timescale:long,duration:long,n_samples:long,keyframes:{KEYFRAMES}>>"
+TRACKS = f"array<struct<handler:string,codec:string,timescale:long,duration:long,start:long,n_samples:long,keyframes:{KEYFRAMES}>>"
 
 
 def media_columns(files: DataFrame, id_col: str, data_col: str) -> DataFrame:
@@ -240,9 +387,10 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             for key, text in zip(keys, texts, strict=True):
                 n, payload = padded(text)
                 media = mux(payload)
-                d = describe(media)
+                track = tracks(media)[0]
+                d = described(track)
                 ranges = zlib.crc32(b"".join(struct.pack(">4Q", *k) for k in d["keyframes"]))
-                yield key, n, media, samples_of(media), f"codec={d['codec'].strip()};timescale={d['timescale']};duration={d['duration']};samples={d['n_samples']};keyframes={len(d['keyframes'])};ranges={ranges:08x}"
+                yield key, n, media, _payload(memoryview(media), track), f"codec={d['codec'].strip()};timescale={d['timescale']};duration={d['duration']};samples={d['n_samples']};keyframes={len(d['keyframes'])};ranges={ranges:08x}"
 
         return rows
 
