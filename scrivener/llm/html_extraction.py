@@ -2,21 +2,24 @@
 
 First pass: every page is parsed leniently, its containers (article, main, section, div, td, body
 and the like) are scored by the text they hold, and the page votes for the best one's path, the
-tags and generalised classes (digits folded to N) from the root to it. In Spark the votes are
-summed by host and path; paths with at least `SHARE` of a host's votes win, best first. Second
-pass: every page is extracted again from all containers at its host's first winning path, in page
-order (folded digits give the parts of an article one path), if together they hold at least `KEEP` of
-what the page's own best container holds; else from that best container, and from it too where it
-stands around them, is not the body and holds more text. A class name speaks for an element against
-others beside it, not against the plain container around both.
-
-Text of menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
-comments is never text of a container: such elements are known by tag, role or class words.
+tags and generalised classes (numbers left out) from the root to it. In Spark the votes are summed
+by host and path; paths with at least `SHARE` of a host's votes win, best first. Second pass: every
+page is extracted again from all containers at its host's first winning path, in page order (without
+numbers, the parts of an article have one path), if together they hold at least `KEEP` of what the
+page's own best container holds; else from all at that best container's path, and from it too where
+it stands around them, is not the body and holds more text. Headlines and paragraphs that stand in
+the body itself go with containers that do so. A class name speaks for an element against others
+beside it, not against the plain container around both.
+
+Text of menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
+comments is never text of a container: such elements are known by tag, role or class words. The
+header of an article or main is its headline and stays.
 Character references are decoded, white space inside a block becomes one space, blocks are joined
 by a blank line.
 
 Null or empty html gives an empty text; a null or hostless url votes as host ""; truncated pages,
-unclosed and stray tags are read as browsers do, roughly; equal scores go to the deeper, then the
+unclosed and stray tags are read as browsers do, roughly, and elements beyond `DEEPEST` open ones
+stand side by side; a page takes time in proportion to its length; equal scores go to the deeper, then the
 earlier container, equal votes to the longer, then the lesser path. Repeated rows vote and are
 extracted each; extra columns are ignored; empty tables give no rows.
 """
@@ -24,17 +27,21 @@ extracted each; extra columns are ignored; empty tables give no rows.
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_rows, stored
 
 SHARE = 0.1
 KEEP = 0.5
-#: Winning paths are broadcast up to this many, else joined by salted host.
+#: Winning paths are broadcast up to this many hosts and characters, else joined by salted host.
 BROADCAST_PATHS = 100_000
+BROADCAST_CHARS = 32 << 20
 SALTS = 64
 
 #: Element names of HTML.
@@ -45,7 +52,7 @@ BLOCK = set(
     " h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 CONTAINERS = {"article", "main", "section", "div", "td", "body", "center", "blockquote", "dd", "li", "figure", "details"}
-DROPPED = {"head", "nav", "header", "footer", "aside", "form", "button", "select", "option", "menu", "dialog", "svg", "math", "canvas", "audio", "video", "object", "label", "fieldset", "input"} | RAW
+DROPPED = {"head", "nav", "header", "footer", "aside", "form", "button", "select", "option", "menu", "dialog", "svg", "canvas", "audio", "video", "label", "fieldset", "input"} | RAW
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar"}
 #: Class and id words of what is not the article.
 ASIDE_WORDS = set(
@@ -73,10 +80,65 @@ SCOPES = {"table", "td", "th", "caption", "html", "body"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 BOOST = {"article": 1.5, "main": 1.3, "body": 0.8, "li": 0.5, "dd": 0.5, "blockquote": 0.6, "figure": 0.4, "details": 0.6}
 
-TOKEN = re.compile(r"<!--(?:.*?--!?>|>)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+QUOTE_OR_END = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 PARTS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
-RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>|</{t}$", re.I) for t in RAW}
+RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|$)", re.I) for t in RAW}
+#: Elements open at a time; deeper ones stand beside the last, as browsers have it.
+DEEPEST = 512
+
+
+def tokens(html: str) -> Iterator[tuple[str, bool, str, int, int]]:
+    """(name, whether an end tag, attributes, begin, end) of the tags and, under the name "", of comments and
+    declarations, each looked for behind what the consumer sends back (or the token's end). In time
+    linear in the page: what is found missing once is not looked for again, and once quotes
+    that do not pair have cost as much as reading the page, tags end at their first ">"."""
+    n, at, wasted, comments = len(html), 0, 0, True
+    while True:
+        at = html.find("<", at)
+        if at < 0 or at + 1 >= n:
+            return
+        c = html[at + 1]
+        if html.startswith("<!--", at):
+            end = -1
+            if html.startswith((">", "->"), at + 4):
+                end = html.find(">", at + 4) + 1
+            elif comments:
+                ends = [x + 3 + k for k, mark in ((0, "-->"), (1, "--!>")) if (x := html.find(mark, at + 4)) >= 0]
+                comments = bool(ends)
+                end = min(ends, default=-1)
+            if end < 0:
+                end = html.find(">", at) + 1 or n
+            at = (yield "", False, "", at, end) or end
+        elif c in "!?" or c == "/" and not html[at + 2 : at + 3].isalpha():
+            end = html.find(">", at) + 1 or n
+            at = (yield "", False, "", at, end) or end
+        elif c == "/" or c.isascii() and c.isalpha():
+            m = NAME.match(html, at + 1 + (c == "/"))
+            if m is None:
+                at += 1
+                continue
+            plain = html.find(">", m.end())
+            if plain < 0:  # a tag cut short by the page's end
+                yield "", False, "", at, n
+                return
+            end, here = plain, m.end()
+            while wasted <= n:
+                q = QUOTE_OR_END.search(html, here)
+                if q is None:
+                    wasted += n - at
+                    break
+                if q[0] == ">":
+                    end = q.start()
+                    break
+                here = html.find(q[0], q.end()) + 1
+                if not here:
+                    wasted += n - at
+                    break
+            at = (yield m[0].lower(), c == "/", html[m.end() : end], at, end + 1) or end + 1
+        else:
+            at += 1
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -90,44 +152,56 @@ def words_of(name: str) -> set[str]:
     return {w.lower() for w in PARTS.findall(name)}
 
 
-def sort_of(tag: str, attrs: dict[str, str]) -> tuple[bool, bool, bool]:
+def generalised(name: str) -> str:
+    """A class name without its numbers: "part", "part2" and "part-17" are one."""
+    return re.sub(r"[-_]*\d+", "", name) or "N"
+
+
+def sort_of(tag: str, attrs: dict[str, str], story: bool = False) -> tuple[bool, bool, bool]:
     """Whether an element is dropped, whether as comments or links to other pages, and whether its
-    names speak for the article."""
+    names speak for the article. In a `story` (an article or main) headers are its own headlines."""
     names = [w for n in [*attrs.get("class", "").split(), attrs.get("id", "")] if not (w := words_of(n)) & ABOUT_WORDS]
-    aside = set().union(*names) & ASIDE_WORDS if names else set()
+    aside = set().union(*names) & ASIDE_WORDS - ({"header"} if story else set()) if names else set()
     main = any(n & MAIN_WORDS and not n & ASIDE_WORDS for n in names)
     if tag in ("html", "body", "main"):
         return False, False, main
     hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
     by_name = bool(aside) and not main
-    return tag in DROPPED or hidden or attrs.get("role", "").lower() in ROLES or by_name, bool(aside & COMMENT_WORDS), main
+    return tag in DROPPED and not (story and tag == "header") or hidden or attrs.get("role", "").lower() in ROLES or by_name, bool(aside & COMMENT_WORDS), main
+
+
+@lru_cache(20_000)
+def _known(tag: str, raw: str, story: bool) -> tuple[bool, bool, float, str]:
+    """Of an element with these attributes: dropped, comments or links, boost, step of a path."""
+    attrs = attributes(raw) if raw and raw != "/" else {}
+    dropped, talk, main = sort_of(tag, attrs, story)
+    step = ".".join([tag, *sorted({generalised(c) for c in attrs.get("class", "").split()})])
+    return dropped, talk, BOOST.get(tag, 1.0) * (1.3 if main else 1.0), step
 
 
 class Node:
-    __slots__ = ("tag", "parent", "step", "dropped", "talk", "boost", "depth", "score", "order", "link")
+    __slots__ = ("tag", "parent", "step", "key", "dropped", "talk", "boost", "depth", "sum", "score", "order", "link", "holder")
 
-    def __init__(self, tag: str, parent: Node | None, attrs: dict[str, str], order: int):
+    def __init__(self, tag: str, parent: Node | None, raw: str, order: int):
         self.tag, self.parent, self.order = tag, parent, order
         self.depth = parent.depth + 1 if parent else 0
-        dropped, talk, main = sort_of(tag, attrs)
+        known = _known if len(raw) <= 200 else _known.__wrapped__
+        dropped, talk, self.boost, self.step = known(tag, raw, parent is not None and parent.holds_story())
         self.talk = talk or bool(parent and parent.talk)
         if parent and parent.dropped and (tag == "main" or tag == "article" and not dropped and not self.talk):
             self.dropped = dropped  # an article inside an unclosed menu or notice
         else:
             self.dropped = dropped or bool(parent and parent.dropped)
         self.link = tag == "a" or bool(parent and parent.link)
-        self.step = ".".join([tag, *sorted({re.sub(r"\d+", "N", c) for c in attrs.get("class", "").split()})])
-        self.boost = BOOST.get(tag, 1.0) * (1.3 if main else 1.0)
-        self.score = 0.0
+        self.key = parent.key if parent else ()
+        if parent and (tag in CONTAINERS or tag == "html"):
+            self.key = hash((self.key, self.step))
+        self.holder = self if tag in CONTAINERS or parent is None else parent.holder
+        self.sum = self.score = 0.0
 
-    def worth(self) -> float:
-        return self.score / self.boost
-
-    def inside(self, other: Node) -> bool:
-        node = self
-        while node is not None and node is not other:
-            node = node.parent
-        return node is other
+    def holds_story(self) -> bool:
+        """Whether this is in an article or main, whose headers are the article's own."""
+        return self.tag in ("article", "main") or self.holder is not self and self.holder.tag in ("article", "main")
 
     def path(self) -> str:
         steps, node = [], self
@@ -138,18 +212,32 @@ class Node:
         return ">".join(reversed(steps))
 
 
+def key_of(path: str):
+    """What nodes at this path have as their key."""
+    key = ()
+    for step in path.split(">"):
+        key = hash((key, step))
+    return key
+
+
 class Page:
-    """A parsed page: its blocks of text, each with the element it stands in."""
+    """A parsed page: its blocks of text, each with the container it stands in."""
 
     def __init__(self, html: str | None):
-        self.root = Node("", None, {}, 0)
+        self.root = Node("", None, "", -1)
         self.blocks: list[tuple[Node, str, int]] = []  # innermost container, text, link characters
         self.nodes: list[Node] = []
         self._read(html or "")
+        # worth of all text inside: a good article's characters, less twice those of links
+        for holder, text, links in self.blocks:
+            holder.sum += len(text) - 2.0 * links
+        for node in reversed(self.nodes):
+            node.parent.sum += node.sum
+            node.score = node.sum * node.boost if node.tag in CONTAINERS else 0.0
 
     def _read(self, html: str) -> None:
-        seen: dict[str, tuple[str, dict[str, str]]] = {}
         stack = [self.root]
+        open_: Counter[str] = Counter()
         runs: list[tuple[str, bool]] = []
         at, n = 0, len(html)
 
@@ -158,81 +246,77 @@ class Page:
                 text = " ".join("".join(t for t, _ in runs).split())
                 if text:
                     links = sum(len(t.strip()) for t, link in runs if link)
-                    holder = next(x for x in reversed(stack) if x.tag in CONTAINERS or x is self.root)
-                    self.blocks.append((holder, text, links))
+                    self.blocks.append((stack[-1].holder, text, links))
                 runs.clear()
 
         def pop(k: int) -> None:
             if any(x.tag in BLOCK for x in stack[k:]):
                 flush()
+            for x in stack[k:]:
+                open_[x.tag] -= 1
             del stack[k:]
 
-        def open_(tag: str, attrs: dict[str, str]) -> None:
-            node = Node(tag, stack[-1], attrs, len(self.nodes))
-            self.nodes.append(node)
-            stack.append(node)
-
         def put(text: str) -> None:
             top = stack[-1]
             if text and not top.dropped:
                 runs.append((unescape(text) if "&" in text else text, top.link))
 
-        while at < n:
-            m = TOKEN.search(html, at)
-            if not m:
-                rest = html[at:]
-                cut = re.search(r"<(?:[a-zA-Z/!?][^>]*)$", rest)  # a tag or comment cut short
-                put(rest[: cut.start()] if cut else rest)
-                break
-            put(html[at : m.start()])
-            at = m.end()
-            tag = (m[2] or m[5] or "").lower()
-            if not tag:
-                continue
-            if m[1] or m[4]:
-                self._close(tag, stack, pop)
-                continue
-            raw = m[3] or m[6] or ""
-            attrs = attributes(raw) if raw and raw != "/" else {}
-            if tag in BLOCK or tag in DROPPED and tag not in ("button", "select", "option", "label", "input"):
-                flush()
-            elif tag == "br":
-                put(" ")
-            if tag in VOID:
-                continue
-            if tag in ("html", "body"):
-                if any(x.tag == tag for x in stack):
-                    continue
-            if tag in BLOCK and tag not in ("html", "head"):
-                k = next((i for i, x in enumerate(stack) if x.tag == "head"), None)
-                if k:  # a block ends an open head
-                    pop(k)
-            if tag in IMPLIED:
-                ends, until = IMPLIED[tag]
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag in until:
-                        break
-                    if stack[k].tag in ends:
-                        pop(k)
-            elif tag in BLOCK and tag not in ("html", "body"):
-                # a block ends an open paragraph or heading with the inline elements left open in it
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == "p" or stack[k].tag in HEADINGS and tag in HEADINGS:
-                        pop(k)
-                        break
-                    if stack[k].tag in BLOCK:
-                        break
-            if tag in RAW:
-                end = RAW_END[tag].search(html, at)
-                at = end.end() if end else n
-                continue
-            open_(tag, attrs)
-            if raw.endswith("/") and tag in ("svg", "math", "path"):
-                stack.pop()
+        found = tokens(html)
+        token = next(found, None)
+        while token is not None:
+            tag, is_end, raw, begin, end = token
+            put(html[at:begin])
+            at = end
+            if is_end:
+                self._close(tag, stack, open_, pop)
+            elif tag:
+                at = self._open(tag, raw, html, at, stack, open_, flush, pop, put)
+            try:
+                token = found.send(at)
+            except StopIteration:
+                token = None
+        put(html[at:])
         flush()
 
-    def _close(self, tag: str, stack: list[Node], pop) -> None:
-        if tag in ("html", "body"):
+    def _open(self, tag: str, raw: str, html: str, at: int, stack: list[Node], open_: Counter, flush, pop, put) -> int:
+        """Opens an element, ending those that it ends; returns where to read on."""
+        if tag in BLOCK or tag in DROPPED and tag not in ("button", "select", "option", "label", "input"):
+            flush()
+        elif tag == "br":
+            put(" ")
+        if tag in VOID or tag in ("html", "body") and open_[tag]:
+            return at
+        if tag in BLOCK and tag not in ("html", "head") and open_["head"]:
+            pop(next(i for i, x in enumerate(stack) if x.tag == "head"))  # a block ends an open head
+        if tag in IMPLIED:
+            ends, until = IMPLIED[tag]
+            for k in range(len(stack) - 1, 0, -1) if any(open_[x] for x in ends) else ():
+                if stack[k].tag in until:
+                    break
+                if stack[k].tag in ends:
+                    pop(k)
+        elif tag in BLOCK and tag not in ("html", "body"):
+            # a block ends an open paragraph or heading with the inline elements left open in it
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k].tag == "p" or stack[k].tag in HEADINGS and tag in HEADINGS:
+                    pop(k)
+                    break
+                if stack[k].tag in BLOCK:
+                    break
+        if tag in RAW:
+            close = RAW_END[tag].search(html, at)
+            return (html.find(">", close.end()) + 1 or len(html)) if close else len(html)
+        if len(stack) >= DEEPEST:
+            pop(len(stack) - 1)
+        node = Node(tag, stack[-1], raw, len(self.nodes))
+        self.nodes.append(node)
+        if not (raw.endswith("/") and tag in ("svg", "math", "path")):
+            stack.append(node)
+            open_[tag] += 1
+        return at
+
+    def _close(self, tag: str, stack: list[Node], open_: Counter, pop) -> None:
+        if tag in ("html", "body") or not (any(open_[h] for h in HEADINGS) if tag in HEADINGS else open_[tag]):
             return
         for k in range(len(stack) - 1, 0, -1):
             here = stack[k].tag
@@ -242,49 +326,36 @@ class Page:
             if tag not in BLOCK and here in BLOCK and here != "p" or here in SCOPES and tag not in ("table", "tr", "tbody", "thead", "tfoot"):
                 return
 
-    def scored(self) -> list[Node]:
-        """The containers that hold text, with the text a good article would have: characters less
-        twice those of links."""
-        found: dict[int, Node] = {}
-        for node in self.nodes:
-            node.score = 0.0
-        for holder, text, links in self.blocks:
-            worth = len(text) - 2.0 * links
-            node = holder
-            while node.parent:
-                if node.tag in CONTAINERS:
-                    node.score += worth * node.boost
-                    found[node.order] = node
-                node = node.parent
-        return list(found.values())
-
     def best(self) -> Node | None:
-        top = max((x for x in self.scored() if x.score > 0), key=lambda x: (x.score, x.depth, -x.order), default=None)
+        top = max((x for x in self.nodes if x.score > 0), key=lambda x: (x.score, x.depth, -x.order), default=None)
         node = top.parent if top is not None and top.tag not in ("article", "main") else None
-        while node is not None and node.tag not in ("body", "html"):
+        while node is not None and node.tag not in ("body", "html", ""):
             # headline, lead and further text beside an element of a telling name
             if node.tag in CONTAINERS:
                 if node.boost < 1:
                     break
-                if node.worth() > top.worth():
+                if node.sum > top.sum:
                     top = node
                 if node.tag in ("article", "main"):
                     break
             node = node.parent
         return top
 
+    def within(self, tops: list[Node]) -> list[bool]:
+        """Of every element, by its order, whether it is one of `tops` or inside one."""
+        wanted, inside = {x.order for x in tops}, []
+        for node in self.nodes:
+            inside.append(node.order in wanted or node.parent.order >= 0 and inside[node.parent.order])
+        return inside
+
     def text_of(self, tops: list[Node]) -> str:
-        """Text of the containers, in page order; of the whole page if there are none."""
+        """Text of the containers, in page order; of the whole page if there are none. Text that stands
+        in the body itself, beside containers that are no article or main, belongs to them."""
         if not tops:
             return "\n\n".join(text for _, text, _ in self.blocks)
-        wanted, out = {x.order for x in tops}, []
-        for holder, text, _ in self.blocks:
-            node = holder
-            while node.parent and node.order not in wanted:
-                node = node.parent
-            if node.parent:
-                out.append(text)
-        return "\n\n".join(out)
+        inside = self.within(tops)
+        loose = all(x.tag not in ("article", "main") and x.parent.holder.tag in ("body", "") for x in tops)
+        return "\n\n".join(text for holder, text, _ in self.blocks if (inside[holder.order] if holder.order >= 0 else False) or loose and holder.tag in ("body", ""))
 
 
 def extract(html: str | None, winners: list[str]) -> tuple[str, str | None]:
@@ -293,17 +364,18 @@ def extract(html: str | None, winners: list[str]) -> tuple[str, str | None]:
     best = page.best()
     if best is None:
         return page.text_of([]), None
-    by_path: dict[str, list[Node]] = {}
-    for node in page.scored() if winners else []:
+    by_key: dict[int, list[Node]] = {}
+    for node in page.nodes:
         if node.score > 0:
-            by_path.setdefault(node.path(), []).append(node)
+            by_key.setdefault(node.key, []).append(node)
+    inside = page.within([best])
     for path in winners:
-        nodes = by_path.get(path, [])
+        nodes = by_key.get(key_of(path), [])
         if nodes and sum(x.score for x in nodes) >= KEEP * best.score:
-            if best.tag != "body" and all(x.inside(best) for x in nodes) and sum(x.worth() for x in nodes) < best.worth() - 0.5:
-                break
+            if best.tag != "body" and all(inside[x.order] for x in nodes) and sum(x.sum for x in nodes) < best.sum - 0.5:
+                break  # more text of the article stands around them
             return page.text_of(nodes), path
-    return page.text_of([best]), best.path()
+    return page.text_of(by_key[best.key]), best.path()
 
 
 def host_of(url: Column) -> Column:
@@ -323,13 +395,14 @@ def votes(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
         return rows
 
     cast = map_rows(pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col)), make, "host string, path string")
-    return cast.groupBy("host", "path").agg(F.count("*").alias("n"))
+    # written, so that the join with the hosts' totals has a plain shuffle, which can be split for a host of very many paths
+    return stored(cast.groupBy("host", "path").agg(F.count("*").alias("n")), "html-votes")
 
 
 def winning_paths(voted: DataFrame) -> DataFrame:
-    """(host, paths): a host's paths with at least `SHARE` of its votes, most first."""
-    host = Window.partitionBy("host")
-    kept = voted.withColumn("all", F.sum("n").over(host)).filter(F.col("n") >= F.col("all") * SHARE)
+    """(host, paths): a host's paths with at least `SHARE` of its votes (1 / `SHARE` at most), most first."""
+    totals = stored(voted.groupBy("host").agg(F.sum("n").alias("all")), "html-hosts")
+    kept = voted.join(totals, "host").filter(F.col("n") >= F.col("all") * SHARE)
     listed = kept.groupBy("host").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), (-F.length("path")).alias("l"), "path"))).alias("w"))
     return listed.select("host", F.transform("w", lambda x: x["path"]).alias("paths"))
 
@@ -338,7 +411,8 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     """(id, url, text, path) of every page."""
     winners = stored(winning_paths(votes(pages, url_col, html_col)), "html-paths")
     rows = pages.select(F.col(id_col), F.col(url_col), F.col(html_col), host_of(F.col(url_col)).alias("host_"))
-    if winners.count() <= BROADCAST_PATHS:
+    hosts, chars = winners.agg(F.count("*"), F.coalesce(F.sum(F.length("host") + F.length(F.array_join("paths", ""))), F.lit(0))).first()
+    if hosts <= BROADCAST_PATHS and chars <= BROADCAST_CHARS:
         rows = rows.join(F.broadcast(winners), rows["host_"] == winners["host"], "left")
     else:
         salt = F.pmod(F.xxhash64(id_col), F.lit(SALTS))
