@@ -2,7 +2,11 @@
 
 A group is dealt into hash blocks; block sums give each block its offset, and only the rows of
 one block are ordered together. The blocks of a group are capped (`MOST_BLOCKS`), which bounds the
-table of offsets, not the rows: a group of any size keeps all its rows.
+table of offsets, not the rows: a group of any size keeps all its rows, and of 50 TB a block has 50 MB.
+
+The block of a row follows from its key alone, so rows of one key share a block; null keys are a key;
+rows that tie in key and in all `ties` are alike, and any order of them is the same; empty tables
+give no rows. Columns named block_, rank_, from_, sum_ and start_ must be free.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Most hash blocks of a group.
-MOST_BLOCKS = 4096
+MOST_BLOCKS = 1 << 20
 
 
 def blocks_of(n: int, each: int) -> int:

@@ -1,12 +1,13 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-Every source is laid out as a line of words in hash blocks of permuted order. The mix takes the
-first `target` words of the line, over again from its start where the target passes the source's
-size, so a source's words are met to the word and at most one document of it is cut per pass.
-The blocks so drawn are a source's quota. A binary tree over the output shards splits the quotas:
-at each node the left half's blocks by source are one multivariate-hypergeometric draw, so each
-shard holds equally many blocks (within one) and all quotas are met exactly. A shard's blocks are
-consecutive, disjoint ranks of the permuted blocks; rows are shuffled within the shard by a hash.
+Every source is laid out as a line of words in hash blocks of permuted order. A source's quota is
+the blocks that hold the first `target` words of the line, over again from its start where the target
+passes the source's size. A binary tree over the output shards splits the quotas: at each node the
+left half's blocks by source are one multivariate-hypergeometric draw, so each shard holds equally
+many blocks (within one) and all quotas are met exactly. A shard draws its share of each source as
+consecutive, disjoint ranks of the permuted blocks; what no shard draws is not in the mix. The
+last block of a pass is cut at the target, so a source's words are met to the word and at most one
+document of it is cut per pass. `mix` gathers a shard's blocks into files and shuffles each locally.
 
 Only counts by source reach the driver; a source's rows are never in one task. Null source is a
 source of its own, the last; null or empty text has size 0 and is never drawn; empty tables give
@@ -28,7 +29,9 @@ MOST = 2.0
 SHARDS = 16
 BLOCK_WORDS = 65_536
 SEED = 20_240
-DRAWS = "array<struct<epoch:int,shard:int,words:long,order:long>>"
+#: Words of a file of a shard.
+FILE_WORDS = 16 << 20
+DRAWS = "array<struct<epoch:int,shard:int,block:int,file:int,words:long,order:long>>"
 
 
 def targets(sizes: list[int], weights: list[float], total: float, most: float) -> list[float]:
@@ -80,10 +83,10 @@ def _hypergeometric(rng, counts: np.ndarray, take: int) -> np.ndarray:
     return out
 
 
-def plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", *, weights=WEIGHTS, share: float = SHARE, most: float = MOST, shards: int = SHARDS, block_words: int = BLOCK_WORDS, seed: int = SEED, keep: list[str] = ()) -> DataFrame:
-    """One row per row of `docs`: id, `size`, `source_size`, `target` (its source's), `draws` (the
-    words taken of it by pass, with shard and place in the shard's shuffle) and `row`, a struct of the
-    columns `keep`."""
+def plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", *, weights=WEIGHTS, share: float = SHARE, most: float = MOST, shards: int = SHARDS, block_words: int = BLOCK_WORDS, file_words: int = FILE_WORDS, seed: int = SEED, keep: list[str] = ()) -> DataFrame:
+    """One row per row of `docs`: id, `size`, `source_size`, `target` (its source's), `draws` (what the
+    shards draw of it: pass, shard, block of its source's line, file of the shard, words and place in the
+    file's shuffle) and `row`, a struct of the columns `keep`."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id_"), F.col(source_col).alias("source_"), n_words(F.col(text_col)).alias("size_"), F.xxhash64(text_col).alias("tie_"), *([F.struct(*keep).alias("row_")] if keep else []))
     light = stored(rows.select("id_", "source_", "size_", "tie_"), "mix-sizes")
@@ -109,28 +112,36 @@ def plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", te
     tree = np.cumsum(splitting_tree([sum(c) for c in counts], shards, seed), axis=0)
     edges = spark.createDataFrame([(i, [int(x) for x in tree[:, i]], [int(sum(c[:e])) for e in range(len(c))]) for i, c in enumerate(counts)], "source_no_ int, edges_ array<long>, first_ array<long>")
 
+    files = max(1, -(-sum(words) // (shards * file_words)))
+
     def draw(e: int):
+        # the shard whose ranks hold the block's; beyond the last edge no shard draws it
         at = F.col("rank_") + F.col("first_")[e]
         return F.struct(
             F.lit(e).alias("epoch"),
             F.size(F.filter("edges_", lambda x: x <= at)).alias("shard"),
+            F.col("block_").alias("block"),
+            F.pmod(F.xxhash64("source_no_", "block_", F.lit(e), F.lit(seed)), F.lit(files)).alias("file"),
             F.greatest(F.least(F.col("size_"), limit[e] - F.col("start_")), F.lit(0)).alias("words"),
             F.xxhash64("id_", "tie_", F.lit(e), F.lit(seed)).alias("order"),
         )
 
-    draws = F.filter(F.array(*[draw(e) for e in passes]), lambda d: d["words"] > 0).cast(DRAWS)
+    draws = F.filter(F.array(*[draw(e) for e in passes]), lambda d: (d["words"] > 0) & (d["shard"] < shards)).cast(DRAWS)
     line = lay_out(keyed(rows if keep else light), starts, "source_no_", F.col("id_"), "size_", seed, [F.col("id_"), F.col("size_"), F.col("tie_")])
     out = line.join(few(edges, len(names)), "source_no_")
     return out.select(F.col("id_").alias(id_col), F.col("size_").alias("size"), F.col("source_size_").alias("source_size"), F.col("target_").alias("target"), draws.alias("draws"), *([F.col("row_").alias("row")] if keep else []))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
-    """The mixed corpus: a row of `docs` for each draw, with its text cut to the words drawn
-    (one space between them) where a pass ends inside it, plus `mix_shard` and `mix_order` (sort a shard by it to shuffle it)."""
-    columns = docs.columns
+    """The mixed corpus, gathered by shard and shuffled: a row of `docs` for each draw, with its text
+    cut to the words drawn (one space between them) where a pass ends inside it, plus `mix_shard` and
+    `mix_file`. A shard's blocks are dealt by hash into files of about `file_words` words; a file is in one
+    partition, its rows in pseudo-random order. Columns of `docs` named mix_shard or mix_file are replaced."""
+    columns = [c for c in docs.columns if c not in ("mix_shard", "mix_file")]
     planned = plan(docs, id_col, source_col, text_col, keep=columns, **options)
     taken = planned.select(F.col("size").alias("size_"), F.explode("draws").alias("draw_"), F.col("row").alias("row_"))
     text = F.col("row_")[text_col]
     words = F.slice(F.split(F.ltrim(text, F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+"), F.lit(1), F.col("draw_.words").cast("int"))
     cut = F.when(F.col("draw_.words") < F.col("size_"), F.array_join(words, " ")).otherwise(text)
-    return taken.select(*[(cut if c == text_col else F.col("row_")[c]).alias(c) for c in columns], F.col("draw_.shard").alias("mix_shard"), F.col("draw_.order").alias("mix_order"))
+    rows = taken.select(*[(cut if c == text_col else F.col("row_")[c]).alias(c) for c in columns], F.col("draw_.shard").alias("mix_shard"), F.col("draw_.file").alias("mix_file"), F.col("draw_.order").alias("mix_order_"))
+    return rows.repartition("mix_shard", "mix_file").sortWithinPartitions("mix_shard", "mix_file", "mix_order_").drop("mix_order_")

@@ -31,20 +31,26 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the shards draw of each document; `shards` and `blocks` say which of them and of which
+    blocks of its source's line, by pass."""
     from . import mixing
 
     words = F.aggregate("draws", F.lit(0).cast("long"), lambda n, d: n + d["words"])
-    return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", words.alias("taken"))
+    of = lambda name: F.transform("draws", lambda d: d[name])
+    return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", words.alias("taken"), of("shard").alias("shards"), of("block").alias("blocks"))
 
 
 @query
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From 12 shards by source, as uneven as the sources are, to 16 shards of equal bytes."""
+    """From 12 shards by source, as uneven as the sources are, to 16 shards of equal bytes: the texts are
+    rewritten into the new shards' files and read back from them."""
     from . import resharding
 
-    docs = table(spark, sf_dir, "documents")
-    out = resharding.assign(docs, F.pmod(F.xxhash64("source"), F.lit(12)), 16)
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    out = resharding.resharded(docs, F.pmod(F.xxhash64("source"), F.lit(12)), 16)
+    text = F.coalesce("text", F.lit(""))
+    size, crc = (F.octet_length(text) + 1).cast("long"), F.crc32(text.cast("binary"))
+    return out.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
 @query
