@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import struct
 import zlib
 from collections import defaultdict
 
@@ -32,7 +33,7 @@ TEXT = "Fish & chips\n\nFirst bold text with a link and enough words to count as
 
 def test_page_is_extracted_without_what_surrounds_it():
     text, path = html_extraction.extract(PAGE, [])
-    assert text == TEXT and path.endswith("div.post.post-N")
+    assert text == TEXT and path.endswith("div.post")
 
 
 @pytest.mark.parametrize("html", [None, "", "   ", "<", "<p", "<!-- never closed <p>x", "<div><div><div>", "</p></div>", '<a href="x', "&#xFFFFFFFF; &unknown;", "<script>x"])
@@ -61,11 +62,60 @@ def test_parts_at_the_winning_path_are_joined():
     first, second = "the first part of it, told at length. " * 6, "the second part, somewhat shorter. " * 4
     page = f"<body><div class='wrap'><div class='part-1'><p>{first}</p></div><div class='part-2'><p>{second}</p></div></div></body>"
     whole = f"{first.strip()}\n\n{second.strip()}"
-    assert html_extraction.extract(page, ["html>body>div.wrap>div.part-N", "body>div.wrap>div.part-N"])[0] == whole
+    assert html_extraction.extract(page, ["html>body>div.wrap>div.part", "body>div.wrap>div.part"])[0] == whole
     loose = page.replace("part-2", "tail")
-    assert html_extraction.extract(loose, ["body>div.wrap>div.part-N"])[0] == whole
+    assert html_extraction.extract(loose, ["body>div.wrap>div.part"])[0] == whole
     bare = page.replace("<div class='wrap'>", "").replace("</div></body>", "</body>")
-    assert html_extraction.extract(bare, ["body>div.part-N"]) == (whole, "body>div.part-N")
+    assert html_extraction.extract(bare, ["body>div.part"]) == (whole, "body>div.part")
+    for second in ("part", "part2", "part_002"):  # without votes, too
+        assert html_extraction.extract(bare.replace("part-1", "part").replace("part-2", second), [])[0] == whole
+
+
+def test_headlines_in_headers_and_in_the_body_are_kept():
+    story = "the story itself, told at length. " * 4
+    for page in (
+        f"<body><header>Site</header><article><header class='entry-header'><h1>Title</h1></header><p>{story}</p></article><footer>c</footer></body>",
+        f"<body><main><header><h1>Title</h1></header><div><p>{story}</p></div></main></body>",
+        f"<body><nav>menu</nav><h1>Title</h1><div class='c'><p>{story}</p></div><div class='ad'>buy</div></body>",
+    ):
+        assert html_extraction.extract(page, [])[0] == f"Title\n\n{story.strip()}"
+    assert html_extraction.extract(f"<article><p>{story}</p><math>x = 2</math> <object>a figure</object></article>", [])[0] == f"{story.strip()}\n\nx = 2 a figure"
+
+
+PIECES = ["<div>x", "<!--", '<a b="', "<a ", "<span>x", "<ul><li>x", "<a '\">", "</script ", "</b>x", '<a b="c>d', "<a b='\"><i c=\"'>", "<td>x", "<li></li>"]
+
+
+@pytest.mark.parametrize("piece", PIECES)
+def test_time_grows_with_the_page(piece):
+    """Four times the broken markup takes some four times as long, not sixteen; text is not lost."""
+    import time
+
+    def seconds(n):
+        began = time.process_time()
+        text = html_extraction.extract(piece * n, ["body>div"])[0]
+        assert text.count("x") == (n if "x" in piece else 0)
+        return time.process_time() - began
+
+    seconds(1000)
+    assert seconds(40_000) < 8 * max(seconds(10_000), 0.05)
+
+
+def test_votes_and_winners_against_brute_force(spark, sf_dir):
+    """Votes by host counted outside Spark give the same winners; hosts of many paths keep those of a tenth."""
+    from collections import Counter
+    from urllib.parse import urlsplit
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    extra = [(1000 + i, f"http://many.example/{i}", f"<body><div class='{'ab'[i % 5 == 0]}{chr(99 + i % 20) if i % 2 else ''}'><p>{'word ' * (9 + i)}</p></div></body>") for i in range(60)]
+    pages = pages.unionByName(spark.createDataFrame(extra, "page_id long, url string, html string"))
+    cast = defaultdict(Counter)
+    for r in pages.collect():
+        best = html_extraction.Page(r["html"]).best()
+        if best is not None:
+            cast[(urlsplit(r["url"] or "").hostname or "").lower()][best.path()] += 1
+    expected = {h: sorted((p for p, n in c.items() if n * 10 >= sum(c.values())), key=lambda p: (-c[p], -len(p), p)) for h, c in cast.items()}
+    got = {r["host"]: r["paths"] for r in html_extraction.winning_paths(html_extraction.votes(pages)).collect()}
+    assert got == expected and len(cast["many.example"]) > 10 and 1 <= len(got["many.example"]) < 10
 
 
 def test_headline_and_lead_beside_a_named_element_are_kept():
@@ -129,17 +179,91 @@ def test_a_full_word_table_starts_anew():
 # --- media --------------------------------------------------------------------------------------
 
 
-def test_every_track_and_no_fragments(spark):
-    """An audio track before the video hides nothing; a fragmented file gives null."""
+def test_every_track(spark):
+    """An audio track before the video hides nothing."""
     one = iso_media.mux(bytes(64 * 20))
     trak = one[one.index(b"trak") - 4 : one.index(b"mdat") - 4]
     # the same track again, named video, behind the others at the file's end so that offsets hold
     moov = one[one.index(b"moov") - 4 : one.index(b"mdat") - 4] + trak.replace(b"soun", b"vide").replace(b"raw ", b"avc1")
     both = one.replace(b"moov", b"free") + len(moov).to_bytes(4, "big") + moov[4:]
-    files = spark.createDataFrame([(1, both), (2, one + b"\0\0\0\x08moof")], "id long, data binary")
+    files = spark.createDataFrame([(1, both)], "id long, data binary")
     got = {r["id"]: r for r in iso_media.media_columns(files, "id", "data").collect()}
     assert [(t["handler"], t["codec"], t["n_samples"], len(t["keyframes"])) for t in got[1]["tracks"]] == [("soun", "raw ", 20, 2), ("vide", "avc1", 20, 2)]
-    assert got[1]["codec"] == "raw " and got[2]["codec"] is None and got[2]["tracks"] is None
+    assert got[1]["codec"] == "raw "
+
+
+def box(kind, *parts):
+    body = b"".join(parts)
+    return struct.pack(">I4s", len(body) + 8, kind) + body
+
+
+def movie(*tables, duration=100, extra=b"", edits=b""):
+    """A file of one video track whose sample tables are `tables`."""
+    full = lambda kind, *parts: box(kind, bytes(4), *parts)
+    stsd = full(b"stsd", struct.pack(">I", 1), box(b"avc1", bytes(78)))
+    mdia = box(b"mdia", full(b"mdhd", struct.pack(">IIII", 0, 0, 1000, duration), bytes(4)), full(b"hdlr", bytes(4), b"vide", bytes(12)), box(b"minf", box(b"stbl", stsd, *tables)))
+    trak = box(b"trak", full(b"tkhd", struct.pack(">III", 0, 0, 7), bytes(68)), edits, mdia)
+    return box(b"ftyp", b"isom", bytes(4)) + box(b"moov", trak, extra)
+
+
+def table(kind, *numbers):
+    return box(kind, bytes(4), struct.pack(f">{len(numbers)}I", *numbers))
+
+
+def test_compact_sizes_edits_and_fragments():
+    empty = [table(b"stts", 0), table(b"stsc", 0), table(b"stsz", 0, 0), table(b"stco", 0)]
+    edits = box(b"edts", table(b"elst", 2, 5, 0xFFFFFFFF, 0x10000, 90, 40, 0x10000))
+    # compact sizes of 4 bits: 3, 1 and 2 bytes in one chunk at byte 8
+    small = [table(b"stts", 1, 3, 10), table(b"stsc", 1, 1, 3, 1), box(b"stz2", bytes(7), b"\4", struct.pack(">I", 3), b"\x31\x20"), table(b"stco", 1, 8), table(b"stss", 2, 1, 3)]
+    d = iso_media.describe(movie(*small, edits=edits))
+    assert (d["codec"], d["start"], d["n_samples"], d["keyframes"]) == ("avc1", 40, 3, [(0, 0, 8, 3), (2, 20, 12, 2)])
+    for width, raw in ((8, b"\3\1\2"), (16, b"\0\3\0\1\0\2")):
+        small[2] = box(b"stz2", bytes(7), bytes([width]), struct.pack(">I", 3), raw)
+        assert iso_media.describe(movie(*small))["keyframes"] == [(0, 0, 8, 3), (2, 20, 12, 2)]
+    # two fragments of two samples; only the first of each is a sync sample
+    trex = box(b"mvex", table(b"trex", 7, 1, 50, 4, 0x10000))
+    whole = movie(*empty, duration=0, extra=trex)
+    expected = []
+    for k in range(2):
+        trun = box(b"trun", struct.pack(">IIiI", 0x5, 2, 0, 0x2000000))
+        traf = box(b"traf", box(b"tfhd", struct.pack(">II", 0x20000, 7)), box(b"tfdt", struct.pack(">II", 0, 100 * k)), trun)
+        length = len(box(b"moof", traf))
+        moof = box(b"moof", traf.replace(struct.pack(">IIiI", 0x5, 2, 0, 0x2000000), struct.pack(">IIiI", 0x5, 2, length + 8, 0x2000000)))
+        expected.append((2 * k, 100 * k, len(whole) + length + 8, 4))
+        whole += moof + box(b"mdat", b"abcdefgh")
+    d = iso_media.describe(whole)
+    assert (d["n_samples"], d["duration"], d["keyframes"]) == (4, 200, expected)
+    with pytest.raises(iso_media.Malformed):
+        iso_media.describe(whole.replace(struct.pack(">IIi", 0x5, 2, length + 8), struct.pack(">IIi", 0x5, 0x7FFFFFFF, length + 8)))
+
+
+def test_files_that_claim_too_much_give_null(spark):
+    whole = iso_media.mux(bytes(range(256)) * 64)
+    put = lambda kind, at, *numbers: (i := whole.index(kind) + 4 + at) and whole[:i] + struct.pack(f">{len(numbers)}I", *numbers) + whole[i + 4 * len(numbers) :]
+    deep = b""
+    for _ in range(3000):
+        deep = struct.pack(">I4s", len(deep) + 8, b"moov") + deep
+    huge = [put(b"stss", 8, 1_000_000), put(b"stss", 8, 0), put(b"stss", 8, 9, 9), deep, put(b"stsz", 4, 64, 4_000_000_000), put(b"stsz", 4, 1, 16_000_000), put(b"stts", 8, 4_000_000_000, 1), put(b"stts", 8, 4_000_000_000, 0), put(b"stsc", 8, 0), put(b"stsc", 4, 0), put(b"stss", 4, 4_000_000_000), put(b"co64", 8, 0xFFFFFFFF)]
+    rng = random.Random(3)
+    torn = [bytes(b if rng.random() > 0.004 else rng.randrange(256) for b in whole[:900]) + whole[900:] for _ in range(60)]
+    files = spark.createDataFrame([(i, b) for i, b in enumerate([whole, *huge, *torn])], "id int, data binary")
+    got = {r["id"]: r["codec"] for r in iso_media.media_columns(files, "id", "data").collect()}
+    assert len(got) == 1 + len(huge) + len(torn) and got[0] == "raw " and all(got[i] is None for i in range(1, len(huge) + 1))
+
+
+def test_media_query_against_its_contract(spark, sf_dir, documents):
+    """Digests, checksums and feature from the texts and stored bytes alone, the container read by hand."""
+    text = {r["doc_id"]: r["text"] or "" for r in documents.collect()}
+    media = {r["doc_id"]: bytes(r["media"]) for r in iso_media.text_media(documents).collect()}
+    for r in queries.op6_media_columns(spark, sf_dir).collect():
+        raw = text[r["doc_id"]].encode()
+        payload = raw + bytes(-len(raw) % 64 or 64 * (not raw))
+        file = media[r["doc_id"]]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(file), hashlib.sha256(file).hexdigest()) and file.endswith(payload)
+        n, first = len(payload) // 64, len(file) - len(payload)
+        ranges = b"".join(struct.pack(">4Q", k, 64 * k, first + 64 * k, 64) for k in range(0, n, 16))
+        assert r["feature"] == f"codec=raw;timescale=8000;duration={len(payload)};samples={n};keyframes={-(-n // 16)};ranges={zlib.crc32(ranges):08x}"
 
 
 def test_media_round_trip(spark, edge_docs, no_docs):
@@ -205,26 +329,82 @@ def test_each_reply_is_one_example_with_its_context(spark):
 # --- fingerprints -------------------------------------------------------------------------------
 
 
+def mix64(x):
+    """The finaliser, in Python's own integers."""
+    m = (1 << 64) - 1
+    x = (x ^ x >> 32) * 0x9E3779B97F4A7C15 & m
+    x = (x ^ x >> 29) * 0xC2B2AE3D27D4EB4F & m
+    return x ^ x >> 32
+
+
+def plain_order_minhash(text):
+    """Order MinHash by its definition: number k-mers by occurrence, sort all by each selection's
+    hash, put the first two back in text order."""
+    if not text:
+        return [0] * 64
+    a, b, c, m = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, (1 << 64) - 1
+    points = [ord(x) for x in text]
+    if len(points) < 8:
+        h = len(points)
+        for p in points:
+            h = mix64(h ^ p)
+        hashes = [h]
+    else:
+        two = [(x * a + y) & m for x, y in zip(points, points[1:], strict=False)]
+        two = [x ^ x >> 29 for x in two]
+        four = [(x * b + y) & m for x, y in zip(two, two[2:], strict=False)]
+        four = [x ^ x >> 32 for x in four]
+        hashes = [mix64((x * c + y) & m) for x, y in zip(four, four[4:], strict=False)]
+    seen, pairs = defaultdict(int), []
+    for place, h in enumerate(hashes):
+        pairs.append((mix64(((h >> 20) * c + seen[h >> 20]) & m), place))
+        seen[h >> 20] += 1
+    factors, terms = order_minhash.selectors()
+    out = []
+    for f, t in zip(factors[:, 0].tolist(), terms[:, 0].tolist(), strict=True):
+        least = sorted(pairs, key=lambda p: (f * (p[0] >> 32) + t) & 0xFFFFFFFF)[:2]
+        (x, _), (y, _) = sorted([least[0], least[-1]], key=lambda p: p[1])
+        out.append(mix64((x * a + mix64((y + c) & m)) & m) >> 48 or 1)
+    return out
+
+
+def hexed(values):
+    return "".join(f"{v:04x}" for v in values)
+
+
 def test_fingerprints_against_brute_force(spark, edge_docs, no_docs):
     old = order_minhash.RANGE_ROWS
-    rows = [(r["doc_id"], r["text"] or "") for r in edge_docs.select("doc_id", "text").collect()]
+    rows = [(r["doc_id"], (r["text"] or "")[:9_000]) for r in edge_docs.select("doc_id", "text").collect()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("range_", F.lit("clash"))
     rows.sort(key=lambda r: -r[0])
+    share = lambda x, y: sum(p == q for p, q in zip(x, y, strict=True)) / 64
+    plain = {t: plain_order_minhash(t) for _, t in rows}
     expected = set()
     for k, (i, t) in enumerate(rows):
         after = rows[(k + 1) % len(rows)][1]
         n = len(t)
         edited = t[: n - n // 2] + after[: n // 2]
-        expected.add((i, n, sha(edited), order_minhash.fingerprint(t), order_minhash.fingerprint(edited)))
+        other = plain_order_minhash(edited)
+        expected.add((i, n, sha(edited), hexed(plain[t]), hexed(other), share(plain[t], other), share(plain[t], plain[after])))
     try:
         for each in (2, 4_000):
             order_minhash.in_ranges.__defaults__ = (each,)
-            got = order_minhash.edited_pairs(edge_docs).collect()
-            assert len(got) == len(rows) and {(r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"]) for r in got} == expected
+            got = order_minhash.edited_pairs(docs).collect()
+            assert len(got) == len(rows) and {(r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"], r["near_edited"], r["near_next"]) for r in got} == expected
     finally:
         order_minhash.in_ranges.__defaults__ = (old,)
     assert order_minhash.edited_pairs(no_docs).count() == 0
     one = order_minhash.edited_pairs(edge_docs.filter("doc_id = -3")).first()
-    assert one["near_next"] == 1.0
+    assert one["near_next"] == 1.0 and order_minhash.edited_pairs(edge_docs).count() == len(rows)
+
+
+def test_blocks_of_a_long_text_select_the_same(monkeypatch):
+    rng = random.Random(8)
+    text = "".join(rng.choices("abcde ", k=5_000))
+    expected = plain_order_minhash(text)
+    for block in (1, 7, 1000, 4_096):
+        monkeypatch.setattr(order_minhash, "BLOCK", block)
+        assert order_minhash.signature(order_minhash.points(text)).tolist() == expected
 
 
 def test_likeness_follows_edits_and_order():
@@ -279,6 +459,35 @@ def test_pairs_of_terms_that_tell_nothing_alone():
     assert all((model.score(t) >= 0.5) == bool(y) for t, y in zip(texts[1000:], labels[1000:], strict=True))
 
 
+def test_exactly_one_of_two_words():
+    """4,000 rows labelled by "exactly one of two words", no term of which tells anything alone."""
+    rng = random.Random(9)
+    texts, labels = [], []
+    for _ in range(4000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        texts.append(" ".join([f"filler{rng.randrange(60)}" for _ in range(15)] + ["stinking"] * a + ["outgroup"] * b))
+        labels.append(int(a != b))
+    rows = [np.array(sorted({t for w in toxicity.text_words(x) for t in toxicity.word_terms(w)})) for x in texts]
+    model = toxicity.fit(rows[:3200], np.array(labels[:3200]))
+    right = sum((model.score(t) >= 0.5) == bool(y) for t, y in zip(texts[3200:], labels[3200:], strict=True))
+    assert right > 0.95 * 800
+
+
+def test_score_is_the_sum_over_all_pairs():
+    """The score against the plain double sum over pairs of terms."""
+    rng = np.random.default_rng(2)
+    texts = ["stinking outgroup of them", "stinking", "", None, "never seen words", "Outgroup OUTGROUP outgroups stink " * 20]
+    terms = np.array(sorted({t for x in texts for w in toxicity.text_words(x) for t in toxicity.word_terms(w)} - set(toxicity.word_terms("seen"))))
+    model = toxicity.Model(terms, -0.3, rng.normal(0, 0.4, len(terms)), rng.normal(0, 0.4, (len(terms), toxicity.RANK)))
+    at = {int(t): i for i, t in enumerate(terms)}
+    for text in texts:
+        words = {w for w in "".join(c.lower() if c.isalnum() else " " for c in text or "").split()}
+        found = sorted({at[t] for w in words for t in toxicity.word_terms(w) if t in at})
+        z = model.bias + sum(model.weights[i] for i in found)
+        z += sum(float(np.dot(model.factors[i], model.factors[j])) for k, i in enumerate(found) for j in found[k + 1 :])
+        assert abs(model.score(text) - 1 / (1 + np.exp(-z))) < 1e-9
+
+
 def test_scores_and_folds(spark, sf_dir, documents):
     got = queries.op10_toxicity(spark, sf_dir).collect()
     assert len(got) == documents.count()
