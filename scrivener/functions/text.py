@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -80,6 +81,13 @@ def literal(by: str) -> str:
     return by.replace("\\", "\\\\").replace("$", "\\$")
 
 
+def expanded(by: str) -> str:
+    """`by` as a replacement in which $0 and ${0} are what was found, $$ is a dollar sign, and other
+    $names, of which a phrase has none, are empty."""
+    part = lambda m: "\\$" if m[0] == "$$" else "$0" if (m[1] or m[2]) == "0" else ""
+    return re.sub(r"\$\$|\$(?:(\w+)|\{(\w+)\})", part, by.replace("\\", "\\\\"), flags=re.A)
+
+
 def words(text: Column) -> Column:
     """White-space tokens."""
     return F.filter(F.split(text, _U + r"\s+"), lambda w: w != "")
@@ -110,9 +118,10 @@ def without_all_fillers(text: Column) -> Column:
 
 def without_corrections(text: Column) -> Column:
     """What follows the last self-correction signal of the first line that has one."""
-    # anchored, so it replaces once; lines before the first with a signal are kept
-    signal = r"[^\n]*\b(?:" + "|".join(SIGNALS) + r")\s*,?\s*"
-    return trimmed(replaced(text, _IU + r"\A((?:[^\n]*\n)*?)" + signal, "$1"))
+    # anchored, so it replaces once; lines before the first with a signal are kept. A single character
+    # is repeated, not a group, so that a text of many lines takes no deep recursion.
+    signal = r"^[^\n]*\b(?:" + "|".join(SIGNALS) + r")\s*,?\s*"
+    return trimmed(replaced(text, r"(?iUdm)\A((?s:.*?))" + signal, "$1"))
 
 
 def capitalized(text: Column) -> Column:

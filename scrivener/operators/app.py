@@ -157,10 +157,25 @@ def next_state(state: Column, event: Column) -> Column:
     return reduce(lambda e, x: e.when((state == x[0][0]) & (event == x[0][1]), x[1]), rest, c).otherwise(state)
 
 
+#: All states, the first one first.
+STATES = ["Idle", "Recording", "Processing", "Polishing"]
+
+
 def final_state(events: Column) -> Column:
     return F.aggregate(events, F.lit("Idle"), next_state)
 
 
+def state_map(events: Column) -> Column:
+    """The state after the ordered `events`, for each of `STATES` as the state before."""
+    return F.aggregate(events, F.array(*map(F.lit, STATES)), lambda acc, e: F.transform(acc, lambda s: next_state(s, e)))
+
+
+def state_after(maps: Column) -> Column:
+    """The state after the ordered `maps`, from the first of `STATES`."""
+    places = F.array(*map(F.lit, STATES))
+    return F.aggregate(maps, F.lit(STATES[0]), lambda s, m: F.element_at(m, F.array_position(places, s).cast("int")))
+
+
 def is_safe_name(name: Column) -> Column:
     """Whether a file name stays within its folder."""
     return ~(F.contains(name, F.lit("..")) | F.contains(name, F.lit("/")) | F.contains(name, F.lit("\\")))

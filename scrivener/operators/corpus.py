@@ -76,10 +76,17 @@ def quota(df: DataFrame, share: float = 0.15) -> DataFrame:
     return df.agg(F.greatest(F.lit(0), F.floor(F.count("*") * share) - F.count_if(is_passthrough())).cast("long").alias("wanted"))
 
 
+#: Rows that one task makes at a time.
+BLOCK_ROWS = 65_536
+
+
 def passthroughs(sentences: DataFrame, wanted: DataFrame, seed: int = 42) -> DataFrame:
     """`wanted` unchanged pairs: the `sentences` (ord, text) in order, then pseudo-random repeats."""
     n = F.broadcast(sentences.agg(F.count("*").alias("n_")))
-    rows = wanted.filter("wanted > 0").select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("wanted") - 1)).alias("k")).crossJoin(n)
+    # numbered in blocks that are dealt out, so that no task holds all
+    blocks = wanted.filter("wanted > 0").select("wanted", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("wanted") - 1) / BLOCK_ROWS))).alias("block_")).repartition("block_")
+    last = F.least(F.col("wanted"), (F.col("block_") + 1) * BLOCK_ROWS) - 1
+    rows = blocks.select(F.explode(F.sequence(F.col("block_") * BLOCK_ROWS, last)).alias("k")).crossJoin(n)
     rows = rows.withColumn("ord", F.when(F.col("k") < F.col("n_"), F.col("k")).otherwise(F.pmod(F.xxhash64("k", F.lit(seed)), F.col("n_"))))
     return rows.join(sentences, "ord").select("k", F.col("text").alias("input"), F.col("text").alias("output"))
 

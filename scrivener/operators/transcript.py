@@ -46,19 +46,19 @@ def escaped(phrase: str) -> str:
     return "".join("\\" + c if c.isascii() and not c.isalnum() and c != "_" and not c.isspace() else c for c in phrase)
 
 
-def _applied(df: DataFrame, column: str, rules: Sequence[tuple[str, str]]) -> DataFrame:
+def _applied(df: DataFrame, column: str, rules: Sequence[tuple[str, str]], expand: bool = False) -> DataFrame:
     for some in batched(rules, RULES_EACH):
         c = F.col(column)
         for phrase, by in some:
-            c = F.regexp_replace(c, rf"(?iU)\b{escaped(phrase)}\b", T.literal(by))
+            c = F.regexp_replace(c, rf"(?iU)\b{escaped(phrase)}\b", T.expanded(by) if expand else T.literal(by))
         df = df.withColumn(column, c)
     return df
 
 
-def with_dictionary(df: DataFrame, rules: Sequence[tuple[str, str]], column: str = "text") -> DataFrame:
+def with_dictionary(df: DataFrame, rules: Sequence[tuple[str, str]], column: str = "text", expand: bool = False) -> DataFrame:
     """Ordered whole-word replacements in any case; later rules see what earlier ones wrote. Empty
-    phrases are skipped; replacements mean themselves."""
-    return _applied(df, column, [(a, b) for a, b in rules if a])
+    phrases are skipped; replacements mean themselves, unless `expand` lets $0 stand for what was found."""
+    return _applied(df, column, [(a, b) for a, b in rules if a], expand)
 
 
 def snippet_order(snippets: DataFrame) -> DataFrame:
@@ -86,21 +86,26 @@ def merged(segments: Column) -> Column:
     """One text of an array of overlapping segments: of each segment, the words that repeat the
     longest matching end of what came before (up to eight words) are left out."""
     usable = F.filter(F.transform(segments, T.trimmed), lambda s: s != "")
+    # words and bare words of a segment are made once, before the fold
+    read = F.transform(usable, lambda s: T.let(T.words(s), lambda own: F.struct(s.alias("text"), own.alias("own"), _bare(own).alias("bare"))))
     empty = F.struct(F.lit("").alias("text"), F.array().cast("array<string>").alias("tail"))
 
-    def step(acc: Column, segment: Column) -> Column:
-        own = T.words(segment)
-        bare, tail = _bare(own), acc["tail"]
+    def shared_of(tail: Column, bare: Column) -> Column:
         most = F.least(F.size(tail), F.size(bare), F.lit(OVERLAP))
-        lengths = F.when(most > 0, F.sequence(F.lit(1), most)).otherwise(F.array().cast("array<int>"))
-        shared = F.coalesce(F.array_max(F.filter(lengths, lambda n: F.slice(tail, F.size(tail) - n + 1, n) == F.slice(bare, F.lit(1), n))), F.lit(0))
-        rest = F.array_join(F.slice(own, shared + 1, F.size(own)), " ")
-        text = F.when(acc["text"] == "", segment).when(shared == 0, F.concat(acc["text"], F.lit(" "), segment)).when(rest == "", acc["text"]).otherwise(F.concat(acc["text"], F.lit(" "), rest))
-        joined = F.concat(tail, F.slice(bare, shared + 1, F.size(bare)))
-        kept = F.slice(joined, F.greatest(F.size(joined) - OVERLAP + 1, F.lit(1)), F.lit(OVERLAP))
-        return F.struct(text.alias("text"), kept.alias("tail"))
-
-    return F.aggregate(usable, empty, step, lambda acc: acc["text"])
+        lengths = F.when(most > 0, F.sequence(most, F.lit(1), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+        return F.coalesce(F.get(F.filter(lengths, lambda n: F.slice(tail, F.size(tail) - n + 1, n) == F.slice(bare, F.lit(1), n)), F.lit(0)), F.lit(0))
+
+    def joined(acc: Column, segment: Column, shared: Column) -> Column:
+        rest = F.array_join(F.slice(segment["own"], shared + 1, F.size(segment["own"])), " ")
+        after = F.when(shared == 0, segment["text"]).otherwise(rest)
+        text = F.when(acc["text"] == "", segment["text"]).when(shared == F.size(segment["own"]), acc["text"]).otherwise(F.concat(acc["text"], F.lit(" "), after))
+        tail = F.concat(acc["tail"], F.slice(segment["bare"], shared + 1, F.size(segment["bare"])))
+        return F.struct(text.alias("text"), T.let(tail, lambda t: F.slice(t, F.greatest(F.size(t) - OVERLAP + 1, F.lit(1)), F.lit(OVERLAP))).alias("tail"))
+
+    def step(acc: Column, segment: Column) -> Column:
+        return T.let(shared_of(acc["tail"], segment["bare"]), lambda shared: joined(acc, segment, shared))
+
+    return F.aggregate(read, empty, step, lambda acc: acc["text"])
 
 
 def dictated(df: DataFrame, segments: str, dictionary: Sequence[tuple[str, str]], snippets: Sequence[tuple[str, str]], smart: bool = True, polish: Callable[[Column], Column] | None = None) -> DataFrame:

@@ -3,13 +3,12 @@ added tokens to match."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scrivener.functions.text import words
 
-#: Ids of a block that is numbered in one task.
-BLOCK_IDS = 65_536
+from .ordering import numbered
 
 
 def used_tokens(texts: DataFrame, columns: list[str], always: DataFrame | None = None) -> DataFrame:
@@ -19,13 +18,14 @@ def used_tokens(texts: DataFrame, columns: list[str], always: DataFrame | None =
 
 
 def dense_index(ids: DataFrame, column: str = "old_id") -> DataFrame:
-    """(old_id, new_id): distinct ids in order, numbered from 0. Ids are numbered in blocks whose
-    counts give each block its offset, so no task sorts them all."""
-    blocks = ids.select(F.col(column)).filter(F.col(column).isNotNull()).distinct().withColumn("block_", F.floor(F.col(column) / BLOCK_IDS))
-    before = Window.orderBy("block_").rowsBetween(Window.unboundedPreceding, -1)
-    counts = blocks.groupBy("block_").agg(F.count("*").alias("n_")).select("block_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("from_"))
-    own = Window.partitionBy("block_").orderBy(column)
-    return blocks.join(counts, "block_").select(column, (F.row_number().over(own) - 1 + F.col("from_")).cast("long").alias("new_id"))
+    """(old_id, new_id): distinct ids in order, numbered from 0, however sparse they are; nulls have none."""
+    return numbered(ids.select(column).filter(F.col(column).isNotNull()).distinct(), column, name="new_id")
+
+
+def vocabulary(tokens: DataFrame, step: int = 1) -> DataFrame:
+    """(token, old_id): distinct tokens in code point order, numbered `step`, 2 * `step` and so on."""
+    rows = numbered(tokens.select("token").distinct(), "token", name="old_id", first=1)
+    return rows.select("token", (F.col("old_id") * step).alias("old_id"))
 
 
 def pruned(vocab: DataFrame, kept: DataFrame) -> DataFrame:

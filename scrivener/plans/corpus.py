@@ -3,7 +3,6 @@ vocabulary pruning, over the tokens of `benchmark`."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scrivener.functions import markdown as M
@@ -182,8 +181,9 @@ def c2_curated(spark, sf_dir):
     return C.curated(pairs(spark, sf_dir), sentences(spark))
 
 
-@query()
+@query(PAIRS + " SELECT * FROM p")
 def o6_shuffled(spark, sf_dir):
+    """The order is a hash's; the SQL checks that it is all rows, each once."""
     return C.shuffled(pairs(spark, sf_dir), "conv_id", "turn")
 
 
@@ -252,29 +252,37 @@ def c11_throughput(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", rate.alias("rate"), eta.alias("eta"))
 
 
-VOCAB = r"""WITH t AS (SELECT item_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM benchmark),
- tokens AS (SELECT DISTINCT unnest(w) AS token FROM t), vocab AS (SELECT token, row_number() OVER (ORDER BY token) * 3 AS old_id FROM tokens),
- used AS (SELECT DISTINCT token FROM (SELECT unnest(w) AS token FROM t WHERE item_id % 4 = 0 UNION ALL SELECT 'The' UNION ALL SELECT 'never seen')),
+#: Tokens of the vocabulary that no text uses.
+UNUSED = 300
+
+VOCAB = rf"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '') AS w FROM documents),
+ used AS (SELECT DISTINCT token FROM (SELECT unnest(w) AS token FROM t UNION ALL SELECT 'The' UNION ALL SELECT 'never seen')),
+ tokens AS (SELECT DISTINCT token FROM (SELECT unnest(w) AS token FROM t UNION ALL SELECT 'unused_' || i FROM range({UNUSED}) r(i))),
+ vocab AS (SELECT token, row_number() OVER (ORDER BY token) * 3 AS old_id FROM tokens),
  kept AS (SELECT old_id, row_number() OVER (ORDER BY old_id) - 1 AS new_id, token FROM vocab SEMI JOIN used USING (token)),
- merges AS (SELECT DISTINCT w[1] || ' ' || w[2] AS merge FROM t UNION ALL SELECT w[1] || ' ' || w[2] || ' ' || w[3] FROM t UNION ALL SELECT w[1] FROM t)"""
+ merges AS (SELECT DISTINCT w[1] || ' ' || w[2] AS merge FROM t WHERE len(w) > 1 UNION ALL SELECT w[1] || ' unused_' || doc_id % {UNUSED} FROM t WHERE len(w) > 0
+ UNION ALL SELECT w[1] || ' ' || w[2] || ' ' || w[3] FROM t WHERE len(w) > 2 UNION ALL SELECT w[1] FROM t WHERE len(w) > 0)"""
 
 
 def tokens(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", "text", words(F.col("text")).alias("w"))
+    return table(spark, sf_dir, "documents").select("doc_id", words(F.coalesce("text", F.lit(""))).alias("w"))
 
 
 def vocab(spark, sf_dir):
-    found = V.used_tokens(table(spark, sf_dir, "benchmark"), ["text"])
-    return found.select("token", (F.row_number().over(Window.orderBy("token")) * 3).cast("long").alias("old_id"))
+    found = V.used_tokens(table(spark, sf_dir, "documents"), ["text"])
+    unused = spark.range(UNUSED).select(F.concat(F.lit("unused_"), F.col("id").cast("string")).alias("token"))
+    return V.vocabulary(found.unionByName(unused), 3)
 
 
 def used(spark, sf_dir):
     always = spark.createDataFrame([("The",), ("never seen",)], "token string")
-    return V.used_tokens(table(spark, sf_dir, "benchmark").filter("item_id % 4 = 0"), ["text"], always)
+    return V.used_tokens(table(spark, sf_dir, "documents"), ["text"], always)
 
 
-def kept(spark, sf_dir):
-    return V.dense_index(vocab(spark, sf_dir).join(used(spark, sf_dir), "token", "left_semi"))
+def kept(spark, sf_dir, known=None):
+    """The vocabulary's tokens that are used, with their old and new ids."""
+    known = vocab(spark, sf_dir) if known is None else known
+    return V.pruned(known, V.dense_index(known.join(used(spark, sf_dir), "token", "left_semi")))
 
 
 @query(VOCAB + " SELECT token FROM used")
@@ -289,7 +297,7 @@ def e4_union_distinct(spark, sf_dir):
 
 @query(VOCAB + " SELECT old_id, new_id FROM kept")
 def w2_dense_index(spark, sf_dir):
-    return kept(spark, sf_dir)
+    return V.dense_index(vocab(spark, sf_dir).join(used(spark, sf_dir), "token", "left_semi"))
 
 
 @query("SELECT user_id AS old_id, row_number() OVER (ORDER BY user_id) - 1 AS new_id FROM (SELECT DISTINCT user_id * 40000 AS user_id FROM events)")
@@ -299,23 +307,29 @@ def w2_dense_index_many_blocks(spark, sf_dir):
 
 @query(VOCAB + " SELECT token, old_id, new_id FROM kept")
 def j4_kept_tokens(spark, sf_dir):
-    return V.pruned(vocab(spark, sf_dir), kept(spark, sf_dir))
+    return kept(spark, sf_dir)
 
 
 MERGES = VOCAB + " SELECT merge FROM merges WHERE len(string_split(merge, ' ')) = 2 AND string_split(merge, ' ')[1] IN (SELECT token FROM kept) AND string_split(merge, ' ')[2] IN (SELECT token FROM kept)"
 
 
+def merges(spark, sf_dir):
+    w = tokens(spark, sf_dir)
+    part = lambda n: w.filter(F.size("w") >= n).select(F.array_join(F.slice("w", 1, n), " ").alias("merge"))
+    odd = w.filter(F.size("w") > 0).select(F.concat(F.col("w")[0], F.lit(" unused_"), (F.col("doc_id") % UNUSED).cast("string")).alias("merge"))
+    return part(2).distinct().union(odd).union(part(3)).union(part(1))
+
+
 @query(MERGES)
 def j3_kept_merges(spark, sf_dir):
-    w, part = tokens(spark, sf_dir), lambda n: F.array_join(F.slice("w", 1, n), " ").alias("merge")
-    merges = w.select(part(2)).distinct().union(w.select(part(3))).union(w.select(part(1)))
-    return V.merges_kept(merges, V.pruned(vocab(spark, sf_dir), kept(spark, sf_dir)))
+    return V.merges_kept(merges(spark, sf_dir), kept(spark, sf_dir))
 
 
-@query(VOCAB + " SELECT new_id AS id, 'added ' || token AS content FROM vocab JOIN kept USING (old_id, token) WHERE old_id % 2 = 0")
+@query(VOCAB + " SELECT new_id AS id, 'added ' || token AS content FROM kept")
 def j5_added_tokens(spark, sf_dir):
-    added = vocab(spark, sf_dir).filter("old_id % 2 = 0").select("old_id", F.concat(F.lit("added "), "token").alias("content"))
-    return V.added_remapped(added, kept(spark, sf_dir))
+    known = vocab(spark, sf_dir)
+    added = known.select("old_id", F.concat(F.lit("added "), "token").alias("content"))
+    return V.added_remapped(added, kept(spark, sf_dir, known))
 
 
 @query(VOCAB + " SELECT count(*) AS new_size, count(*) * 100.0::DOUBLE / 32000 AS ratio_pct, 32000 * 2048 * 2::BIGINT AS params_old, count(*) * 2048 * 2 AS params_new FROM kept")
@@ -325,9 +339,9 @@ def s26_vocab_sizes(spark, sf_dir):
 
 @query(VOCAB + ", m AS (" + MERGES.partition(" SELECT merge FROM merges")[1].strip() + MERGES.partition(" SELECT merge FROM merges")[2] + ") SELECT 'token' AS kind, token AS item, new_id AS id FROM kept UNION ALL SELECT 'merge', merge, NULL FROM m")
 def c7_pruned_vocabulary(spark, sf_dir):
-    cut = V.pruned(vocab(spark, sf_dir), kept(spark, sf_dir))
-    merges = j3_kept_merges(spark, sf_dir).select(F.lit("merge").alias("kind"), F.col("merge").alias("item"), F.lit(None).cast("long").alias("id"))
-    return cut.select(F.lit("token").alias("kind"), F.col("token").alias("item"), F.col("new_id").alias("id")).unionByName(merges)
+    cut = kept(spark, sf_dir)
+    rows = V.merges_kept(merges(spark, sf_dir), cut).select(F.lit("merge").alias("kind"), F.col("merge").alias("item"), F.lit(None).cast("long").alias("id"))
+    return cut.select(F.lit("token").alias("kind"), F.col("token").alias("item"), F.col("new_id").alias("id")).unionByName(rows)
 
 
 @query("SELECT item_id, list_transform(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''), lambda x, i: i || '. ' || x) AS numbered FROM benchmark")

@@ -2,26 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from scrivener.operators import audio as A
 from scrivener.operators import history as H
 from scrivener.sources import files as S
+from scrivener.sources.storage import place
 
 from . import audio, corpus, evaluation
 from . import history as hist
 from .registry import query, table
 
 
-def place(spark, name: str) -> str:
-    """A new path that all executors see: under spark.checkpoint.dir, or temporary where unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    return f"{base}/scrivener-files/{name}-{uuid.uuid4().hex}"
-
-
 STORED = hist.VIEW + 'SELECT text, "timestamp", word_count AS "wordCount", duration_ms AS "durationMs", CASE WHEN ord % 2 = 0 THEN speech_duration_ms ELSE 0 END AS "speechDurationMs", ord % 2 = 0 AND was_cleaned_up AS "wasCleanedUp" FROM h'
 
 
@@ -76,15 +68,17 @@ def io6_read_jsonl(spark, sf_dir):
     return S.read_jsonl(spark, path, "input string, output string")
 
 
-@query(corpus.PAIRS + " SELECT 'pairs' AS kind, count(*) AS n FROM p UNION ALL SELECT 'chat', count(*) FROM p")
+@query(corpus.PAIRS + " SELECT k.kind, input, output FROM p, (VALUES ('pairs'), ('chat')) k(kind)")
 def io7_two_sinks(spark, sf_dir):
     from scrivener.operators import corpus as C
 
     one, two, rows = place(spark, "pairs"), place(spark, "chat"), corpus.pairs(spark, sf_dir)
     S.write_jsonl(rows.select("input", "output"), one)
     S.write_jsonl(C.chat_records(rows), two)
-    read = lambda path, schema, kind: S.read_jsonl(spark, path, schema).agg(F.lit(kind).alias("kind"), F.count("*").alias("n"))
-    return read(one, "input string, output string", "pairs").unionByName(read(two, "messages array<struct<role:string,content:string>>", "chat"))
+    plain = S.read_jsonl(spark, one, "input string, output string").select(F.lit("pairs").alias("kind"), "input", "output")
+    chat = S.read_jsonl(spark, two, "messages array<struct<role:string,content:string>>")
+    said = lambda role: F.filter("messages", lambda m: m["role"] == role)[0]["content"]
+    return plain.unionByName(chat.select(F.lit("chat").alias("kind"), said("user").alias("input"), said("assistant").alias("output")))
 
 
 @query("SELECT item_id FROM benchmark ORDER BY item_id LIMIT 30")
@@ -103,12 +97,13 @@ def io9_result_folder(spark, sf_dir):
     return S.read_results(spark, path + "/*").select("model", "mode", "id", "time_ms")
 
 
-@query(evaluation.RESULTS + " SELECT DISTINCT regexp_replace(model, '[^a-zA-Z0-9._-]', '_', 'g') AS file FROM r")
+@query(evaluation.RESULTS + " SELECT regexp_replace(model, '[^a-zA-Z0-9._-]', '_', 'g') AS file, model, id, mode, output FROM r")
 def io10_result_files(spark, sf_dir):
     path = place(spark, "results")
     rows = evaluation.results(spark, sf_dir).select("model", F.lit("t").alias("timestamp"), "id", "mode", "output")
     S.write_results(rows, path)
-    return spark.read.json(path).select("file").distinct()
+    back = spark.read.schema("file string, model string, results array<struct<id:long,mode:string,output:string>>").json(path)
+    return back.select("file", "model", F.inline("results"))
 
 
 @query("SELECT 'a' AS id, 'A' AS title UNION ALL SELECT 'b', 'B'")
@@ -138,8 +133,8 @@ def io16_token_mapping_file(spark, sf_dir):
     return S.read_jsonl(spark, path, "old_id string, new_id int")
 
 
-@query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+@query("SELECT event_id, event_type, props FROM events")
 def io18_telemetry(spark, sf_dir):
     path = place(spark, "telemetry")
-    table(spark, sf_dir, "events").select("event_type", "props").write.partitionBy("event_type").json(path)
-    return spark.read.schema("props string, event_type string").json(path).groupBy("event_type").agg(F.count("*").alias("n"))
+    table(spark, sf_dir, "events").select("event_id", "event_type", "props").write.partitionBy("event_type").json(path)
+    return spark.read.schema("event_id long, props string, event_type string").json(path)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from scrivener.sources.storage import place
 from scrivener.streaming import dictation as D
 
-from .files import place
 from .registry import query, table
 
 NTZ = "timestamp_ntz"
@@ -54,12 +54,34 @@ def st6_rate_limited_table(spark, sf_dir):
     return D.rate_limited_table(table(spark, sf_dir, "events"))
 
 
+LIMITED_ALL = LIMITED.replace("SELECT user_id, list_reduce", "SELECT list_reduce").replace(" GROUP BY 1) SELECT", ") SELECT").replace("JOIN l USING (user_id) WHERE list_contains(kept, epoch_us(ts))", ", l WHERE list_contains(kept, epoch_us(ts))")
+
+
+@query(LIMITED_ALL)
+def st6_rate_limited_process(spark, sf_dir):
+    """All events under one limit, as one process has it."""
+    return ran(spark, sf_dir, lambda s: D.rate_limited(s, per_user=False)).select("user_id", "event_id", F.col("ts").cast(NTZ).alias("ts"))
+
+
+@query(LIMITED_ALL)
+def st6_rate_limited_process_table(spark, sf_dir):
+    return D.rate_limited_table(table(spark, sf_dir, "events"), per_user=False)
+
+
 @query("SELECT event_id, ts FROM events")
-def st7_time_to_live(spark, sf_dir):
+def st7_without_repeats(spark, sf_dir):
     rows = ran(spark, sf_dir, lambda s: D.kept_within(s.unionByName(s)))
     return rows.select("event_id", F.col("ts").cast(NTZ).alias("ts"))
 
 
+@query("SELECT event_id, ts FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY")
+def st7_time_to_live(spark, sf_dir):
+    """Events of the last seven days before the newest; older ones are written first, then expire."""
+    path = place(spark, "expiring")
+    D.run_once(D.event_stream(spark, sf_dir), D.expiring_log(f"{path}/log", 7), f"{path}/state")
+    return D.retained(spark, f"{path}/log", 7).select("event_id", F.col("ts").cast(NTZ).alias("ts"))
+
+
 @query("SELECT CAST(ts AS DATE) AS day, CAST(sum(CAST(regexp_extract(props, '\"k\": ([0-9]+)', 1) AS BIGINT)) AS BIGINT) AS words, count(*) AS n FROM events GROUP BY 1 HAVING day < (SELECT max(CAST(ts AS DATE)) FROM events)")
 def st5_daily_words(spark, sf_dir):
     rows = ran(spark, sf_dir, D.daily_words)

@@ -1,8 +1,13 @@
-"""Queries of the transcript text pipeline. The driver's documents hold no spoken noise, so each
-English ASCII text gets some, by id, the same in SQL."""
+"""Queries of the transcript text pipeline. The driver's documents hold no spoken noise, so the whole
+text of every document (null: empty) gets some, by id, the same in SQL.
+
+DuckDB's patterns know word characters of ASCII only: in SQL the letters from U+00C0 to U+00FF are
+spelled as words of ASCII characters while patterns with word boundaries run."""
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import functions as F
 
 from scrivener.functions import text as T
@@ -10,7 +15,7 @@ from scrivener.operators import transcript as X
 
 from .registry import dealt, query, table
 
-NOISY_SQL = r"""WITH b AS (SELECT doc_id, replace(substr(text, 1, 300), chr(10), ' ') AS t FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\x00-\x7F]')),
+NOISY_SQL = r"""WITH b AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
  n AS (SELECT doc_id, CASE doc_id % 8
  WHEN 0 THEN 'um, uh ' || t || ' hmm okay'
  WHEN 1 THEN substr(t, 1, 60) || ' oh wait, ' || substr(t, 61)
@@ -23,17 +28,16 @@ NOISY_SQL = r"""WITH b AS (SELECT doc_id, replace(substr(text, 1, 300), chr(10),
 
 
 def noisy(spark, sf_dir):
-    t, tail = F.col("t"), lambda a, n=400: F.substring("t", a, n)
-    docs = table(spark, sf_dir, "documents").filter("lang = 'en'").filter(~F.rlike("text", F.lit(r"[^\x00-\x7F]")))
-    docs = dealt(docs.select("doc_id", F.replace(F.substring("text", 1, 300), F.lit("\n"), F.lit(" ")).alias("t")))
+    t, tail = F.col("t"), lambda a: F.substr("t", F.lit(a))
+    docs = dealt(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t")))
     parts = [
         (F.lit("um, uh "), t, F.lit(" hmm okay")),
-        (tail(1, 60), F.lit(" oh wait, "), tail(61)),
+        (F.substring("t", 1, 60), F.lit(" oh wait, "), tail(61)),
         (F.lit("i think comma "), t, F.lit(" question mark and i know")),
         (F.lit("step three is about fifty percent, line ten was four "), t, F.lit(" period new paragraph also this")),
         (F.lit("send it to bob at test dot com dash "), t),
         (F.lit("Uhh mmm hmm, , so "), t, F.lit(" one hundred percent exclamation point")),
-        (tail(1, 40), F.lit(" scratch that "), tail(41, 40), F.lit(" no I mean "), tail(81)),
+        (F.substring("t", 1, 40), F.lit(" scratch that "), F.substring("t", 41, 40), F.lit(" no I mean "), tail(81)),
         (F.lit("open paren "), t, F.lit(" close paren semicolon version  two")),
     ]
     made = F.concat(*parts[7])
@@ -46,10 +50,32 @@ def lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+LETTERS = [chr(c) for c in range(0xC0, 0x100) if chr(c).isalpha()]
+
+
+def spelled(pairs) -> str:
+    out = "t"
+    for a, b in pairs:
+        out = f"replace({out}, {lit(a)}, {lit(b)})"
+    return out
+
+
+SPELL = spelled((c, f"_{ord(c):x}_") for c in LETTERS)
+UNSPELL = spelled((f"_{ord(c):x}_", c) for c in LETTERS)
+
+
 def chained(*stages: str, base: str = NOISY_SQL, last: str = "doc_id, t AS text") -> str:
-    """SQL that applies expressions of t one after another, each in a SELECT of its own."""
+    """SQL that applies expressions of t one after another, each in a SELECT of its own; accented letters
+    are spelled out for those with word boundaries."""
+    steps: list[str] = []
+    is_spelled = False
+    for stage in stages:
+        if (r"\b" in stage) != is_spelled:
+            is_spelled = not is_spelled
+            steps.append(SPELL if is_spelled else UNSPELL)
+        steps.append(stage)
     out, at = base, "n"
-    for k, stage in enumerate(stages):
+    for k, stage in enumerate([*steps, *([UNSPELL] if is_spelled else [])]):
         out += f", s{k} AS (SELECT doc_id, {stage} AS t FROM {at})"
         at = f"s{k}"
     return f"{out} SELECT {last} FROM {at}"
@@ -85,11 +111,11 @@ def t1_without_fillers(spark, sf_dir):
 
 # RE2 has no lookahead: what follows is captured and put back; only patterns whose matches cannot
 # share it are applied, on text made for them
-AHEAD_SQL = "WITH n AS (SELECT item_id AS doc_id, 'um so, you know, it was basically, like the ' || replace(substr(text, 1, 80), chr(10), ' ') || ' actually, i mean, kind of like uh that' AS t FROM benchmark)"
+AHEAD_SQL = "WITH n AS (SELECT item_id AS doc_id, 'um so, you know, it was basically, like the ' || coalesce(text, '') || ' actually, i mean, kind of like uh that' AS t FROM benchmark)"
 
 
 def _ahead(text):
-    return F.concat(F.lit("um so, you know, it was basically, like the "), F.replace(F.substring(text, 1, 80), F.lit("\n"), F.lit(" ")), F.lit(" actually, i mean, kind of like uh that"))
+    return F.concat(F.lit("um so, you know, it was basically, like the "), F.coalesce(text, F.lit("")), F.lit(" actually, i mean, kind of like uh that"))
 
 
 AHEAD = [
@@ -181,27 +207,31 @@ def f16_usable_rules(spark, sf_dir):
     return rows.filter(F.regexp_replace("trigger", r"(?U)[^\w\s]|_", "") != "")
 
 
-SEGMENTS_SQL = r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\x00-\x7F]')),
- g AS (SELECT doc_id, array_to_string(w[1:12], ' ') AS a, upper(array_to_string(w[9:20], ' ')) || '!' AS b, array_to_string(w[21:24], '  ') AS c FROM w),
- x AS (SELECT doc_id, a, b, c, list_filter(regexp_split_to_array(a, '\s+'), lambda x: x <> '') AS wa, list_filter(regexp_split_to_array(b, '\s+'), lambda x: x <> '') AS wb FROM g),
- y AS (SELECT *, list_transform(wa, lambda x: trim(lower(x), '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~')) AS na, list_transform(wb, lambda x: trim(lower(x), '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~')) AS nb FROM x),
- z AS (SELECT *, coalesce(list_max(list_filter(range(1, least(len(na), len(nb), 8) + 1), lambda n: na[len(na) - n + 1:] = nb[1:n])), 0) AS o FROM y),
- m AS (SELECT doc_id, c, CASE WHEN o = 0 THEN a || ' ' || b WHEN len(wb) = o THEN a ELSE a || ' ' || array_to_string(wb[o + 1:], ' ') END AS ab, list_filter(regexp_split_to_array(c, '\s+'), lambda x: x <> '') AS wc FROM z WHERE a <> ''),
- y2 AS (SELECT *, list_transform(list_filter(regexp_split_to_array(ab, '\s+'), lambda x: x <> ''), lambda x: trim(lower(x), '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~')) AS na, list_transform(wc, lambda x: trim(lower(x), '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~')) AS nb FROM m),
- z2 AS (SELECT *, coalesce(list_max(list_filter(range(1, least(len(na), len(nb), 8) + 1), lambda n: na[len(na) - n + 1:] = nb[1:n])), 0) AS o FROM y2)
- SELECT doc_id, CASE WHEN c = '' THEN ab WHEN o = 0 THEN ab || ' ' || c WHEN len(wc) = o THEN ab ELSE ab || ' ' || array_to_string(wc[o + 1:], ' ') END AS text FROM z2"""
+# Each segment is compared with the end of the one before it, which has all eight words that matter.
+SEGMENTS_SQL = rf"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '') AS w FROM documents),
+ g AS (SELECT doc_id, k, w[8 * k + 1:8 * k + 12] AS p FROM (SELECT doc_id, w, unnest(range(0, (len(w) + 7) // 8)) AS k FROM w)),
+ s AS (SELECT doc_id, k, CASE k % 3 WHEN 0 THEN array_to_string(p, ' ') WHEN 1 THEN translate(array_to_string(p, ' '), '{string.ascii_lowercase}', '{string.ascii_uppercase}') || '!' ELSE array_to_string(p, '  ') END AS s FROM g),
+ o AS (SELECT *, list_filter(regexp_split_to_array(s, '\s+'), lambda x: x <> '') AS own FROM s),
+ e AS (SELECT *, list_transform(own, lambda x: trim(lower(x), '!"#$%&''()*+,-./:;<=>?@[\]^_`{{|}}~')) AS bare FROM o),
+ l AS (SELECT *, coalesce(lag(bare) OVER (PARTITION BY doc_id ORDER BY k), []) AS tail FROM e),
+ z AS (SELECT *, coalesce(list_max(list_filter(range(1, least(len(tail), len(bare), 8) + 1), lambda n: tail[len(tail) - n + 1:] = bare[1:n])), 0) AS shared FROM l),
+ m AS (SELECT doc_id, string_agg(CASE WHEN k = 0 THEN s WHEN shared = 0 THEN ' ' || s WHEN shared = len(own) THEN '' ELSE ' ' || array_to_string(own[shared + 1:], ' ') END, '' ORDER BY k) AS t FROM z GROUP BY doc_id),
+ n AS (SELECT doc_id, coalesce(m.t, '') AS t FROM documents LEFT JOIN m USING (doc_id))"""
 
 
 def segments(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter("lang = 'en'").filter(~F.rlike("text", F.lit(r"[^\x00-\x7F]")))
-    w = dealt(docs.select("doc_id", T.words(F.col("text")).alias("w")))
-    part = lambda a, n, by=" ": F.array_join(F.slice("w", a, n), by)
-    return w.select("doc_id", F.array(part(1, 12), F.concat(F.upper(part(9, 12)), F.lit("!")), part(21, 4, "  ")).alias("segments"))
+    """Whole texts as overlapping segments: twelve words every eight, each third shouted, each third
+    with double spaces."""
+    docs = dealt(table(spark, sf_dir, "documents").select("doc_id", T.words(F.coalesce("text", F.lit(""))).alias("w")))
+    part = lambda k, by: F.array_join(F.slice("w", k * 8 + 1, F.lit(12)), by)
+    shouted = lambda k: F.concat(F.translate(part(k, " "), string.ascii_lowercase, string.ascii_uppercase), F.lit("!"))
+    numbers = F.when(F.size("w") > 0, F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 8).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return docs.select("doc_id", F.transform(numbers, lambda k: F.when(k % 3 == 0, part(k, " ")).when(k % 3 == 1, shouted(k)).otherwise(part(k, "  "))).alias("segments"))
 
 
-@query(SEGMENTS_SQL)
+@query(SEGMENTS_SQL + " SELECT doc_id, t AS text FROM n")
 def t10_merged_segments(spark, sf_dir):
-    return segments(spark, sf_dir).filter(F.col("segments")[0] != "").select("doc_id", X.merged(F.col("segments")).alias("text"))
+    return segments(spark, sf_dir).select("doc_id", X.merged(F.col("segments")).alias("text"))
 
 
 @query("SELECT * FROM (VALUES (1, 1), (2, 0), (3, 2)) s(id, n)")
@@ -256,9 +286,9 @@ def t16_prompt(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.prompt_for(mode, {"email": EMAIL}, PLAIN).alias("prompt"))
 
 
-@query(f"""SELECT item_id, '{{"model":"m","messages":[{{"role":"system","content":"{PLAIN}"}},{{"role":"user","content":"' || replace(text, chr(10), '\\n') || '"}}],"temperature":0.0,"max_tokens":64,"stream":false}}' AS request FROM benchmark WHERE NOT contains(text, '"')""")
+@query(f"""SELECT item_id, '{{"model":"m","messages":[{{"role":"system","content":"{PLAIN}"}},{{"role":"user","content":' || CAST(to_json(coalesce(text, '') || ' "quoted" \\ ' || chr(9)) AS VARCHAR) || '}}],"temperature":0.0,"max_tokens":64,"stream":false}}' AS request FROM benchmark""")
 def t17_chat_request(spark, sf_dir):
-    rows = table(spark, sf_dir, "benchmark").filter(~F.contains("text", F.lit('"')))
+    rows = table(spark, sf_dir, "benchmark").withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(' "quoted" \\ \t')))
     return rows.select("item_id", T.chat_request(F.lit(PLAIN), F.col("text"), F.lit(64), "m").alias("request"))
 
 
@@ -273,10 +303,9 @@ def t19_word_count(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.word_count(F.col("text")).alias("words"))
 
 
-@query(chained(*SMART, *RULES, *EXPANSIONS, base=SEGMENTS_SQL.replace(" SELECT doc_id, CASE WHEN c", ", n AS (SELECT doc_id, CASE WHEN c").replace("END AS text FROM z2", "END AS t FROM z2)")))
+@query(chained(*SMART, *RULES, *EXPANSIONS, base=SEGMENTS_SQL))
 def t20_dictated(spark, sf_dir):
-    rows = segments(spark, sf_dir).filter(F.col("segments")[0] != "")
-    return X.dictated(rows, "segments", DICTIONARY, SNIPPETS).select("doc_id", "text")
+    return X.dictated(segments(spark, sf_dir), "segments", DICTIONARY, SNIPPETS).select("doc_id", "text")
 
 
 @query(chained(*RULES))

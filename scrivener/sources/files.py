@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scrivener.operators.ordering import numbered
+
 HISTORY = "text string, timestamp string, wordCount bigint, durationMs bigint, speechDurationMs bigint, wasCleanedUp boolean"
 DICTIONARY = "ord int, `from` string, `to` string"
 SNIPPETS = "ord int, trigger string, expansion string"
@@ -61,7 +63,9 @@ def resumed_append(spark: SparkSession, df: DataFrame, path: str, schema: str, w
     number of rows that were there."""
     there = read_jsonl(spark, path, schema).count()
     if there < wanted:
-        df.orderBy(key).limit(wanted).offset(there).write.mode("append").json(path)
+        # by ranges, so that a large rest does not pass through one task
+        at = numbered(df, key, name="resume_at_").filter((F.col("resume_at_") >= there) & (F.col("resume_at_") < wanted))
+        at.drop("resume_at_").write.mode("append").json(path)
     return there
 
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from datetime import date, timedelta
+from itertools import pairwise
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivener.operators.app import FEEDBACK_GAP, final_state
+from scrivener.operators.app import FEEDBACK_GAP, state_after, state_map
 from scrivener.operators.audio import RATE
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -58,9 +60,38 @@ def kept_within(events: DataFrame, ttl: str = "30 days") -> DataFrame:
     return events.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def rate_limited(events: DataFrame, gap: int = FEEDBACK_GAP) -> DataFrame:
-    """(user_id, event_id, ts): of each user's events, those at least `gap` seconds after the last
-    one accepted; the last accepted instant is the state."""
+def expiring_log(path: str, days: int) -> Callable[[DataFrame, int], None]:
+    """A batch writer as `appended_log` whose rows expire `days` after the newest event so far: batches
+    lie in folders by day, and a day that has passed as a whole is deleted. What has expired of the
+    last day is left out by `retained`."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch.withColumn("day", F.to_date("ts")).write.mode("overwrite").partitionBy("day").parquet(f"{path}/batch={number}")
+        newest = spark.read.parquet(path).agg(F.max("ts")).first()[0]
+        if newest is None:
+            return
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path
+        fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+        last = (newest - timedelta(days=days)).date()
+        for folder in fs.globStatus(hadoop(f"{path}/batch=*/day=*")):
+            day = folder.getPath().getName().removeprefix("day=")
+            if day[:4].isdigit() and date.fromisoformat(day) < last:
+                fs.delete(folder.getPath(), True)
+
+    return write
+
+
+def retained(spark: SparkSession, path: str, days: int) -> DataFrame:
+    """The rows of an expiring log that are at most `days` older than its newest; rows without an instant are not."""
+    rows = spark.read.parquet(path).drop("batch", "day")
+    newest = rows.agg(F.max("ts").alias("newest_"))
+    return rows.crossJoin(F.broadcast(newest)).filter(F.col("ts") >= F.col("newest_") - F.make_dt_interval(F.lit(days))).drop("newest_")
+
+
+def rate_limited(events: DataFrame, gap: int = FEEDBACK_GAP, per_user: bool = True) -> DataFrame:
+    """(user_id, event_id, ts): of each user's events (or of all, as one process limits them), those at
+    least `gap` seconds after the last one accepted; the last accepted instant is the state."""
     out = "user_id bigint, event_id bigint, ts timestamp"
 
     def step(key, batches: Iterator, state):
@@ -68,31 +99,65 @@ def rate_limited(events: DataFrame, gap: int = FEEDBACK_GAP) -> DataFrame:
 
         last = state.get[0] if state.exists else None
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        kept = []
-        for event_id, ts in zip(rows["event_id"], rows["ts"], strict=True):
-            at = ts.value // 1000
-            if last is None or at - last >= gap * 1_000_000:
-                kept.append((key[0], event_id, ts))
-                last = at
+        at = rows["ts"].to_numpy().astype("datetime64[us]").astype("int64")
+        places, last = accepted_places(at, gap * 1_000_000, last)
         state.update((last,))
-        yield pd.DataFrame(kept, columns=["user_id", "event_id", "ts"])
-
-    return events.select("user_id", "event_id", "ts").groupBy("user_id").applyInPandasWithState(step, out, "last bigint", "append", "NoTimeout")
-
-
-def rate_limited_table(events: DataFrame, gap: int = FEEDBACK_GAP) -> DataFrame:
-    """As `rate_limited`, over a table: a fold of each user's events in order."""
-    rows = events.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id"))).alias("rows"))
-    none = F.filter("rows", lambda r: F.lit(False))
-    late = lambda acc, r: F.coalesce(F.timestamp_diff("MICROSECOND", F.try_element_at(acc, F.lit(-1))["ts"], r["ts"]) >= gap * 1_000_000, F.lit(True))
-    kept = F.aggregate("rows", none, lambda acc, r: F.when(late(acc, r), F.concat(acc, F.array(r))).otherwise(acc))
-    return rows.select("user_id", F.inline(kept)).select("user_id", "event_id", "ts")
+        yield rows.iloc[places][["user_id", "event_id", "ts"]]
+
+    key = F.col("user_id") if per_user else F.lit(0)
+    rows = events.filter("ts is not null").select("user_id", "event_id", "ts", key.alias("by_"))
+    return rows.groupBy("by_").applyInPandasWithState(step, out, "last bigint", "append", "NoTimeout")
+
+
+def accepted_places(at, gap: int, last: int | None) -> tuple[list[int], int | None]:
+    """Places in the sorted instants `at` that are accepted after `last`, each found by a search for
+    the one before, and the last one accepted."""
+    places, i = [], 0 if last is None else int(at.searchsorted(last + gap))
+    while i < len(at):
+        places.append(i)
+        last = int(at[i])
+        i = int(at.searchsorted(last + gap)) if gap > 0 else i + 1
+    return places, last
+
+
+def rate_limited_table(events: DataFrame, gap: int = FEEDBACK_GAP, per_user: bool = True) -> DataFrame:
+    """As `rate_limited`, over a table. A task streams its users' events in order and holds one batch and
+    one instant; limiting all events as one sequence is one stream by its nature, of ids and instants only."""
+    kind = events.schema["ts"].dataType.simpleString()
+    rows = events.filter("ts is not null").select("user_id", "event_id", "ts")
+    keys = ["user_id"] if per_user else []
+    dealt = rows.repartition("user_id") if per_user else rows.coalesce(1)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        user, last = None, None
+        for batch in batches:
+            at = batch.column(2).cast(pa.timestamp("us", batch.column(2).type.tz)).cast(pa.int64()).to_numpy()
+            users = batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy()
+            cuts = [0, *((np.flatnonzero(users[1:] != users[:-1]) + 1).tolist() if per_user else []), len(at)]
+            found = []
+            for a, b in pairwise(cuts):
+                if per_user and a < b and users[a] != user:
+                    user, last = users[a], None
+                places, last = accepted_places(at[a:b], gap * 1_000_000, last)
+                found += [a + p for p in places]
+            if found:
+                yield batch.take(pa.array(found, pa.int64()))
+
+    return dealt.sortWithinPartitions(*keys, "ts", "event_id").mapInArrow(run, f"user_id bigint, event_id bigint, ts {kind}")
 
 
 def recorder_states(events: DataFrame, event: Column) -> DataFrame:
-    """(user_id, state, n): the recorder's state after all of a user's events in order."""
-    rows = events.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", event.alias("e")))).alias("rows"), F.count("*").alias("n"))
-    return rows.select("user_id", final_state(F.transform("rows", lambda r: r["e"])).alias("state"), "n")
+    """(user_id, state, n): the recorder's state after all of a user's events in order. A day's events
+    are one map from the state before to the state after; a user's days are then applied in order, so
+    no task holds more than a user's day or a user's list of days."""
+    day = F.date_trunc("day", "ts").alias("day_")
+    listed = events.groupBy("user_id", day).agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", event.alias("e")))).alias("rows"), F.count("*").alias("n"))
+    days = listed.select("user_id", "day_", "n", state_map(F.transform("rows", lambda r: r["e"])).alias("map_"))
+    rows = days.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("day_", "map_"))).alias("days_"), F.sum("n").alias("n"))
+    return rows.select("user_id", state_after(F.transform("days_", lambda d: d["map_"])).alias("state"), "n")
 
 
 def buffered(frames: DataFrame, samples: str = "samples") -> DataFrame:

@@ -148,3 +148,99 @@ def test_export_keeps_its_order(spark, tmp_path):
     S.write_text(H.export_line(h), "line", "ord", f"file://{tmp_path}/export")
     text = "".join(p.read_text() for p in sorted((tmp_path / "export").glob("part-*")))
     assert text == "[3/9/2024, 9:00:00 AM] (1 words)\na\n\n---\n\n[3/10/2024, 3:00:00 PM] (2 words)\nb\n\n---\n\n"
+
+
+def test_numbered_keeps_a_global_order(spark):
+    from scrivener.operators.ordering import numbered
+
+    rows = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("k"), F.lit("clash").alias("part_"))
+    got = numbered(rows, "k", name="n", first=1).orderBy("n").collect()
+    assert [r["k"] for r in got] == sorted(i * 7919 % 5003 for i in range(5000)) and [r["n"] for r in got] == list(range(1, 5001))
+    down = numbered(rows, F.desc("k"), name="n").filter("n < 3").orderBy("n").collect()
+    assert [r["k"] for r in down] == sorted((i * 7919 % 5003 for i in range(5000)), reverse=True)[:3] and numbered(rows.limit(0), "k").count() == 0
+
+
+def test_vocabulary_numbers(spark):
+    tokens = spark.createDataFrame([("b",), ("a",), ("É",), ("b",), ("z",)], "token string")
+    assert sorted(map(tuple, V.vocabulary(tokens, 3).collect())) == [("a", 3), ("b", 6), ("z", 9), ("É", 12)]
+    cut = V.pruned(V.vocabulary(tokens), V.dense_index(V.vocabulary(tokens).filter("token in ('b', 'z')")))
+    assert sorted(map(tuple, cut.collect())) == [("b", 2, 0), ("z", 3, 1)]
+
+
+def test_passthroughs_are_the_sentences_in_order_then_repeats(spark, monkeypatch):
+    """Whatever the block, the same rows: each number once, sentences first, then only sentences."""
+    sentences = spark.createDataFrame([(i, f"s{i}") for i in range(5)], "ord long, text string")
+    made = {}
+    for block in (65_536, 7):
+        monkeypatch.setattr(C, "BLOCK_ROWS", block)
+        for wanted in (0, 3, 1000):
+            rows = sorted(map(tuple, C.passthroughs(sentences, spark.createDataFrame([(wanted,)], "wanted long")).collect()))
+            assert [r[0] for r in rows] == list(range(wanted)) and [r[1] for r in rows[:5]] == [f"s{i}" for i in range(min(wanted, 5))]
+            assert all(a == b and a in {f"s{i}" for i in range(5)} for _, a, b in rows) and made.setdefault(wanted, rows) == rows
+    count = {s: sum(r[1] == s for r in made[1000]) for s in ("s0", "s4")}
+    assert all(140 < n < 260 for n in count.values())
+
+
+def accepted_one_by_one(rows, gap, per_user):
+    last, out = {}, []
+    for ts, event, user in sorted(rows):
+        key = user if per_user else None
+        if key not in last or (ts - last[key]).total_seconds() >= gap:
+            out.append(event)
+            last[key] = ts
+    return sorted(out)
+
+
+@pytest.mark.parametrize("per_user", [True, False])
+def test_rate_limit_against_one_by_one(spark, per_user):
+    """Hot users, ties, users without a number, and streams of many small batches."""
+    import random
+
+    rng = random.Random(6)
+    start = dt.datetime(2024, 3, 1)
+    rows = [(start + dt.timedelta(seconds=rng.randrange(90_000)), i, rng.choice([1, 1, 1, 2, 3, 4])) for i in range(3000)]
+    events = spark.createDataFrame(rows, "ts timestamp_ntz, event_id long, user_id long").withColumn("clash", F.lit(1))
+    expected = accepted_one_by_one(rows, 300, per_user)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("10000", "7"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            assert sorted(r["event_id"] for r in D.rate_limited_table(events, 300, per_user).collect()) == expected
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert D.rate_limited_table(events.limit(0), 300, per_user).count() == 0
+    odd = spark.createDataFrame([(None, 1, 1), (start, 2, None), (start, 3, None), (start, 4, 5)], "ts timestamp_ntz, event_id long, user_id long")
+    assert D.rate_limited_table(odd, 300, per_user).count() == (2 if per_user else 1)
+
+
+def test_recorder_states_over_days(spark):
+    start = dt.datetime(2024, 3, 1, 23, 59)
+    said = ["start", "stop", "polish", "x", "done", "start", "error", "start"]
+    rows = [(1, start + dt.timedelta(hours=9 * i), i, e) for i, e in enumerate(said)] + [(2, start, 0, "stop"), (None, start, 0, "start")]
+    events = spark.createDataFrame(rows, "user_id long, ts timestamp_ntz, event_id long, e string")
+    got = {r["user_id"]: (r["state"], r["n"]) for r in D.recorder_states(events, F.col("e")).collect()}
+    assert got == {1: ("Recording", 8), 2: ("Idle", 1), None: ("Recording", 1)}
+
+
+def test_expired_rows_and_days_go(spark, tmp_path):
+    import os
+
+    path = f"file://{tmp_path}/log"
+    write = D.expiring_log(path, 2)
+    batches = [[1, 2, 3], [5], [4, 6], []]
+    for number, days in enumerate(batches):
+        write(spark.createDataFrame([(d, dt.datetime(2024, 3, d, 12)) for d in days], "event_id long, ts timestamp"), number)
+    assert sorted(r["event_id"] for r in D.retained(spark, path, 2).collect()) == [4, 5, 6]
+    held = [d for _, dirs, _ in os.walk(tmp_path / "log") for d in dirs if d.startswith("day=")]
+    assert sorted(held) == ["day=2024-03-04", "day=2024-03-05", "day=2024-03-06"]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from scrivener.sources.storage import shared_folder
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    session = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://somewhere:7077", getConf=lambda: conf))
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        shared_folder(session)

@@ -155,3 +155,68 @@ def test_bullets(spark, text, flat):
 )
 def test_numbered_lists(spark, text, flat):
     assert spark.createDataFrame([(text,)], "t string").select(M.numbered_flattened(F.col("t"))).first()[0] == flat
+
+
+LONG = "a line without any signal\n" * 60_000
+
+
+def test_long_texts_of_many_lines(spark):
+    """No stage recurses by the line; what a stage does at the end of a long text it does there too."""
+    assert run(spark, LONG + "meet at 3 wait I mean 4\nthen go", T.without_corrections) == LONG + "4\nthen go"
+    assert run(spark, LONG + "um yes", T.without_fillers).endswith("signal yes")
+    out = smart(spark, "one two " * 100_000 + "fifty percent comma bye")
+    assert out.endswith("50%, bye.") and len(out) > 700_000
+
+
+@pytest.mark.parametrize(
+    ("stage", "said", "left"),
+    [
+        (T.without_fillers, "um, Ärger um über éum umé hmm", "Ärger über éum umé"),
+        (T.without_corrections, "Café à trois, non wait über vier", "über vier"),
+        (T.without_corrections, "éwait hier", "éwait hier"),
+        (T.capitalized, "  élan vital", "Élan vital"),
+        (T.with_numbers, "chapitre éone, page three, épage four", "chapitre éone, page 3, épage four"),
+        (T.with_sentences, "oui. non. é i éi i", "Oui. Non. é I éi I"),
+        (T.datamarked, "à la carte", "à^la^carte"),
+    ],
+)
+def test_letters_beyond_ascii_are_letters(spark, stage, said, left):
+    got = run(spark, said, stage)
+    assert got == left or stage is T.with_sentences and got == left.replace("Oui", "oui")
+
+
+def merged_one_by_one(segments):
+    strip = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+    bare = lambda t: [w.lower().strip(strip) for w in t.split()]
+    text = ""
+    for segment in segments:
+        segment = segment.strip()
+        if not segment:
+            continue
+        own, end = segment.split(), bare(text)
+        shared = next((n for n in range(min(8, len(own), len(end)), 0, -1) if end[-n:] == bare(segment)[:n]), 0)
+        rest = segment if not shared else " ".join(own[shared:])
+        text = f"{text} {rest}" if text and rest else text or segment
+    return text
+
+
+def test_merging_many_segments_against_one_by_one(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = []
+    for i in range(60):
+        words = rng.choices(["a", "B", "c,", "été.", "x!", "—", "la"], k=rng.randrange(90))
+        cut = sorted(rng.sample(range(len(words) + 1), min(len(words), rng.randrange(12))))
+        segments = [rng.choice([" ", "  "]).join(words[max(0, a - rng.randrange(10)) : b]) for a, b in zip([0, *cut], [*cut, len(words)], strict=True)]
+        rows.append((i, [*segments, "", "  "]))
+    df = spark.createDataFrame(rows, "id int, segments array<string>")
+    got = {r["id"]: r["text"] for r in df.select("id", X.merged(F.col("segments")).alias("text")).collect()}
+    assert got == {i: merged_one_by_one(s) for i, s in rows}
+
+
+def test_replacements_that_name_groups(spark):
+    rows = spark.createDataFrame([("go now",)], "text string")
+    rules = [("now", "$0-$0 $$1 ${0}x $name.")]
+    assert X.with_dictionary(rows, rules).first()[0] == "go $0-$0 $$1 ${0}x $name."
+    assert X.with_dictionary(rows, rules, expand=True).first()[0] == "go now-now $1 nowx ."
