@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivener.llm.common import spread, stored, table
+from scrivener.llm.common import drop_stored, spread, stored, table
 from scrivener.llm.jaccard_join import deduplicate
 from scrivener.llm.mixing import mix
 from scrivener.llm.queries import piece_model
@@ -54,7 +54,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over `documents`, each stage's rows written to the shared folder for the next."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            drop_stored(spark, before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

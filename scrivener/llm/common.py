@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scrivener.sources.storage import shared_folder
+
 #: Rows a Python operator holds as Python objects at a time; batches are cut to it.
 SLICE = 256
 #: Characters, bytes and list entries after which an output batch leaves.
@@ -26,34 +28,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: `spark.checkpoint.dir`, or a temporary one if unset (tests)."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not sc._jsc.sc().getCheckpointDir().isDefined():
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="scrivener-"))
-        base = sc._jsc.sc().getCheckpointDir().get()
-    return base
-
-
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/scrivener/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder every executor sees."""
+    return f"{shared_folder(spark)}/scrivener/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` once to the shared folder and read it back: cuts lineage, survives lost executors."""
+def stored(df: DataFrame, name: str, work: str | None = None) -> DataFrame:
+    """Write `df` once to the shared folder (below `work`, if given) and read it back: cuts lineage,
+    survives lost executors."""
     spark = df.sparkSession
-    path = scratch(spark, name)
+    path = f"{work}/{name}-{uuid.uuid4().hex}" if work else scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def drop_stored(spark: SparkSession, df: DataFrame) -> None:
     """Delete a `stored` table that nothing will read again."""
     for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(os.path.dirname(file))
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(spark, os.path.dirname(file))
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -50,26 +50,27 @@ def _sign(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b", work: str | None = None) -> DataFrame:
     """(node, component): every node of `links`, with the least node of its component. Loops and
-    repeated links are ignored; nulls link nothing; empty tables give no rows."""
+    repeated links are ignored; nulls link nothing; empty tables give no rows. What is written stands
+    below `work`."""
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u is not null and v is not null and u > v").distinct()
-    spark, first = links.sparkSession, stored(edges, "cc")
-    edges = stored(settled_locally(first, 1 + first.count() // LOCAL_LINKS).distinct(), "cc")
+    spark, first = links.sparkSession, stored(edges, "cc", work)
+    edges = stored(settled_locally(first, 1 + first.count() // LOCAL_LINKS).distinct(), "cc", work)
     drop_stored(spark, first)
     sign = _sign(edges)
     for _ in range(ROUNDS):
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # written, so that the join has a plain shuffle on either side, which adaptive execution can
         # split where one node is linked to very many
-        least = stored(both.groupBy("u").agg(F.min("v").alias("m")), "cc-least")
-        large = stored(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct(), "cc-large")
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m")), "cc-least", work)
+        large = stored(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct(), "cc-large", work)
         drop_stored(spark, least)
         # a node without smaller neighbours keeps its links through the larger ones' rows above
-        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "cc-least")
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "cc-least", work)
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").unionByName(joined.select("u", F.col("m").alias("v"))).distinct()
-        before, edges = edges, stored(small, "cc")
+        before, edges = edges, stored(small, "cc", work)
         now = _sign(edges)
         for old in (before, large, least):
             drop_stored(spark, old)

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_groups, map_rows, stored
+from .common import delete, map_groups, map_rows, scratch, stored
 from .components import components
 
 N = 5
@@ -206,7 +206,7 @@ def _near(left: np.ndarray, right: np.ndarray, least: int):
         yield i, np.flatnonzero(np.count_nonzero(right == s, axis=1) >= least)
 
 
-def bucket_links(nodes: DataFrame, threshold: float, recall: float, depth: int, deepest: int, limit: int) -> DataFrame:
+def bucket_links(nodes: DataFrame, threshold: float, recall: float, depth: int, deepest: int, limit: int, work: str) -> DataFrame:
     """(a, b): spanning forests of the nearly similar pairs of every bucket."""
     least = math.ceil((threshold - SLACK) * SKETCH)
     runs = runs_for(recall, deepest, threshold, least)
@@ -229,7 +229,7 @@ def bucket_links(nodes: DataFrame, threshold: float, recall: float, depth: int,
         return rows
 
     drawn = nodes.select("node", "sketch")
-    level, done = stored(map_rows(drawn, start, "path long, node long"), "paths"), []
+    level, done = stored(map_rows(drawn, start, "path long, node long"), "paths", work), []
     for at in range(depth, deepest + 1):
         counts = level.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1")
         if at == deepest:
@@ -237,7 +237,7 @@ def bucket_links(nodes: DataFrame, threshold: float, recall: float, depth: int,
             break
         done.append(level.join(counts.filter(F.col("n") <= limit), "path"))
         big = level.join(counts.filter(F.col("n") > limit).select("path"), "path")
-        level = stored(map_rows(big.join(drawn, "node").select("path", "node", "sketch"), further, "path long, node long").distinct(), "paths")
+        level = stored(map_rows(big.join(drawn, "node").select("path", "node", "sketch"), further, "path long, node long").distinct(), "paths", work)
         if level.isEmpty():
             break
     rows = done[0]
@@ -293,13 +293,13 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def exact_links(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+def exact_links(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, threshold: float, work: str) -> tuple[DataFrame, DataFrame]:
     """Of `members` (node, rep, copies, size, component): (node, links), the documents a node is
     linked to, and (a, b), spanning forests of the exact links."""
     stats = members.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK_NODES), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")
     placed = members.join(stats.select("component", blocks.alias("blocks")), "component")
-    placed = stored(placed.select("component", "node", "rep", "copies", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int").alias("own")), "jaccard-members")
+    placed = stored(placed.select("component", "node", "rep", "copies", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int").alias("own")), "jaccard-members", work)
     texts = docs.select(F.col(id_col).cast("long").alias("id_"), text_key(F.col(text_col)).alias("key_"), F.col(text_col).alias("text"))
     same = F.col("id_").eqNullSafe(F.col("rep.id_")) & (F.col("key_") == F.col("rep.key_"))
     found = texts.join(F.broadcast(placed) if placed.count() <= BROADCAST_NODES else placed, same)
@@ -342,7 +342,7 @@ def exact_links(docs: DataFrame, members: DataFrame, id_col: str, text_col: str,
         for a, b in forest.links:
             yield keys[a], keys[b], None
 
-    out = stored(map_groups(dealt, ["component", "i", "j"], compare, "a long, b long, n long"), "jaccard-links")
+    out = stored(map_groups(dealt, ["component", "i", "j"], compare, "a long, b long, n long"), "jaccard-links", work)
     return out.filter("n is not null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links")), out.filter("b is not null").select("a", "b")
 
 
@@ -350,18 +350,22 @@ def classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, recal
     """(id_, key_, node, class_, links_) of every row: `class_` is the least id of all documents it is
     linked with, directly or through others, itself included; null for rows without an id that are
     linked with none that has one."""
+    spark = docs.sparkSession
+    work = scratch(spark, "jaccard-work")
     rows = stored(sketched(docs, id_col, text_col), "jaccard-sketches")
-    nodes = stored(rows.filter("node is not null").groupBy("node").agg(F.min(F.struct(F.col("id_").isNull().alias("none"), "id_", "key_")).alias("rep"), F.count("*").alias("copies"), F.max("size").alias("size"), F.max("sketch").alias("sketch")), "jaccard-nodes")
-    near = components(bucket_links(nodes, threshold, recall, depth, deepest, limit))
+    nodes = stored(rows.filter("node is not null").groupBy("node").agg(F.min(F.struct(F.col("id_").isNull().alias("none"), "id_", "key_")).alias("rep"), F.count("*").alias("copies"), F.max("size").alias("size"), F.max("sketch").alias("sketch")), "jaccard-nodes", work)
+    near = components(bucket_links(nodes, threshold, recall, depth, deepest, limit, work), work=work)
     members = nodes.drop("sketch").join(near, "node")
-    links, forest = exact_links(docs, members, id_col, text_col, threshold)
-    final = components(forest)
+    links, forest = exact_links(docs, members, id_col, text_col, threshold, work)
+    final = components(forest, work=work)
     heads = nodes.select("node", "rep").join(final, "node")
     heads = heads.join(heads.groupBy("component").agg(F.min("rep.id_").alias("class")), "component").select("node", "class", "component")
     table = nodes.select("node", "rep", "copies").join(heads, "node", "left").join(links, "node", "left")
     table = table.select("node", F.coalesce("component", "node").alias("group_"), F.coalesce("class", "rep.id_").alias("class_"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links_"))
     # written, so that the join has a plain shuffle on either side and copies of one node can be split
-    return rows.select("id_", "key_", "node").join(stored(table, "jaccard-nodes-linked"), "node", "left").select("id_", "key_", "node", "group_", F.coalesce("class_", "id_").alias("class_"), F.coalesce("links_", F.lit(0)).cast("long").alias("links_"))
+    table = stored(table, "jaccard-nodes-linked")
+    delete(spark, work)
+    return rows.select("id_", "key_", "node").join(table, "node", "left").select("id_", "key_", "node", "group_", F.coalesce("class_", "id_").alias("class_"), F.coalesce("links_", F.lit(0)).cast("long").alias("links_"))
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: float = THRESHOLD, recall: float = RECALL, depth: int = DEPTH, deepest: int = DEEPEST, limit: int = LIMIT) -> DataFrame:

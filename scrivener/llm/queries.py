@@ -115,7 +115,8 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after four batches of inserts with the count of words for both versions, a redelivery
-    of the first, and a batch that revises every document's count of pieces."""
+    of the first, a batch that revises every document's count of pieces, one that deletes a
+    quarter of the documents, a compaction, and one that puts them back."""
     from .common import scratch, stored
     from .token_counts import KEYS, Rollup, count_pieces, revised, signed
 
@@ -129,6 +130,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         part = counts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(4)) == k)
         rollup.commit(f"load-{k}", signed(of(part, "words_v1", "words").unionByName(of(part, "piece_bpe_32k", "words")), 1))
     rollup.commit("revise-pieces", revised(of(counts, "piece_bpe_32k", "words"), of(counts, "piece_bpe_32k", "pieces")))
+    part = counts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 2)
+    gone = of(part, "words_v1", "words").unionByName(of(part, "piece_bpe_32k", "pieces"))
+    rollup.commit("take-out", signed(gone, -1))
+    rollup.compact()
+    rollup.commit("put-back", signed(gone, 1))
     return rollup.totals().select(*KEYS, "n_docs", "n_tokens")
 
 

@@ -26,7 +26,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import few, scratch, stored
+from .common import delete, few, scratch, stored
 from .lines import blocks_of, in_blocks, lay_out, offsets
 
 LARGE = 1 / 1000
@@ -180,7 +180,8 @@ class Plan:
         text = F.coalesce(F.col(text_col), F.lit(""))
         own = [F.col(id_col).alias("id_"), (F.octet_length(text) + 1).cast("long").alias("size_"), F.crc32(text.cast("binary")).alias("crc_"), F.coalesce(old_shard.cast("int"), F.lit(-1)).alias("old_")]
         self._keyed = lambda df: df.select(*own, F.struct(*df.columns).alias("row_"))
-        rows = stored(docs.select(*own), "reshard-rows")
+        self.work = scratch(docs.sparkSession, "reshard-work")
+        rows = stored(docs.select(*own), "reshard-rows", self.work)
         supply = {r[0]: (int(r[1]), r[2]) for r in rows.groupBy("old_").agg(F.sum("size_"), F.count("*")).collect()}
         total = sum(s for s, _ in supply.values())
         room = level_rooms([0] * shards, total)
@@ -195,6 +196,10 @@ class Plan:
         self.rest_flow = min_cost_flow(rest, level_rooms(taken, sum(rest.values())))
         self._lay_out(rows, [(*r, -1 - k, j) for k, (r, j) in enumerate(zip(large, to, strict=True))], supply, file_bytes)
 
+    def close(self) -> None:
+        """Delete what the plan wrote; it cannot be used after."""
+        delete(self.rows.sparkSession, self.work)
+
     def _lay_out(self, rows: DataFrame, large: list[tuple], supply: dict, file_bytes: int) -> None:
         spark = rows.sparkSession
         pieces = []
@@ -213,12 +218,12 @@ class Plan:
         line = line.withColumn("shard_", F.element_at("to_", F.size(F.filter("cuts_", lambda c: c * 2 <= middle)) + 1))
         names = ["id_", "size_", "crc_", "old_", "block_", "shard_"]
         kinds = f"id_ {rows.schema['id_'].dataType.simpleString()}, size_ long, crc_ long, old_ int, block_ int, shard_ int"
-        line = stored(line.select(*names).unionByName(spark.createDataFrame(large, kinds)), "reshard-line")
+        line = stored(line.select(*names).unionByName(spark.createDataFrame(large, kinds)), "reshard-line", self.work)
         sums = line.groupBy("old_", "block_", "shard_").agg(F.count("*").alias("n_"), F.sum("size_").alias("bytes_"))
         along = Window.partitionBy("shard_").orderBy("old_", "block_").rowsBetween(Window.unboundedPreceding, -1)
         file = F.floor(F.coalesce(F.sum("bytes_").over(along), F.lit(0)) / file_bytes).cast("int")
         ways = F.count("*").over(Window.partitionBy("old_", "block_"))
-        self.blocks = stored(sums.select("old_", "block_", "shard_", "n_", file.alias("file_"), ways.alias("ways_")), "reshard-blocks")
+        self.blocks = stored(sums.select("old_", "block_", "shard_", "n_", file.alias("file_"), ways.alias("ways_")), "reshard-blocks", self.work)
         self.n_blocks = self.blocks.count()
         #: (id, size, crc, old shard, block, new shard, file) of every row; large documents are blocks below 0.
         self.rows = line.join(few(self.blocks.drop("n_", "ways_"), self.n_blocks), ["old_", "block_", "shard_"]).select(*names, "file_")
@@ -253,7 +258,7 @@ class Plan:
         alike = ["id_", "size_", "crc_", "old_"]
         copy = lambda *by: F.row_number().over(Window.partitionBy(*alike).orderBy(*by))
         one = self.rows.join(split, ["old_", "block_", "shard_"]).select(*alike, "block_", "shard_", "file_", copy("block_", "shard_", "file_").alias("copy_"))
-        one = stored(one, "reshard-single")
+        one = stored(one, "reshard-single", self.work)
         n_one = one.count()
         one = few(one.select(*[F.col(c).alias(f"{c}1") for c in one.columns]), n_one)
         divided = few(self.blocks.filter("ways_ > 1 and block_ >= 0").select("old_", "block_").distinct(), self.n_blocks)
@@ -314,4 +319,5 @@ def resharded(docs: DataFrame, old_shard: Column, shards: int, id_col: str = "do
     columns = [c for c in docs.columns if c not in ("shard", "slot", "old_shard")]
     rows = placed.select(*[F.col("row_")[c].alias(c) for c in columns], F.col("old_").alias("old_shard"), F.col("shard_").alias("shard"), F.col("slot_").alias("slot"))
     rows.write.partitionBy("shard").parquet(path)
+    plan.close()
     return docs.sparkSession.read.schema(rows.schema).parquet(path)

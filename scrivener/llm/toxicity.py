@@ -4,8 +4,8 @@ Terms are a text's lower-cased words and their beginnings of 4 to 6 letters, has
 `BUCKETS` numbers. The score is sigmoid(bias + weights of the terms present + inner products of the
 factors of all pairs of them), so that two terms together can weigh more (or less) than their sum.
 
-The model is fitted on at most `MAX_ROWS` labelled rows (the first by a hash of the id; a bounded
-sample by design) and on all of their terms, by minibatch AdaGrad in the driver. Every weight pays a
+The model is fitted on at most `MAX_ROWS` labelled rows and `MAX_SAMPLE_TERMS` terms in them (the first
+rows by a hash of the id; a bounded sample by design), on all terms of whole texts, by minibatch AdaGrad in the driver. Every weight pays a
 penalty on its size and every term's factors one on their length (`WEIGHT_PENALTY`,
 `FACTOR_PENALTY`), so that a term without use ends at exactly 0; the factors' is low enough that two terms
 keep theirs that tell nothing apart and everything together. Scoring reads whole texts of all rows.
@@ -26,10 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE, map_rows, ship
+from .common import SLICE, map_rows, ship, stored
 
 BUCKETS = 1 << 20
 MAX_ROWS = 12_000
+#: Distinct terms of all sampled rows together (four bytes each on the driver): of rows so long that
+#: `MAX_ROWS` of them hold more, fewer are sampled.
+MAX_SAMPLE_TERMS = 64_000_000
 RANK = 4
 EPOCHS = 10
 #: Least minibatches of a fit: a small sample is read more often.
@@ -145,22 +148,34 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = SEED) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS) -> Model:
-    """Fit on the labelled rows that are not held out, at most `max_rows` of them."""
+    """Fit on the labelled rows that are not held out, at most `max_rows` of them and
+    `MAX_SAMPLE_TERMS` terms."""
     key = F.col(id_col)
     learn = labels.filter((fold(key) != 0) & F.col(label_col).isNotNull() & key.isNotNull()).groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("y_"))
-    learn = learn.orderBy(F.xxhash64(id_col, F.lit(SEED)), id_col).limit(max_rows).withColumnRenamed(id_col, "id_")
+    learn = learn.withColumn("rank_", F.xxhash64(id_col, F.lit(SEED))).orderBy("rank_", id_col).limit(max_rows).withColumnRenamed(id_col, "id_")
 
     def make():
-        def rows(keys, texts, ys):
-            for key, text, y in zip(keys, texts, ys, strict=True):
-                yield key, y, sorted({t for w in text_words(text) for t in word_terms(w)})
+        def rows(keys, texts, ys, ranks):
+            for key, text, y, rank in zip(keys, texts, ys, ranks, strict=True):
+                yield key, y, rank, sorted({t for w in text_words(text) for t in word_terms(w)})
 
         return rows
 
     # at most max_rows ids are broadcast
-    sample = docs.select(key, F.col(text_col)).join(F.broadcast(learn), key == F.col("id_")).select(id_col, text_col, "y_")
+    sample = docs.select(key, F.col(text_col)).join(F.broadcast(learn), key == F.col("id_")).select(id_col, text_col, "y_", "rank_")
     kind = docs.schema[id_col].dataType.simpleString()
-    got = map_rows(sample, make, f"id_ {kind}, y_ int, terms array<int>").toArrow().combine_chunks().sort_by("id_")
+    sample = stored(map_rows(sample, make, f"id_ {kind}, y_ int, rank_ long, terms array<int>"), "toxicity-sample")
+    sizes = sorted((r[1], r[0], r[2]) for r in sample.select("id_", "rank_", F.size("terms")).collect())
+    upto, total = len(sizes), 0
+    for k, (*_, n) in enumerate(sizes):
+        total += n
+        if total > MAX_SAMPLE_TERMS:
+            upto = k
+            break
+    if upto < len(sizes):
+        last, key, _ = sizes[upto]
+        sample = sample.filter((F.col("rank_") < last) | (F.col("rank_") == last) & (F.col("id_") < key))
+    got = sample.select("id_", "y_", "terms").toArrow().combine_chunks().sort_by("id_")
     terms = got["terms"].combine_chunks()
     flat, ends = terms.values.to_numpy(zero_copy_only=False), terms.offsets.to_numpy()
     return fit([flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], got["y_"].to_numpy())

@@ -276,12 +276,30 @@ def test_rollup_is_idempotent_and_additive(spark):
     assert roll.commit("empty", signed(first.limit(0), 1))
     again = Rollup(spark, roll.path)
     assert sorted((tuple(r) for r in again.totals().collect()), key=str) == sorted([("a", "en", "v1", 1, 10), ("a", "en", "v2", 1, 6), (None, None, None, 1, 0)], key=str)
-    # a batch that broke off before its commit does not count, and is replaced when repeated
-    broken = roll._folder("broken")
-    signed(counts(("x", "x", "x", 99)), 1).write.parquet(broken)
-    roll._fs.delete(roll._path(f"{broken}/_SUCCESS"), False)
+    # a batch that broke off before its rename does not count, whatever it has written
+    signed(counts(("x", "x", "x", 99)), 1).write.parquet(f"{roll.path}/_staged-broken")
     assert "x" not in {r["source"] for r in roll.totals().collect()}
-    assert roll.commit("broken", signed(counts(("y", "y", "y", 1)), 1)) and "x" not in {r["source"] for r in roll.totals().collect()}
+    # of two writers of one batch the second finds the first's
+    changes = signed(counts(("y", "y", "y", 1)), 1)
+    again.committed = lambda batch: False  # it looked before the first was done
+    assert roll.commit("both", changes) and not again.commit("both", changes)
+    assert {r["source"]: r["n_docs"] for r in roll.totals().collect()}["y"] == 1
+
+
+def test_compaction_changes_no_total(spark):
+    roll = Rollup(spark, scratch(spark, "rollup"))
+    one = spark.createDataFrame([("a", "en", "v1", 3)], "source string, lang string, tokenizer string, n_tokens long")
+    assert not roll.compact()
+    for k in range(3):
+        assert roll.commit(f"b{k}", signed(one, 1)) and roll.compact() and not roll.commit(f"b{k}", signed(one, 1)) and not roll.commit("b0", signed(one, 1))
+        assert [tuple(r) for r in roll.totals().collect()] == [("a", "en", "v1", k + 1, 3 * k + 3)]
+    assert roll.commit("gone", signed(one, -1)) and roll.commit("more", signed(one, 1))
+    # broken off after the rename: the merged batches' folders are still there
+    real, roll._fs = roll._fs, type("Kept", (), {"__getattr__": lambda _, name: (lambda *a: True) if name == "delete" else getattr(real, name)})()
+    assert roll.compact()
+    roll._fs = real
+    assert [tuple(r) for r in roll.totals().collect()] == [("a", "en", "v1", 3, 9)] and roll.compact() is False
+    assert len([n for n in roll._names() if n.startswith("batch-")]) == 2
 
 
 def test_token_counts_are_those_of_all_documents(spark, sf_dir, documents, edge_docs):

@@ -130,10 +130,12 @@ def test_hosts_vote_and_winners_decide(spark):
     rows = [(i, f"https://News.example:80/{i}", good.format(i, "the story in many words, " * 4, "short")) for i in range(9)]
     # here the other box is longer, but the host's path holds enough of it
     rows += [(9, "http://u@news.example/q", good.format(9, "the story, told shorter than the rest " * 2, "a box of other text that goes on " * 3)), (10, None, None), (11, "nohost", "<p>alone</p>"), (10, None, None)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("path", F.lit("clash"))
+    rows += [(None, "https://news.example/0", good.format(0, "a page without an id " * 4, "short")), (12, "https://news.example/12", "<article>" + "<p>many words here</p>" * 50_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("path", F.lit("clash")).withColumn("host_", F.lit("clash"))
     found = {r["page_id"]: r for r in html_extraction.extract_pages(pages).collect()}
     assert found[9]["text"] == ("the story, told shorter than the rest " * 2).strip() and found[10]["text"] == "" and found[11]["text"] == "alone"
-    assert html_extraction.extract_pages(pages).count() == 13
+    assert found[None]["text"] == ("a page without an id " * 4).strip() and found[12]["text"].count("\n\n") == 49_999
+    assert html_extraction.extract_pages(pages).count() == 15
     assert html_extraction.extract_pages(pages.limit(0)).count() == 0
     salted = html_extraction.BROADCAST_PATHS
     try:
@@ -319,6 +321,18 @@ def test_chat_reads_back(spark):
     assert chat_format.digests(chat_format.examples(table.limit(0))).count() == 0
 
 
+def test_a_very_long_conversation(spark):
+    """A turn of a megabyte and a conversation of a thousand turns read back."""
+    turns = [(1, 0, "user", "<|im_end|> [INST] " * 60_000), (1, 1, "assistant", "</s> é " * 40_000)]
+    turns += [(2, t, "assistant" if t % 50 == 49 else "user", f"turn {t} <|x") for t in range(1000)]
+    found = {r["conv_id"]: r for r in chat_format.digests(chat_format.examples(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))).collect()}
+    for c in (1, 2):
+        own = [(r, x) for i, _, r, x in turns if i == c]
+        loss = "".join(x for r, x in own if r == "assistant")
+        assert (found[c]["n_turns"], found[c]["turns_sha256"]) == (len(own), sha("".join(f"{r}\n{x}\n" for r, x in own)))
+        assert (found[c]["loss_chars"], found[c]["loss_sha256"]) == (len(loss), sha(loss))
+
+
 def test_each_reply_is_one_example_with_its_context(spark):
     rows = [(1, 0, "system", "s"), (1, 1, "user", "u"), (1, 2, "assistant", "a"), (1, 3, "user", "v"), (1, 4, "assistant", "b"), (1, 5, "user", "w")]
     got = chat_format.examples(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("example").collect()
@@ -503,6 +517,21 @@ def test_held_out_accuracy(spark):
     assert right > 0.97 and caught > 0.8
 
 
+def test_a_sample_of_too_many_terms_is_cut(spark, documents, monkeypatch):
+    """Fewer rows are fitted where they hold too many terms; the first by hash stay."""
+    seen = []
+    real = toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda rows, labels: seen.append(rows) or real(rows, labels))
+    monkeypatch.setattr(toxicity, "EPOCHS", 1)
+    monkeypatch.setattr(toxicity, "STEPS", 1)
+    labels = documents.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    toxicity.train(documents, labels)
+    total = sum(map(len, seen[0]))
+    monkeypatch.setattr(toxicity, "MAX_SAMPLE_TERMS", total // 2)
+    toxicity.train(documents, labels)
+    assert total // 4 < sum(map(len, seen[1])) <= total // 2 and {r.tobytes() for r in seen[1]} <= {r.tobytes() for r in seen[0]}
+
+
 def test_toxicity_edges(spark, edge_docs, no_docs):
     labels = spark.createDataFrame([(i, (i % 2) if i else None) for i in range(13)] + [(3, 1), (None, 1)], "doc_id long, toxic int")
     model = toxicity.train(edge_docs, labels)
