@@ -81,8 +81,9 @@ def appended(history: DataFrame, entry: DataFrame) -> DataFrame:
 
 def deduplicated(history: DataFrame, key: str | Column = "timestamp") -> DataFrame:
     """One entry a key: the newest, of equals the first stored."""
-    best = Window.partitionBy(F.col(key) if isinstance(key, str) else key).orderBy(F.desc("ts"), "ord")
-    return history.withColumn("rn_", F.row_number().over(best)).filter("rn_ = 1").drop("rn_")
+    # an aggregate, so that the entries of a hot key are reduced before they are shuffled
+    best = F.max_by(F.struct(*history.columns), F.struct("ts", -F.col("ord"))).alias("row_")
+    return history.groupBy((F.col(key) if isinstance(key, str) else key).alias("key_")).agg(best).select("row_.*")
 
 
 def newest_first(history: DataFrame) -> DataFrame:

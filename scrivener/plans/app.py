@@ -103,11 +103,13 @@ def f19_valid_feedback(spark, sf_dir):
 @query(FEEDBACK + ", h AS (SELECT count(*) AS n, CAST(floor(epoch(TIMESTAMP '2024-01-30 12:00:00' - arg_min(ts, event_id)) / 86400) AS BIGINT) AS d FROM events), s AS (SELECT item_id, text, item_id * 100 AS sec FROM t WHERE text <> '' AND octet_length(encode(text)) <= 2000), r AS (SELECT list_reduce(list([sec] ORDER BY sec), lambda a, x: CASE WHEN x[1] - a[len(a)] >= 300 THEN list_concat(a, x) ELSE a END) AS ok FROM s) SELECT item_id, text, n AS dictations, d AS age_days FROM s, h, r WHERE list_contains(ok, sec)")
 def m4_feedback_payloads(spark, sf_dir):
     sent = feedback(spark, sf_dir).select("item_id", P.valid_feedback(F.col("text")).alias("text")).filter("text is not null")
-    times = sent.agg(P.accepted(F.sort_array(F.collect_list((F.col("item_id") * 100)))).alias("ok"))
     from scrivener.operators.history import usage
+    from scrivener.streaming.dictation import rate_limited_table
 
-    context = usage(hist.history(spark, sf_dir), hist.now()).crossJoin(times)
-    return sent.crossJoin(F.broadcast(context)).filter(F.array_contains("ok", F.col("item_id") * 100)).select("item_id", "text", F.col("entries").alias("dictations"), "age_days")
+    events = sent.select(F.lit(0).cast("long").alias("user_id"), F.col("item_id").alias("event_id"), F.timestamp_seconds(F.col("item_id") * 100).alias("ts"))
+    accepted = rate_limited_table(events, P.FEEDBACK_GAP, per_user=False).select(F.col("event_id").alias("item_id"))
+    context = usage(hist.history(spark, sf_dir), hist.now())
+    return sent.join(accepted, "item_id", "left_semi").crossJoin(F.broadcast(context)).select("item_id", "text", F.col("entries").alias("dictations"), "age_days")
 
 
 LIST = "WITH d(ord, a, b) AS (VALUES (0, 'gonna', 'going to'), (1, ' js ', 'JavaScript'), (2, '', 'x'), (3, 'y', '  '), (4, 'z', 'zed'))"
