@@ -50,6 +50,12 @@ def a4_resampler_blocks(spark, sf_dir):
     return clips(spark, sf_dir).select("clip_id", A.resampling(F.size("samples"), F.lit(44_100)).alias("r")).select("clip_id", "r.*")
 
 
+@query(CLIPS + "SELECT clip_id, CAST(len(s) // 441 * 160 + floor(len(s) % 441 / 441 * 160 + 0.5) AS INT) AS n FROM c")
+def a4_resampled(spark, sf_dir):
+    """Clips taken as 44.1 kHz, at 16 kHz; the SQL checks the lengths, tests the signal."""
+    return A.resampled(clips(spark, sf_dir), 44_100).select("clip_id", F.size("samples").alias("n"))
+
+
 @query(CLIPS + f"SELECT clip_id, round({RMS.format('s')}, 6) AS rms, round(list_max(list_transform(s, lambda x: abs(x))), 6) AS peak, CAST(len(list_filter(s, lambda x: abs(x) > 0.001)) AS INT) AS nonzero, round(len(list_filter(s, lambda x: abs(x) > 0.001)) / len(s) * 100, 6) AS nonzero_pct FROM c")
 def a5_levels(spark, sf_dir):
     rows = A.levels(clips(spark, sf_dir))

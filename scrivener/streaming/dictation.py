@@ -102,7 +102,8 @@ def rate_limited(events: DataFrame, gap: int = FEEDBACK_GAP, per_user: bool = Tr
         at = rows["ts"].to_numpy().astype("datetime64[us]").astype("int64")
         places, last = accepted_places(at, gap * 1_000_000, last)
         state.update((last,))
-        yield rows.iloc[places][["user_id", "event_id", "ts"]]
+        if places:
+            yield rows.iloc[places][["user_id", "event_id", "ts"]]
 
     key = F.col("user_id") if per_user else F.lit(0)
     rows = events.filter("ts is not null").select("user_id", "event_id", "ts", key.alias("by_"))

@@ -244,3 +244,23 @@ def test_a_cluster_needs_a_shared_folder():
     session = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://somewhere:7077", getConf=lambda: conf))
     with pytest.raises(RuntimeError, match="checkpoint"):
         shared_folder(session)
+
+
+@pytest.mark.parametrize("rate", [44_100, 48_000, 8_000])
+def test_resampling_keeps_tones_and_drops_what_does_not_fit(spark, rate):
+    import numpy as np
+
+    t = np.arange(rate // 2 + 37) / rate
+    tone = lambda hertz: np.sin(2 * np.pi * hertz * t).tolist()
+    clips = spark.createDataFrame([(1, tone(440)), (2, tone(11_000)), (3, []), (4, None), (5, [1.0] * (rate // 10)), (6, [0.5])], "clip_id int, samples array<double>")
+    got = {r["clip_id"]: r["samples"] for r in A.resampled(clips, rate).collect()}
+    counted = clips.select("clip_id", A.resampling(F.size("samples"), F.lit(rate)).alias("r")).select("clip_id", "r.samples").collect()
+    assert all(len(got[r["clip_id"]]) == r["samples"] for r in counted if r["clip_id"] != 4) and got[3] == [] and got[4] is None
+    delay = (rate // 100 - 1) / 2 / rate
+    heard, at = np.array(got[1][400:-400]), np.arange(len(got[1]))[400:-400] / 16_000
+    assert np.abs(heard - np.sin(2 * np.pi * 440 * (at - delay))).max() < 0.01
+    if rate > 22_000:  # 11 kHz does not fit 16 kHz; at a lower rate it is another tone to begin with
+        assert np.abs(np.array(got[2][400:-400])).max() < 0.01
+    assert np.allclose(got[5][400:-400], 1.0, atol=0.01)
+    same = A.resampled(clips, 16_000).filter("clip_id = 6").first()["samples"]
+    assert same == [0.5]
