@@ -45,9 +45,9 @@ SLACK = 0.25
 #: Nodes and shingles of a block of an exact comparison.
 BLOCK_NODES = 512
 BLOCK_SHINGLES = 2_000_000
-#: Rows of node tables that may be broadcast (up to ten numbers each, so 80 MB at most), else they
-#: are joined by shuffle.
-BROADCAST_NODES = 1_000_000
+#: Rows of node tables that may be broadcast (seven numbers each, some 20 MB), else they are joined
+#: by shuffle.
+BROADCAST_NODES = 250_000
 #: A token in more sets than this is counted by matrix product, else pair by pair.
 DENSE = 32
 
@@ -65,7 +65,7 @@ class Words(dict):
     """64-bit hashes of words, kept up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -299,9 +299,10 @@ def exact_links(docs: DataFrame, members: DataFrame, id_col: str, text_col: str,
     stats = members.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK_NODES), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")
     placed = members.join(stats.select("component", blocks.alias("blocks")), "component")
-    placed = stored(placed.select("component", "node", "rep", "copies", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int").alias("own")), "jaccard-members", work)
-    texts = docs.select(F.col(id_col).cast("long").alias("id_"), text_key(F.col(text_col)).alias("key_"), F.col(text_col).alias("text"))
-    same = F.col("id_").eqNullSafe(F.col("rep.id_")) & (F.col("key_") == F.col("rep.key_"))
+    placed = stored(placed.select("component", "node", F.col("rep.id_").alias("rep_id"), F.col("rep.key_.h").alias("rep_hash"), "copies", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int").alias("own")), "jaccard-members", work)
+    # a text that meets a node by chance of its hash is told by its shingles below
+    texts = docs.select(F.col(id_col).cast("long").alias("id_"), F.xxhash64(text_col).alias("hash_"), F.col(text_col).alias("text"))
+    same = F.col("id_").eqNullSafe(F.col("rep_id")) & (F.col("hash_") == F.col("rep_hash"))
     found = texts.join(F.broadcast(placed) if placed.count() <= BROADCAST_NODES else placed, same)
 
     def make():
