@@ -30,7 +30,7 @@ SHARDS = 16
 BLOCK_WORDS = 65_536
 SEED = 20_240
 #: Words of a file of a shard.
-FILE_WORDS = 16 << 20
+FILE_WORDS = 4 << 20
 DRAWS = "array<struct<epoch:int,shard:int,block:int,file:int,words:long,order:long>>"
 
 

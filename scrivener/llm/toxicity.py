@@ -72,7 +72,7 @@ class Model:
     def terms(self, text: str | None) -> list[int]:
         """Places of the text's terms that the model knows."""
         found: set[int] = set()
-        if len(self.words) > 400_000:
+        if len(self.words) > 100_000:
             self.words.clear()
         known = self.words
         for w in text_words(text):
