@@ -224,7 +224,8 @@ class Plan:
         file = F.floor(F.coalesce(F.sum("bytes_").over(along), F.lit(0)) / file_bytes).cast("int")
         ways = F.count("*").over(Window.partitionBy("old_", "block_"))
         self.blocks = stored(sums.select("old_", "block_", "shard_", "n_", file.alias("file_"), ways.alias("ways_")), "reshard-blocks", self.work)
-        self.n_blocks = self.blocks.count()
+        alone = (F.col("ways_") > 1) | (F.col("block_") < 0)
+        self.n_blocks, self._n_single = self.blocks.agg(F.count("*"), F.coalesce(F.sum(F.when(alone, F.col("n_"))), F.lit(0))).first()
         #: (id, size, crc, old shard, block, new shard, file) of every row; large documents are blocks below 0.
         self.rows = line.join(few(self.blocks.drop("n_", "ways_"), self.n_blocks), ["old_", "block_", "shard_"]).select(*names, "file_")
 
@@ -258,9 +259,7 @@ class Plan:
         alike = ["id_", "size_", "crc_", "old_"]
         copy = lambda *by: F.row_number().over(Window.partitionBy(*alike).orderBy(*by))
         one = self.rows.join(split, ["old_", "block_", "shard_"]).select(*alike, "block_", "shard_", "file_", copy("block_", "shard_", "file_").alias("copy_"))
-        one = stored(one, "reshard-single", self.work)
-        n_one = one.count()
-        one = few(one.select(*[F.col(c).alias(f"{c}1") for c in one.columns]), n_one)
+        one = few(one.select(*[F.col(c).alias(f"{c}1") for c in one.columns]), self._n_single)
         divided = few(self.blocks.filter("ways_ > 1 and block_ >= 0").select("old_", "block_").distinct(), self.n_blocks)
         loose = keyed.filter(small).join(divided, ["old_", "block_"], "left_semi").unionByName(keyed.filter(~small)).drop("block_").withColumn("copy_", copy("crc_"))
         same = [F.col(c).eqNullSafe(F.col(f"{c}1")) for c in (*alike, "copy_")]
