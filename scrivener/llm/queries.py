@@ -138,6 +138,13 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals().select(*KEYS, "n_docs", "n_tokens")
 
 
+@query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import audit, masked
+
+    return audit(masked(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels")))
+
+
 _ESCAPED = r"regexp_replace({}, '(<</|<<|</|<|\[/|\[)(\\*)(\||s>|INST\]|SYS>>)', '\1\2\\\3', 'g')"
 
 ORACLES["op7_chat_formatting"] = f"""WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -159,3 +166,25 @@ ORACLES["op3_ngram_jaccard"] = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_ex
  reach(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM reach r JOIN l ON l.a = r.b),
  k AS (SELECT a, min(b) AS b FROM reach GROUP BY 1), m AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
  SELECT doc_id, coalesce(least(doc_id, k.b), doc_id) AS class_id, coalesce(m.n, 0) AS n_links FROM documents LEFT JOIN k ON k.a = doc_id LEFT JOIN m ON m.a = doc_id"""
+
+_FAILS = {
+    "A": "len(w) < 50",
+    "B": "100 * len(list_distinct(w)) < 65 * len(w)",
+    "C": "100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 5 * length(t)",
+    "D": "regexp_matches(t, '[#$%&*|]')",
+    "E": "doc_id > min(doc_id) OVER (PARTITION BY t)",
+}
+_ORDERS = "SELECT " + " || ".join(f"{x}.l" for x in "pqrsu") + " AS filter_order FROM " + ", ".join(f"l {x}" for x in "pqrsu") + " WHERE " + " AND ".join(f"{x}.l <> {y}.l" for i, x in enumerate("pqrsu") for y in "pqrsu"[:i])
+
+ORACLES["op11_filter_audit"] = rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS part FROM documents),
+ w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+ m AS (SELECT doc_id, part, {", ".join(f"coalesce({c}, false) AS {x}" for x, c in _FAILS.items())} FROM w),
+ y AS (SELECT doc_id, max(quality) AS q, max(toxic) AS x FROM labels GROUP BY 1),
+ c AS (SELECT part, A, B, C, D, E, count(*) AS n, count(*) FILTER (q = 1) AS good, count(*) FILTER (x = 1) AS bad FROM m LEFT JOIN y USING (doc_id) GROUP BY ALL),
+ f AS (SELECT part, concat(CASE WHEN A THEN 'A' END, CASE WHEN B THEN 'B' END, CASE WHEN C THEN 'C' END, CASE WHEN D THEN 'D' END, CASE WHEN E THEN 'E' END) AS fails, n, good, bad FROM c),
+ l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l), o AS ({_ORDERS}), s AS (SELECT filter_order, step, filter_order[step] AS l, filter_order[1:step - 1] AS before FROM o, (SELECT unnest(range(1, 6)) AS step)),
+ x AS (SELECT f.*, s.*, contains(fails, l) AS hit, translate(fails, before, '') <> fails AS gone FROM f, s),
+ r AS (SELECT part, filter_order, step, l, sum(n) FILTER (NOT hit AND NOT gone) AS kept, sum(n) FILTER (hit AND NOT gone) AS removed, sum(n) FILTER (hit AND gone) AS redundant,
+ sum(n) FILTER (fails = l) AS unique_fails, sum(good) FILTER (hit AND NOT gone) AS good_lost, sum(bad) FILTER (hit AND NOT gone) AS toxic_lost FROM x GROUP BY 1, 2, 3, 4)
+ SELECT part, filter_order, CAST(step AS INTEGER) AS step, {", ".join(f"CAST(coalesce({x}, 0) AS BIGINT) AS {x}" for x in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost"))},
+ CAST(coalesce(sum(removed) OVER (PARTITION BY part, l), 0) AS BIGINT) AS shapley FROM r"""
