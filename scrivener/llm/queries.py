@@ -145,6 +145,13 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(masked(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels")))
 
 
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(spread(table(spark, sf_dir, "documents").select("text", "lang")))
+
+
 _ESCAPED = r"regexp_replace({}, '(<</|<<|</|<|\[/|\[)(\\*)(\||s>|INST\]|SYS>>)', '\1\2\\\3', 'g')"
 
 ORACLES["op7_chat_formatting"] = f"""WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -188,3 +195,16 @@ ORACLES["op11_filter_audit"] = rf"""WITH d AS (SELECT doc_id, coalesce(text, '')
  sum(n) FILTER (fails = l) AS unique_fails, sum(good) FILTER (hit AND NOT gone) AS good_lost, sum(bad) FILTER (hit AND NOT gone) AS toxic_lost FROM x GROUP BY 1, 2, 3, 4)
  SELECT part, filter_order, CAST(step AS INTEGER) AS step, {", ".join(f"CAST(coalesce({x}, 0) AS BIGINT) AS {x}" for x in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost"))},
  CAST(coalesce(sum(removed) OVER (PARTITION BY part, l), 0) AS BIGINT) AS shapley FROM r"""
+
+_GRAMS = " UNION ALL ".join(f"SELECT lang, array_to_string(w[i:i + {k - 1}], ' ') AS p, {k} AS k FROM (SELECT lang, w, unnest(range(1, len(w) - {k - 2})) AS i FROM w WHERE len(w) >= {k})" for k in (1, 2, 3, 4))
+_CUTS = " UNION ALL ".join(f"SELECT lang, p, a, {c} AS cut, array_to_string(string_split(p, ' ')[1:{c}], ' ') AS x, array_to_string(string_split(p, ' ')[{c + 1}:], ' ') AS y FROM c WHERE k > {c}" for c in (1, 2, 3))
+
+ORACLES["op13_collocations"] = rf"""WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+ w AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM d),
+ n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY 1),
+ f AS (SELECT lang, p, k, count(*) AS a FROM ({_GRAMS}) GROUP BY ALL HAVING count(*) >= 30), c AS (SELECT * FROM f WHERE k > 1),
+ s AS (SELECT u.lang, u.p, u.a, cut, x.a AS l, y.a AS r, 2000000::HUGEINT * u.a // (x.a::HUGEINT + y.a) AS score FROM ({_CUTS}) u JOIN f x ON x.lang = u.lang AND x.p = u.x JOIN f y ON y.lang = u.lang AND y.p = u.y),
+ b AS (SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY score, cut) AS o FROM s),
+ k AS (SELECT * FROM b WHERE o = 1 AND NOT EXISTS (SELECT 1 FROM c x WHERE x.lang = b.lang AND x.p <> b.p AND contains(' ' || x.p || ' ', ' ' || b.p || ' ') AND 100::HUGEINT * x.a >= 80 * b.a)),
+ r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank FROM k)
+ SELECT lang, rank, p AS phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM r JOIN n USING (lang) WHERE rank <= 2000"""
