@@ -71,13 +71,14 @@ class Words(dict):
         return h
 
 
-def shingles(text: str | None, words: Words) -> np.ndarray:
-    """Sorted distinct hashes of the text's shingles."""
-    found = (text or "").encode("utf-8", "surrogatepass").split()
+def shingles(text: str | None, words: Words, size: int = N, lower: bool = False) -> np.ndarray:
+    """Sorted distinct hashes of the text's shingles of `size` words; `lower`: A to Z are as a to z."""
+    found = (text or "").encode("utf-8", "surrogatepass")
+    found = (found.lower() if lower else found).split()
     if not found:
         return np.zeros(0, dtype=np.uint64)
     w = np.fromiter(map(words.__getitem__, found), dtype=np.uint64, count=len(found))
-    n = min(N, len(w))
+    n = min(size, len(w))
     total = np.full(len(w) - n + 1, n, dtype=np.uint64)
     for j in range(n):
         total += w[j : len(w) - n + 1 + j] * _C[j]

@@ -145,6 +145,13 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(masked(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels")))
 
 
+@query
+def op12_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minmax_dedup import near_duplicates
+
+    return near_duplicates(spread(table(spark, sf_dir, "documents")))
+
+
 @query
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .collocations import collocations
@@ -208,3 +215,13 @@ ORACLES["op13_collocations"] = rf"""WITH d AS (SELECT coalesce(lang, 'und') AS l
  k AS (SELECT * FROM b WHERE o = 1 AND NOT EXISTS (SELECT 1 FROM c x WHERE x.lang = b.lang AND x.p <> b.p AND contains(' ' || x.p || ' ', ' ' || b.p || ' ') AND 100::HUGEINT * x.a >= 80 * b.a)),
  r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank FROM k)
  SELECT lang, rank, p AS phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM r JOIN n USING (lang) WHERE rank <= 2000"""
+
+ORACLES["op12_minmax_dedup"] = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+ ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS s FROM w),
+ e AS (SELECT doc_id, unnest(s) AS t FROM g), n AS (SELECT doc_id, len(s) AS n FROM g),
+ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+ l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+ reach(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM reach r JOIN l ON l.a = r.b),
+ k AS (SELECT a, min(b) AS b FROM reach GROUP BY 1), f AS (SELECT doc_id, n.n AS n_shingles, coalesce(least(doc_id, k.b), doc_id) AS component_id FROM n LEFT JOIN k ON k.a = doc_id)
+ SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM f"""
