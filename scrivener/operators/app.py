@@ -30,7 +30,6 @@ PRIVATE_LOGS = ["After regex", "Parakeet chunk", "LLM cleanup:", "After AI clean
 LONG_VALUE, SCRUBBED = 200, "[scrubbed — value too long]"
 ERROR_CODES = ["model_not_loaded", "mic_not_found", "mic_permission", "transcription_failed", "injection_failed"]
 FEEDBACK_BYTES = 2000
-FEEDBACK_GAP = 300
 
 
 def unseen(announcements: DataFrame, seen: DataFrame) -> DataFrame:
@@ -139,13 +138,6 @@ def device_error(message: Column) -> Column:
     return F.when(absent, "mic_not_found").otherwise("mic_permission")
 
 
-def accepted(seconds: Column, gap: int = FEEDBACK_GAP) -> Column:
-    """Of an ordered array of instants in seconds, those at least `gap` after the last accepted."""
-    none = F.filter(seconds, lambda x: F.lit(False))
-    late = lambda acc, x: F.coalesce(x - F.try_element_at(acc, F.lit(-1)) >= gap, F.lit(True))  # noqa: E731  nothing accepted yet
-    return F.aggregate(seconds, none, lambda acc, x: F.when(late(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
-
-
 #: The recorder's states and what leads from one to the next.
 TRANSITIONS = {("Idle", "start"): "Recording", ("Recording", "stop"): "Processing", ("Processing", "polish"): "Polishing", ("Processing", "done"): "Idle", ("Polishing", "done"): "Idle", ("Recording", "error"): "Idle", ("Processing", "error"): "Idle", ("Polishing", "error"): "Idle"}
 
@@ -161,10 +153,6 @@ def next_state(state: Column, event: Column) -> Column:
 STATES = ["Idle", "Recording", "Processing", "Polishing"]
 
 
-def final_state(events: Column) -> Column:
-    return F.aggregate(events, F.lit("Idle"), next_state)
-
-
 def state_map(events: Column) -> Column:
     """The state after the ordered `events`, for each of `STATES` as the state before."""
     return F.aggregate(events, F.array(*map(F.lit, STATES)), lambda acc, e: F.transform(acc, lambda s: next_state(s, e)))

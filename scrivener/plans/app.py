@@ -104,10 +104,10 @@ def f19_valid_feedback(spark, sf_dir):
 def m4_feedback_payloads(spark, sf_dir):
     sent = feedback(spark, sf_dir).select("item_id", P.valid_feedback(F.col("text")).alias("text")).filter("text is not null")
     from scrivener.operators.history import usage
-    from scrivener.streaming.dictation import rate_limited_table
+    from scrivener.streaming.limits import limited
 
     events = sent.select(F.lit(0).cast("long").alias("user_id"), F.col("item_id").alias("event_id"), F.timestamp_seconds(F.col("item_id") * 100).alias("ts"))
-    accepted = rate_limited_table(events, P.FEEDBACK_GAP, per_user=False).select(F.col("event_id").alias("item_id"))
+    accepted = limited(events).select(F.col("event_id").alias("item_id"))
     context = usage(hist.history(spark, sf_dir), hist.now())
     return sent.join(accepted, "item_id", "left_semi").crossJoin(F.broadcast(context)).select("item_id", "text", F.col("entries").alias("dictations"), "age_days")
 

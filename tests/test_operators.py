@@ -104,13 +104,6 @@ def test_versions(spark):
     assert fits("1.2.3", None, None) and fits("dev", "9.0.0", None) and fits("1.2.3", "bad", "1.2.3") and not fits("1.2.4", None, "1.2.3") and not fits("1.2.3-rc.1", "1.2.3", None)
 
 
-def test_rate_limit_and_states(spark):
-    seconds = spark.createDataFrame([([0, 100, 299, 300, 500, 650],), ([],), ([7],)], "s array<int>")
-    assert [r[0] for r in seconds.select(P.accepted(F.col("s"))).collect()] == [[0, 300, 650], [], [7]]
-    events = spark.createDataFrame([(["start", "stop", "polish", "done"],), (["stop", "start", "start"],), ([],)], "e array<string>")
-    assert [r[0] for r in events.select(P.final_state(F.col("e"))).collect()] == ["Idle", "Recording", "Idle"]
-
-
 def test_audio_edges(spark):
     clip = spark.createDataFrame([([],), ([0.5],), (None,)], "s array<float>")
     got = clip.select(A.rms(F.col("s")), A.input_level(F.col("s")), A.amplitude_bars(F.col("s"))).collect()
@@ -139,10 +132,6 @@ def test_bad_json_records_drop_one_by_one(spark, tmp_path):
     assert S.read_snippets(spark, f"file://{tmp_path}/none").count() == 2
 
 
-def test_throttle(spark):
-    assert spark.createDataFrame([([266, 100, 166, 1],)], "n array<int>").select(D.throttled(F.col("n"))).first()[0] == [0, 2]
-
-
 def test_export_keeps_its_order(spark, tmp_path):
     h = history(spark, [("a", day(9), 1, 0), ("b", day(10, 15), 2, 0)])
     S.write_text(H.export_line(h), "line", "ord", f"file://{tmp_path}/export")
@@ -181,38 +170,6 @@ def test_passthroughs_are_the_sentences_in_order_then_repeats(spark, monkeypatch
     assert all(140 < n < 260 for n in count.values())
 
 
-def accepted_one_by_one(rows, gap, per_user):
-    last, out = {}, []
-    for ts, event, user in sorted(rows):
-        key = user if per_user else None
-        if key not in last or (ts - last[key]).total_seconds() >= gap:
-            out.append(event)
-            last[key] = ts
-    return sorted(out)
-
-
-@pytest.mark.parametrize("per_user", [True, False])
-def test_rate_limit_against_one_by_one(spark, per_user):
-    """Hot users, ties, users without a number, and streams of many small batches."""
-    import random
-
-    rng = random.Random(6)
-    start = dt.datetime(2024, 3, 1)
-    rows = [(start + dt.timedelta(seconds=rng.randrange(90_000)), i, rng.choice([1, 1, 1, 2, 3, 4])) for i in range(3000)]
-    events = spark.createDataFrame(rows, "ts timestamp_ntz, event_id long, user_id long").withColumn("clash", F.lit(1))
-    expected = accepted_one_by_one(rows, 300, per_user)
-    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    try:
-        for size in ("10000", "7"):
-            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
-            assert sorted(r["event_id"] for r in D.rate_limited_table(events, 300, per_user).collect()) == expected
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
-    assert D.rate_limited_table(events.limit(0), 300, per_user).count() == 0
-    odd = spark.createDataFrame([(None, 1, 1), (start, 2, None), (start, 3, None), (start, 4, 5)], "ts timestamp_ntz, event_id long, user_id long")
-    assert D.rate_limited_table(odd, 300, per_user).count() == (2 if per_user else 1)
-
-
 def test_recorder_states_over_days(spark):
     start = dt.datetime(2024, 3, 1, 23, 59)
     said = ["start", "stop", "polish", "x", "done", "start", "error", "start"]
@@ -222,19 +179,6 @@ def test_recorder_states_over_days(spark):
     assert got == {1: ("Recording", 8), 2: ("Idle", 1), None: ("Recording", 1)}
 
 
-def test_expired_rows_and_days_go(spark, tmp_path):
-    import os
-
-    path = f"file://{tmp_path}/log"
-    write = D.expiring_log(path, 2)
-    batches = [[1, 2, 3], [5], [4, 6], []]
-    for number, days in enumerate(batches):
-        write(spark.createDataFrame([(d, dt.datetime(2024, 3, d, 12)) for d in days], "event_id long, ts timestamp"), number)
-    assert sorted(r["event_id"] for r in D.retained(spark, path, 2).collect()) == [4, 5, 6]
-    held = [d for _, dirs, _ in os.walk(tmp_path / "log") for d in dirs if d.startswith("day=")]
-    assert sorted(held) == ["day=2024-03-04", "day=2024-03-05", "day=2024-03-06"]
-
-
 def test_a_cluster_needs_a_shared_folder():
     from types import SimpleNamespace
 
