@@ -2,18 +2,24 @@
 
 First pass: every page is parsed leniently, its containers (article, main, section, div, td, body
 and the like) are scored by the text they hold, and the page votes for the best one's path, the
-tags and generalised classes (numbers left out) from the root to it. In Spark the votes are summed
-by host and path; paths with at least `SHARE` of a host's votes win, best first. Second pass: every
+tags and generalised classes (numbers left out) from the root to it, and against the paths of the containers that
+stand beside it. In Spark the votes are summed by host and path; paths with at least `SHARE` of a host's votes win,
+best first, and paths that do not, but have as many against them, are the host's furniture. Second pass: every
 page is extracted again from all containers at its host's first winning path, in page order (without
-numbers, the parts of an article have one path), if together they hold at least `KEEP` of what the
-page's own best container holds; else from all at that best container's path, and from it too where
-it stands around them, is not the body and holds more text. Headlines and paragraphs that stand in
-the body itself go with containers that do so. A class name speaks for an element against others
-beside it, not against the plain container around both.
+numbers, the parts of an article have one path), if together they score at least `KEEP` of the
+page's own best container and, where they stand inside it, leave no more of it than furniture: of its
+prose (blocks of `PROSE` characters or more, few of them links, not in the host's furniture) at least `NEARLY_ALL` is
+theirs; else from
+all at that best container's path, and from it too where it stands around them and holds more text.
+Headlines and paragraphs that stand in the body itself go with containers that do so. A class name speaks for an
+element against others beside it, not against the plain container around both.
 
 Text of menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
 comments is never text of a container: such elements are known by tag, role or class words. The
-header of an article or main is its headline and stays.
+header of an article or main is its headline and stays. What an element holds can overrule a mere name: a form
+around most of the page's prose is the page's frame; and inside an article or main an element of such a name
+(or a fieldset or label) that holds `STORY` characters of prose, half of its text or more, is a part of the story, unless
+its name is one of reader comments or links, or it is a list of entries.
 Character references are decoded, white space inside a block becomes one space, blocks are joined
 by a blank line.
 
@@ -39,6 +45,9 @@ from .common import map_rows, stored
 
 SHARE = 0.1
 KEEP = 0.5
+NEARLY_ALL = 0.9
+#: Characters of a block of prose, share of links in it, and prose that overrules an element's name in a story.
+PROSE, PROSE_LINKS, STORY = 80, 0.2, 600
 #: Winning paths are broadcast up to this many hosts and characters, else joined by salted host.
 BROADCAST_PATHS = 100_000
 BROADCAST_CHARS = 32 << 20
@@ -53,6 +62,8 @@ BLOCK = set(
 )
 CONTAINERS = {"article", "main", "section", "div", "td", "body", "center", "blockquote", "dd", "li", "figure", "details"}
 DROPPED = {"head", "nav", "header", "footer", "aside", "form", "button", "select", "option", "menu", "dialog", "svg", "canvas", "audio", "video", "label", "fieldset", "input"} | RAW
+#: Of these the ones whose text may overrule them, as it may a name.
+DOUBTED = {"form", "label", "fieldset"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar"}
 #: Class and id words of what is not the article.
 ASIDE_WORDS = set(
@@ -65,6 +76,8 @@ ASIDE_WORDS = set(
 MAIN_WORDS = {"article", "body", "content", "entry", "main", "post", "story", "text", "page"}
 #: Names that say what an element has around it, not what it is: "no-sidebar", "has-menu".
 ABOUT_WORDS = {"no", "has", "with", "without"}
+#: Names of what readers say, which no text overrules.
+SAID_WORDS = {"comment", "comments", "commentlist", "disqus", "replies", "reply"}
 COMMENT_WORDS = {"comment", "comments", "commentlist", "disqus", "replies", "reply", "respond", "responses", "related", "recommended", "recommendations", "feedback"}
 #: Opening one of these ends an open element of the second set, up to the nearest of the third.
 IMPLIED = {
@@ -157,41 +170,55 @@ def generalised(name: str) -> str:
     return re.sub(r"[-_]*\d+", "", name) or "N"
 
 
-def sort_of(tag: str, attrs: dict[str, str], story: bool = False) -> tuple[bool, bool, bool]:
-    """Whether an element is dropped, whether as comments or links to other pages, and whether its
-    names speak for the article. In a `story` (an article or main) headers are its own headlines."""
+#: How an element is dropped: not, unless its text overrules its tag or name, for certain.
+KEPT, IN_DOUBT, GONE = 0, 1, 2
+
+
+def sort_of(tag: str, attrs: dict[str, str], story: bool = False) -> tuple[int, bool, bool]:
+    """How an element is dropped, whether as comments or links to other pages, and whether its names
+    speak for the article. In a `story` (an article or main) headers are its own headlines."""
     names = [w for n in [*attrs.get("class", "").split(), attrs.get("id", "")] if not (w := words_of(n)) & ABOUT_WORDS]
     aside = set().union(*names) & ASIDE_WORDS - ({"header"} if story else set()) if names else set()
     main = any(n & MAIN_WORDS and not n & ASIDE_WORDS for n in names)
     if tag in ("html", "body", "main"):
-        return False, False, main
+        return KEPT, False, main
     hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
     by_name = bool(aside) and not main
-    return tag in DROPPED and not (story and tag == "header") or hidden or attrs.get("role", "").lower() in ROLES or by_name, bool(aside & COMMENT_WORDS), main
+    by_tag = tag in DROPPED and not (story and tag == "header")
+    if hidden or attrs.get("role", "").lower() in ROLES - {"form"} or by_tag and tag not in DOUBTED or by_name and aside & SAID_WORDS:
+        drop = GONE
+    else:
+        drop = IN_DOUBT if by_tag or by_name or attrs.get("role", "").lower() == "form" else KEPT
+    return drop, bool(aside & COMMENT_WORDS), main
 
 
 @lru_cache(20_000)
-def _known(tag: str, raw: str, story: bool) -> tuple[bool, bool, float, str]:
-    """Of an element with these attributes: dropped, comments or links, boost, step of a path."""
+def _known(tag: str, raw: str, story: bool) -> tuple[int, bool, float, str]:
+    """Of an element with these attributes: how dropped, comments or links, boost, step of a path."""
     attrs = attributes(raw) if raw and raw != "/" else {}
-    dropped, talk, main = sort_of(tag, attrs, story)
+    drop, talk, main = sort_of(tag, attrs, story)
     step = ".".join([tag, *sorted({generalised(c) for c in attrs.get("class", "").split()})])
-    return dropped, talk, BOOST.get(tag, 1.0) * (1.3 if main else 1.0), step
+    return drop, talk, BOOST.get(tag, 1.0) * (1.3 if main else 1.0), step
 
 
 class Node:
-    __slots__ = ("tag", "parent", "step", "key", "dropped", "talk", "boost", "depth", "sum", "score", "order", "link", "holder")
+    __slots__ = ("tag", "parent", "step", "key", "gone", "doubt", "chars", "prose", "entries", "talk", "boost", "depth", "sum", "score", "order", "link", "holder", "story")
 
     def __init__(self, tag: str, parent: Node | None, raw: str, order: int):
         self.tag, self.parent, self.order = tag, parent, order
         self.depth = parent.depth + 1 if parent else 0
         known = _known if len(raw) <= 200 else _known.__wrapped__
-        dropped, talk, self.boost, self.step = known(tag, raw, parent is not None and parent.holds_story())
+        self.story = parent is not None and parent.holds_story()
+        drop, talk, self.boost, self.step = known(tag, raw, self.story)
         self.talk = talk or bool(parent and parent.talk)
-        if parent and parent.dropped and (tag == "main" or tag == "article" and not dropped and not self.talk):
-            self.dropped = dropped  # an article inside an unclosed menu or notice
-        else:
-            self.dropped = dropped or bool(parent and parent.dropped)
+        # an article inside an unclosed menu or notice is read for itself
+        alone = parent is not None and (parent.gone or parent.doubt) and (tag == "main" or tag == "article" and not drop and not self.talk)
+        self.gone = drop == GONE or bool(parent and parent.gone and not alone)
+        #: The nearest element around (or itself) whose text is kept only if it overrules what drops it.
+        self.doubt = self if drop == IN_DOUBT else None if alone or parent is None else parent.doubt
+        self.chars, self.prose, self.entries = 0, 0, Counter() if drop == IN_DOUBT else None
+        if parent and parent.doubt and tag in ("li", "article", "div", "section"):
+            parent.doubt.entries[parent.order, self.step] += 1
         self.link = tag == "a" or bool(parent and parent.link)
         self.key = parent.key if parent else ()
         if parent and (tag in CONTAINERS or tag == "html"):
@@ -225,9 +252,15 @@ class Page:
 
     def __init__(self, html: str | None):
         self.root = Node("", None, "", -1)
-        self.blocks: list[tuple[Node, str, int]] = []  # innermost container, text, link characters
+        self.found: list[tuple[Node, list[tuple[str, bool, Node | None]]]] = []  # innermost container, runs
         self.nodes: list[Node] = []
         self._read(html or "")
+        kept = self._judged()
+        self.blocks: list[tuple[Node, str, int]] = []  # innermost container, text, link characters
+        for holder, runs in self.found:
+            runs = [r for r in runs if r[2] is None or r[2].order in kept]
+            if text := " ".join("".join(t for t, _, _ in runs).split()):
+                self.blocks.append((holder, text, sum(len(t.strip()) for t, link, _ in runs if link)))
         # worth of all text inside: a good article's characters, less twice those of links
         for holder, text, links in self.blocks:
             holder.sum += len(text) - 2.0 * links
@@ -235,18 +268,48 @@ class Page:
             node.parent.sum += node.sum
             node.score = node.sum * node.boost if node.tag in CONTAINERS else 0.0
 
+    def _judged(self) -> set[int]:
+        """The elements in doubt, by their order, that keep their text, and all around them do."""
+        doubted = [x for x in self.nodes if x.doubt is x]
+        if not doubted:
+            return set()
+        everything = 0
+        for _, runs in self.found:
+            for doubt in {r[2] for r in runs}:
+                own = [r for r in runs if r[2] is doubt]
+                n, links = sum(len(t) for t, _, _ in own), sum(len(t.strip()) for t, link, _ in own if link)
+                prose = n if n >= PROSE and links <= PROSE_LINKS * n else 0
+                everything += prose
+                if doubt:
+                    doubt.chars += n
+                    doubt.prose += prose
+        fit = set()
+        for x in reversed(doubted):
+            around = x.parent.doubt
+            if x.tag == "form" and not x.story:
+                ok = x.prose * 2 > everything
+            else:
+                listed = x.talk and max(x.entries.values(), default=0) > 1
+                ok = x.story and x.prose >= STORY and x.prose * 2 >= x.chars and not listed
+            if ok:
+                fit.add(x.order)
+                if around:
+                    around.chars, around.prose = around.chars + x.chars, around.prose + x.prose
+        kept: set[int] = set()
+        for x in doubted:
+            if x.order in fit and (x.parent.doubt is None or x.parent.doubt.order in kept):
+                kept.add(x.order)
+        return kept
+
     def _read(self, html: str) -> None:
         stack = [self.root]
         open_: Counter[str] = Counter()
-        runs: list[tuple[str, bool]] = []
-        at, n = 0, len(html)
+        runs: list[tuple[str, bool, Node | None]] = []
+        at = 0
 
         def flush() -> None:
             if runs:
-                text = " ".join("".join(t for t, _ in runs).split())
-                if text:
-                    links = sum(len(t.strip()) for t, link in runs if link)
-                    self.blocks.append((stack[-1].holder, text, links))
+                self.found.append((stack[-1].holder, runs.copy()))
                 runs.clear()
 
         def pop(k: int) -> None:
@@ -258,8 +321,8 @@ class Page:
 
         def put(text: str) -> None:
             top = stack[-1]
-            if text and not top.dropped:
-                runs.append((unescape(text) if "&" in text else text, top.link))
+            if text and not top.gone:
+                runs.append((unescape(text) if "&" in text else text, top.link, top.doubt))
 
         found = tokens(html)
         token = next(found, None)
@@ -348,18 +411,42 @@ class Page:
             inside.append(node.order in wanted or node.parent.order >= 0 and inside[node.parent.order])
         return inside
 
-    def text_of(self, tops: list[Node]) -> str:
-        """Text of the containers, in page order; of the whole page if there are none. Text that stands
-        in the body itself, beside containers that are no article or main, belongs to them."""
-        if not tops:
-            return "\n\n".join(text for _, text, _ in self.blocks)
+    def beside(self, best: Node) -> list[Node]:
+        """The outermost containers with text that are neither in `best` nor around it."""
+        around, node = set(), best
+        while node is not None:
+            around.add(node.order)
+            node = node.parent
+        inside, out = self.within([best]), []
+        taken = [False] * len(self.nodes)
+        for x in self.nodes:
+            up = x.parent.order
+            taken[x.order] = inside[x.order] or up >= 0 and taken[up]
+            if not taken[x.order] and x.order not in around and x.tag in CONTAINERS and x.sum > 0:
+                out.append(x)
+                taken[x.order] = True
+        return out
+
+    def taken(self, tops: list[Node]) -> Iterator[tuple[Node, str, int]]:
+        """The containers' blocks, in page order; the whole page's if there are none. Text that stands in
+        the body itself, beside containers that are no article or main, belongs to them."""
         inside = self.within(tops)
         loose = all(x.tag not in ("article", "main") and x.parent.holder.tag in ("body", "") for x in tops)
-        return "\n\n".join(text for holder, text, _ in self.blocks if (inside[holder.order] if holder.order >= 0 else False) or loose and holder.tag in ("body", ""))
+        for holder, text, links in self.blocks:
+            if not tops or holder.order >= 0 and inside[holder.order] or loose and holder.tag in ("body", ""):
+                yield holder, text, links
+
+    def text_of(self, tops: list[Node]) -> str:
+        return "\n\n".join(text for _, text, _ in self.taken(tops))
+
+    def prose_of(self, tops: list[Node], but: list[Node]) -> int:
+        """Characters of their blocks that are no furniture, those in `but` left out."""
+        out = self.within(but)
+        return sum(len(text) for holder, text, links in self.taken(tops) if len(text) >= PROSE and links <= PROSE_LINKS * len(text) and not (holder.order >= 0 and out[holder.order]))
 
 
-def extract(html: str | None, winners: list[str]) -> tuple[str, str | None]:
-    """(main text, path it was taken from) of a page, given its host's winning paths."""
+def extract(html: str | None, winners: list[str], furniture: list[str] | tuple[str, ...] = ()) -> tuple[str, str | None]:
+    """(main text, path it was taken from) of a page, given its host's winning paths and those of its furniture."""
     page = Page(html)
     best = page.best()
     if best is None:
@@ -372,8 +459,13 @@ def extract(html: str | None, winners: list[str]) -> tuple[str, str | None]:
     for path in winners:
         nodes = by_key.get(key_of(path), [])
         if nodes and sum(x.score for x in nodes) >= KEEP * best.score:
-            if best.tag != "body" and all(inside[x.order] for x in nodes) and sum(x.sum for x in nodes) < best.sum - 0.5:
-                break  # more text of the article stands around them
+            if all(inside[x.order] for x in nodes):
+                # more text of the article may stand around them
+                if best.tag != "body" and sum(x.sum for x in nodes) < best.sum - 0.5:
+                    break
+                known = [x for p in furniture for x in by_key.get(key_of(p), [])]
+                if page.prose_of([best], [*nodes, *known]) > (1 - NEARLY_ALL) * page.prose_of([best], known):
+                    break
             return page.text_of(nodes), path
     return page.text_of(by_key[best.key]), best.path()
 
@@ -383,35 +475,41 @@ def host_of(url: Column) -> Column:
 
 
 def votes(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, path, n): how many of a host's pages score this container path best."""
+    """(host, path, n, against): how many of a host's pages score this container path best, and in how
+    many it stands beside the best."""
 
     def make():
         def rows(hosts, htmls):
             for host, html in zip(hosts, htmls, strict=True):
-                best = Page(html).best()
+                page = Page(html)
+                best = page.best()
                 if best is not None:
-                    yield host, best.path()
+                    yield host, best.path(), 1, 0
+                    yield from ((host, path, 0, 1) for path in {x.path() for x in page.beside(best)})
 
         return rows
 
-    cast = map_rows(pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col)), make, "host string, path string")
+    cast = map_rows(pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col)), make, "host string, path string, n long, against long")
     # written, so that the join with the hosts' totals has a plain shuffle, which can be split for a host of very many paths
-    return stored(cast.groupBy("host", "path").agg(F.count("*").alias("n")), "html-votes")
+    return stored(cast.groupBy("host", "path").agg(F.sum("n").alias("n"), F.sum("against").alias("against")), "html-votes")
 
 
 def winning_paths(voted: DataFrame) -> DataFrame:
-    """(host, paths): a host's paths with at least `SHARE` of its votes (1 / `SHARE` at most), most first."""
+    """(host, paths, furniture): a host's paths with at least `SHARE` of its votes (1 / `SHARE` at most),
+    most first, and those which have not, but stand beside the best in as many pages."""
     totals = stored(voted.groupBy("host").agg(F.sum("n").alias("all")), "html-hosts")
-    kept = voted.join(totals, "host").filter(F.col("n") >= F.col("all") * SHARE)
-    listed = kept.groupBy("host").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), (-F.length("path")).alias("l"), "path"))).alias("w"))
-    return listed.select("host", F.transform("w", lambda x: x["path"]).alias("paths"))
+    wins = F.col("n") >= F.col("all") * SHARE
+    kept = voted.join(totals, "host").filter(wins | (F.col("against") >= F.col("all") * SHARE))
+    entry = F.when(wins, F.struct((-F.col("n")).alias("n"), (-F.length("path")).alias("l"), "path"))
+    listed = kept.groupBy("host").agg(F.sort_array(F.collect_list(entry)).alias("w"), F.sort_array(F.collect_list(F.when(~wins, F.col("path")))).alias("furniture"))
+    return listed.select("host", F.transform("w", lambda x: x["path"]).alias("paths"), "furniture")
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text, path) of every page."""
     winners = stored(winning_paths(votes(pages, url_col, html_col)), "html-paths")
     rows = pages.select(F.col(id_col), F.col(url_col), F.col(html_col), host_of(F.col(url_col)).alias("host_"))
-    hosts, chars = winners.agg(F.count("*"), F.coalesce(F.sum(F.length("host") + F.length(F.array_join("paths", ""))), F.lit(0))).first()
+    hosts, chars = winners.agg(F.count("*"), F.coalesce(F.sum(F.length("host") + F.length(F.array_join("paths", "")) + F.length(F.array_join("furniture", ""))), F.lit(0))).first()
     if hosts <= BROADCAST_PATHS and chars <= BROADCAST_CHARS:
         rows = rows.join(F.broadcast(winners), rows["host_"] == winners["host"], "left")
     else:
@@ -420,11 +518,11 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
         rows = rows.withColumn("at_", salt).join(salted, (F.col("host_") == F.col("host")) & (F.col("at_") == F.col("salt_")), "left")
 
     def make():
-        def out(keys, urls, htmls, paths):
-            for key, url, html, own in zip(keys, urls, htmls, paths, strict=True):
-                yield key, url, *extract(html, own or [])
+        def out(keys, urls, htmls, paths, furniture):
+            for key, url, html, own, known in zip(keys, urls, htmls, paths, furniture, strict=True):
+                yield key, url, *extract(html, own or [], known or [])
 
         return out
 
     kind = pages.schema[id_col].dataType.simpleString()
-    return map_rows(rows.select(id_col, url_col, html_col, "paths"), make, f"`{id_col}` {kind}, `{url_col}` string, text string, path string")
+    return map_rows(rows.select(id_col, url_col, html_col, "paths", "furniture"), make, f"`{id_col}` {kind}, `{url_col}` string, text string, path string")

@@ -125,6 +125,68 @@ def test_headline_and_lead_beside_a_named_element_are_kept():
     assert html_extraction.extract(page, ["body>div.wrap>div.content"])[0].startswith("Headline")
 
 
+def paragraphs(n, seed=0):
+    """n paragraphs of made sentences, none like another."""
+    rng = random.Random(seed)
+    return [" ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 9))) for _ in range(20)) + "." for _ in range(n)]
+
+
+def marked_up(texts):
+    return "".join(f"<p>{t}</p>" for t in texts)
+
+
+def test_a_form_around_the_page_is_no_form():
+    story = paragraphs(6)
+    sign_up = "<form class='newsletter'><label>Your address</label><input><p>We write twice a week, and never more.</p></form>"
+    page = f"<body><form id='aspnetForm'><input type='hidden'><nav>menu</nav><div class='content'>{marked_up(story)}{sign_up}</div></form></body>"
+    assert html_extraction.extract(page, [])[0] == "\n\n".join(story)
+    assert html_extraction.extract(f"<body><div class='content'>{marked_up(story)}<form>{marked_up(paragraphs(2, 1))}</form></div></body>", [])[0] == "\n\n".join(story)
+
+
+def test_a_winner_that_leaves_half_is_not_taken():
+    part, lead = paragraphs(6), paragraphs(5, 1)
+    page = f"<body><div class='part'>{marked_up(part)}</div><div class='lead'>{marked_up(lead)}</div></body>"
+    assert html_extraction.extract(page, ["body>div.part"])[0] == "\n\n".join([*part, *lead])
+    # what the host's other pages leave beside their article is furniture here, too
+    assert html_extraction.extract(page, ["body>div.part"], ["body>div.lead"])[0] == "\n\n".join(part)
+
+
+@pytest.mark.parametrize("name", ["tags", "social-contract", "legal-text", "responses", "disclaimer", "rail", "toc", "popup", "notice", "fieldset", "label"])
+def test_names_do_not_outweigh_the_text_of_a_story(name):
+    head, inner, tail = paragraphs(2), paragraphs(22, 2), paragraphs(2, 3)
+    wrap = (lambda x: f"<{name}>{x}</{name}>") if name in ("fieldset", "label") else (lambda x: f"<div class='{name}'>{x}</div>")
+    page = f"<body><article>{marked_up(head)}{wrap(marked_up(inner))}{marked_up(tail)}</article></body>"
+    assert html_extraction.extract(page, [])[0] == "\n\n".join([*head, *inner, *tail])
+    small = f"<body><article>{marked_up(head)}{wrap('<p>Read more here.</p>')}{marked_up(tail)}</article></body>"
+    assert html_extraction.extract(small, [])[0] == "\n\n".join([*head, *tail])
+    listed = f"<body><article>{marked_up(head)}<div class='comments'>{marked_up(inner)}</div><div class='responses'>{''.join(f'<div class=r>{marked_up([t])}</div>' for t in inner)}</div></article></body>"
+    assert html_extraction.extract(listed, [])[0] == "\n\n".join(head)
+
+
+def test_made_pages_against_what_they_were_made_of(spark):
+    """Pages of random nested containers, with furniture whose kind is known, give just the article."""
+    rng = random.Random(11)
+    furniture = ["<nav><a href='/'>Home</a> <a href='/b'>More</a></nav>", "<div class='ad'>Buy now</div>", "<footer>c</footer>", "<aside><p>Elsewhere</p></aside>", "<form><input><button>Go</button></form>", "<div class='cookie-notice'>We use cookies.</div>", "<script>x < 1</script>"]
+    rows, expected = [], {}
+    for n in range(60):
+        story = paragraphs(rng.randrange(3, 12), n)
+        inner, k = [], 0
+        while k < len(story):
+            size = rng.randrange(1, 4)
+            block = marked_up(story[k : k + size])
+            for _ in range(rng.randrange(3)):
+                block = f"<div class='{rng.choice(['row', 'col', 'part-' + str(k), 'text'])}'>{block}</div>"
+            inner.append(block + (rng.choice(furniture) if rng.random() < 0.3 else ""))
+            k += size
+        body = rng.choice(["<article>{}</article>", "<main>{}</main>", "<div class='content'>{}</div>", "<article><div class='wrap'>{}</div></article>"]).format("".join(inner))
+        for _ in range(rng.randrange(3)):
+            body = f"<div class='page'>{rng.choice(furniture)}{body}{rng.choice(furniture)}</div>"
+        rows.append((n, f"http://h{n % 3}.example/{n}", f"<html><head><title>t</title></head><body>{rng.choice(furniture)}{body}{rng.choice(furniture)}</body></html>"))
+        expected[n] = "\n\n".join(story)
+    got = {r["page_id"]: r["text"] for r in html_extraction.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == expected
+
+
 def test_hosts_vote_and_winners_decide(spark):
     good = "<body><div class='story-{}'><p>{}</p></div><div class='x'><p>{}</p></div></body>"
     rows = [(i, f"https://News.example:80/{i}", good.format(i, "the story in many words, " * 4, "short")) for i in range(9)]
