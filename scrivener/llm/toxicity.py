@@ -4,8 +4,9 @@ Terms are a text's lower-cased words and their beginnings of 4 to 6 letters, has
 `BUCKETS` numbers. The score is sigmoid(bias + weights of the terms present + inner products of the
 factors of all pairs of them), so that two terms together can weigh more (or less) than their sum.
 
-The model is fitted on at most `MAX_ROWS` labelled rows and `MAX_SAMPLE_TERMS` terms in them (the first
-rows by a hash of the id; a bounded sample by design), on all terms of whole texts, by minibatch AdaGrad in the driver. Every weight pays a
+The model is fitted on at most `MAX_ROWS` labelled rows, one an id (that of the least text hash), and
+`MAX_SAMPLE_TERMS` terms in them (the first rows by a hash of the id; a bounded sample by design), on all terms of
+whole texts, by minibatch AdaGrad in the driver. Every weight pays a
 penalty on its size and every term's factors one on their length (`WEIGHT_PENALTY`,
 `FACTOR_PENALTY`), so that a term without use ends at exactly 0; the factors' is low enough that two terms
 keep theirs that tell nothing apart and everything together. Scoring reads whole texts of all rows.
@@ -118,6 +119,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = SEED) -> Model:
     rate, rate_v = rates = (0.1, 0.05)
     # penalties are made up for when a term is next seen, and at the end
     last, step = np.zeros(m, dtype=np.int64), 0
+    flag, place = np.zeros(m, dtype=bool), np.zeros(m, dtype=np.int64)  # of a minibatch's terms
     filled = np.flatnonzero(np.diff(ends))
     for _ in range(max(EPOCHS, -(-STEPS * BATCH // len(filled)))):
         order = rng.permutation(filled)
@@ -126,7 +128,11 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = SEED) -> Model:
             i = order[at : at + BATCH]
             n = ends[i + 1] - ends[i]
             starts = np.cumsum(n) - n
-            seen, x = np.unique(np.concatenate([flat[ends[j] : ends[j + 1]] for j in i]), return_inverse=True)
+            x = np.concatenate([flat[ends[j] : ends[j + 1]] for j in i])
+            flag[x] = True
+            seen = np.flatnonzero(flag)
+            flag[seen], place[seen] = False, np.arange(len(seen))
+            x = place[x]
             ws, vs = shrunk(w[seen], v[seen], gw[seen], gv[seen], step - last[seen], rates)
             last[seen] = step
             vx = vs[x]
@@ -161,8 +167,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
         return rows
 
-    # at most max_rows ids are broadcast
-    sample = docs.select(key, F.col(text_col)).join(F.broadcast(learn), key == F.col("id_")).select(id_col, text_col, "y_", "rank_")
+    # at most max_rows ids are broadcast; repeats of an id are one row before anything is gathered
+    found = docs.select(key, F.col(text_col).alias("text_")).join(F.broadcast(learn), key == F.col("id_"))
+    one = F.min_by(F.struct("text_", "y_", "rank_"), F.xxhash64("text_")).alias("row_")
+    sample = found.groupBy("id_").agg(one).select("id_", "row_.text_", "row_.y_", "row_.rank_")
     kind = docs.schema[id_col].dataType.simpleString()
     sample = stored(map_rows(sample, make, f"id_ {kind}, y_ int, rank_ long, terms array<int>"), "toxicity-sample")
     sizes = sorted((r[1], r[0], r[2]) for r in sample.select("id_", "rank_", F.size("terms")).collect())

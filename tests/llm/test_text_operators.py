@@ -594,6 +594,17 @@ def test_a_sample_of_too_many_terms_is_cut(spark, documents, monkeypatch):
     assert total // 4 < sum(map(len, seen[1])) <= total // 2 and {r.tobytes() for r in seen[1]} <= {r.tobytes() for r in seen[0]}
 
 
+def test_repeats_of_an_id_are_one_row_of_the_sample(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda rows, labels: seen.append((rows, labels)) or toxicity.Model(np.zeros(0, dtype=np.int64), 0.0, np.zeros(0), np.zeros((0, toxicity.RANK))))
+    hot = next(k for k in range(20) if zlib.crc32(str(k).encode()) % 5)
+    docs = spark.range(30_000).select(F.lit(hot).cast("long").alias("doc_id"), F.concat(F.lit("text number "), F.col("id") % 3).alias("text"))
+    docs = docs.unionByName(spark.createDataFrame([(k, f"other {k}") for k in range(100, 110)], "doc_id long, text string"))
+    toxicity.train(docs, spark.createDataFrame([(hot, 1), (hot, 0), *((k, 0) for k in range(100, 110))], "doc_id long, toxic int"))
+    rows, labels = seen[0]
+    assert len(rows) == 1 + sum(zlib.crc32(str(k).encode()) % 5 != 0 for k in range(100, 110)) and sum(labels) == 1
+
+
 def test_toxicity_edges(spark, edge_docs, no_docs):
     labels = spark.createDataFrame([(i, (i % 2) if i else None) for i in range(13)] + [(3, 1), (None, 1)], "doc_id long, toxic int")
     model = toxicity.train(edge_docs, labels)
