@@ -86,12 +86,15 @@ def f18_log_redaction(spark, sf_dir):
     return P.without_private_logs(logs(spark, sf_dir)).select("event_id", P.scrubbed(F.col("detail")).alias("detail"))
 
 
-FEEDBACK = "WITH f AS (SELECT item_id, CASE item_id % 4 WHEN 0 THEN '  ' || chr(10) WHEN 1 THEN repeat('ü', 1001) WHEN 2 THEN repeat('ü', 1000) || ' ' ELSE ' ' || text END AS text FROM benchmark), t AS (SELECT item_id, trim(text, ' ' || chr(10)) AS text FROM f)"
+FEEDBACK = "WITH f AS (SELECT item_id, CASE item_id % 5 WHEN 0 THEN '  ' || chr(10) WHEN 1 THEN repeat(text, CAST(2000 // octet_length(encode(text)) + 1 AS BIGINT)) WHEN 2 THEN text || repeat('ü', CAST(greatest(0, 2000 - octet_length(encode(text))) // 2 AS BIGINT)) || ' ' WHEN 3 THEN chr(10) || text || chr(10) ELSE ' ' || text END AS text FROM benchmark), t AS (SELECT item_id, trim(text, ' ' || chr(10)) AS text FROM f)"
 
 
 def feedback(spark, sf_dir):
-    k = F.col("item_id") % 4
-    text = F.when(k == 0, "  \n").when(k == 1, F.repeat(F.lit("ü"), F.lit(1001))).when(k == 2, F.concat(F.repeat(F.lit("ü"), F.lit(1000)), F.lit(" "))).otherwise(F.concat(F.lit(" "), "text"))
+    """The whole texts of `benchmark` as feedback: blank, too long by repeating, just short enough, padded."""
+    k, size = F.col("item_id") % 5, F.octet_length("text")
+    long = F.repeat("text", (F.floor(F.lit(2000) / size) + 1).cast("int"))
+    filled = F.concat("text", F.repeat(F.lit("ü"), F.floor(F.greatest(F.lit(0), F.lit(2000) - size) / 2).cast("int")), F.lit(" "))
+    text = F.when(k == 0, "  \n").when(k == 1, long).when(k == 2, filled).when(k == 3, F.concat(F.lit("\n"), "text", F.lit("\n"))).otherwise(F.concat(F.lit(" "), "text"))
     return table(spark, sf_dir, "benchmark").select("item_id", text.alias("text"))
 
 

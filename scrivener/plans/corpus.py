@@ -1,5 +1,5 @@
 """Queries of corpus curation, over adjacent `conversations` turns with markdown put in, and of
-vocabulary pruning, over the tokens of `benchmark`."""
+vocabulary pruning, over the tokens of `documents`."""
 
 from __future__ import annotations
 
@@ -9,33 +9,39 @@ from scrivener.functions import markdown as M
 from scrivener.functions.text import words
 from scrivener.operators import corpus as C
 from scrivener.operators import vocab as V
+from scrivener.sources.storage import stored
 
 from .registry import query, table
 
 PAIRS = r"""WITH q AS (SELECT u.conv_id, u.turn, u.text AS i, a.text AS o FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'),
+ r AS (SELECT *, string_split(trim(regexp_replace(o, '\n+', chr(10), 'g'), chr(10)), chr(10)) AS l FROM q),
  p AS (SELECT conv_id, turn, CASE (conv_id + turn) % 9 WHEN 7 THEN 'um ' || i WHEN 6 THEN 'First, ' || i ELSE i END AS input, CASE (conv_id + turn) % 9
- WHEN 0 THEN '## Head' || chr(10) || 'This is **' || substr(i, 1, 8) || '** so' || chr(10) || '- one' || chr(10) || '- two' || chr(10) || 'end'
- WHEN 1 THEN '- a' || chr(10) || '-  - b ' || chr(10) || '- c' || chr(10) || '- d' || chr(10) || '- e' || chr(10) || '- f' || chr(10) || '- '
- WHEN 2 THEN '1. go.' || chr(10) || '2. stay..' || chr(10) || chr(10) || ' 3. run'
- WHEN 3 THEN 'To do:' || chr(10) || '1. go' || chr(10) || '2. stay'
+ WHEN 0 THEN '## Head' || chr(10) || 'This is **' || array_to_string(l, ' ') || '** so' || chr(10) || '- one' || chr(10) || '- two' || chr(10) || 'end'
+ WHEN 1 THEN '- ' || array_to_string(l, chr(10) || '-  - ') || ' ' || chr(10) || '- '
+ WHEN 2 THEN array_to_string(list_transform(l, lambda x, k: k || '. ' || x || '..'), chr(10) || chr(10) || ' ')
+ WHEN 3 THEN 'To do:' || chr(10) || array_to_string(list_transform(l, lambda x, k: k || '. ' || x), chr(10))
  WHEN 4 THEN i
- WHEN 5 THEN '- ' || substr(o, 1, 30)
- WHEN 6 THEN '1. x' || chr(10) || '2. y' || chr(10) || '3. z'
- WHEN 7 THEN '[name] ' || i ELSE o END AS output FROM q)"""
+ WHEN 5 THEN '- ' || o
+ WHEN 6 THEN array_to_string(list_transform(l, lambda x, k: k || '. ' || x), chr(10))
+ WHEN 7 THEN '[name] ' || o ELSE o END AS output FROM r)"""
 
 
 def pairs(spark, sf_dir):
+    """User turns with the whole replies, which get markdown around and into them by the pair's number:
+    bold and headers, all their lines as bullets or numbered; one of nine is a pass-through."""
     rows = C.adjacent_pairs(table(spark, sf_dir, "conversations"))
     i, o, k = F.col("input"), F.col("output"), (F.col("conv_id") + F.col("turn")) % 9
+    rows = rows.withColumn("l", F.split(F.regexp_replace(F.regexp_replace(o, r"\n+", "\n"), r"\A\n|\n\z", ""), "\n", -1))
+    numbered = lambda end: F.transform("l", lambda x, at: F.concat((at + 1).cast("string"), F.lit(". "), x, F.lit(end)))
     made = {
-        0: F.concat(F.lit("## Head\nThis is **"), F.substring(i, 1, 8), F.lit("** so\n- one\n- two\nend")),
-        1: F.lit("- a\n-  - b \n- c\n- d\n- e\n- f\n- "),
-        2: F.lit("1. go.\n2. stay..\n\n 3. run"),
-        3: F.lit("To do:\n1. go\n2. stay"),
+        0: F.concat(F.lit("## Head\nThis is **"), F.array_join("l", " "), F.lit("** so\n- one\n- two\nend")),
+        1: F.concat(F.lit("- "), F.array_join("l", "\n-  - "), F.lit(" \n- ")),
+        2: F.array_join(numbered(".."), "\n\n "),
+        3: F.concat(F.lit("To do:\n"), F.array_join(numbered(""), "\n")),
         4: i,
-        5: F.concat(F.lit("- "), F.substring(o, 1, 30)),
-        6: F.lit("1. x\n2. y\n3. z"),
-        7: F.concat(F.lit("[name] "), i),
+        5: F.concat(F.lit("- "), o),
+        6: F.array_join(numbered(""), "\n"),
+        7: F.concat(F.lit("[name] "), o),
     }
     output = o
     for n, c in made.items():
@@ -64,8 +70,9 @@ def s2_without_headers(spark, sf_dir):
     return pairs(spark, sf_dir).select("conv_id", "turn", M.without_headers(F.col("output")).alias("output"))
 
 
-# the two kinds of bullet block that `pairs` puts in; a lone last "- " is text
-BULLETS = "CASE (conv_id + turn) % 9 WHEN 0 THEN replace(output, '- one' || chr(10) || '- two' || chr(10), 'one, two.') WHEN 1 THEN array_to_string(list_transform(['a', 'b', 'c', 'd', 'e', 'f'], lambda x, i: i || '. ' || x), chr(10)) || '- ' ELSE output END"
+# the two kinds of bullet block that `pairs` puts in: its own two lines, and a reply's lines with a lone "- " after them, which is text
+_RUN = "list_transform(string_split(output, chr(10))[:-2], lambda x: trim(regexp_replace(trim(x), '^[- ]+', '')))"
+BULLETS = f"CASE (conv_id + turn) % 9 WHEN 0 THEN replace(output, '- one' || chr(10) || '- two' || chr(10), 'one, two.') WHEN 1 THEN CASE WHEN len({_RUN}) < 2 THEN output WHEN len({_RUN}) <= 5 THEN array_to_string({_RUN}, ', ') || '.- ' ELSE array_to_string(list_transform({_RUN}, lambda x, i: i || '. ' || x), chr(10)) || '- ' END ELSE output END"
 
 
 @query(PAIRS + f" SELECT conv_id, turn, {BULLETS} AS output FROM p")
@@ -170,10 +177,10 @@ def e3_templates_and_variations(spark, sf_dir):
     return rows.union(sentences(spark).filter("ord < 2").select("text"))
 
 
-@query(PAIRS + " SELECT input, output FROM p WHERE turn = 0 UNION ALL SELECT input, input FROM p WHERE turn = 2")
+@query(PAIRS + " SELECT input, output FROM p UNION ALL SELECT input, input FROM p")
 def e2_union_passthroughs(spark, sf_dir):
     rows = pairs(spark, sf_dir)
-    return rows.filter("turn = 0").select("input", "output").unionByName(rows.filter("turn = 2").select("input", F.col("input").alias("output")))
+    return rows.select("input", "output").unionByName(rows.select("input", F.col("input").alias("output")))
 
 
 @query()
@@ -210,10 +217,10 @@ def s8_pairs_of_answer(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", C.pairs_of_answer(said).alias("pairs"))
 
 
-@query("SELECT item_id, 'Write ' || (item_id + 1) || ' pairs of ' || substr(text, 1, 10) || '.' AS prompt FROM benchmark")
+@query("SELECT item_id, 'Write ' || (item_id + 1) || ' pairs of ' || text || '.' AS prompt FROM benchmark")
 def s9_prompt_filled(spark, sf_dir):
     rows = table(spark, sf_dir, "benchmark")
-    return rows.select("item_id", C.prompt_filled("Write {n} pairs of {what}.", n=F.col("item_id") + 1, what=F.substring("text", 1, 10)).alias("prompt"))
+    return rows.select("item_id", C.prompt_filled("Write {n} pairs of {what}.", n=F.col("item_id") + 1, what=F.col("text")).alias("prompt"))
 
 
 CATEGORIES = [("fillers", 3), ("stutters", 2), ("corrections", 5), ("lists", 1)]
@@ -260,44 +267,54 @@ VOCAB = rf"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesc
  tokens AS (SELECT DISTINCT token FROM (SELECT unnest(w) AS token FROM t UNION ALL SELECT 'unused_' || i FROM range({UNUSED}) r(i))),
  vocab AS (SELECT token, row_number() OVER (ORDER BY token) * 3 AS old_id FROM tokens),
  kept AS (SELECT old_id, row_number() OVER (ORDER BY old_id) - 1 AS new_id, token FROM vocab SEMI JOIN used USING (token)),
- merges AS (SELECT DISTINCT w[1] || ' ' || w[2] AS merge FROM t WHERE len(w) > 1 UNION ALL SELECT w[1] || ' unused_' || doc_id % {UNUSED} FROM t WHERE len(w) > 0
- UNION ALL SELECT w[1] || ' ' || w[2] || ' ' || w[3] FROM t WHERE len(w) > 2 UNION ALL SELECT w[1] FROM t WHERE len(w) > 0)"""
+ merges AS (SELECT DISTINCT w[i] || ' ' || w[i + 1] AS merge FROM (SELECT w, unnest(range(1, len(w))) AS i FROM t) UNION ALL SELECT w[1] || ' unused_' || doc_id % {UNUSED} FROM t WHERE len(w) > 0
+ UNION ALL SELECT array_to_string(w, ' ') FROM t WHERE len(w) > 2 UNION ALL SELECT w[1] FROM t WHERE len(w) > 0)"""
 
 
 def tokens(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", words(F.coalesce("text", F.lit(""))).alias("w"))
 
 
-def vocab(spark, sf_dir):
-    found = V.used_tokens(table(spark, sf_dir, "documents"), ["text"])
+def found(spark, sf_dir):
+    """The distinct tokens of all documents, read and written once."""
+    return stored(V.used_tokens(table(spark, sf_dir, "documents"), ["text"]), "tokens")
+
+
+def vocab(spark, known):
     unused = spark.range(UNUSED).select(F.concat(F.lit("unused_"), F.col("id").cast("string")).alias("token"))
-    return V.vocabulary(found.unionByName(unused), 3)
+    return V.vocabulary(known.unionByName(unused), 3)
 
 
-def used(spark, sf_dir):
+def used(spark, known):
     always = spark.createDataFrame([("The",), ("never seen",)], "token string")
-    return V.used_tokens(table(spark, sf_dir, "documents"), ["text"], always)
+    return known.unionByName(always).distinct()
+
+
+def kept_ids(spark, known, numbers):
+    return V.dense_index(numbers.join(used(spark, known), "token", "left_semi"))
 
 
-def kept(spark, sf_dir, known=None):
+def kept(spark, sf_dir):
     """The vocabulary's tokens that are used, with their old and new ids."""
-    known = vocab(spark, sf_dir) if known is None else known
-    return V.pruned(known, V.dense_index(known.join(used(spark, sf_dir), "token", "left_semi")))
+    known = found(spark, sf_dir)
+    numbers = vocab(spark, known)
+    return V.pruned(numbers, kept_ids(spark, known, numbers))
 
 
 @query(VOCAB + " SELECT token FROM used")
 def c9_used_tokens(spark, sf_dir):
-    return used(spark, sf_dir)
+    return used(spark, found(spark, sf_dir))
 
 
 @query(VOCAB + " SELECT token FROM used")
 def e4_union_distinct(spark, sf_dir):
-    return used(spark, sf_dir)
+    return used(spark, found(spark, sf_dir))
 
 
 @query(VOCAB + " SELECT old_id, new_id FROM kept")
 def w2_dense_index(spark, sf_dir):
-    return V.dense_index(vocab(spark, sf_dir).join(used(spark, sf_dir), "token", "left_semi"))
+    known = found(spark, sf_dir)
+    return kept_ids(spark, known, vocab(spark, known))
 
 
 @query("SELECT user_id AS old_id, row_number() OVER (ORDER BY user_id) - 1 AS new_id FROM (SELECT DISTINCT user_id * 40000 AS user_id FROM events)")
@@ -314,10 +331,13 @@ MERGES = VOCAB + " SELECT merge FROM merges WHERE len(string_split(merge, ' '))
 
 
 def merges(spark, sf_dir):
+    """All adjacent words of whole texts, pairs with a token that no text uses, and merges of one part or many."""
     w = tokens(spark, sf_dir)
-    part = lambda n: w.filter(F.size("w") >= n).select(F.array_join(F.slice("w", 1, n), " ").alias("merge"))
-    odd = w.filter(F.size("w") > 0).select(F.concat(F.col("w")[0], F.lit(" unused_"), (F.col("doc_id") % UNUSED).cast("string")).alias("merge"))
-    return part(2).distinct().union(odd).union(part(3)).union(part(1))
+    n = F.size("w")
+    pairs = F.when(n > 1, F.transform(F.arrays_zip(F.slice("w", F.lit(1), n - 1).alias("a"), F.slice("w", F.lit(2), n - 1).alias("b")), lambda x: F.concat(x["a"], F.lit(" "), x["b"]))).otherwise(F.array().cast("array<string>"))
+    odd = F.when(n > 0, F.array(F.concat(F.get("w", F.lit(0)), F.lit(" unused_"), (F.col("doc_id") % UNUSED).cast("string")), F.get("w", F.lit(0)))).otherwise(F.array().cast("array<string>"))
+    whole = F.when(n > 2, F.array(F.array_join("w", " "))).otherwise(F.array().cast("array<string>"))
+    return w.select(F.explode(F.concat(pairs, odd, whole)).alias("merge")).distinct()
 
 
 @query(MERGES)
@@ -327,9 +347,10 @@ def j3_kept_merges(spark, sf_dir):
 
 @query(VOCAB + " SELECT new_id AS id, 'added ' || token AS content FROM kept")
 def j5_added_tokens(spark, sf_dir):
-    known = vocab(spark, sf_dir)
-    added = known.select("old_id", F.concat(F.lit("added "), "token").alias("content"))
-    return V.added_remapped(added, kept(spark, sf_dir, known))
+    known = found(spark, sf_dir)
+    numbers = vocab(spark, known)
+    added = numbers.select("old_id", F.concat(F.lit("added "), "token").alias("content"))
+    return V.added_remapped(added, kept_ids(spark, known, numbers))
 
 
 @query(VOCAB + " SELECT count(*) AS new_size, count(*) * 100.0::DOUBLE / 32000 AS ratio_pct, 32000 * 2048 * 2::BIGINT AS params_old, count(*) * 2048 * 2 AS params_new FROM kept")
@@ -339,7 +360,7 @@ def s26_vocab_sizes(spark, sf_dir):
 
 @query(VOCAB + ", m AS (" + MERGES.partition(" SELECT merge FROM merges")[1].strip() + MERGES.partition(" SELECT merge FROM merges")[2] + ") SELECT 'token' AS kind, token AS item, new_id AS id FROM kept UNION ALL SELECT 'merge', merge, NULL FROM m")
 def c7_pruned_vocabulary(spark, sf_dir):
-    cut = kept(spark, sf_dir)
+    cut = stored(kept(spark, sf_dir), "kept")
     rows = V.merges_kept(merges(spark, sf_dir), cut).select(F.lit("merge").alias("kind"), F.col("merge").alias("item"), F.lit(None).cast("long").alias("id"))
     return cut.select(F.lit("token").alias("kind"), F.col("token").alias("item"), F.col("new_id").alias("id")).unionByName(rows)
 
