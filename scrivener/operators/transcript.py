@@ -61,9 +61,13 @@ def with_dictionary(df: DataFrame, rules: Sequence[tuple[str, str]], column: str
     return _applied(df, column, [(a, b) for a, b in rules if a], expand)
 
 
-def snippet_order(snippets: DataFrame) -> DataFrame:
+def longest_first() -> list[Column]:
     """Longest trigger (in bytes) first, of equals the first stored."""
-    return snippets.orderBy(F.desc(F.octet_length("trigger")), "ord")
+    return [F.desc(F.octet_length("trigger")), F.col("ord")]
+
+
+def snippet_order(snippets: DataFrame) -> DataFrame:
+    return snippets.orderBy(*longest_first())
 
 
 def with_snippets(df: DataFrame, snippets: Sequence[tuple[str, str]], column: str = "text") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Queries of announcements, settings, hotkeys, feedback and logs, over inline rows and `events`."""
+"""Queries of announcements, settings, hotkeys, feedback and logs, over rows made of `events` and `benchmark`."""
 
 from __future__ import annotations
 
@@ -10,14 +10,6 @@ from scrivener.operators import app as P
 from . import history as hist
 from .registry import query, table
 
-ROWS = [
-    (0, "welcome", None, None),
-    (1, "old", None, "1.1.9"),
-    (2, "new", "1.2.0", None),
-    (3, "range", "1.0.0", "2.0.0"),
-    (4, "future", "1.10.0", "x.y"),
-    (5, "odd", "one", "9.9.9"),
-]
 VERSIONS = ["1.2.0", "1.9.3", "2.0.1", "dev"]
 
 
@@ -25,51 +17,71 @@ def lit(x) -> str:
     return "NULL" if x is None else "'" + x.replace("'", "''") + "'"
 
 
-ANNOUNCED = "WITH a(ord, id, min_version, max_version) AS (VALUES " + ", ".join(f"({o}, {lit(i)}, {lit(a)}, {lit(b)})" for o, i, a, b in ROWS) + "), seen(id) AS (VALUES ('welcome'), ('gone'), ('welcome')), v(app) AS (VALUES " + ", ".join(f"({lit(v)})" for v in VERSIONS) + r"), parts AS (SELECT *, CASE WHEN regexp_matches(app, '^\d+\.\d+\.\d+$') THEN list_transform(string_split(app, '.'), lambda x: CAST(x AS INT)) END AS pv, CASE WHEN regexp_matches(min_version, '^\d+\.\d+\.\d+$') THEN list_transform(string_split(min_version, '.'), lambda x: CAST(x AS INT)) END AS pa, CASE WHEN regexp_matches(max_version, '^\d+\.\d+\.\d+$') THEN list_transform(string_split(max_version, '.'), lambda x: CAST(x AS INT)) END AS pb FROM a, v), ok AS (SELECT *, pv IS NULL OR (coalesce(pv >= pa, true) AND coalesce(pv <= pb, true)) AS fits FROM parts)"
+#: Expressions that Spark and the SQL beside it read alike: an event as an announcement, for some versions.
+ANNOUNCEMENT = {
+    "ord": "event_id",
+    "id": "'a' || event_id",
+    "min_version": "CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'one' ELSE (event_id % 3) || '.' || (event_id % 11) || '.' || (event_id % 7) END",
+    "max_version": "CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'x.y' ELSE (event_id % 3) || '.' || (event_id % 13) || '.0' END",
+}
 
 
-def announcements(spark):
-    return spark.createDataFrame(ROWS, "ord int, id string, min_version string, max_version string")
+def made_sql(columns: dict[str, str], of: str = "events") -> str:
+    return "SELECT " + ", ".join(f"{e} AS {c}" for c, e in columns.items()) + f" FROM {of}"
 
 
-def seen(spark):
-    return spark.createDataFrame([("welcome",), ("gone",), ("welcome",)], "id string")
+def made(spark, sf_dir, columns: dict[str, str], of: str = "events"):
+    return table(spark, sf_dir, of).select(*[F.expr(e).alias(c) for c, e in columns.items()])
+
+
+ANNOUNCED = f"WITH a AS ({made_sql(ANNOUNCEMENT)}), seen(id) AS (SELECT 'a' || event_id FROM events WHERE event_type IN ('click', 'view') UNION ALL SELECT 'a' || event_id FROM events WHERE event_type = 'view' UNION ALL SELECT 'gone'), v(app) AS (VALUES " + ", ".join(f"({lit(v)})" for v in VERSIONS) + r"), parts AS (SELECT *, CASE WHEN regexp_matches(app, '^\d+\.\d+\.\d+$') THEN list_transform(string_split(app, '.'), lambda x: CAST(x AS INT)) END AS pv, CASE WHEN regexp_matches(min_version, '^\d+\.\d+\.\d+$') THEN list_transform(string_split(min_version, '.'), lambda x: CAST(x AS INT)) END AS pa, CASE WHEN regexp_matches(max_version, '^\d+\.\d+\.\d+$') THEN list_transform(string_split(max_version, '.'), lambda x: CAST(x AS INT)) END AS pb FROM a, v), ok AS (SELECT *, pv IS NULL OR (coalesce(pv >= pa, true) AND coalesce(pv <= pb, true)) AS fits FROM parts)"
+
+
+def announcements(spark, sf_dir):
+    return made(spark, sf_dir, ANNOUNCEMENT)
+
+
+def seen(spark, sf_dir):
+    """Announcements that some have been shown, one that is gone, and repeats."""
+    of = lambda kinds: table(spark, sf_dir, "events").filter(F.col("event_type").isin(kinds)).select(F.expr(ANNOUNCEMENT["id"]).alias("id"))
+    return of(["click", "view"]).unionByName(of(["view"])).unionByName(spark.createDataFrame([("gone",)], "id string"))
 
 
 @query(ANNOUNCED + " SELECT id FROM a ANTI JOIN seen USING (id)")
 def j2_unseen(spark, sf_dir):
-    return P.unseen(announcements(spark), seen(spark)).select("id")
+    return P.unseen(announcements(spark, sf_dir), seen(spark, sf_dir)).select("id")
 
 
-@query(ANNOUNCED + " SELECT id FROM a ANTI JOIN seen USING (id)")
+@query(ANNOUNCED + " SELECT id, ord FROM a WHERE id NOT IN (SELECT id FROM seen)")
 def f7_not_seen(spark, sf_dir):
-    return P.unseen(announcements(spark), seen(spark)).select("id")
+    return P.unseen(announcements(spark, sf_dir), seen(spark, sf_dir)).select("id", "ord")
 
 
 @query(ANNOUNCED + " SELECT id FROM ok WHERE app = '1.9.3' AND fits")
 def f8_version_range(spark, sf_dir):
-    return P.for_version(announcements(spark), F.lit("1.9.3")).select("id")
+    return P.for_version(announcements(spark, sf_dir), F.lit("1.9.3")).select("id")
 
 
 @query(ANNOUNCED + " SELECT app, id FROM ok WHERE fits")
 def j9_versions_by_range(spark, sf_dir):
     apps = F.broadcast(spark.createDataFrame([(v,) for v in VERSIONS], "app string"))
-    return announcements(spark).join(apps, version_in_range(F.col("app"), F.col("min_version"), F.col("max_version"))).select("app", "id")
+    return announcements(spark, sf_dir).join(apps, version_in_range(F.col("app"), F.col("min_version"), F.col("max_version"))).select("app", "id")
 
 
 @query(ANNOUNCED + " SELECT id FROM a ORDER BY ord LIMIT 1")
 def o8_first_announcement(spark, sf_dir):
-    return announcements(spark).orderBy("ord").limit(1).select("id")
+    return announcements(spark, sf_dir).orderBy("ord").limit(1).select("id")
 
 
 @query(ANNOUNCED + " SELECT id FROM ok ANTI JOIN seen USING (id) WHERE app = '1.9.3' AND fits ORDER BY ord LIMIT 1")
 def m1_announcement_to_show(spark, sf_dir):
-    return P.to_show(announcements(spark), seen(spark), F.lit("1.9.3")).select("id")
+    return P.to_show(announcements(spark, sf_dir), seen(spark, sf_dir), F.lit("1.9.3")).select("id")
 
 
-@query("SELECT unnest(['welcome', 'gone', 'new']) AS id")
+@query(ANNOUNCED + " SELECT id FROM seen UNION SELECT 'a' || event_id FROM events WHERE event_type IN ('view', 'signup')")
 def io13_mark_seen(spark, sf_dir):
-    return P.marked_seen(seen(spark), spark.createDataFrame([("new",), ("gone",)], "id string"))
+    now = table(spark, sf_dir, "events").filter(F.col("event_type").isin(["view", "signup"])).select(F.expr(ANNOUNCEMENT["id"]).alias("id"))
+    return P.marked_seen(seen(spark, sf_dir), now)
 
 
 LOGS = "WITH l AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'After regex: ' || event_type WHEN 1 THEN 'copied to clipboard' WHEN 2 THEN NULL ELSE 'took ' || value END AS message, repeat('é', CAST(event_id % 210 AS INT)) AS detail FROM events)"
@@ -115,59 +127,69 @@ def m4_feedback_payloads(spark, sf_dir):
     return sent.join(accepted, "item_id", "left_semi").crossJoin(F.broadcast(context)).select("item_id", "text", F.col("entries").alias("dictations"), "age_days")
 
 
-LIST = "WITH d(ord, a, b) AS (VALUES (0, 'gonna', 'going to'), (1, ' js ', 'JavaScript'), (2, '', 'x'), (3, 'y', '  '), (4, 'z', 'zed'))"
-
-
-def entries(spark):
-    return spark.createDataFrame([(0, "gonna", "going to"), (1, " js ", "JavaScript"), (2, "", "x"), (3, "y", "  "), (4, "z", "zed")], "ord int, a string, b string")
+#: An event as a dictionary entry: padded, empty and blank fields among others.
+ENTRY = {
+    "ord": "event_id",
+    "a": "CASE event_id % 5 WHEN 1 THEN ' ' || event_type || '  ' WHEN 2 THEN '' ELSE event_type END",
+    "b": "CASE event_id % 7 WHEN 3 THEN '   ' WHEN 4 THEN ' ' || coalesce(props, '') ELSE coalesce(props, '') END",
+}
+LIST = f"WITH d AS ({made_sql(ENTRY)})"
 
 
 @query(LIST + " SELECT CASE WHEN ord > 1 THEN ord - 1 ELSE ord END AS ord, a, CASE WHEN ord = 4 THEN 'ZED' ELSE b END AS b FROM d WHERE ord <> 1")
 def f20_list_edits(spark, sf_dir):
-    return P.without_index(P.with_index(entries(spark), 4, b="ZED"), 1)
+    return P.without_index(P.with_index(made(spark, sf_dir, ENTRY), 4, b="ZED"), 1)
 
 
 @query(LIST + " SELECT ord, trim(a) AS a, trim(b) AS b FROM d WHERE trim(a) <> '' AND trim(b) <> ''")
 def f23_addable_entries(spark, sf_dir):
-    return P.addable(entries(spark), "a", "b")
+    return P.addable(made(spark, sf_dir, ENTRY), "a", "b")
 
 
-STATES = [("hotkey", "A", "A"), ("model", "tiny", "base"), ("inputDevice", None, "mic"), ("toneMode", None, None), ("helpImprove", "true", None)]
+#: A setting before and after an event.
+STATES = {
+    "hotkey": ("event_type", "CASE event_id % 3 WHEN 0 THEN 'click' ELSE event_type END"),
+    "model": ("CASE event_id % 4 WHEN 0 THEN NULL ELSE 'base' END", "CASE event_id % 8 WHEN 0 THEN NULL WHEN 1 THEN 'small' ELSE 'base' END"),
+    "inputDevice": ("user_id || ''", "CASE event_id % 5 WHEN 0 THEN NULL ELSE user_id || '' END"),
+    "toneMode": ("CAST(NULL AS CHAR(1))", "CAST(NULL AS CHAR(1))"),
+    "helpImprove": ("'true'", "CASE event_id % 2 WHEN 0 THEN NULL ELSE 'true' END"),
+}
 
 
-@query("SELECT 1 AS id, ['model', 'inputDevice', 'helpImprove'] AS changed UNION ALL SELECT 2, CAST([] AS VARCHAR[])")
+@query("SELECT event_id AS id, list_filter([" + ", ".join(f"CASE WHEN ({a}) IS DISTINCT FROM ({b}) THEN '{k}' END" for k, (a, b) in STATES.items()) + "], lambda x: x IS NOT NULL) AS changed FROM events")
 def e7_changed_keys(spark, sf_dir):
-    keys = [s[0] for s in STATES]
-    schema = "id int, " + ", ".join(f"{k} string" for k in keys)
-    before = spark.createDataFrame([(1, *[s[1] for s in STATES]), (2, *[s[1] for s in STATES])], schema)
-    after = spark.createDataFrame([(1, *[s[2] for s in STATES]), (2, *[s[1] for s in STATES])], schema)
-    return P.changed_keys(before, after, keys, "id")
-
+    before, after = (made(spark, sf_dir, {"id": "event_id"} | {k: e[side] for k, e in STATES.items()}) for side in (0, 1))
+    return P.changed_keys(before, after, list(STATES), "id")
 
-HOTKEYS = ["CmdOrCtrl+Shift+Space", "ControlLeft+ShiftLeft+Space", "Ctrl+Alt+k", "Cmd+Up", "Fn", "Shift+F5", "AltGr+x", " Ctrl + Return ", "KeyA"]
-MIGRATED = ["ControlLeft+ShiftLeft+Space", "ControlLeft+ShiftLeft+Space", "ControlLeft+Alt+KeyK", "MetaLeft+ArrowUp", "Fn", "ShiftLeft+F5", "AltGr+x", "ControlLeft+Enter", "KeyA"]
-LABELS = ["Ctrl+Shift+Space", "Ctrl+Shift+Space", "Ctrl+Alt+K", "Win+Up", "fn", "Shift+F5", "AltGr+x", "Ctrl+Enter", "A"]
 
+#: Hotkeys as users have set them over the years, with an event's first letter, and the model of that time.
+HOTKEYS = ["CmdOrCtrl+Shift+Space", "ControlLeft+ShiftLeft+Space", "Ctrl+Alt+k", "Cmd+Up", "Fn", "Shift+F5", "AltGr+x", " Ctrl + Return ", "KeyA", "ControlRight+Digit7", "Control+Option+,", "Super+Esc"]
+SETTINGS = {
+    "event_id": "event_id",
+    "hotkey": f"CASE event_id % {len(HOTKEYS)} " + " ".join(f"WHEN {k} THEN {lit(h)}" for k, h in enumerate(HOTKEYS)) + " END || CASE user_id % 3 WHEN 0 THEN '' WHEN 1 THEN '+' || substr(event_type, 1, 1) ELSE '+Left' END",
+    "model": "CASE event_id % 6 WHEN 0 THEN 'tiny' WHEN 1 THEN 'base' WHEN 2 THEN 'small' WHEN 3 THEN 'medium' WHEN 4 THEN event_type ELSE 'Qwen3-' || user_id END",
+}
+CASES = lambda of: " ".join(f"WHEN {lit(a)} THEN {lit(b)}" for a, b in of.items())
+_OLD = "contains(hotkey, 'Cmd') OR contains(hotkey, 'Ctrl') AND NOT contains(hotkey, 'Control') OR contains(hotkey, 'Shift') AND NOT contains(hotkey, 'ShiftLeft') AND NOT contains(hotkey, 'ShiftRight') OR contains(hotkey, 'Alt') AND NOT contains(hotkey, 'AltGr')"
+_KEY = f"CASE trim(p) WHEN 'CmdOrCtrl' THEN 'ControlLeft' {CASES(P.OLD_KEYS)} ELSE CASE WHEN regexp_matches(trim(p), '^[A-Za-z]$') THEN 'Key' || upper(trim(p)) ELSE trim(p) END END"
+_LABEL = f"CASE WHEN regexp_matches(trim(c), '^Key.$') THEN substr(trim(c), 4, 1) WHEN regexp_matches(trim(c), '^Digit.$') THEN substr(trim(c), 6, 1) ELSE CASE trim(c) {CASES(P.KEY_LABELS)} ELSE trim(c) END END"
+SET = f"WITH s AS ({made_sql(SETTINGS)}), m AS (SELECT *, CASE WHEN {_OLD} THEN array_to_string(list_transform(string_split(hotkey, '+'), lambda p: {_KEY}), '+') ELSE hotkey END AS migrated FROM s)"
 
-def hotkeys(spark):
-    return spark.createDataFrame([(h,) for h in HOTKEYS], "hotkey string")
 
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({lit(a)}, {lit(b)})" for a, b in zip(HOTKEYS, MIGRATED, strict=True)) + ") h(hotkey, migrated)")
+@query(SET + " SELECT event_id, hotkey, migrated FROM m")
 def s19_migrated_hotkeys(spark, sf_dir):
-    return hotkeys(spark).select("hotkey", P.migrated_hotkey(F.col("hotkey")).alias("migrated"))
+    return made(spark, sf_dir, SETTINGS).select("event_id", "hotkey", P.migrated_hotkey(F.col("hotkey")).alias("migrated"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({lit(a)}, {lit(b)})" for a, b in zip(MIGRATED[1:], LABELS[1:], strict=True)) + ") h(hotkey, labels)")
+@query(SET + f" SELECT DISTINCT migrated AS hotkey, array_to_string(list_transform(string_split(migrated, '+'), lambda c: {_LABEL}), '+') AS labels FROM m")
 def s18_hotkey_labels(spark, sf_dir):
-    rows = hotkeys(spark).select(P.migrated_hotkey(F.col("hotkey")).alias("hotkey")).distinct()
+    rows = made(spark, sf_dir, SETTINGS).select(P.migrated_hotkey(F.col("hotkey")).alias("hotkey")).distinct()
     return rows.select("hotkey", F.array_join(P.hotkey_labels(F.col("hotkey")), "+").alias("labels"))
 
 
-@query("SELECT 'CmdOrCtrl' AS model, 'CmdOrCtrl' AS migrated UNION ALL SELECT unnest(['tiny', 'base', 'small', 'medium']), 'parakeet-tdt-0.6b'")
+@query(SET + " SELECT event_id, model, CASE WHEN model IN ('tiny', 'base', 'small', 'medium') THEN 'parakeet-tdt-0.6b' ELSE model END AS migrated FROM s")
 def s20_migrated_models(spark, sf_dir):
-    rows = spark.createDataFrame([(m,) for m in ["CmdOrCtrl", "tiny", "base", "small", "medium"]], "model string")
-    return rows.select("model", P.migrated_model(F.col("model")).alias("migrated"))
+    return made(spark, sf_dir, SETTINGS).select("event_id", "model", P.migrated_model(F.col("model")).alias("migrated"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'tiny' ELSE 'dark' END AS model0, CASE WHEN event_id % 3 = 0 THEN event_type WHEN event_id % 2 = 0 THEN 'tiny' ELSE 'dark' END AS model, CASE WHEN event_id % 3 = 0 THEN 'yes' END AS added FROM events")
@@ -178,10 +200,10 @@ def s21_settings_patch(spark, sf_dir):
     return rows.select("event_id", "model0", F.try_element_at("m", F.lit("model")).alias("model"), F.try_element_at("m", F.lit("added")).alias("added"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({lit(a)}, {lit(b)}, 'parakeet-tdt-0.6b')" for a, b in zip(HOTKEYS, MIGRATED, strict=True)) + ") h(hotkey, migrated, model)")
+@query(SET + " SELECT event_id, migrated AS hotkey, CASE WHEN model IN ('tiny', 'base', 'small', 'medium') THEN 'parakeet-tdt-0.6b' ELSE model END AS model FROM m")
 def m2_migrated_settings(spark, sf_dir):
-    rows = hotkeys(spark).withColumn("old", F.lit("base"))
-    return rows.select("hotkey", P.migrated_hotkey(F.col("hotkey")).alias("migrated"), P.migrated_model(F.col("old")).alias("model"))
+    rows = made(spark, sf_dir, SETTINGS)
+    return rows.select("event_id", P.migrated_hotkey(F.col("hotkey")).alias("hotkey"), P.migrated_model(F.col("model")).alias("model"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 3 = 0 AND event_type <> 'click' THEN ['mode'] ELSE CAST([] AS VARCHAR[]) END AS changed FROM events")
@@ -193,10 +215,15 @@ def m3_patch_and_diff(spark, sf_dir):
     return P.changed_keys(rows, after, ["mode"], "event_id")
 
 
-@query("SELECT * FROM (VALUES ('ControlLeft+AltLeft+ShiftLeft+KeyA+KeyB'), ('ShiftRight+MetaLeft+Space')) k(keys)")
+#: Keys that are held down, from a place that an event gives and as many as another.
+HELD = ["KeyB", "ShiftLeft", "AltLeft", "KeyA", "ControlLeft", "KeyA", "MetaLeft", "Space", "ShiftRight", "ControlRight"]
+_HELD, _MODS = (f"[{', '.join(map(lit, x))}]" for x in (HELD * 2, P.MODIFIERS))
+
+
+@query(f"WITH h AS (SELECT event_id, list_distinct(({_HELD})[event_id % 10 + 1:event_id % 10 + 1 + user_id % 7]) AS codes FROM events) SELECT event_id, array_to_string(list_transform(list_sort(list_transform(codes, lambda c: {{'r': coalesce(nullif(list_position({_MODS}, c), 0), 9), 'c': c}})), lambda x: x.c), '+') AS keys FROM h")
 def o10_ordered_keys(spark, sf_dir):
-    rows = spark.createDataFrame([(["KeyB", "ShiftLeft", "AltLeft", "KeyA", "ControlLeft", "KeyA"],), (["Space", "MetaLeft", "ShiftRight"],)], "codes array<string>")
-    return rows.select(F.array_join(P.ordered_keys(F.col("codes")), "+").alias("keys"))
+    held = F.slice(F.array(*map(F.lit, HELD * 2)), (F.col("event_id") % 10 + 1).cast("int"), (F.col("user_id") % 7 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(P.ordered_keys(held), "+").alias("keys"))
 
 
 @query("SELECT item_id, CASE item_id % 4 WHEN 0 THEN 'mic_not_found' WHEN 1 THEN 'injection_failed' ELSE 'unknown' END AS code, CASE item_id % 4 WHEN 2 THEN 'mic_not_found' ELSE 'mic_permission' END AS device FROM benchmark")
@@ -206,7 +233,9 @@ def s28_error_codes(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", P.error_code(said).alias("code"), P.device_error(said).alias("device"))
 
 
-@query("SELECT name, NOT (contains(name, '..') OR contains(name, '/') OR contains(name, chr(92))) AS safe FROM (VALUES ('model.gguf'), ('../x'), ('a/b'), ('a' || chr(92) || 'b'), ('v1..2')) n(name)")
+NAMED = {"name": "CASE event_id % 5 WHEN 0 THEN event_type || '.gguf' WHEN 1 THEN '../' || event_type WHEN 2 THEN event_type || '/b' WHEN 3 THEN event_type || chr(92) || 'b' ELSE 'v1..' || event_id END"}
+
+
+@query(f"SELECT name, NOT (contains(name, '..') OR contains(name, '/') OR contains(name, chr(92))) AS safe FROM ({made_sql(NAMED)})")
 def s29_safe_names(spark, sf_dir):
-    rows = spark.createDataFrame([("model.gguf",), ("../x",), ("a/b",), ("a\\b",), ("v1..2",)], "name string")
-    return rows.select("name", P.is_safe_name(F.col("name")).alias("safe"))
+    return made(spark, sf_dir, NAMED).select("name", P.is_safe_name(F.col("name")).alias("safe"))

@@ -9,6 +9,7 @@ from scrivener.functions import markdown as M
 from scrivener.functions.text import words
 from scrivener.operators import corpus as C
 from scrivener.operators import vocab as V
+from scrivener.operators.ordering import numbered
 from scrivener.sources.storage import stored
 
 from .registry import query, table
@@ -154,27 +155,26 @@ def c3_quota(spark, sf_dir):
     return C.quota(pairs(spark, sf_dir))
 
 
-SENTENCES = ["The train leaves at nine.", "We agreed on the second plan.", "Her report is due on Monday.", "It rained all night."]
+def sentences(spark, sf_dir):
+    """The texts of `benchmark` as fixed sentences, in their order."""
+    return numbered(table(spark, sf_dir, "benchmark").select("item_id", "text"), "item_id", name="ord").select("ord", "text")
 
 
-def sentences(spark):
-    return spark.createDataFrame(list(enumerate(SENTENCES)), "ord long, text string")
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, '{s}', '{s}')" for i, s in enumerate(SENTENCES[:3])) + ") v(k, input, output)")
+@query("WITH s AS (SELECT text, row_number() OVER (ORDER BY item_id) - 1 AS k FROM benchmark) SELECT k, text AS input, text AS output FROM s WHERE k < (SELECT count(*) // 2 FROM benchmark)")
 def c4_passthroughs_below_fixed(spark, sf_dir):
-    return C.passthroughs(sentences(spark), spark.createDataFrame([(3,)], "wanted long"))
+    wanted = table(spark, sf_dir, "benchmark").agg(F.floor(F.count("*") / 2).alias("wanted"))
+    return C.passthroughs(sentences(spark, sf_dir), wanted)
 
 
 @query()
 def c4_passthroughs(spark, sf_dir):
-    return C.passthroughs(sentences(spark), C.quota(pairs(spark, sf_dir), 0.5))
+    return C.passthroughs(sentences(spark, sf_dir), C.quota(pairs(spark, sf_dir), 0.5))
 
 
-@query("SELECT unnest(['" + "', '".join(SENTENCES) + "']) AS input UNION ALL SELECT unnest(['" + "', '".join(SENTENCES[:2]) + "'])")
+@query("SELECT text AS input FROM benchmark UNION ALL SELECT 'Well, ' || text FROM benchmark")
 def e3_templates_and_variations(spark, sf_dir):
-    rows = sentences(spark).select(F.col("text").alias("input"))
-    return rows.union(sentences(spark).filter("ord < 2").select("text"))
+    rows = table(spark, sf_dir, "benchmark").select(F.col("text").alias("input"))
+    return rows.unionByName(rows.select(F.concat(F.lit("Well, "), "input").alias("input")))
 
 
 @query(PAIRS + " SELECT input, output FROM p UNION ALL SELECT input, input FROM p")
@@ -185,7 +185,7 @@ def e2_union_passthroughs(spark, sf_dir):
 
 @query()
 def c2_curated(spark, sf_dir):
-    return C.curated(pairs(spark, sf_dir), sentences(spark))
+    return C.curated(pairs(spark, sf_dir), sentences(spark, sf_dir))
 
 
 @query(PAIRS + " SELECT * FROM p")
@@ -231,14 +231,17 @@ def categories(spark):
     return spark.createDataFrame([(i, n, w) for i, (n, w) in enumerate(CATEGORIES)], "ord int, name string, weight int")
 
 
-@query(f"SELECT name, weight, weight / sum(weight) OVER () * 100 AS share FROM {CATEGORY_SQL}")
+SHARES = "SELECT {0} AS name, count(*) AS weight, count(*) / sum(count(*)) OVER () * 100 AS share FROM events GROUP BY 1"
+
+
+@query(SHARES.format("event_type"))
 def c10_category_shares(spark, sf_dir):
-    return C.shares(categories(spark)).select("name", "weight", "share")
+    return C.shares(table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("name")).agg(F.count("*").alias("weight")))
 
 
-@query(f"SELECT name, weight, weight / sum(weight) OVER () * 100 AS share FROM {CATEGORY_SQL}")
+@query(SHARES.format("user_id"))
 def w4_share_of_total(spark, sf_dir):
-    return C.shares(categories(spark)).select("name", "weight", "share")
+    return C.shares(table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("name")).agg(F.count("*").alias("weight")))
 
 
 @query(f"WITH b AS (SELECT name, sum(weight) OVER (ORDER BY ord) AS upto, weight, sum(weight) OVER () AS total FROM {CATEGORY_SQL}) SELECT event_id, name FROM events JOIN b ON (event_id * 7919 % 1000) / 1000 * total <= upto AND ((event_id * 7919 % 1000) / 1000 * total > upto - weight OR upto = weight)")

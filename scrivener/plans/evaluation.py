@@ -133,7 +133,7 @@ def s24_safe_name(spark, sf_dir):
     return results(spark, sf_dir).select("model", E.safe_name(F.concat("model", F.lit("/ü:"), "mode")).alias("file")).distinct()
 
 
-@query("SELECT model, contains(lower(model), 'qwen3') AS thinks FROM (VALUES ('Qwen3-4B'), ('qwen2.5'), ('QWEN3')) m(model)")
+@query("SELECT event_id, 'Qwen' || event_id % 5 || '-' || upper(event_type) AS model, event_id % 5 = 3 AS thinks FROM events")
 def s25_thinking_model(spark, sf_dir):
-    rows = spark.createDataFrame([("Qwen3-4B",), ("qwen2.5",), ("QWEN3",)], "model string")
-    return rows.select("model", F.contains(F.lower("model"), F.lit("qwen3")).alias("thinks"))
+    model = F.concat(F.lit("Qwen"), (F.col("event_id") % 5).cast("string"), F.lit("-"), F.upper("event_type"))
+    return table(spark, sf_dir, "events").select("event_id", model.alias("model"), F.contains(F.lower(model), F.lit("qwen3")).alias("thinks"))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from scrivener.operators import app as P
 from scrivener.operators import audio as A
 from scrivener.operators import history as H
 from scrivener.sources import files as S
 from scrivener.sources.storage import place
 
-from . import audio, corpus, evaluation
+from . import app, audio, corpus, evaluation
 from . import history as hist
 from .registry import query, table
 
@@ -28,37 +29,40 @@ def _stored(spark, sf_dir, n=None):
 def io1_read_history(spark, sf_dir):
     path = place(spark, "history")
     S.write_json_arrays(_stored(spark, sf_dir), path, "part")
-    return S.read_history(spark, path).drop("part")
+    return S.read_history(spark, path, whole=False).drop("part")
 
 
 @query(STORED + " ORDER BY ord DESC LIMIT 1000")
 def io2_write_history(spark, sf_dir):
     path = place(spark, "history")
     S.write_json_arrays(_stored(spark, sf_dir, 1000), path, "part")
-    return S.read_history(spark, path).drop("part")
+    return S.read_history(spark, path, whole=False).drop("part")
 
 
-@query("SELECT 0 AS ord, 'gonna' AS \"from\", 'going to' AS \"to\" UNION ALL SELECT 1, 'js', 'JavaScript'")
+@query(app.LIST + ' SELECT CAST(ord AS INT) AS ord, a AS "from", b AS "to" FROM d')
 def io4_dictionary_file(spark, sf_dir):
     path = place(spark, "dictionary")
-    rows = spark.createDataFrame([(0, "gonna", "going to"), (1, "js", "JavaScript")], S.DICTIONARY)
-    S.write_json_arrays(rows.withColumn("part", F.lit(0)), path, "part")
-    return S.read_json(spark, path, S.DICTIONARY).drop("part")
+    rows = app.made(spark, sf_dir, app.ENTRY).select(F.col("ord").cast("int"), F.col("a").alias("from"), F.col("b").alias("to"))
+    S.write_jsonl(rows, path)
+    return S.read_jsonl(spark, path, S.DICTIONARY)
 
 
-@query("SELECT 'ControlLeft+ShiftLeft+Space' AS hotkey, 'parakeet-tdt-0.6b' AS model")
+@query(app.SET + " SELECT event_id, migrated AS hotkey, CASE WHEN model IN ('tiny', 'base', 'small', 'medium') THEN 'parakeet-tdt-0.6b' ELSE model END AS model FROM m")
 def io3_settings_file(spark, sf_dir):
-    from scrivener.operators import app
-
     path = place(spark, "settings")
-    spark.createDataFrame([("CmdOrCtrl+Shift+Space", "base")], "hotkey string, model string").write.json(path)
-    rows = S.read_json(spark, path, "hotkey string, model string")
-    return rows.select(app.migrated_hotkey(F.col("hotkey")).alias("hotkey"), app.migrated_model(F.col("model")).alias("model"))
+    S.write_jsonl(app.made(spark, sf_dir, app.SETTINGS), path)
+    rows = S.read_jsonl(spark, path, "event_id long, hotkey string, model string")
+    return rows.select("event_id", P.migrated_hotkey(F.col("hotkey")).alias("hotkey"), P.migrated_model(F.col("model")).alias("model"))
 
 
-@query("SELECT 0 AS ord, 'my email address' AS trigger, 'user@example.com' AS expansion UNION ALL SELECT 1, 'my signature', 'Best regards,' || chr(10) || '[Your Name]'")
+@query("SELECT DISTINCT user_id, ord, trigger, expansion FROM events, (VALUES (0, 'my email address', 'user@example.com'), (1, 'my signature', 'Best regards,' || chr(10) || '[Your Name]')) s(ord, trigger, expansion) UNION ALL SELECT -1, item_id, text, text FROM benchmark")
 def io5_default_snippets(spark, sf_dir):
-    return S.read_snippets(spark, place(spark, "no-snippets"))
+    """The defaults of every user, who all have no snippets yet, beside a file that has some."""
+    none, some = place(spark, "no-snippets"), place(spark, "snippets")
+    S.write_jsonl(table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("int").alias("ord"), F.col("text").alias("trigger"), F.col("text").alias("expansion")), some)
+    users = table(spark, sf_dir, "events").select("user_id").distinct()
+    defaults = users.crossJoin(F.broadcast(S.read_snippets(spark, none)))
+    return defaults.unionByName(S.read_jsonl(spark, some, S.SNIPPETS).select(F.lit(-1).cast("long").alias("user_id"), "*"))
 
 
 @query(corpus.PAIRS + " SELECT input, output FROM p")
@@ -94,7 +98,7 @@ def io9_result_folder(spark, sf_dir):
     path = place(spark, "results")
     rows = evaluation.results(spark, sf_dir).select("model", F.lit("2024-01-30 12:00:00").alias("timestamp"), "id", F.lit("n").alias("name"), "mode", F.col("raw_input").alias("input"), "raw_input", "output", "expected", "time_ms")
     S.write_results(rows, path)
-    return S.read_results(spark, path + "/*").select("model", "mode", "id", "time_ms")
+    return S.read_results(spark, path + "/*", whole=False).select("model", "mode", "id", "time_ms")
 
 
 @query(evaluation.RESULTS + " SELECT regexp_replace(model, '[^a-zA-Z0-9._-]', '_', 'g') AS file, model, id, mode, output FROM r")
@@ -106,12 +110,13 @@ def io10_result_files(spark, sf_dir):
     return back.select("file", "model", F.inline("results"))
 
 
-@query("SELECT 'a' AS id, 'A' AS title UNION ALL SELECT 'b', 'B'")
+@query(app.ANNOUNCED + " SELECT id, min_version FROM a")
 def io12_fetched_or_cached(spark, sf_dir):
     source, cache = place(spark, "remote"), place(spark, "cache")
-    spark.createDataFrame([("a", "A"), ("b", "B")], "id string, title string").write.json(source)
-    S.fetched(spark, source, cache, "id string, title string")
-    return S.fetched(spark, source + "-gone", cache, "id string, title string")
+    S.write_jsonl(app.announcements(spark, sf_dir).select("id", "min_version"), source)
+    schema = "id string, min_version string"
+    S.fetched(spark, source, cache, schema, whole=False)
+    return S.fetched(spark, source + "-gone", cache, schema, whole=False)
 
 
 @query(audio.CLIPS + "SELECT clip_id, CAST(44 + 2 * len(s) AS INT) AS n_bytes, 'RIFF' AS head FROM c")

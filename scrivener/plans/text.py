@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from scrivener.functions import text as T
 from scrivener.operators import transcript as X
+from scrivener.operators.ordering import numbered
 
 from .registry import dealt, query, table
 
@@ -195,16 +196,23 @@ def t9_snippets(spark, sf_dir):
     return X.with_snippets(noisy(spark, sf_dir), SNIPPETS)
 
 
-@query("SELECT * FROM (VALUES (2, 'second trigger'), (0, 'my email'), (1, 'address'), (3, 'ädress'), (4, 'bb')) s(ord, trigger) ORDER BY octet_length(encode(trigger)) DESC, ord")
+#: The first sentence of a text of `benchmark`, of none and of marks alone, as a trigger.
+TRIGGERS = "SELECT item_id AS ord, CASE item_id % 4 WHEN 1 THEN '' WHEN 2 THEN '!?' ELSE split_part(text, '.', 1) END AS trigger FROM benchmark"
+
+
+def triggers(spark, sf_dir):
+    k = F.col("item_id") % 4
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ord"), F.when(k == 1, "").when(k == 2, "!?").otherwise(F.split_part("text", F.lit("."), F.lit(1))).alias("trigger"))
+
+
+@query(f"SELECT ord, trigger, row_number() OVER (ORDER BY octet_length(encode(trigger)) DESC, ord) AS place FROM ({TRIGGERS})")
 def o2_snippet_order(spark, sf_dir):
-    rows = spark.createDataFrame([(0, "my email"), (1, "address"), (2, "second trigger"), (3, "ädress"), (4, "bb")], "ord int, trigger string")
-    return X.snippet_order(rows)
+    return numbered(triggers(spark, sf_dir), *X.longest_first(), name="place", first=1)
 
 
-@query("SELECT * FROM (VALUES (0, 'a'), (3, '!b')) s(ord, trigger)")
+@query(f"SELECT ord, trigger FROM ({TRIGGERS}) WHERE trigger NOT IN ('', '!?')")
 def f16_usable_rules(spark, sf_dir):
-    rows = spark.createDataFrame([(0, "a"), (1, ""), (2, "!?"), (3, "!b")], "ord int, trigger string")
-    return rows.filter(F.regexp_replace("trigger", r"(?U)[^\w\s]|_", "") != "")
+    return triggers(spark, sf_dir).filter(F.regexp_replace("trigger", r"(?U)[^\w\s]|_", "") != "")
 
 
 # Each segment is compared with the end of the one before it, which has all eight words that matter.
@@ -234,10 +242,10 @@ def t10_merged_segments(spark, sf_dir):
     return segments(spark, sf_dir).select("doc_id", X.merged(F.col("segments")).alias("text"))
 
 
-@query("SELECT * FROM (VALUES (1, 1), (2, 0), (3, 2)) s(id, n)")
+@query("SELECT doc_id, CAST(coalesce(len(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '^\\s*$'))), 0) AS INT) AS n FROM documents")
 def f17_nonblank_segments(spark, sf_dir):
-    rows = spark.createDataFrame([(1, [" a ", "", "  "]), (2, []), (3, ["x", "y\n", "\t"])], "id int, segments array<string>")
-    return rows.select("id", F.size(F.filter(F.transform("segments", T.trimmed), lambda s: s != "")).alias("n"))
+    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(F.filter(F.transform(lines, T.trimmed), lambda s: s != "")).alias("n"))
 
 
 WORDS = r"list_filter(regexp_split_to_array(t, '\s+'), lambda x: x <> '')"

@@ -35,15 +35,27 @@ def read_json(spark: SparkSession, path: str, schema: str, default: DataFrame |
     return rows.filter(F.col("_bad").isNull() & (first.isNull() | first.isNotNull())).drop("_bad")
 
 
+#: Entries of one array of a file; longer lists are several arrays, a line each.
+ARRAY_ROWS = 1000
+
+
+def in_arrays(df: DataFrame, *keys: str) -> DataFrame:
+    """`df` with `block_`, by which rows of equal keys are put into arrays of at most `ARRAY_ROWS`, as they lie
+    in their partitions: no row moves for it, however many a key has."""
+    return df.sortWithinPartitions(*keys).withColumn("block_", F.floor(F.monotonically_increasing_id() / ARRAY_ROWS))
+
+
 def write_json_arrays(df: DataFrame, path: str, part: str) -> None:
-    """A file with one JSON array for each value of `part`, which must have few rows."""
-    rows = df.groupBy(part).agg(F.to_json(F.collect_list(F.struct(*[c for c in df.columns if c != part]))).alias("value"))
+    """A folder of JSON arrays for each value of `part`, a line each."""
+    entry = F.struct(*[c for c in df.columns if c != part])
+    rows = in_arrays(df, part).groupBy(part, "block_").agg(F.to_json(F.collect_list(entry)).alias("value")).drop("block_")
     rows.write.partitionBy(part).mode("overwrite").text(path)
 
 
-def read_history(spark: SparkSession, path: str) -> DataFrame:
-    """History entries; fields of later versions that are missing get their defaults."""
-    return read_json(spark, path, HISTORY).fillna({"speechDurationMs": 0, "wasCleanedUp": False})
+def read_history(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
+    """History entries; fields of later versions that are missing get their defaults. `whole`: a file is one
+    array, else each line is."""
+    return read_json(spark, path, HISTORY, whole=whole).fillna({"speechDurationMs": 0, "wasCleanedUp": False})
 
 
 def read_snippets(spark: SparkSession, path: str) -> DataFrame:
@@ -69,16 +81,17 @@ def resumed_append(spark: SparkSession, df: DataFrame, path: str, schema: str, w
     return there
 
 
-def read_results(spark: SparkSession, folder: str) -> DataFrame:
-    """One row a result of all result files in a folder, with its file's name."""
-    rows = spark.read.schema(RESULTS).option("multiLine", True).json(folder).withColumn("file", F.col("_metadata.file_name"))
+def read_results(spark: SparkSession, folder: str, whole: bool = True) -> DataFrame:
+    """One row a result of all result files in a folder, with its file's name; a file is one record, or (not
+    `whole`) has one a line."""
+    rows = spark.read.schema(RESULTS).option("multiLine", whole).json(folder).withColumn("file", F.col("_metadata.file_name"))
     return rows.select("file", "model", "timestamp", F.inline("results"))
 
 
 def write_results(results: DataFrame, folder: str) -> None:
-    """A folder of results by model (names made safe), as nested rows."""
+    """A folder of results by model (names made safe), as nested rows of at most `ARRAY_ROWS`, a line each."""
     entry = F.struct(*[c for c in results.columns if c not in ("model", "timestamp")])
-    nested = results.groupBy("model", "timestamp").agg(F.sort_array(F.collect_list(entry)).alias("results"))
+    nested = in_arrays(results, "model", "timestamp").groupBy("model", "timestamp", "block_").agg(F.sort_array(F.collect_list(entry)).alias("results")).drop("block_")
     nested.withColumn("file", F.regexp_replace("model", "[^a-zA-Z0-9._-]", "_")).write.partitionBy("file").mode("overwrite").json(folder)
 
 
@@ -87,10 +100,10 @@ def write_text(lines: DataFrame, column: str, order: str, path: str) -> None:
     lines.repartitionByRange(order).sortWithinPartitions(order).select(column).write.mode("overwrite").option("lineSep", "\n---\n\n").text(path)
 
 
-def fetched(spark: SparkSession, source: str, cache: str, schema: str) -> DataFrame:
+def fetched(spark: SparkSession, source: str, cache: str, schema: str, whole: bool = True) -> DataFrame:
     """`source` where it can be read (kept in `cache` then), else what `cache` holds."""
     if exists(spark, source):
-        read_json(spark, source, schema).write.mode("overwrite").json(cache)
+        read_json(spark, source, schema, whole=whole).write.mode("overwrite").json(cache)
     return read_json(spark, cache, schema, whole=False)
 
 
