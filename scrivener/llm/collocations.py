@@ -37,8 +37,9 @@ TOP = 2_000
 #: Bits of the bitmap of frequent grams (8 MB), and of a part of it that one row brings.
 BITS = 1 << 26
 PART = 1 << 15
-#: Bytes of text that are counted together (and the rest of the text that passes them).
-BYTES = 3_000_000
+#: Bytes of text that are counted together (and the rest of the text that passes them); a task's arrays take
+#: some 120 times as much.
+BYTES = 800_000
 #: Parts that a language's candidates are first ranked in.
 SALTS = 64
 
