@@ -6,15 +6,15 @@ expressions for each mention of its input.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
-from itertools import batched
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scrivener.functions import text as T
 
-#: Limits of the rule lists, and rules a projection.
+#: Limits of the rule lists, and rules that are applied without an index.
 MOST_DICTIONARY, MOST_SNIPPETS, RULES_EACH = 500, 100, 20
 
 
@@ -46,13 +46,59 @@ def escaped(phrase: str) -> str:
     return "".join("\\" + c if c.isascii() and not c.isalnum() and c != "_" and not c.isspace() else c for c in phrase)
 
 
+def _chained(text: Column, rules: Sequence[tuple[str, str]], expand: bool) -> Column:
+    for phrase, by in rules:
+        text = F.regexp_replace(text, rf"(?iU)\b{escaped(phrase)}\b", T.expanded(by) if expand else T.literal(by))
+    return text
+
+
+def _folded(text: Column) -> Column:
+    """Text whose words are equal where patterns in any case find them equal: letters that have a form in
+    one case only are brought to the others first."""
+    upper = F.translate(F.upper(F.translate(text, "ẞ", "ß")), "İ", "I")
+    return F.translate(F.lower(upper), "ς", "σ")
+
+
+def _tokens(text: Column) -> Column:
+    return F.split(_folded(text), r"(?U)\W+", -1)
+
+
+def rule_index(df: DataFrame, rules: Sequence[tuple[str, str]], expand: bool) -> tuple[dict[str, list[int]], list[int]]:
+    """Which rules (from 1) a text with a given word may meet, and which any text may. A rule is found by the
+    longest word of its phrase, folded: where the phrase stands, that stands as a whole word. What a rule
+    writes has words too, by which later rules may then be met; a rule that can join its neighbours' words
+    (its phrase ends in a mark, or what it found is written again) may lead to any later one."""
+    made = df.sparkSession.createDataFrame([(k, p, by) for k, (p, by) in enumerate(rules, 1)], "k int, p string, by string")
+    words_ = lambda c: F.filter(_tokens(F.col(c)), lambda w: w != "")
+    longest = F.element_at(F.sort_array(F.transform(words_("p"), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)["w"]
+    key = F.when(F.size(words_("p")) > 0, longest)
+    rows = sorted(tuple(r) for r in made.select("k", key, words_("by"), F.rlike("p", F.lit(r"(?Us)^\w(.*\w)?$"))).collect())
+    keys = {k: key for k, key, _, _ in rows}
+    later: dict[int, set[int]] = {}
+    for k, _, written, closed in reversed(rows):
+        wild = expand or not closed
+        later[k] = {n for n in keys if n > k and (wild or keys[n] is None or keys[n] in written)}
+        later[k] |= {m for n in later[k] for m in later[n]}
+    of: dict[str, set[int]] = {}
+    always: set[int] = set()
+    for k, key in keys.items():
+        (always if key is None else of.setdefault(key, set())).update({k} | later[k])
+    return {w: sorted(x) for w, x in of.items()}, sorted(always)
+
+
 def _applied(df: DataFrame, column: str, rules: Sequence[tuple[str, str]], expand: bool = False) -> DataFrame:
-    for some in batched(rules, RULES_EACH):
-        c = F.col(column)
-        for phrase, by in some:
-            c = F.regexp_replace(c, rf"(?iU)\b{escaped(phrase)}\b", T.expanded(by) if expand else T.literal(by))
-        df = df.withColumn(column, c)
-    return df
+    """Few rules are a chain of replacements. Of many, a text meets in order only those that it may meet by
+    `rule_index`, which are looked up for the words it has."""
+    if len(rules) <= RULES_EACH:
+        return df.withColumn(column, _chained(F.col(column), rules, expand)) if rules else df
+    by_word, always = rule_index(df, rules, expand)
+    fixed = lambda x, kind: F.from_json(F.lit(json.dumps(x)), kind)  # noqa: E731  one literal, folded once a query
+    index, patterns = fixed(by_word, "map<string,array<int>>"), fixed([rf"(?iU)\b{escaped(p)}\b" for p, _ in rules], "array<string>")
+    written = fixed([T.expanded(by) if expand else T.literal(by) for _, by in rules], "array<string>")
+    met = F.transform(F.array_intersect(_tokens(F.col(column)), fixed(sorted(by_word), "array<string>")), lambda w: F.element_at(index, w))
+    df = df.withColumn("met_", F.array_sort(F.array_union(fixed(always, "array<int>"), F.flatten(met))))
+    step = lambda text, k: F.regexp_replace(text, F.element_at(patterns, k), F.element_at(written, k))
+    return df.withColumn(column, F.when(F.size("met_") > 0, F.aggregate("met_", F.col(column), step)).otherwise(F.col(column))).drop("met_")
 
 
 def with_dictionary(df: DataFrame, rules: Sequence[tuple[str, str]], column: str = "text", expand: bool = False) -> DataFrame:

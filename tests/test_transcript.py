@@ -220,3 +220,23 @@ def test_replacements_that_name_groups(spark):
     rules = [("now", "$0-$0 $$1 ${0}x $name.")]
     assert X.with_dictionary(rows, rules).first()[0] == "go $0-$0 $$1 ${0}x $name."
     assert X.with_dictionary(rows, rules, expand=True).first()[0] == "go now-now $1 nowx ."
+
+
+def test_many_rules_are_applied_as_few_are(spark, monkeypatch):
+    """Chains in which rules write what later ones find, marks at edges, other cases and scripts, empty
+    replacements: looked up by key words or one after another, the texts come out the same."""
+    import random
+
+    rng = random.Random(12)
+    words = ["alpha", "Beta", "gamma-ray", "c++", "ß", "STRASSE", "İx", "ix", "ſo", "SO", "日本", "a", "b", "ΑΣ", "ας", "#1", "x_y", "é", "$5", "it's"]
+    texts = ["", None, "   "] + [rng.choice([" ", ", ", "-", ""]).join(rng.choice(words) for _ in range(rng.randrange(1, 25))) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").withColumn("key", F.lit(1))
+    rules = [(" ".join(rng.choice(words) for _ in range(rng.randrange(1, 3))), rng.choice([*words, "", "alpha beta", "$0!", "\\"])) for _ in range(60)]
+    rules += [(f"never{k} said", f"never{k + 1} said") for k in range(60)] + [("", "x"), ("++", "pp"), ("cpp", "C")]
+    seen = {}
+    for most in (1000, 20):
+        monkeypatch.setattr(X, "RULES_EACH", most)
+        for expand in (False, True):
+            seen[most, expand] = sorted((r["doc_id"], r["text"]) for r in X.with_dictionary(docs, rules, expand=expand).collect())
+    assert seen[1000, False] == seen[20, False] and seen[1000, True] == seen[20, True]
+    assert sum(a != b for a, b in zip(seen[20, False], seen[20, True], strict=True)) and X.with_dictionary(docs, rules).columns == docs.columns
