@@ -7,11 +7,13 @@ history give zeros (nulls where the ratio has no base); null timestamps belong t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scrivener.functions.clock import half_up, seconds_between
 
+from .ordering import numbered
+
 DAY = F.to_date
 
 
@@ -59,6 +61,56 @@ def searched(history: DataFrame, sought: str) -> DataFrame:
     return history.filter(F.contains(F.lower("text"), F.lower(F.lit(sought)))) if sought.strip() else history
 
 
+#: Code points of what the index knows, rows of a block of an indexed history, and blocks that a search
+#: names one by one; where more may hold what is sought, their numbers are joined.
+GRAM, BLOCK_ROWS, NAMED = 3, 10_000, 5_000
+
+
+def _grams(text: Column) -> Column:
+    """Distinct runs of `GRAM` code points of the lower-cased text."""
+    low, n = F.lower(text), F.length(F.lower(text))
+    runs = F.transform(F.sequence(F.lit(1), n - GRAM + 1), lambda i: F.substring(low, i, F.lit(GRAM)))
+    return F.when(n >= GRAM, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+
+def write_indexed(history: DataFrame, path: str, order: str = "ord", block_rows: int = BLOCK_ROWS) -> None:
+    """`history` in folders of some `block_rows` neighbours in `order`, and beside them which three-letter
+    runs each block holds: an index of a bounded size a block, however long the history. Rows without a text
+    are in no index, as no search finds them; `block` and columns of that name give way."""
+    block = F.floor(F.col("at_") / block_rows).cast("int")
+    rows = numbered(history, order, name="at_").withColumn("block", block).drop("at_")
+    # rows of a block lie together already, as they were numbered in ranges; few tasks share one
+    rows.write.mode("overwrite").partitionBy("block").parquet(f"{path}/rows")
+    rows.limit(0).write.mode("overwrite").parquet(f"{path}/shape")
+    kept = indexed(history.sparkSession, path).select("block", F.explode(_grams(F.col("text"))).alias("gram"))
+    kept.distinct().repartitionByRange("gram").sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{path}/grams")
+
+
+def indexed(spark: SparkSession, path: str) -> DataFrame:
+    """The rows that `write_indexed` wrote, with their block; none of an empty history."""
+    return spark.read.schema(spark.read.parquet(f"{path}/shape").schema).parquet(f"{path}/rows")
+
+
+def blocks_with(spark: SparkSession, path: str, sought: str) -> DataFrame | None:
+    """(block): those that hold every run of `sought`, among them all that hold it; None if it is too short to tell."""
+    one = spark.range(1).select(F.explode(_grams(F.lit(sought))).alias("wanted"))
+    wanted = [r[0] for r in one.collect()]
+    if not wanted:
+        return None
+    found = spark.read.parquet(f"{path}/grams").filter(F.col("gram").isin(wanted))
+    return found.groupBy("block").agg(F.count("*").alias("n")).filter(F.col("n") == len(wanted)).select("block")
+
+
+def searched_indexed(spark: SparkSession, path: str, sought: str) -> DataFrame:
+    """As `searched`, over what `write_indexed` wrote: only blocks that may hold `sought` are read."""
+    rows = indexed(spark, path)
+    blocks = blocks_with(spark, path, sought) if sought.strip() else None
+    if blocks is not None:
+        few = [r[0] for r in blocks.limit(NAMED + 1).collect()]
+        rows = rows.filter(F.col("block").isin(few)) if len(few) <= NAMED else rows.join(blocks, "block", "left_semi")
+    return searched(rows, sought).drop("block")
+
+
 def on_day(history: DataFrame, day: Column) -> DataFrame:
     return history.filter(DAY("ts") == day)
 

@@ -8,6 +8,7 @@ from scrivener.operators import app as P
 from scrivener.operators import audio as A
 from scrivener.operators import history as H
 from scrivener.sources import files as S
+from scrivener.sources.queue import Queue
 from scrivener.sources.storage import place
 
 from . import app, audio, corpus, evaluation
@@ -131,6 +132,29 @@ def io15_captured_samples(spark, sf_dir):
     return audio.short(spark, sf_dir).select("clip_id", audio.rounded(A.downmixed(A.from_int16(pcm), 2)).alias("samples"))
 
 
+@query("SELECT event_id AS task, CASE WHEN event_id % 10 < 4 THEN event_type END AS result, CASE WHEN event_id % 10 < 4 THEN event_id % 10 + 1 ELSE 4 END AS attempts, event_id % 10 >= 4 AS dead FROM events WHERE event_type <> 'error' OR event_id % 10 < 4")
+def c12_work_queue(spark, sf_dir):
+    """Events as tasks: those whose number ends in 0 to 3 answer after as many failures, others never do;
+    errors that never do are left out."""
+    q = Queue(spark, place(spark, "queue"))
+    never = F.col("task") % 10 >= 4
+    tasks = table(spark, sf_dir, "events").select(F.col("event_id").alias("task"), "event_type")
+    q.put(tasks.filter(~never | (F.col("event_type") != "error")))
+    fails = never | (F.col("attempts") < F.col("task") % 10)
+    q.run(lambda rows: rows.select("task", F.when(~fails, F.col("event_type")).alias("result"), F.when(fails, F.concat(F.lit("attempt "), "attempts")).alias("failure")))
+    done = q.done().select("task", "result", F.col("attempts").cast("int").alias("attempts"), F.lit(False).alias("dead"))
+    return done.unionByName(q.dead().select("task", F.lit(None).cast("string").alias("result"), F.col("attempts").cast("int").alias("attempts"), F.lit(True).alias("dead")))
+
+
+@query(audio.CLIPS + "SELECT clip_id, list_transform(s, lambda x: round(trunc(greatest(least(x * 32767, 32767), -32768)) / 32767, 6)) AS samples, 16000 AS rate, CASE WHEN clip_id % 7 = 3 THEN 'data cut short' END AS problem FROM (SELECT clip_id, CASE WHEN clip_id % 7 = 3 THEN s[:-2] ELSE s END AS s FROM e)")
+def io14_wav_read_back(spark, sf_dir):
+    """Clips as WAV files, one in seven a byte short, read back."""
+    files = S.wav_encoded(audio.short(spark, sf_dir))
+    cut = F.when(F.col("clip_id") % 7 == 3, F.substring("wav", F.lit(1), F.octet_length("wav") - 1)).otherwise(F.col("wav"))
+    rows = S.wav_decoded(files.select("clip_id", cut.alias("content")))
+    return rows.select("clip_id", audio.rounded(F.col("samples")).alias("samples"), "rate", "problem")
+
+
 @query(corpus.VOCAB + " SELECT CAST(old_id AS VARCHAR) AS old_id, CAST(new_id AS INT) AS new_id FROM kept")
 def io16_token_mapping_file(spark, sf_dir):
     path = place(spark, "mapping")

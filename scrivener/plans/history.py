@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from scrivener.functions import clock
 from scrivener.operators import history as H
 
+from scrivener.sources.storage import place
+
 from .registry import query, table
 
 AS_OF = "2024-01-30 12:00:00"
@@ -62,6 +64,14 @@ def f4_search(spark, sf_dir):
     return H.searched(history(spark, sf_dir), "CHAS").select("ord", "text")
 
 
+@query(VIEW + "SELECT ord, text FROM h WHERE contains(lower(text), lower('CHAS'))")
+def f4_indexed_search(spark, sf_dir):
+    """The history in blocks with an index of what each holds."""
+    path = place(spark, "indexed")
+    H.write_indexed(history(spark, sf_dir).select("ord", "text"), path)
+    return H.searched_indexed(spark, path, "CHAS").select("ord", "text")
+
+
 @query(VIEW + "SELECT ord FROM h WHERE CAST(ts AS DATE) = DATE '2024-01-30'")
 def f5_same_day(spark, sf_dir):
     return H.on_day(history(spark, sf_dir), today()).select("ord")

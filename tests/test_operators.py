@@ -114,6 +114,67 @@ def test_audio_edges(spark):
     assert spark.createDataFrame([([2.0, -2.0, 0.5],)], "s array<float>").select(A.to_int16(F.col("s"))).first()[0] == [32767, -32768, 16383]
 
 
+def test_indexed_search_reads_few_blocks_and_finds_all(spark, tmp_path, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    said = lambda k: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(6)) + (" Needle É" if k % 97 == 5 else "")
+    rows = [(k, said(k), "clash") for k in range(400)] + [(400, None, "x"), (401, "", "x"), (402, "ab", "x"), (403, "İnteresting", "x"), (7, "needle again", "x")]
+    h = spark.createDataFrame(rows, "ord long, text string, block string")
+    path = f"file://{tmp_path}/h"
+    H.write_indexed(h.drop("block"), path, block_rows=20)
+    found = lambda df: sorted((r["ord"], r["text"] or "") for r in df.collect())
+    for sought in ("NEEDLE", "needle é", "é", "ab", "  ", "", "no such thing", "edl", "a" * 200, "İnt"):
+        for most in (5_000, 1):
+            monkeypatch.setattr(H, "NAMED", most)
+            assert found(H.searched_indexed(spark, path, sought)) == found(H.searched(h, sought)), sought
+    monkeypatch.setattr(H, "NAMED", 5_000)
+    df = H.searched_indexed(spark, path, "needle")
+    df.collect()
+    leaf = df._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+    assert 1 <= leaf.metrics().apply("numFiles").value() <= 8
+    H.write_indexed(h.limit(0).drop("block"), path)
+    assert H.searched_indexed(spark, path, "needle").count() == H.searched_indexed(spark, path, "").count() == 0
+
+
+def test_work_is_done_once_or_dead(spark, tmp_path):
+    from scrivener.sources.queue import Queue
+
+    q = Queue(spark, f"file://{tmp_path}/q", most=3)
+    with pytest.raises(ValueError, match="own"):
+        q.put(spark.createDataFrame([(1, "a"), (1, "b"), (None, "c")], "task int, text string"))
+    q.put(spark.createDataFrame([(k, f"t{k}") for k in range(40)], "task int, text string"))
+    fails = F.pmod(F.hash("task", "attempts"), F.lit(2)) == 0
+    answer = lambda rows: rows.select("task", F.when(~fails, F.upper("text")).alias("result"), F.when(fails, F.concat(F.lit("attempt "), "attempts")).alias("failure"))
+
+    def dies(rows):
+        return rows.select("task", F.raise_error(F.lit("lost")).cast("string").alias("result"), F.lit(None).cast("string").alias("failure"))
+
+    with pytest.raises(Exception, match="lost"):
+        q.step(dies)
+    assert q.outcomes() is None and q.waiting().count() == 40
+    assert q.step(answer) == 40
+    waiting = {r["task"]: (r["attempts"], r["due"]) for r in q.waiting().collect()}
+    assert 0 < len(waiting) < 40 and set(waiting.values()) == {(1, 2)}
+    # another runner had the same round and finds it taken
+    other = Queue(spark, q.path, most=3)
+    other._rounds = lambda: []
+    assert other.step(answer) is None
+    # a runner that died holding the next round's lease does not stop the others
+    import os
+
+    (tmp_path / "q" / "lease-1").touch()
+    (tmp_path / "q" / "lease-2").touch()
+    assert q.step(answer) is None
+    os.utime(tmp_path / "q" / "lease-2", (1, 1))
+    q.run(answer)
+    done, dead = q.done().collect(), q.dead().collect()
+    assert sorted(r["task"] for r in [*done, *dead]) == list(range(40)) and q.waiting().count() == 0
+    assert all(r["result"] == f"T{r['task']}" and r["attempts"] <= 3 for r in done) and all(r["attempts"] == 3 and r["failure"] == "attempt 2" for r in dead)
+    assert q.outcomes().filter("failure is null").groupBy("task").count().filter("count > 1").count() == 0
+    assert q.run(answer) == 0
+
+
 def test_wav_reads_back(spark):
     import io
     import wave
@@ -124,6 +185,39 @@ def test_wav_reads_back(spark):
             assert (w.getnchannels(), w.getframerate(), w.getsampwidth(), w.getnframes()) == (1, 16000, 2, 3 if row["clip_id"] == 1 else 0)
 
 
+def test_wav_files_in_a_folder_and_as_a_stream(spark, tmp_path):
+    import struct
+    import wave
+
+    def put(name, width, channels, frames, rate=8000):
+        with wave.open(str(tmp_path / "in" / name), "wb") as w:
+            w.setnchannels(channels)
+            w.setsampwidth(width)
+            w.setframerate(rate)
+            w.writeframes(frames)
+
+    (tmp_path / "in").mkdir()
+    put("a.wav", 2, 2, struct.pack("<6h", 32767, -32767, 0, 16384, 1, -1))
+    put("b.wav", 1, 1, bytes([255, 128, 1]))
+    put("c.wav", 3, 1, (8388607).to_bytes(3, "little") + (-8388607).to_bytes(3, "little", signed=True))
+    put("d.wav", 4, 1, struct.pack("<i", -(1 << 31) + 1))
+    whole = (tmp_path / "in" / "a.wav").read_bytes()
+    for name, data in {"cut.wav": whole[:-3], "head.wav": whole[:20], "none.wav": b"", "text.wav": b"hello there, world", "bare.wav": whole[:12], "odd.wav": whole[:12] + b"note" + struct.pack("<I", 3) + b"abc\0" + whole[12:], "float.wav": whole[:20] + struct.pack("<H", 3) + whole[22:32] + struct.pack("<HH", 4, 32) + b"data" + struct.pack("<If", 4, 0.25), "not.txt": whole}.items():
+        (tmp_path / "in" / name).write_bytes(data)
+    got = {r["path"].rpartition("/")[2]: r for r in S.read_wav(spark, f"file://{tmp_path}/in").collect()}
+    near = lambda name, values: [round(x, 6) for x in got[name]["samples"]] == [round(x, 6) for x in values]
+    assert len(got) == 10 and near("a.wav", [1, -1, 0, 16384 / 32767, 1 / 32767, -1 / 32767]) and (got["a.wav"]["rate"], got["a.wav"]["channels"]) == (8000, 2)
+    assert near("b.wav", [1, 0, -1]) and near("c.wav", [1, -1]) and near("d.wav", [-1]) and near("odd.wav", got["a.wav"]["samples"])
+    assert near("cut.wav", got["a.wav"]["samples"][:4]) and got["cut.wav"]["problem"] == "data cut short" and got["a.wav"]["problem"] is None
+    assert "none.wav" not in got and got["text.wav"]["problem"] == S.wav_samples(None)[3] == S.wav_samples(b"")[3] == "no wave file" and got["bare.wav"]["problem"] == "no data" and got["head.wav"]["problem"] == "header cut short"
+    assert all(got[n]["samples"] is None for n in ("head.wav", "text.wav", "bare.wav"))
+    out = f"file://{tmp_path}/out"
+    D.run_once(S.wav_stream(spark, f"file://{tmp_path}/in", 3), D.appended_log(out), f"file://{tmp_path}/state")
+    rows = spark.read.parquet(out)
+    assert rows.count() == 10 and rows.select("batch").distinct().count() == 4
+    assert {r["path"].rpartition("/")[2]: r["samples"] for r in rows.collect()} == {k: r["samples"] for k, r in got.items()}
+
+
 def test_bad_json_records_drop_one_by_one(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"id": "x"}\nnot json\n{"id": "y"}\n')
     rows = S.read_jsonl(spark, f"file://{tmp_path}/a.json", "id string, title string")
