@@ -13,12 +13,15 @@ CLIPS = """WITH c AS (SELECT vec_id AS clip_id, flatten(list_transform(range(0,
 RMS = "sqrt(list_sum(list_transform({0}, lambda x: x * x)) / len({0}))"
 
 
-def clips(spark, sf_dir):
+def of_embeddings(rows):
     """Clips of one to 170 times the length of an embedding."""
-    rows = dealt(table(spark, sf_dir, "embeddings"))
     return rows.select(F.col("vec_id").alias("clip_id"), F.flatten(F.array_repeat(F.col("embedding").cast("array<double>"), (1 + F.col("vec_id") % 170).cast("int"))).alias("samples"))
 
 
+def clips(spark, sf_dir):
+    return of_embeddings(dealt(table(spark, sf_dir, "embeddings")))
+
+
 def short(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("clip_id"), F.col("embedding").cast("array<double>").alias("samples"))
 

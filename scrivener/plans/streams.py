@@ -10,6 +10,7 @@ from scrivener.streaming import limits as L
 from scrivener.streaming import ordered as O
 from scrivener.streaming import recorder as R
 
+from .audio import BARS, of_embeddings, rounded
 from .registry import query, table
 
 NTZ = "timestamp_ntz"
@@ -177,6 +178,23 @@ def st1_sample_buffer(spark, sf_dir):
     return D.buffered(frames.select("clip_id", "frame", frame.alias("samples")))
 
 
+@query(BARS + "SELECT clip_id, list_transform(b, lambda x: round(x, 6)) AS bars FROM bars")
+def st3_tail_stream(spark, sf_dir):
+    """Clips as a stream of frames of 800 samples, of which each clip's buffer keeps the last half second;
+    the bars are those after the last frame."""
+    path = place(spark, "tail")
+
+    def source():
+        rows = spark.readStream.schema("vec_id bigint, embedding array<float>, label int").option("pathGlobFilter", "embeddings.parquet").parquet(sf_dir)
+        clips = of_embeddings(rows).withColumn("frame", F.explode(F.sequence(F.lit(0), F.floor((F.size("samples") - 1) / 800).cast("int"))))
+        frames = clips.withColumns({"ts": F.timestamp_seconds(F.col("frame") + 1), "event_id": F.col("frame"), "said": F.to_json(F.slice("samples", F.col("frame") * 800 + 1, F.lit(800)))})
+        return O.keyed(frames, "clip_id", F.col("said"))
+
+    O.run_to_end(source, f"{path}/close", D.appended_log(f"{path}/out"), f"{path}/state", lambda s: O.stream(s, R.Tail(), "clip_id"))
+    last = spark.read.parquet(f"{path}/out").groupBy("clip_id").agg(F.max_by("bars", "samples").alias("bars"))
+    return last.select("clip_id", rounded(F.col("bars")).alias("bars"))
+
+
 @query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) WHERE k % 3 = 0")
 def st2_throttled(spark, sf_dir):
     """Frames of 100 samples: every third refreshes a 60 Hz display."""

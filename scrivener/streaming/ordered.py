@@ -3,7 +3,7 @@
 A `Fold` is a state machine: it takes events in order of (ts, event_id), may ask for one timer, and gives
 rows. `stream` holds a key's events in state until the watermark has passed them, so that any
 deal of the events into files and batches gives the rows of `over_table`, which are those of the sorted table;
-rows later than the watermark allows are dropped. A timer runs by event time: it goes off before the first
+rows later than the watermark allows are dropped, which begins at 1970. A timer runs by event time: it goes off before the first
 event at or after its instant, and a machine that no longer wants it moves or withdraws it, so a timer that
 was set for a state long left does nothing. Rows without an instant are dropped; rows that repeat are taken each;
 a null key is a key; empty inputs give no rows.

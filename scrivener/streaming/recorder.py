@@ -3,9 +3,11 @@ stop and the reset of a stale start, accepted feedback."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 
 from scrivener.operators.app import STATES, TRANSITIONS
+from scrivener.operators.audio import BAR_SCALE, BAR_WINDOW, BARS
 
 from .ordered import Fold
 
@@ -148,3 +150,25 @@ class Refreshes(Fold):
     def step(self, state, ts: int, event_id: int, event: str) -> tuple[object, Iterable[tuple]]:
         held = state + int(event)
         return (0, [(event_id, ts)]) if held >= self.every else (held, ())
+
+
+class Tail(Fold):
+    """A clip's buffer as its last `window` samples, however long it runs: an event is a frame's samples as a
+    JSON array; each gives the loudness of `bars` equal slices of the buffer, 0 to 1 (what
+    `audio.amplitude_bars` gives of all samples so far), and how many samples have come."""
+
+    schema = "event_id bigint, at_us bigint, samples bigint, bars array<double>"
+
+    def __init__(self, window: int = BAR_WINDOW, bars: int = BARS, scale: float = BAR_SCALE):
+        self.window, self.bars, self.scale = window, bars, scale
+
+    def start(self):
+        return [0, []]
+
+    def step(self, state, ts: int, event_id: int, event: str) -> tuple[object, Iterable[tuple]]:
+        frame = json.loads(event)
+        n, tail = state[0] + len(frame), [*state[1], *frame][-self.window :]
+        each = max(len(tail) // self.bars, 1)
+        slices = [tail[i * each : (i + 1) * each] for i in range(self.bars)]
+        loud = [min((sum(x * x for x in s) / len(s)) ** 0.5 * self.scale, 1.0) if s else 0.0 for s in slices]
+        return [n, tail], [(event_id, ts, n, loud)]

@@ -131,6 +131,21 @@ def test_late_events_are_limited_as_in_the_table(spark, tmp_path):
     assert sorted(r["event_id"] for r in streamed(spark, dealt_to_files(spark, rows, tmp_path / "in"), R.Accepted(), tmp_path).collect()) == expected
 
 
+def test_a_buffer_of_fixed_size_shows_what_the_whole_clip_does(spark):
+    import json
+
+    from scrivener.operators import audio as A
+
+    rng = random.Random(4)
+    frames = [[rng.uniform(-0.1, 0.1) for _ in range(rng.choice([0, 1, 700, 3000]))] for _ in range(30)]
+    state, rows = O.advanced(R.Tail(), R.Tail().start(), [(k, k, json.dumps(f)) for k, f in enumerate(frames)])
+    assert len(state[1]) == 8000 and state[0] == sum(map(len, frames))
+    so_far = [sum(frames[: k + 1], []) for k in range(30)]
+    clips = spark.createDataFrame(list(enumerate(so_far)), "k int, samples array<double>")
+    bars = {r["k"]: r["bars"] for r in clips.select("k", A.amplitude_bars(F.col("samples")).alias("bars")).collect()}
+    assert all(np.allclose(r[3], bars[r[0]], atol=1e-12) and r[2] == len(so_far[r[0]]) for r in rows) and len(rows) == 30
+
+
 def test_refreshes_and_empty_inputs(spark):
     frames = [(i, START + dt.timedelta(seconds=i), 1, str(n), 0.0, None) for i, n in enumerate([266, 100, 166, 1])]
     over = lambda rows, fold: O.over_table(O.keyed(spark.createDataFrame(rows, EVENTS), "user_id", F.col("event_type")), fold)
