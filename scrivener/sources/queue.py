@@ -4,8 +4,7 @@ A round takes the tasks that are waiting and due, works on them in one Spark job
 of all of them at once by renaming one folder, so that a round that dies leaves nothing and is tried again: every
 task is done once, or dead after `most` attempts. A failed task waits `2 ** attempts` rounds before it is due again
 and goes behind the others. Spark's own retries are for lost executors; these are for work that answers badly.
-A round leases its number to commit it: of two runners one does, the other finds it taken and works on the next;
-a lease whose holder died before the rename is void after `LEASE` seconds.
+Of two runners one commits a round, the other finds it taken and works on the next.
 
 Tasks have a unique `task` and any other columns; nulls and repeats of a task are refused. The file system must
 rename atomically. What the queue writes are rows; the driver sees counts alone.
@@ -13,15 +12,16 @@ rename atomically. What the queue writes are rows; the driver sees counts alone.
 
 from __future__ import annotations
 
-import time
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Attempts after which a task is dead, and seconds between a lease and its rename.
-MOST, LEASE = 4, 60
+from .storage import renamed
+
+#: Attempts after which a task is dead.
+MOST = 4
 
 
 class Queue:
@@ -77,18 +77,8 @@ class Queue:
         work(waiting.filter(F.col("due") <= number)).select("task", F.col("result").cast("string"), F.col("failure").cast("string")).write.parquet(staged)
         hadoop, fs = self._fs()
         fs.mkdirs(hadoop(f"{self.path}/rounds"))
-        to = hadoop(f"{self.path}/rounds/round={number}")
-        # renaming onto a folder that is there would move this one into it
-        lease = hadoop(f"{self.path}/lease-{number}")
-        if not fs.createNewFile(lease):
-            if not fs.exists(to) and time.time() - fs.getFileStatus(lease).getModificationTime() / 1000 > LEASE:
-                fs.delete(lease, False)
-            fs.delete(hadoop(staged), True)
-            return None
-        if fs.exists(to) or not fs.rename(hadoop(staged), to):
-            fs.delete(hadoop(staged), True)
-            return None
-        return self.spark.read.parquet(to.toString()).count()
+        to = f"{self.path}/rounds/round={number}"
+        return self.spark.read.parquet(to).count() if renamed(self.spark, staged, to) else None
 
     def run(self, work: Callable[[DataFrame], DataFrame]) -> int:
         """Rounds until no task is waiting; how many this runner committed."""

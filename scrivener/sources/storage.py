@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -33,3 +34,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = place(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def renamed(spark: SparkSession, path: str, to: str) -> bool:
+    """Rename a complete folder into place, in one step where the file system can; False, with the folder
+    deleted, if another was there before it."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    files = hadoop.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    try:
+        files.rename(files.makeQualified(hadoop.Path(path)), files.makeQualified(hadoop.Path(to)), spark._sc._gateway.new_array(hadoop.Options.Rename, 0))
+        return True
+    except Py4JJavaError:
+        there = fs.exists(hadoop.Path(to))
+        fs.delete(hadoop.Path(path), True)
+        if not there:
+            raise
+        return False

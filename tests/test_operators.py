@@ -75,6 +75,42 @@ def test_curation_reaches_its_share_and_agrees_with_itself(spark):
     assert one == two and len(one) == 115 and sum(r["input"] == r["output"] for r in one) == 15
 
 
+def test_curation_is_its_steps_and_the_quota(spark, sf_dir):
+    """C2 against its parts (each of which has its SQL) and C4's random rows against their hash."""
+    from collections import Counter
+
+    from scrivener.plans import corpus
+
+    pairs, texts = corpus.pairs(spark, sf_dir), [r["text"] for r in corpus.sentences(spark, sf_dir).orderBy("ord").collect()]
+    kept = [(r["input"], r["output"]) for r in C.lists_flattened(C.output_cleaned(pairs)).collect()]
+    kept = [(i, o) for i, o in kept if o.strip() and not (len(o) > 1.5 * len(i) and len(i) > 20)]
+    wanted = max(0, int(len(kept) * 0.15) - sum(i.strip() == o.strip() for i, o in kept))
+    added = Counter((r["input"], r["output"]) for r in corpus.c2_curated(spark, sf_dir).collect())
+    added.subtract(Counter(kept))
+    assert all(n >= 0 for n in added.values()) and sum(added.values()) == wanted and all(i == o and i in texts for (i, o), n in added.items() if n)
+    few = C.passthroughs(corpus.sentences(spark, sf_dir), spark.createDataFrame([(len(texts) + 500,)], "wanted long"))
+    by_k = {r["k"]: r["input"] for r in few.collect()}
+    hashes = {r["id"]: r["h"] for r in spark.range(len(texts) + 500).select("id", F.xxhash64("id", F.lit(42)).alias("h")).collect()}
+    assert by_k == {k: texts[k if k < len(texts) else h % len(texts)] for k, h in hashes.items()}
+
+
+def test_weighted_sampling_against_its_bounds(spark, sf_dir):
+    from scrivener.plans import corpus
+
+    got = {r["event_id"]: r["name"] for r in corpus.c5_weighted_sampling(spark, sf_dir).collect()}
+    hashes = {r["event_id"]: r["h"] for r in spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.xxhash64("event_id", F.lit(42)).alias("h")).collect()}
+    total = sum(w for _, w in corpus.CATEGORIES)
+
+    def name(u):
+        upto = 0
+        for n, w in corpus.CATEGORIES:
+            upto += w
+            if u * total <= upto:
+                return n
+
+    assert got == {k: name(h % (1 << 53) / (1 << 53)) for k, h in hashes.items()}
+
+
 def test_weighted_choice_bounds_and_share(spark):
     cats = spark.createDataFrame([(0, "a", 1), (1, "b", 3)], "ord int, name string, weight int")
     draws = spark.createDataFrame([(0.0,), (0.25,), (0.2501,), (0.9999,)], "u double")
@@ -160,13 +196,6 @@ def test_work_is_done_once_or_dead(spark, tmp_path):
     other = Queue(spark, q.path, most=3)
     other._rounds = lambda: []
     assert other.step(answer) is None
-    # a runner that died holding the next round's lease does not stop the others
-    import os
-
-    (tmp_path / "q" / "lease-1").touch()
-    (tmp_path / "q" / "lease-2").touch()
-    assert q.step(answer) is None
-    os.utime(tmp_path / "q" / "lease-2", (1, 1))
     q.run(answer)
     done, dead = q.done().collect(), q.dead().collect()
     assert sorted(r["task"] for r in [*done, *dead]) == list(range(40)) and q.waiting().count() == 0
