@@ -16,6 +16,7 @@ extra columns are ignored; repeated rows count each.
 from __future__ import annotations
 
 import hashlib
+import time
 import uuid
 
 from py4j.protocol import Py4JJavaError
@@ -107,6 +108,14 @@ class Rollup:
         out = rows.groupBy(*KEYS).agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n_docs"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"))
         return out.filter("n_docs <> 0 or n_tokens <> 0")
 
+    def sweep(self, seconds: int = 86_400) -> int:
+        """Delete what writers that died have left: folders not yet renamed into place that have not been
+        touched for so long. How many there were."""
+        old = [s.getPath() for s in self._fs.listStatus(self._path(self.path)) if s.getPath().getName().startswith("_staged-") and time.time() - s.getModificationTime() / 1000 > seconds] if self._fs.exists(self._path(self.path)) else []
+        for path in old:
+            self._fs.delete(path, True)
+        return len(old)
+
     def compact(self) -> bool:
         """Merge all committed batches into one folder that also names them, then delete theirs; a
         batch stays applied once whenever this breaks off. False if there was nothing to merge or
@@ -117,7 +126,13 @@ class Rollup:
             return False
         number = 1 + max((int(n.removeprefix("base-")) for n in self._names() if n.startswith("base-")), default=0)
         staged = f"{self.path}/_staged-{uuid.uuid4().hex}"
-        self._summed(rows).write.parquet(f"{staged}/deltas")
+        try:
+            self._summed(rows).write.parquet(f"{staged}/deltas")
+        except Exception:
+            self._fs.delete(self._path(staged), True)
+            if f"base-{number}" in self._names():  # another has merged these batches and deleted their folders
+                return False
+            raise
         self.spark.createDataFrame([(n,) for n in sorted({*own, *merged})], "name string").write.parquet(f"{staged}/batches")
         if not self._put(staged, f"base-{number}"):
             return False

@@ -302,6 +302,26 @@ def test_compaction_changes_no_total(spark):
     assert len([n for n in roll._names() if n.startswith("batch-")]) == 2
 
 
+def test_an_overtaken_compaction_gives_way(spark):
+    """The folders it reads are merged and deleted by another: False, totals right, nothing left behind."""
+    roll = Rollup(spark, scratch(spark, "rollup"))
+    one = spark.createDataFrame([("a", "en", "v1", 3)], "source string, lang string, tokenizer string, n_tokens long")
+    for k in range(3):
+        roll.commit(f"b{k}", signed(one, 1))
+    other, real = Rollup(spark, roll.path), roll._summed
+
+    def late(rows):
+        assert other.compact()
+        return real(rows)
+
+    roll._summed = late
+    assert roll.compact() is False
+    assert [tuple(r) for r in other.totals().collect()] == [("a", "en", "v1", 3, 9)]
+    assert not [n for n in other._names() if n.startswith("_staged")]
+    spark.range(1).write.parquet(f"{roll.path}/_staged-dead")
+    assert roll.sweep() == 0 and roll.sweep(-1) == 1 and not [n for n in other._names() if n.startswith("_staged")]
+
+
 def test_token_counts_are_those_of_all_documents(spark, sf_dir, documents, edge_docs):
     import sentencepiece
 
