@@ -124,6 +124,8 @@ def with_snippets(df: DataFrame, snippets: Sequence[tuple[str, str]], column: st
 
 
 OVERLAP = 8
+#: Segments that are joined before their text is put to the rest.
+STRETCH = 64
 
 
 def _bare(tokens: Column) -> Column:
@@ -138,7 +140,7 @@ def merged(segments: Column) -> Column:
     usable = F.filter(F.transform(segments, T.trimmed), lambda s: s != "")
     # words and bare words of a segment are made once, before the fold
     read = F.transform(usable, lambda s: T.let(T.words(s), lambda own: F.struct(s.alias("text"), own.alias("own"), _bare(own).alias("bare"))))
-    empty = F.struct(F.lit("").alias("text"), F.array().cast("array<string>").alias("tail"))
+    none = F.array().cast("array<string>")
 
     def shared_of(tail: Column, bare: Column) -> Column:
         most = F.least(F.size(tail), F.size(bare), F.lit(OVERLAP))
@@ -148,14 +150,24 @@ def merged(segments: Column) -> Column:
     def joined(acc: Column, segment: Column, shared: Column) -> Column:
         rest = F.array_join(F.slice(segment["own"], shared + 1, F.size(segment["own"])), " ")
         after = F.when(shared == 0, segment["text"]).otherwise(rest)
-        text = F.when(acc["text"] == "", segment["text"]).when(shared == F.size(segment["own"]), acc["text"]).otherwise(F.concat(acc["text"], F.lit(" "), after))
+        text = F.when(shared == F.size(segment["own"]), acc["text"]).when(acc["text"] == "", after).otherwise(F.concat(acc["text"], F.lit(" "), after))
         tail = F.concat(acc["tail"], F.slice(segment["bare"], shared + 1, F.size(segment["bare"])))
         return F.struct(text.alias("text"), T.let(tail, lambda t: F.slice(t, F.greatest(F.size(t) - OVERLAP + 1, F.lit(1)), F.lit(OVERLAP))).alias("tail"))
 
     def step(acc: Column, segment: Column) -> Column:
         return T.let(shared_of(acc["tail"], segment["bare"]), lambda shared: joined(acc, segment, shared))
 
-    return F.aggregate(read, empty, step, lambda acc: acc["text"])
+    def stretch(acc: Column, segments_: Column) -> Column:
+        """The text of some segments, after the tail of those before."""
+        own = F.aggregate(segments_, F.struct(F.lit("").alias("text"), acc["tail"].alias("tail")), step)
+        return T.let(own, lambda o: F.struct(F.when(o["text"] == "", acc["parts"]).otherwise(F.concat(acc["parts"], F.array(o["text"]))).alias("parts"), o["tail"].alias("tail")))
+
+    # a step copies the text of its stretch, not all there is
+    def stretches(all_: Column) -> Column:
+        places = F.when(F.size(all_) > 0, F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / STRETCH).cast("int"))).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda k: F.slice(all_, k * STRETCH + 1, F.lit(STRETCH)))
+
+    return F.aggregate(T.let(read, stretches), F.struct(none.alias("parts"), none.alias("tail")), stretch, lambda acc: F.array_join(acc["parts"], " "))
 
 
 def dictated(df: DataFrame, segments: str, dictionary: Sequence[tuple[str, str]], snippets: Sequence[tuple[str, str]], smart: bool = True, polish: Callable[[Column], Column] | None = None) -> DataFrame:
