@@ -39,7 +39,7 @@ BITS = 1 << 26
 PART = 1 << 15
 #: Bytes of text that are counted together (and the rest of the text that passes them); a task's arrays take
 #: some 120 times as much.
-BYTES = 800_000
+BYTES = 400_000
 #: Parts that a language's candidates are first ranked in.
 SALTS = 64
 

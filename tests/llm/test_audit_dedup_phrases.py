@@ -224,7 +224,7 @@ def mined(df):
     return sorted(tuple(r[c] for c in ("lang", "rank", "phrase", "a", "l", "r", "n", "score")) for r in df.collect())
 
 
-@pytest.mark.parametrize("size", [300, 800_000])
+@pytest.mark.parametrize("size", [300, 400_000])
 def test_phrases_against_counting_them(spark, monkeypatch, size):
     """Small portions too, so that phrases meet across them; wide characters, tabs, repeated separators."""
     rng = random.Random(9)
