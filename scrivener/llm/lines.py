@@ -4,8 +4,8 @@ A group is dealt into hash blocks; block sums give each block its offset, and on
 one block are ordered together. The blocks of a group are capped (`MOST_BLOCKS`), which bounds the
 table of offsets, not the rows: a group of any size keeps all its rows, and of 50 TB a block has 50 MB.
 
-The block of a row follows from its key alone, so rows of one key share a block; null keys are a key;
-rows that tie in key and in all `ties` are alike, and any order of them is the same; empty tables
+The block of a row follows from its key and `ties`, so rows of one key (null is a key) are dealt to all
+blocks unless they tie in these too; such rows are alike, and any order of them is the same; empty tables
 give no rows. Columns named block_, rank_, from_, sum_ and start_ must be free.
 """
 
@@ -23,9 +23,9 @@ def blocks_of(n: int, each: int) -> int:
     return min(MOST_BLOCKS, max(1, -(-n // each)))
 
 
-def in_blocks(rows: DataFrame, key: Column, n_blocks: Column, seed: int) -> DataFrame:
-    """`rows` with `block_`, the hash block of `key` within its group."""
-    return rows.withColumn("block_", F.pmod(F.xxhash64(key, F.lit(seed)), n_blocks.cast("long")).cast("int"))
+def in_blocks(rows: DataFrame, key: list[Column | str], n_blocks: Column, seed: int) -> DataFrame:
+    """`rows` with `block_`, the hash block of the columns `key` within its group."""
+    return rows.withColumn("block_", F.pmod(F.xxhash64(*key, F.lit(seed)), n_blocks.cast("long")).cast("int"))
 
 
 def offsets(rows: DataFrame, group: str, size: str, seed: int) -> DataFrame:

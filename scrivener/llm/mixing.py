@@ -100,7 +100,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", te
 
     def keyed(df: DataFrame) -> DataFrame:
         df = df.join(few(sources, len(names)), F.col("source_").eqNullSafe(F.col("name_"))).drop("source_", "name_")
-        return in_blocks(df, F.col("id_"), F.col("blocks_"), seed)
+        return in_blocks(df, [F.col("id_"), F.col("tie_")], F.col("blocks_"), seed)
 
     starts = offsets(keyed(light), "source_no_", "size_", seed)
     passes = range(int(np.ceil(most)))

@@ -10,7 +10,7 @@ the input): these are dealt, largest first, to the destinations that the flow gi
 fullest share first, and the flow is solved again for all others with the room that is left. A large document that
 fits none of its shares goes where most room is.
 
-`rewrite` finds a document's new file from its id's block; only large documents and the rows of
+`rewrite` finds a document's new file from its block; only large documents and the rows of
 blocks that a cut divides are looked up one by one. Each text is shuffled once, straight to its
 file. A file holds whole blocks of one shard, as far as they are not divided; slots number a shard's rows
 without gaps, from counts by file, so that no shard is ever in one task.
@@ -34,6 +34,8 @@ BLOCK_ROWS = 1024
 #: Bytes of text of a file of a shard.
 FILE_BYTES = 128 << 20
 SEED = 7_919
+#: What deals a row to its block: rows of one id are spread by size and crc32 of their texts.
+ALIKE = ["id_", "size_", "crc_"]
 
 
 class Network:
@@ -211,9 +213,8 @@ class Plan:
                 ends.append(at)
             pieces.append((i, blocks_of(n, BLOCK_ROWS), ends[:-1], to or [0]))
         self._pieces = few(spark.createDataFrame(pieces, "old_ int, blocks_ int, cuts_ array<long>, to_ array<int>"), len(pieces))
-        small = in_blocks(rows.filter(F.col("size_") <= self.cut).join(self._pieces, "old_"), F.col("id_"), F.col("blocks_"), SEED)
-        ties = [F.col("id_"), F.col("size_"), F.col("crc_")]
-        line = lay_out(small, offsets(small, "old_", "size_", SEED), "old_", F.col("id_"), "size_", SEED, ties)
+        small = in_blocks(rows.filter(F.col("size_") <= self.cut).join(self._pieces, "old_"), ALIKE, F.col("blocks_"), SEED)
+        line = lay_out(small, offsets(small, "old_", "size_", SEED), "old_", F.col("id_"), "size_", SEED, [F.col(c) for c in ALIKE])
         middle = F.col("start_") * 2 + F.col("size_")
         line = line.withColumn("shard_", F.element_at("to_", F.size(F.filter("cuts_", lambda c: c * 2 <= middle)) + 1))
         names = ["id_", "size_", "crc_", "old_", "block_", "shard_"]
@@ -250,7 +251,7 @@ class Plan:
 
     def placed(self, docs: DataFrame, which: list[int]) -> DataFrame:
         """The rows of `docs` that belong to the shards `which`, as (row_, old_, block_, shard_, file_, slot_)."""
-        keyed = in_blocks(self._keyed(docs).join(self._pieces.drop("cuts_", "to_"), "old_"), F.col("id_"), F.col("blocks_"), SEED).drop("blocks_")
+        keyed = in_blocks(self._keyed(docs).join(self._pieces.drop("cuts_", "to_"), "old_"), ALIKE, F.col("blocks_"), SEED).drop("blocks_")
         small = F.col("size_") <= self.cut
         whole = few(self.blocks.filter("ways_ = 1 and block_ >= 0").select("old_", "block_", "shard_", "file_"), self.n_blocks)
         by_block = keyed.filter(small).join(whole, ["old_", "block_"])

@@ -15,6 +15,7 @@ from scrivener.llm import components as cc
 from scrivener.llm import jaccard_join, mixing, queries, resharding
 from scrivener.llm.common import scratch, stored
 from scrivener.llm.components import components
+from scrivener.llm.lines import in_blocks
 from scrivener.llm.token_counts import Rollup, count_pieces, revised, signed
 
 
@@ -542,3 +543,18 @@ def test_stages_take_edges(spark, sf_dir, edge_docs, no_docs):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf_dir)
     assert docs.count() == 0
+
+
+def test_rows_of_one_id_are_dealt_to_all_blocks(spark):
+    """A third of all rows without an id: no block holds more than its share, and all words are drawn."""
+
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.concat(F.lit("word number "), F.col("id").cast("string")).alias("text"), F.lit("s").alias("source"))
+    keyed = rows.select(F.col("doc_id").alias("id_"), F.octet_length("text").alias("size_"), F.crc32("text").alias("crc_"))
+    blocks = in_blocks(keyed, resharding.ALIKE, F.lit(50), 1).filter("id_ is null").groupBy("block_").count().collect()
+    assert len(blocks) == 50 and max(r["count"] for r in blocks) < 60
+    mixed = mixing.plan(rows, block_words=180).select("doc_id", "size", "target", F.explode("draws").alias("d")).select("doc_id", "d.*")
+    nulls = mixed.filter("doc_id is null").groupBy("block").agg(F.countDistinct("order").alias("n")).collect()
+    assert len(nulls) == 50 and max(r["n"] for r in nulls) < 60
+    assert mixed.agg(F.sum("words")).first()[0] == 13_500
+    placed = resharding.resharded(rows, F.lit(0), 4, id_col="doc_id").collect()
+    assert len(placed) == 3000 and len({(r["shard"], r["slot"]) for r in placed}) == 3000
