@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import let, trimmed
+from .text import capital, let, trimmed
 
 #: Words by which an input asks for a list.
 ORDINALS = r"(?i)\b(first|second|third|fourth|fifth)\b"
@@ -77,7 +77,7 @@ def numbered_flattened(text: Column) -> Column:
 
     def sentence(lead: Column, items: Column) -> Column:
         joined = F.concat(F.array_join(F.slice(items, F.lit(1), F.size(items) - 1), ", "), F.lit(", and "), F.element_at(items, -1))
-        plain = let(joined, lambda j: F.concat(F.upper(F.substring(j, 1, 1)), F.substr(j, F.lit(2)), F.lit(".")))
+        plain = F.concat(capital(joined), F.lit("."))
         return F.when(lead != "", F.concat(lead, F.lit(": "), joined, F.lit("."))).otherwise(plain)
 
     def of(lines: Column) -> Column:

@@ -88,6 +88,19 @@ def expanded(by: str) -> str:
     return re.sub(r"\$\$|\$(?:(\w+)|\{(\w+)\})", part, by.replace("\\", "\\\\"), flags=re.A)
 
 
+#: Letters whose capital is written as several, and that as one letter, as SQL's `upper` has it.
+LONG_CAPITALS = ("ßᾀᾁᾂᾃᾄᾅᾆᾇᾐᾑᾒᾓᾔᾕᾖᾗᾠᾡᾢᾣᾤᾥᾦᾧᾳῃῳ", "ẞᾈᾉᾊᾋᾌᾍᾎᾏᾘᾙᾚᾛᾜᾝᾞᾟᾨᾩᾪᾫᾬᾭᾮᾯᾼῌῼ")
+
+
+def capital(text: Column) -> Column:
+    """`text` with a capital first letter, always one character for one."""
+
+    def of(t: Column) -> Column:
+        return let(F.substring(t, 1, 1), lambda c: F.concat(F.when(F.length(F.upper(c)) > 1, F.translate(c, *LONG_CAPITALS)).otherwise(F.upper(c)), F.substr(t, F.lit(2))))
+
+    return let(text, of)
+
+
 def words(text: Column) -> Column:
     """White-space tokens."""
     return F.filter(F.split(text, _U + r"\s+"), lambda w: w != "")
@@ -112,8 +125,7 @@ def without_fillers(text: Column) -> Column:
 def without_all_fillers(text: Column) -> Column:
     """All fillers, also those that depend on what follows; the first letter becomes a capital."""
     text = replaced(text, _IU + r"\b(?:" + "|".join(FILLERS) + r")\b", "")
-    text = tidied(reduce(lambda t, p: replaced(t, _IU + p, ""), FILLERS_AHEAD, text))
-    return F.concat(F.upper(F.substring(text, 1, 1)), F.substr(text, F.lit(2)))
+    return capital(tidied(reduce(lambda t, p: replaced(t, _IU + p, ""), FILLERS_AHEAD, text)))
 
 
 def without_corrections(text: Column) -> Column:
@@ -126,8 +138,7 @@ def without_corrections(text: Column) -> Column:
 
 def capitalized(text: Column) -> Column:
     """Trimmed, with a capital first letter."""
-    text = trimmed(text)
-    return F.concat(F.upper(F.substring(text, 1, 1)), F.substr(text, F.lit(2)))
+    return capital(trimmed(text))
 
 
 def with_numbers(text: Column) -> Column:

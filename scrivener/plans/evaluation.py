@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from scrivener.functions.text import capital
 from scrivener.operators import evaluation as E
 
 from .registry import query, table
@@ -22,7 +23,7 @@ def results(spark, sf_dir):
     models = spark.createDataFrame([("small", 0, "AI-only", 0), ("small", 0, "regex+AI", 1), ("large q", 1, "AI-only", 0), ("large q", 1, "regex+AI", 1)], "model string, mk int, mode string, dk int")
     t, i = F.col("text"), F.col("item_id")
     rows = table(spark, sf_dir, "benchmark").crossJoin(F.broadcast(models))
-    expected = F.concat(F.upper(F.substring(t, 1, 1)), F.substr(t, F.lit(2)))
+    expected = capital(t)
     k = (i + F.col("mk") * 3 + F.col("dk")) % 5
     output = F.when(k == 0, F.concat(t, F.lit(" "))).when(k == 1, F.substring(t, F.lit(1), F.floor(F.length(t) / 2).cast("int"))).when(k == 2, F.upper(F.replace(t, F.lit("ß"), F.lit("ss")))).when(k == 3, F.substring(t, F.lit(1), F.length(t) - 1)).otherwise(expected)
     ms = (i * 37 + F.col("mk") * 11 + F.col("dk") * 5) % 400 + F.lit(100.25)

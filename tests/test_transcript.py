@@ -240,3 +240,8 @@ def test_many_rules_are_applied_as_few_are(spark, monkeypatch):
             seen[most, expand] = sorted((r["doc_id"], r["text"]) for r in X.with_dictionary(docs, rules, expand=expand).collect())
     assert seen[1000, False] == seen[20, False] and seen[1000, True] == seen[20, True]
     assert sum(a != b for a, b in zip(seen[20, False], seen[20, True], strict=True)) and X.with_dictionary(docs, rules).columns == docs.columns
+
+
+def test_a_capital_is_one_character(spark):
+    rows = spark.createDataFrame([("ßa",), ("ᾳb",), ("ŉc",), ("éd",), ("",), (None,)], "text string")
+    assert [r[0] for r in rows.select(T.capitalized(F.col("text"))).collect()] == ["ẞa", "ᾼb", "ŉc", "Éd", "", None]
