@@ -185,7 +185,7 @@ def st3_tail_stream(spark, sf_dir):
     path = place(spark, "tail")
 
     def source():
-        rows = spark.readStream.schema("vec_id bigint, embedding array<float>, label int").option("pathGlobFilter", "embeddings.parquet").parquet(sf_dir)
+        rows = D.file_stream(spark, sf_dir, "embeddings.parquet", "vec_id bigint, embedding array<float>, label int")
         clips = of_embeddings(rows).withColumn("frame", F.explode(F.sequence(F.lit(0), F.floor((F.size("samples") - 1) / 800).cast("int"))))
         frames = clips.withColumns({"ts": F.timestamp_seconds(F.col("frame") + 1), "event_id": F.col("frame"), "said": F.to_json(F.slice("samples", F.col("frame") * 800 + 1, F.lit(800)))})
         return O.keyed(frames, "clip_id", F.col("said"))

@@ -19,16 +19,18 @@ from .recorder import FEEDBACK_GAP, SECOND
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
-def event_stream(spark: SparkSession, folder: str, name: str = "events.parquet", files_each: int = 1) -> DataFrame:
-    """A stream of the event file (or folder of files) `name` in `folder`; `ts` becomes an instant,
-    as watermarks need."""
+def file_stream(spark: SparkSession, folder: str, name: str, schema: str, files_each: int = 1) -> DataFrame:
+    """A stream of the file (or folder of files) `name` in `folder`."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
-    reader = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_each)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_each)
     if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
-        rows = reader.parquet(f"{folder}/{name}")
-    else:
-        rows = reader.option("pathGlobFilter", name).parquet(folder)
-    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+        return reader.parquet(f"{folder}/{name}")
+    return reader.option("pathGlobFilter", name).parquet(folder)
+
+
+def event_stream(spark: SparkSession, folder: str, name: str = "events.parquet", files_each: int = 1) -> DataFrame:
+    """The events of `file_stream`; `ts` becomes an instant, as watermarks need."""
+    return file_stream(spark, folder, name, EVENTS, files_each).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def run_once(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:

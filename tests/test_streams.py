@@ -218,3 +218,12 @@ def test_a_shorter_retention_expires_at_once(spark, tmp_path):
     assert len(os.listdir(tmp_path / "log" / "newest")) <= 2
     log.set(setting(9, 0), 3)
     assert held() == [4, 5, 6] and log.bound() is None
+
+
+def test_tail_stream_reads_a_folder_of_files(spark, tmp_path):
+    from scrivener.plans import QUERIES
+
+    rows = [(k, [0.01 * (k + 1)] * 64) for k in range(20)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r["clip_id"]: r["bars"] for r in QUERIES["st3_tail_stream"](spark, str(tmp_path)).collect()}
+    assert got == {r["clip_id"]: r["bars"] for r in QUERIES["a8_amplitude_bars"](spark, str(tmp_path)).collect()} and len(got) == 20
