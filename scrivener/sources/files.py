@@ -107,10 +107,10 @@ def fetched(spark: SparkSession, source: str, cache: str, schema: str, whole: bo
     return read_json(spark, cache, schema, whole=False)
 
 
-def wav_encoded(clips: DataFrame, id_col: str = "clip_id", samples: str = "samples", rate: int = 16_000) -> DataFrame:
-    """(id, wav): every clip as a mono 16-bit WAV file; samples are scaled, clamped and cut."""
-    kind = clips.schema[id_col].dataType.simpleString()
-    name = samples
+def wav_encoded(clips: DataFrame, id_col: str = "clip_id", samples: str = "samples", rate: int = 16_000, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, wav, *keep): every clip as a mono 16-bit WAV file; samples are scaled, clamped and cut."""
+    kinds = [f"`{c}` {clips.schema[c].dataType.simpleString()}" for c in (id_col, *keep)]
+    name, kept = samples, [id_col, *keep]
 
     def encode(batches):
         import struct
@@ -125,9 +125,9 @@ def wav_encoded(clips: DataFrame, id_col: str = "clip_id", samples: str = "sampl
                 pcm = np.trunc(np.clip(values * 32767, -32768, 32767)).astype("<i2").tobytes()
                 head = struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(pcm), b"WAVE", b"fmt ", 16, 1, 1, rate, rate * 2, 2, 16, b"data", len(pcm))
                 out.append(head + pcm)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=[id_col, "wav"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(out, pa.binary())], names=[*kept, "wav"])
 
-    return clips.select(id_col, samples).mapInArrow(encode, f"`{id_col}` {kind}, wav binary")
+    return clips.select(*kept, samples).mapInArrow(encode, f"{', '.join(kinds)}, wav binary")
 
 
 WAV = "samples array<double>, rate int, channels int, problem string"
