@@ -26,8 +26,14 @@ def short(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("clip_id"), F.col("embedding").cast("array<double>").alias("samples"))
 
 
+def places(x, n=6):
+    """`x` to `n` places as SQL rounds it: scaled in doubles, halves away from zero, a negative zero stays one."""
+    y = x * 10.0**n
+    return F.rint(F.when(F.abs(y - F.rint(y)) == 0.5, y + F.signum(y) * 0.5).otherwise(y)) / 10.0**n
+
+
 def rounded(values, n=6):
-    return F.transform(values, lambda x: F.round(x, n))
+    return F.transform(values, lambda x: places(x, n))
 
 
 @query(CLIPS + "SELECT clip_id, list_transform(s, lambda x: round(CAST(trunc(x * 32767) AS INT) / 32767, 6)) AS a, list_transform(s, lambda x: round(CAST(trunc((x + 1) * 32767) AS INT) / 65535 * 2 - 1, 6)) AS b FROM e")

@@ -331,3 +331,22 @@ def test_resampling_keeps_tones_and_drops_what_does_not_fit(spark, rate):
     assert np.allclose(got[5][400:-400], 1.0, atol=0.01)
     same = A.resampled(clips, 16_000).filter("clip_id = 6").first()["samples"]
     assert same == [0.5]
+
+
+def test_places_are_those_of_sql(spark):
+    """Halves after scaling in doubles, negative zeros: as the SQL rounds, bit by bit."""
+    import duckdb
+
+    from scrivener.plans.audio import rounded
+
+    values = [-1e-7, 1e-7, -0.0, 0.0, 2.5e-6, -2.5e-6, 0.5 / 32767, 1.0000005, 0.1234565, -0.1234565, 3.0000015, 1 / 3, -2 / 3]
+    got = spark.createDataFrame([(values,)], "s array<double>").select(rounded(F.col("s"))).first()[0]
+    assert repr(got) == repr(duckdb.execute("select list_transform(?::double[], lambda x: round(x, 6))", [values]).fetchone()[0])
+
+
+def test_wav_queries_keep_the_sign_of_a_zero(spark, tmp_path):
+    from scrivener.plans import QUERIES
+
+    spark.createDataFrame([(1, [-1e-5, 1e-5, 0.5, -0.5])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    row = QUERIES["io14_wav_read_back"](spark, str(tmp_path)).first()
+    assert repr(row["samples"][:2]) == "[-0.0, 0.0]" and row["problem"] is None
