@@ -45,11 +45,16 @@ def in_arrays(df: DataFrame, *keys: str) -> DataFrame:
     return df.sortWithinPartitions(*keys).withColumn("block_", F.floor(F.monotonically_increasing_id() / ARRAY_ROWS))
 
 
+#: Folders that the values of a part are hashed to: a fixed number of open files, however many values there are.
+FOLDERS = 16
+
+
 def write_json_arrays(df: DataFrame, path: str, part: str) -> None:
-    """A folder of JSON arrays for each value of `part`, a line each."""
+    """JSON arrays, a line each, of rows that have one value of `part`; a value's lines lie in the folder
+    `folder=` its hash modulo `FOLDERS`."""
     entry = F.struct(*[c for c in df.columns if c != part])
-    rows = in_arrays(df, part).groupBy(part, "block_").agg(F.to_json(F.collect_list(entry)).alias("value")).drop("block_")
-    rows.write.partitionBy(part).mode("overwrite").text(path)
+    rows = in_arrays(df, part).groupBy(part, "block_").agg(F.to_json(F.collect_list(entry)).alias("value"))
+    rows.select("value", F.pmod(F.xxhash64(part), F.lit(FOLDERS)).alias("folder")).write.partitionBy("folder").mode("overwrite").text(path)
 
 
 def read_history(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
