@@ -22,6 +22,8 @@ from .recorder import FEEDBACK_GAP, SECOND
 
 #: Ranges that are composed in one task.
 FAN = 16
+#: Rows of a range, about: what a task holds of them at a time.
+RANGE_ROWS = 100_000
 #: Before any instant, and not in danger of passing 64 bits when a gap is added.
 NEVER = -(1 << 62)
 
@@ -75,7 +77,8 @@ def limited(events: DataFrame, gap: int = FEEDBACK_GAP, last: int = NEVER, range
     kind = events.schema["ts"].dataType.simpleString()
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     rows = events.filter("ts is not null").select("user_id", "event_id", "ts", us.alias("us"))
-    dealt = rows.repartitionByRange(*([ranges] if ranges else []), "us", "event_id")
+    # as many as the rows need, so that no range grows with the table
+    dealt = rows.repartitionByRange(ranges or 1 + rows.count() // RANGE_ROWS, "us", "event_id")
     # written, so that a range is what it was, whatever is lost
     rows = stored(dealt.withColumn("range", F.spark_partition_id().cast("long")), "limit-ranges")
     spark = rows.sparkSession
