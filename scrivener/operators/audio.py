@@ -13,6 +13,8 @@ BARS, BAR_WINDOW, BAR_SCALE = 48, 8_000, 12.0
 LEVEL_WINDOW, LEVEL_SCALE = 1_600, 5.0
 SILENT_RMS, AUDIBLE = 0.0001, 0.001
 SHOWN_BARS, QUIET_BAR = 16, 0.06
+#: Samples that leave a task together.
+CLIP_SAMPLES = 1_000_000
 
 
 def from_int16(samples: Column) -> Column:
@@ -155,9 +157,20 @@ def resampled(clips: DataFrame, rate: int, id_col: str = "clip_id", samples: str
             flushed = int(np.floor(carry / block * part + 0.5)) if carry else 0
             return out.reshape(-1)[: n * part + flushed]
 
+        def packed(batch, start, values):
+            return pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(values)), pa.array(values, pa.list_(pa.float64()))], names=[id_col, samples])
+
         for batch in batches:
-            values = [None if x is None else one(np.asarray(x, dtype=float)) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.list_(pa.float64()))], names=[id_col, samples])
+            # clips leave whole, some `CLIP_SAMPLES` together; none is ever a list of Python numbers
+            start, values, held = 0, [], 0
+            for x in batch.column(1):
+                values.append(one(x.values.to_numpy(zero_copy_only=False).astype(float)) if x.is_valid else None)
+                held += len(values[-1]) if x.is_valid else 0
+                if held >= CLIP_SAMPLES:
+                    yield packed(batch, start, values)
+                    start, values, held = start + len(values), [], 0
+            if values:
+                yield packed(batch, start, values)
 
     return clips.select(id_col, F.col(samples).cast("array<double>")).mapInArrow(run, f"`{id_col}` {kind}, `{samples}` array<double>")
 
