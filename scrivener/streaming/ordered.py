@@ -84,26 +84,28 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.buffer = handle.getListState("buffer", "at long, event_id long, event string")
+        # an entry holds what a batch brought as a JSON list: a state store's cost is by entry
+        self.buffer = handle.getListState("buffer", "events string")
         self.state = handle.getValueState("state", "json string, woken long")
 
     def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
-        new = [(int(r.at_), int(r.event_id), r.event_) for frame in rows for r in frame.itertuples() if r.event_ != CLOSE]
+        columns = [[frame[c].tolist() for c in ("at_", "event_id", "event_")] for frame in rows]
+        new = [e for c in columns for e in zip(*c, strict=True) if e[2] != CLOSE]
         if new:
-            self.buffer.appendList(new)
+            self.buffer.appendValue((json.dumps(new),))
             held = self.state.get()
             self._wake(held[0] if held else json.dumps(self.fold.start()), held[1] if held else None, min(new)[0])
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
         until = timerValues.getCurrentWatermarkInMs() * 1000
-        held = sorted(self.buffer.get())
+        held = sorted(tuple(e) for (events,) in self.buffer.get() for e in json.loads(events))
         ready, rest = [e for e in held if e[0] < until], [e for e in held if e[0] >= until]
         state, rows = advanced(self.fold, json.loads(self.state.get()[0]), ready, until - 1)
         if len(rest) < len(held):
             self.buffer.clear()
             if rest:
-                self.buffer.put(rest)
+                self.buffer.put([(json.dumps(rest),)])
         self.state.update((json.dumps(state), None))
         due = [x for x in (rest[0][0] if rest else None, self.fold.due(state)) if x is not None]
         if due:

@@ -350,3 +350,26 @@ def test_wav_queries_keep_the_sign_of_a_zero(spark, tmp_path):
     spark.createDataFrame([(1, [-1e-5, 1e-5, 0.5, -0.5])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     row = QUERIES["io14_wav_read_back"](spark, str(tmp_path)).first()
     assert repr(row["samples"][:2]) == "[-0.0, 0.0]" and row["problem"] is None
+
+
+def test_history_of_many_users_lies_in_few_folders(spark, tmp_path):
+    rows = [(u, f"t{u}-{k}", "2024-01-01", 1, 2, 3, True) for u in range(200) for k in range(3)]
+    df = spark.createDataFrame(rows, f"user long, {S.HISTORY}")
+    S.write_json_arrays(df, f"{tmp_path}/h", "user")
+    assert len([p for p in (tmp_path / "h").iterdir() if p.is_dir()]) <= S.FOLDERS
+    back = S.read_history(spark, f"{tmp_path}/h", whole=False)
+    assert sorted(r["text"] for r in back.collect()) == sorted(r[1] for r in rows)
+
+
+def test_long_clips_leave_in_several_batches(spark, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    clips, got = spark.createDataFrame([(1, [0.5])], "clip_id long, samples array<double>"), []
+    monkeypatch.setattr(type(clips.select("clip_id")), "mapInArrow", lambda self, fn, schema: got.append(fn))
+    A.resampled(clips, 44_100)
+    values = [np.full(300_000, 0.5) if k % 7 else None for k in range(30)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(30)), pa.array(values, pa.list_(pa.float64()))], names=["clip_id", "samples"])
+    out = list(got[0](iter([batch])))
+    assert len(out) > 2 and [i for b in out for i in b.column(0).to_pylist()] == list(range(30))
+    assert [None if v is None else 108_844 for v in values] == [len(x) if x.is_valid else None for b in out for x in b.column(1)]

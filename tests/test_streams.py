@@ -227,3 +227,36 @@ def test_tail_stream_reads_a_folder_of_files(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
     got = {r["clip_id"]: r["bars"] for r in QUERIES["st3_tail_stream"](spark, str(tmp_path)).collect()}
     assert got == {r["clip_id"]: r["bars"] for r in QUERIES["a8_amplitude_bars"](spark, str(tmp_path)).collect()} and len(got) == 20
+
+
+def test_ranges_of_the_limit_grow_in_number_not_in_rows(spark, monkeypatch):
+    seen, kept = [], L.stored
+    monkeypatch.setattr(L, "RANGE_ROWS", 100)
+    monkeypatch.setattr(L, "stored", lambda df, name: seen.append(kept(df, name)) or seen[-1])
+    rows = made(2000, 90_000, ["sent"])
+    got = sorted(r["event_id"] for r in L.limited(spark.createDataFrame(rows, EVENTS).filter("event_type is not null")).collect())
+    sizes = [r["count"] for r in seen[0].groupBy("range").count().collect()]
+    assert max(sizes) <= 300 and got == accepted_by_hand(rows, per_user=False)
+
+
+def test_a_batch_is_one_entry_of_a_keys_buffer():
+    import pandas as pd
+
+    class Held(list):
+        appendValue = list.append
+        appendList = list.extend
+
+    class Value:
+        get = update = lambda self, *x: None
+
+    class Handle:
+        buffer = Held()
+        getListState = lambda self, *x: self.buffer
+        getValueState = lambda self, *x: Value()
+        registerTimer = deleteTimer = lambda self, ms: None
+
+    machine = O.InOrder(R.States(), [])
+    machine.init(Handle())
+    frame = pd.DataFrame({"at_": range(100), "event_id": range(100), "event_": ["start"] * 100})
+    list(machine.handleInputRows((1,), iter([frame, frame]), None))
+    assert len(Handle.buffer) == 1
