@@ -144,8 +144,10 @@ def merged(segments: Column) -> Column:
 
     def shared_of(tail: Column, bare: Column) -> Column:
         most = F.least(F.size(tail), F.size(bare), F.lit(OVERLAP))
+        # an end is cut out only where its first word fits
+        begins = lambda n: F.get(tail, F.size(tail) - n) == F.get(bare, F.lit(0))
         lengths = F.when(most > 0, F.sequence(most, F.lit(1), F.lit(-1))).otherwise(F.array().cast("array<int>"))
-        return F.coalesce(F.get(F.filter(lengths, lambda n: F.slice(tail, F.size(tail) - n + 1, n) == F.slice(bare, F.lit(1), n)), F.lit(0)), F.lit(0))
+        return F.coalesce(F.get(F.filter(lengths, lambda n: begins(n) & (F.slice(tail, F.size(tail) - n + 1, n) == F.slice(bare, F.lit(1), n))), F.lit(0)), F.lit(0))
 
     def joined(acc: Column, segment: Column, shared: Column) -> Column:
         rest = F.array_join(F.slice(segment["own"], shared + 1, F.size(segment["own"])), " ")
