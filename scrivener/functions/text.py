@@ -119,7 +119,7 @@ def tidied(text: Column) -> Column:
 
 def without_fillers(text: Column) -> Column:
     """Fillers of the app: um, uh, hmm and the like. They share no text, so one pass removes all."""
-    return tidied(replaced(text, _IU + r"\b(?:" + "|".join(FILLERS) + r")\b", ""))
+    return tidied(replaced(text, _IU + r"(?=[umh])\b(?:" + "|".join(FILLERS) + r")\b", ""))
 
 
 def without_all_fillers(text: Column) -> Column:
@@ -153,7 +153,10 @@ def with_numbers(text: Column) -> Column:
 
         return step
 
-    return reduce(lambda t, context: let(t, after(context)), NUMBER_CONTEXTS, text)
+    # most texts have no spoken number; the beginnings are looked at before the words
+    spoken = _IU + rf"\s(?=[zotfsen])(?:{'|'.join(DIGITS)})\b"
+    changed = reduce(lambda t, context: let(t, after(context)), NUMBER_CONTEXTS, text)
+    return F.when(F.rlike(text, F.lit(spoken)), changed).otherwise(text)
 
 
 def with_percents(text: Column) -> Column:
@@ -165,7 +168,7 @@ def with_percents(text: Column) -> Column:
 
 def with_punctuation(text: Column) -> Column:
     """Spoken punctuation marks and breaks."""
-    found = F.rlike(text, F.lit(_IU + r"\b(?:" + "|".join(p for p, _ in PUNCTUATION) + r")\b"))
+    found = F.rlike(text, F.lit(_IU + r"(?=[pcqesdhon])\b(?:" + "|".join(p for p, _ in PUNCTUATION) + r")\b"))
     changed = reduce(lambda t, x: replaced(t, _IU + rf"\b{x[0]}\b", x[1]), PUNCTUATION, text)
     return F.when(found, changed).otherwise(text)
 
