@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -82,6 +84,16 @@ def ship(spark: SparkSession) -> None:
     sc._scrivener_shipped = True
 
 
+def give_back() -> None:
+    """Return to the system what this worker has freed: workers are used again, and what tasks of earlier
+    stages have left would add to an executor's memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]], schema: str) -> DataFrame:
     """`mapInArrow` over rows: `make()` runs once a task and returns a function from the columns of
     a slice (lists) to output tuples; output leaves in small batches, so memory stays bounded."""
@@ -97,6 +109,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]],
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, arrow.types, strict=True)], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         fn = make()
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
@@ -110,6 +123,8 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]],
                         held, size = [], 0
                 if held:
                     yield packed(held)
+        fn = batch = part = held = None
+        give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -153,5 +168,7 @@ def map_groups(df: DataFrame, keys: list[str], fn: Callable[..., Iterable[tuple]
             held.extend(fn(*group))
         if held:
             yield packed()
+        held = group = batch = None
+        give_back()
 
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE, map_rows, ship, stored
+from .common import SLICE, give_back, map_rows, ship, stored
 
 BUCKETS = 1 << 20
 MAX_ROWS = 12_000
@@ -221,5 +221,7 @@ def clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: floa
                 keep = part.filter(pa.array([own.score(t) < threshold for t in part.column(place).to_pylist()], pa.bool_()))
                 if keep.num_rows:
                     yield keep
+        own = batch = part = keep = None
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

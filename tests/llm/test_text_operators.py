@@ -613,3 +613,20 @@ def test_toxicity_edges(spark, edge_docs, no_docs):
     assert toxicity.score(edge_docs, nothing).select("score").distinct().count() == 1
     kept = toxicity.clean(edge_docs, model)
     assert kept.columns == edge_docs.columns and kept.count() == sum(r["score"] < 0.5 for r in toxicity.score(edge_docs, model).collect())
+
+
+def test_workers_give_back_what_they_freed():
+    import resource
+
+    from scrivener.llm.common import give_back
+
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * resource.getpagesize() >> 20
+
+    rows = [bytes(2000) for _ in range(100_000)]
+    held = rows[-1]
+    rows.clear()
+    before = resident()
+    give_back()
+    assert resident() < before - 100 and len(held) == 2000
