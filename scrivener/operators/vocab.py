@@ -3,10 +3,11 @@ added tokens to match."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scrivener.functions.text import words
+from scrivener.sources.storage import stored
 
 from .ordering import numbered
 
@@ -33,13 +34,46 @@ def pruned(vocab: DataFrame, kept: DataFrame) -> DataFrame:
     return vocab.join(kept, "old_id").select("token", "old_id", "new_id")
 
 
+def marked(tokens: DataFrame) -> DataFrame:
+    """(token, listed, used): each token once, true where any of its rows in `tokens` is."""
+    return tokens.groupBy("token").agg(F.bool_or("listed").alias("listed"), F.bool_or("used").alias("used"))
+
+
+def kept_numbered(marks: DataFrame, step: int = 1) -> DataFrame:
+    """(token, old_id, new_id) of the listed tokens that are used, of `marked` rows: `vocabulary` numbers all
+    listed ones, `dense_index` those kept, and no join is needed for either."""
+    rows = numbered(marks.filter("listed").select("token", "used"), "token", name="old_id", first=1)
+    rows = rows.filter("used").select("token", (F.col("old_id") * step).alias("old_id"))
+    return numbered(rows, "old_id", name="new_id")
+
+
+def adjacent_words(texts: DataFrame, column: str) -> DataFrame:
+    """(a, b): each word of a text column and the word after it; the last word's `b` is null."""
+    at = texts.select(words(F.coalesce(column, F.lit(""))).alias("w_")).select("w_", F.posexplode("w_").alias("i_", "a"))
+    return at.select("a", F.get("w_", F.col("i_") + 1).alias("b"))
+
+
+def two_parts(merges: DataFrame) -> DataFrame:
+    """The merges ("a b") of exactly two parts, with these as `a_` and `b_`."""
+    parts = F.split("merge", " ", 3)  # no more than tells two parts from three
+    return merges.filter(F.size(parts) == 2).withColumns({"a_": parts[0], "b_": parts[1]})
+
+
+def pairs_without(pairs: DataFrame, lacking: DataFrame, first: str = "a_", second: str = "b_") -> DataFrame:
+    """The rows of `pairs` neither part of which is `lacking` (token). A small file of these is broadcast and the
+    pairs stay where they are; otherwise both are joined by part."""
+    columns = pairs.columns
+    for part in (first, second):
+        pairs = pairs.join(lacking.select(F.col("token").alias(part)), part, "left_anti")
+    return pairs.select(*columns)
+
+
 def merges_kept(merges: DataFrame, vocab: DataFrame) -> DataFrame:
-    """The merges ("a b") of exactly two parts that are both in `vocab` (token)."""
-    parts = F.split("merge", " ", -1)
-    rows = merges.filter(F.size(parts) == 2).withColumns({"a_": parts[0], "b_": parts[1]})
-    tokens = vocab.select("token").distinct()
-    rows = rows.join(tokens.withColumnRenamed("token", "a_"), "a_", "left_semi")
-    return rows.join(tokens.withColumnRenamed("token", "b_"), "b_", "left_semi").drop("a_", "b_")
+    """The merges ("a b") of exactly two parts that are both in `vocab` (token). `merges` is read twice."""
+    pairs = two_parts(merges)
+    parts = pairs.select(F.explode(F.array("a_", "b_")).alias("token")).distinct()
+    lacking = stored(parts.join(vocab.select("token"), "token", "left_anti"), "lacking")
+    return pairs_without(pairs, lacking).drop("a_", "b_")
 
 
 def added_remapped(added: DataFrame, kept: DataFrame) -> DataFrame:

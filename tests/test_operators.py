@@ -373,3 +373,31 @@ def test_long_clips_leave_in_several_batches(spark, monkeypatch):
     out = list(got[0](iter([batch])))
     assert len(out) > 2 and [i for b in out for i in b.column(0).to_pylist()] == list(range(30))
     assert [None if v is None else 108_844 for v in values] == [len(x) if x.is_valid else None for b in out for x in b.column(1)]
+
+
+def test_merges_kept_where_the_parts_are(spark):
+    """Exactly two parts, both in the vocabulary; the same whether what it lacks is broadcast or joined."""
+    merges = spark.createDataFrame([(m,) for m in ("a b", "b c", "c b", "a", "a b c", "a ", "a  b", "", " b", "a b", None)], "merge string")
+    vocab = spark.createDataFrame([("a",), ("b",), ("b",), ("",), (None,)], "token string")
+    for limit in ("10m", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        assert sorted(r["merge"] for r in V.merges_kept(merges, vocab).collect()) == [" b", "a ", "a b", "a b"]
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    left = V.pairs_without(spark.createDataFrame([("x", "y"), ("y", "z"), ("z", "x")], "a_ string, b_ string"), spark.createDataFrame([("z",)], "token string"))
+    assert [tuple(r) for r in left.collect()] == [("x", "y")]
+
+
+def test_adjacent_words_with_the_last_one(spark):
+    texts = spark.createDataFrame([(" a b  a\n",), ("c",), ("",), (None,)], "text string")
+    assert sorted(map(tuple, V.adjacent_words(texts, "text").collect()), key=str) == [("a", "b"), ("a", None), ("b", "a"), ("c", None)]
+
+
+def test_kept_numbered_is_vocabulary_dense_index_and_pruned(spark):
+    """One order numbers both; a token once, whatever its rows say."""
+    rows = [("b", True, True), ("a", True, False), ("É", True, True), ("b", False, False), ("z", False, True), ("c", True, False), ("c", False, True), ("y", False, False)]
+    marks = V.marked(spark.createDataFrame(rows, "token string, listed boolean, used boolean"))
+    listed, used = marks.filter("listed"), marks.filter("used")
+    vocab = V.vocabulary(listed, 3)
+    expected = V.pruned(vocab, V.dense_index(vocab.join(used, "token", "left_semi")))
+    got = sorted(map(tuple, V.kept_numbered(marks, 3).collect()))
+    assert got == sorted(map(tuple, expected.collect())) == [("b", 6, 0), ("c", 9, 1), ("É", 12, 2)]

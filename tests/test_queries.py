@@ -53,3 +53,24 @@ def test_entry(spark):
 
 def test_every_sql_has_its_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["j3_kept_merges", "c7_pruned_vocabulary", "j4_kept_tokens", "s26_vocab_sizes"])
+def test_pruning_of_odd_texts(spark, tmp_path, name):
+    """Texts that hold tokens of the vocabulary's own, one word, none or the same ones: as the SQL says, with its repeats."""
+    texts = [("a unused_3 b", 3), ("a unused_3 b", 303), ("a x", 3), ("unused_7", 7), ("The", 4), ("", 5), (None, 6), (" \n", 8), ("x x x x", 9), ("b a", None), ("never seen é", -3), ("b a\tb a", 12)]
+    rows = spark.createDataFrame([(i, t) for t, i in texts], "doc_id long, text string")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    df = QUERIES[name](spark, str(tmp_path))
+    found = sorted(map(plain, con.execute(f"select {', '.join(df.columns)} from ({ORACLES[name]})").fetchall()), key=repr)
+    assert sorted((plain(tuple(r)) for r in df.collect()), key=repr) == found
+
+
+@pytest.mark.parametrize("name", ["j3_kept_merges", "c7_pruned_vocabulary"])
+def test_merges_are_not_shuffled_for_their_parts(spark, sf_dir, name):
+    """The pairs are deduplicated once; what the vocabulary lacks goes to them."""
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    shuffled = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert "LeftAnti, BuildRight" in plan and "SortMergeJoin" not in plan and not any(c in line for line in shuffled for c in ("merge#", "a_#", "b_#"))
