@@ -13,9 +13,9 @@ CLIPS = """WITH c AS (SELECT vec_id AS clip_id, flatten(list_transform(range(0,
 RMS = "sqrt(list_sum(list_transform({0}, lambda x: x * x)) / len({0}))"
 
 
-def of_embeddings(rows):
-    """Clips of one to 170 times the length of an embedding."""
-    return rows.select(F.col("vec_id").alias("clip_id"), F.flatten(F.array_repeat(F.col("embedding").cast("array<double>"), (1 + F.col("vec_id") % 170).cast("int"))).alias("samples"))
+def of_embeddings(rows, *others):
+    """Clips of one to 170 times the length of an embedding, beside `others`."""
+    return rows.select(*others, F.col("vec_id").alias("clip_id"), F.flatten(F.array_repeat(F.col("embedding").cast("array<double>"), (1 + F.col("vec_id") % 170).cast("int"))).alias("samples"))
 
 
 def clips(spark, sf_dir):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from scrivener.sources.storage import place
 from scrivener.streaming import dictation as D
+from scrivener.streaming import frames as FR
 from scrivener.streaming import limits as L
 from scrivener.streaming import ordered as O
 from scrivener.streaming import recorder as R
@@ -181,18 +182,14 @@ def st1_sample_buffer(spark, sf_dir):
 @query(BARS + "SELECT clip_id, list_transform(b, lambda x: round(x, 6)) AS bars FROM bars")
 def st3_tail_stream(spark, sf_dir):
     """Clips as a stream of frames of 800 samples, of which each clip's buffer keeps the last half second;
-    the bars are those after the last frame."""
+    the bars are those after the last frame. A row of the file is a clip, also where ids repeat."""
     path = place(spark, "tail")
-
-    def source():
-        rows = D.file_stream(spark, sf_dir, "embeddings.parquet", "vec_id bigint, embedding array<float>, label int")
-        clips = of_embeddings(rows).withColumn("frame", F.explode(F.sequence(F.lit(0), F.floor((F.size("samples") - 1) / 800).cast("int"))))
-        frames = clips.withColumns({"ts": F.timestamp_seconds(F.col("frame") + 1), "event_id": F.col("frame"), "said": F.to_json(F.slice("samples", F.col("frame") * 800 + 1, F.lit(800)))})
-        return O.keyed(frames, "clip_id", F.col("said"))
-
-    O.run_to_end(source, f"{path}/close", D.appended_log(f"{path}/out"), f"{path}/state", lambda s: O.stream(s, R.Tail(), "clip_id"))
-    last = spark.read.parquet(f"{path}/out").groupBy("clip_id").agg(F.max_by("bars", "samples").alias("bars"))
-    return last.select("clip_id", rounded(F.col("bars")).alias("bars"))
+    rows = D.file_stream(spark, sf_dir, "embeddings.parquet", "vec_id bigint, embedding array<float>, label int")
+    named = rows.select("vec_id", "embedding", F.concat_ws("#", "_metadata.file_path", F.col("_metadata.row_index").cast("string")).alias("clip"))
+    # a file is often one task, and its clips are far larger than its rows
+    frames = FR.numbered_frames(of_embeddings(named.repartition(spark.sparkContext.defaultParallelism), "clip"), 800)
+    D.run_once(frames, FR.tails(f"{path}/out"), f"{path}/state")
+    return FR.shown(spark, f"{path}/out").filter("last").select("clip_id", rounded(F.col("bars")).alias("bars"))
 
 
 @query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) WHERE k % 3 = 0")

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scrivener.streaming import dictation as D
+from scrivener.streaming import frames as FR
 from scrivener.streaming import limits as L
 from scrivener.streaming import ordered as O
 from scrivener.streaming import recorder as R
@@ -260,3 +261,50 @@ def test_a_batch_is_one_entry_of_a_keys_buffer():
     frame = pd.DataFrame({"at_": range(100), "event_id": range(100), "event_": ["start"] * 100})
     list(machine.handleInputRows((1,), iter([frame, frame]), None))
     assert len(Handle.buffer) == 1
+
+
+def test_numbered_frames_in_any_batches_are_the_fold_of_their_clip(spark, tmp_path):
+    """Frames ahead of their turn wait, those that come again are dropped, a closed clip leaves nothing open."""
+    import json
+
+    rng = random.Random(6)
+    clips = {name: [[rng.uniform(-0.1, 0.1) for _ in range(rng.choice([0, 1, 47, 700, 3000]))] for _ in range(n)] for name, n in (("a", 9), ("b", 1), ("c", 14), (None, 5))}
+    rows = [(name, 7, k, f, k == len(clips[name]) - 1 and name != "c") for name in clips for k, f in enumerate(clips[name])]
+    dealt = sorted(rows, key=lambda r: r[2] + rng.uniform(0, 5))
+    batches = [dealt[:8], dealt[8:9], [], dealt[9:20], dealt[20:]]
+    batches[2] = [r for r in dealt[:9] if r[0] == "c"]
+    write = FR.tails(f"{tmp_path}/out")
+    for number, batch in enumerate(batches):
+        for _ in range(2 if number == 3 else 1):
+            write(spark.createDataFrame(batch, "clip string, clip_id long, frame long, samples array<double>, last boolean"), number)
+    got = {(r["clip"], r["frame"]): r for r in FR.shown(spark, f"{tmp_path}/out").collect()}
+    assert FR.shown(spark, f"{tmp_path}/out").count() == len(got) == len(rows)
+    for name, frames in clips.items():
+        _, expected = O.advanced(R.Tail(), R.Tail().start(), [(k, k, json.dumps(f)) for k, f in enumerate(frames)])
+        assert all(got[name, k]["n"] == n and np.allclose(got[name, k]["bars"], bars, atol=1e-12) and got[name, k]["clip_id"] == 7 for k, _, n, bars in expected)
+    (left,) = spark.read.parquet(f"{tmp_path}/out/batch=4").filter("kind <> 'bars'").collect()
+    assert (left["clip"], left["kind"], left["frame"], len(left["samples"])) == ("c", FR.BUFFER, 13, min(8000, sum(map(len, clips["c"]))))
+
+
+def test_loudness_sums_as_the_table_does(spark):
+    from scrivener.operators import audio as A
+
+    rng = random.Random(9)
+    clips = [(k, [rng.gauss(0, 0.05) for _ in range(n)]) for k, n in enumerate([0, 1, 47, 48, 95, 96, 100, 7999, 8000])] + [(9, [float("nan"), 0.01])]
+    bars = spark.createDataFrame(clips, "k int, samples array<double>").select("k", A.amplitude_bars(F.col("samples")).alias("bars")).collect()
+    assert all(FR.loudness(np.array(clips[r["k"]][1])).tolist() == r["bars"] for r in bars)
+
+
+def test_tail_stream_of_odd_rows_as_the_sql_says(spark, tmp_path):
+    """Ids that repeat, no id, no samples; no watermark holds clips back in a state store."""
+    import duckdb
+
+    from scrivener.plans import ORACLES, QUERIES
+
+    rows = [(5, [0.01] * 64), (5, [0.02] * 64), (169, [0.03, -0.01] * 32), (7, []), (8, None), (None, [0.01] * 64), (0, [0.5] * 3)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    expected = con.execute(f"select clip_id, bars from ({ORACLES['st3_tail_stream']})").fetchall()
+    got = [(r["clip_id"], list(r["bars"])) for r in QUERIES["st3_tail_stream"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(((k, list(b)) for k, b in expected), key=str) and len(got) == 7
