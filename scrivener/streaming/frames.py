@@ -93,7 +93,9 @@ def folded(rows: DataFrame, window: int = BAR_WINDOW) -> DataFrame:
             yield packed()
 
     order = ["clip", F.col("kind").desc(), "frame"]
-    return rows.repartition("clip").sortWithinPartitions(*order).mapInArrow(run, ROWS)
+    # by number: frames are packed so well that by their bytes a few tasks would get them all
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, "clip").sortWithinPartitions(*order).mapInArrow(run, ROWS)
 
 
 def _lists(arrays: tuple, kind: pa.DataType) -> pa.Array:
